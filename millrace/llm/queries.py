@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, sharding, token_counts, token_files
+from . import ann, byte_bpe, exact_topk, packing, sharding, token_counts, token_files
 from .common import shared_path, table
 
 SHARD_BYTES = 64 << 20
@@ -27,6 +27,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "op7_token_files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), END_ID_FILES)
@@ -42,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_sharding, op2_byte_bpe, op7_token_files, op8_pattern_packing, op10_token_counts)
+    f.__name__: f for f in (op1_extendible_sharding, op2_byte_bpe, op5_cross_polytope, op6_pivot_top_k, op7_token_files, op8_pattern_packing, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -58,5 +66,13 @@ leaf AS (SELECT h, coalesce(max(d) FILTER (total > {SHARD_BYTES} AND splits) + 1
 SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS bucket, CAST(0 AS BIGINT) AS page,
        CAST(total AS BIGINT) AS shard_bytes, total > {SHARD_BYTES} AS oversized
 FROM rows JOIN leaf USING (h) JOIN above ON depth = d AND h >> (60 - depth) = node
+""",
+    "op6_pivot_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
