@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """``work`` on each Arrow batch; ``work`` is built anew in each task by calling ``work()`` if it is a class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        do = work() if isinstance(work, type) else work
-        for batch in batches:
-            if batch.num_rows:
-                out = do(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-
-    return df.mapInArrow(run, schema)
-
-
 def crc32_remainder(column: str, modulus: int):
     """``crc32(text of column) mod modulus``, null as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def in_slices(batches, rows: int = 256):
+    """Batches of at most ``rows`` rows, so that what is made from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

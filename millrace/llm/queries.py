@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_topk, packing, sharding, token_counts, token_files
+from . import ann, byte_bpe, exact_topk, near_duplicates, packing, quality, sharding, token_counts, token_files, toxicity
 from .common import shared_path, table
 
 SHARD_BYTES = 64 << 20
@@ -27,6 +27,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -45,12 +55,16 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY, END_ID_PACKING)
 
 
+def op9_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_sharding, op2_byte_bpe, op5_cross_polytope, op6_pivot_top_k, op7_token_files, op8_pattern_packing, op10_token_counts)
+    f.__name__: f for f in (op1_extendible_sharding, op2_byte_bpe, op3_compression_toxicity, op4_pairwise_quality, op5_cross_polytope, op6_pivot_top_k, op7_token_files, op8_pattern_packing, op9_lsh_forest_join, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
