@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_remainder
+from .common import crc32_remainder, in_slices
 from .fitting import labelled_sample, logistic
 
 TRAIN_ROWS = 20_000
@@ -135,17 +135,17 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return Model(x, np.array([r["y"] for r in found], dtype=int))
 
 
-def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (else id_col) of every row, held_out, score and predicted (1: score >= 0.7)."""
+def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """``keep`` columns (else id_col) of every row, and, named by ``names``, held_out, score and predicted (1: score >= 0.7)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     keep = keep or [id_col]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [features(t) for t in batch.column("__text").to_pylist()]
             s = shared.value.score(np.array(rows).reshape(-1, N_FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names[:-1], *names[1:]])
 
-    rows = documents.select(*keep, (crc32_remainder(id_col, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("__text"))
+    rows = documents.select(*keep, (crc32_remainder(id_col, FOLDS) == HELD_OUT).alias(names[0]), F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` boolean, `{names[1]}` double, `{names[2]}` int")
