@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
 from .merging import Remembered, merge
 
 SEGMENT = 1 << 20
@@ -241,7 +243,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         encoder = byte_encoder(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             coded = encoder.encode_all(batch.column("text").to_pylist())
             counts = np.array([len(c) // 4 for c in coded], dtype=np.int64)
             bounds = np.zeros(len(coded) + 1, dtype=np.int64)
@@ -289,3 +291,22 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         .mapInArrow(run, f"id {kind}, n_tokens long, ids_bytes binary, decoded binary")
         .withColumnRenamed("id", id_col)
     )
+
+
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256 (of ids as little-endian 32-bit integers) and decoded_sha256, in one pass that keeps neither."""
+
+    def run(batches):
+        encoder = byte_encoder(path)
+        for batch in in_slices(batches):
+            counts, of_ids, of_bytes = [], [], []
+            for raw in encoder.encode_all(batch.column("text").to_pylist()):
+                ids = np.frombuffer(raw, dtype="<u4")
+                counts.append(len(ids))
+                of_ids.append(hashlib.sha256(raw).hexdigest())
+                of_bytes.append(hashlib.sha256(encoder.decode(ids.tolist())).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, exact_topk, near_duplicates, packing, quality, sharding, token_counts, token_files, toxicity
 from .common import shared_path, table
@@ -23,8 +22,7 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
