@@ -5,6 +5,372 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.prf import sql_hex, sql_mod, sql_unit
+from ..operators import analyze, frames, records, shuffle, verify
+from ..sources.jsonl import to_json_record
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SEED = 7
+CAP = 4096
+WORLD = 4
+FRAME = 16 << 10
+BUFFER, RESERVOIR = 100, 50
+MIN_BITS, MAX_BITS = 4.0, 4.6
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return records.record_view(table(spark, sf_dir, "documents"), "doc_id", "text", *keep)
+
+
+def positioned(df: DataFrame, *order: str) -> DataFrame:
+    return records.with_position(df, *(order or ("id",)))
+
+
+DOC = "doc AS (SELECT doc_id AS id, coalesce(text, '') AS record, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS nbytes, source, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)"
+EVENT = "ev AS (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events)"
+
+
+def stats_sql(out: str, skipped: str, passed: str) -> str:
+    return f"""WITH {DOC} SELECT count(*) AS records_in, CAST(sum(CASE WHEN {out} THEN 1 ELSE 0 END) AS BIGINT) AS records_out,
+CAST(sum(nbytes) AS BIGINT) AS bytes_in, CAST(sum(CASE WHEN {out} THEN nbytes ELSE 0 END) AS BIGINT) AS bytes_out,
+CAST(sum(CASE WHEN {skipped} THEN 1 ELSE 0 END) AS BIGINT) AS oversized_skipped, CAST(sum(CASE WHEN {passed} THEN 1 ELSE 0 END) AS BIGINT) AS oversized_passthrough FROM doc"""
+
+
+@query(stats_sql("nbytes <= 16777216", "nbytes > 16777216", "false"))
+def passthrough_stats(spark, sf_dir):
+    return records.run_stats(documents(spark, sf_dir), records.DEFAULT_MAX_LINE)
+
+
+@query(stats_sql(f"nbytes <= {CAP}", f"nbytes > {CAP}", "false"))
+def oversize_skip(spark, sf_dir):
+    return records.run_stats(documents(spark, sf_dir), CAP, "skip")
+
+
+@query(stats_sql("true", "false", f"nbytes > {CAP}"))
+def oversize_passthrough(spark, sf_dir):
+    return records.run_stats(documents(spark, sf_dir), CAP, "passthrough")
+
+
+@query(f"WITH {DOC} SELECT id, pos AS out_pos FROM doc")
+def passthrough(spark, sf_dir):
+    return positioned(documents(spark, sf_dir)).select("id", F.col("pos").alias("out_pos"))
+
+
+@query(f"WITH {DOC} SELECT id, nbytes FROM doc WHERE nbytes <= {CAP}")
+def policy_skip_rows(spark, sf_dir):
+    return records.limit_length(documents(spark, sf_dir), CAP).select("id", "nbytes")
+
+
+@query(f"WITH {DOC} SELECT id, pos FROM doc WHERE pos % {WORLD} = 1")
+def rank_partition_rows(spark, sf_dir):
+    return records.of_rank(positioned(documents(spark, sf_dir)), 1, WORLD).select("id", "pos")
+
+
+@query(f"WITH {EVENT} SELECT id, pos FROM ev WHERE pos < 100")
+def sample_head(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    return records.head(positioned(events), 100).select("id", "pos")
+
+
+@query(f"WITH {DOC} SELECT id FROM doc WHERE {sql_unit(SEED, 'bern', 0, 'id')} < 0.3")
+def bernoulli_sample(spark, sf_dir):
+    return records.bernoulli(documents(spark, sf_dir), 0.3, SEED).select("id")
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE {sql_unit(SEED, 'bern', 0, 'o_orderkey')} < 0.05")
+def bernoulli_orders(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return records.bernoulli(orders, 0.05, SEED).select("id")
+
+
+BYTES = f"""{DOC},
+one AS (SELECT id, hex(encode(record || chr(10))) AS h, nbytes FROM doc),
+byte AS (SELECT id, nbytes, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS b, count(*) AS n FROM one, range(0, nbytes) AS r(i) GROUP BY ALL),
+ent AS (SELECT id, -sum((n / CAST(nbytes AS DOUBLE)) * ln(n / CAST(nbytes AS DOUBLE))) AS entropy FROM byte GROUP BY id)"""
+LOW, HIGH = MIN_BITS * records.LN2, MAX_BITS * records.LN2
+
+
+@query(f"WITH {BYTES} SELECT id, round(entropy, 6) AS entropy FROM ent")
+def record_entropy(spark, sf_dir):
+    return records.entropy_gate(documents(spark, sf_dir)).select("id", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"WITH {BYTES} SELECT id FROM ent WHERE entropy >= {LOW} AND entropy <= {HIGH}")
+def entropy_gate(spark, sf_dir):
+    return records.entropy_gate(documents(spark, sf_dir), MIN_BITS, MAX_BITS).select("id")
+
+
+@query(f"""WITH {BYTES} SELECT CAST(sum(CASE WHEN entropy >= {LOW} AND entropy <= {HIGH} THEN 1 ELSE 0 END) AS BIGINT) AS kept,
+CAST(sum(CASE WHEN entropy < {LOW} THEN 1 ELSE 0 END) AS BIGINT) AS dropped_low, CAST(sum(CASE WHEN entropy > {HIGH} THEN 1 ELSE 0 END) AS BIGINT) AS dropped_high FROM ent""")
+def entropy_gate_counts(spark, sf_dir):
+    return records.gate_counts(documents(spark, sf_dir), MIN_BITS, MAX_BITS)
+
+
+@query(f"WITH {BYTES} SELECT id, pos FROM ent JOIN doc USING (id) WHERE {sql_unit(SEED, 'bern', 0, 'id')} < 0.5 AND entropy >= {LOW} AND entropy <= {HIGH} ORDER BY pos LIMIT 50")
+def sampling_pipeline(spark, sf_dir):
+    df = positioned(documents(spark, sf_dir))
+    return records.sampling_pipeline(df, 0.5, SEED, MIN_BITS, MAX_BITS, 50).select("id", "pos")
+
+
+PERM = f"{DOC}, perm AS (SELECT id, row_number() OVER (ORDER BY {sql_hex(SEED, 'perm', 0, 'id')}, id) - 1 AS out_pos FROM doc)"
+
+
+@query(f"WITH {PERM} SELECT * FROM perm")
+def index_perm(spark, sf_dir):
+    return shuffle.index_perm(documents(spark, sf_dir), SEED).select("id", "out_pos")
+
+
+@query(f"SELECT o_orderkey AS id, row_number() OVER (ORDER BY {sql_hex(SEED, 'perm', 0, 'o_orderkey')}, o_orderkey) - 1 AS out_pos FROM orders")
+def index_perm_orders(spark, sf_dir):
+    return shuffle.index_perm(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), SEED).select("id", "out_pos")
+
+
+@query(f"WITH {DOC} SELECT CAST(epoch AS INTEGER) AS epoch, id, row_number() OVER (PARTITION BY epoch ORDER BY {sql_hex(SEED, 'perm', 'epoch', 'id')}, id) - 1 AS out_pos FROM doc, range(0, 3) AS e(epoch)")
+def index_perm_epochs(spark, sf_dir):
+    return shuffle.index_perm_epochs(documents(spark, sf_dir), 3, SEED).select("epoch", "id", "out_pos")
+
+
+@query(f"WITH {PERM} SELECT * FROM perm WHERE out_pos % {WORLD} = 2")
+def index_perm_rank(spark, sf_dir):
+    return records.of_rank(shuffle.index_perm(documents(spark, sf_dir), SEED), 2, WORLD, "out_pos").select("id", "out_pos")
+
+
+@query(f"WITH {PERM} SELECT * FROM perm WHERE out_pos < 64")
+def index_perm_sample(spark, sf_dir):
+    return shuffle.sample(documents(spark, sf_dir), 64, SEED).select("id", "out_pos")
+
+
+@query(f"WITH {PERM} SELECT * FROM perm WHERE out_pos >= 500")
+def index_perm_resume(spark, sf_dir):
+    return shuffle.resume(shuffle.index_perm(documents(spark, sf_dir), SEED), 500).select("id", "out_pos")
+
+
+def frames_sql(order: str) -> str:
+    """Frames of documents taken in an order, as rows of framed."""
+    return f"""doc AS (SELECT doc_id AS id, coalesce(text, '') AS record, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS nbytes, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM documents),
+run AS (SELECT *, CAST(sum(nbytes) OVER (ORDER BY pos) AS BIGINT) AS cum FROM doc),
+nxt AS (SELECT a.pos, (SELECT min(b.pos) + 1 FROM run b WHERE b.cum >= a.cum - a.nbytes + {FRAME}) AS nxt FROM run a),
+st AS (SELECT CAST(0 AS BIGINT) AS frame_id, CAST(0 AS BIGINT) AS pos UNION ALL
+       SELECT frame_id + 1, nxt FROM st JOIN nxt USING (pos) WHERE nxt IS NOT NULL AND nxt < (SELECT count(*) FROM documents)),
+framed AS (SELECT run.*, CAST(st.frame_id AS INTEGER) AS frame_id FROM run ASOF JOIN st ON run.pos >= st.pos)"""
+
+
+def framed(spark, sf_dir, *order: str) -> DataFrame:
+    df = positioned(documents(spark, sf_dir, "lang"), *order)
+    return frames.assign_frames(df, FRAME)
+
+
+@query(f"WITH RECURSIVE {frames_sql('doc_id')} SELECT id, pos, frame_id FROM framed")
+def frames_greedy(spark, sf_dir):
+    return framed(spark, sf_dir).select("id", "pos", "frame_id")
+
+
+@query(f"""WITH RECURSIVE {frames_sql('doc_id')}, f AS (SELECT frame_id, count(*) AS records, CAST(sum(nbytes) AS BIGINT) AS bytes FROM framed GROUP BY 1)
+SELECT count(*) AS frames, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes, min(bytes) AS min_frame, max(bytes) AS max_frame,
+list_sort(list(bytes))[count(*) // 2 + 1] AS median_frame FROM f""")
+def frame_info(spark, sf_dir):
+    return frames.frame_info(framed(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {frames_sql('doc_id')}, f AS (SELECT frame_id, count(*) AS records, CAST(sum(nbytes) AS BIGINT) AS bytes FROM framed GROUP BY 1)
+SELECT frame_id, records, bytes, CAST(sum(bytes) OVER (ORDER BY frame_id) - bytes AS BIGINT) AS start FROM f""")
+def frame_table(spark, sf_dir):
+    return frames.frame_table(framed(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {frames_sql('doc_id')} SELECT id, pos AS idx, frame_id, CAST(sum(nbytes) OVER (PARTITION BY frame_id ORDER BY pos) - nbytes AS BIGINT) AS offset_in_frame, nbytes AS length FROM framed")
+def record_index(spark, sf_dir):
+    return frames.record_index(framed(spark, sf_dir))
+
+
+@query(f"WITH {DOC} SELECT id, pos AS idx, CAST(sum(nbytes) OVER (ORDER BY pos) - nbytes AS BIGINT) AS start, CAST(sum(nbytes) OVER (ORDER BY pos) AS BIGINT) AS \"end\" FROM doc")
+def byte_offsets(spark, sf_dir):
+    return frames.byte_offsets(positioned(documents(spark, sf_dir)))
+
+
+CHUNKS = f"""{frames_sql('doc_id')},
+ids AS (SELECT DISTINCT frame_id FROM framed),
+fp AS (SELECT frame_id, row_number() OVER (ORDER BY {sql_hex(SEED, 'perm', 0, 'frame_id')}, frame_id) - 1 AS frame_pos FROM ids),
+rp AS (SELECT id, framed.frame_id, frame_pos, row_number() OVER (PARTITION BY framed.frame_id ORDER BY {sql_hex(SEED, 'frame', 0, 'framed.frame_id', 'id')}, id) - 1 AS rec_pos FROM framed JOIN fp USING (frame_id))"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT *, row_number() OVER (ORDER BY frame_pos, rec_pos) - 1 AS out_pos FROM rp")
+def chunk_shuffled(spark, sf_dir):
+    return shuffle.chunk_shuffled(framed(spark, sf_dir), SEED).select("id", "frame_id", "frame_pos", "rec_pos", "out_pos")
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT *, row_number() OVER (ORDER BY frame_pos, rec_pos) - 1 AS out_pos FROM rp WHERE frame_pos % {WORLD} = 3")
+def chunk_shuffled_rank(spark, sf_dir):
+    return shuffle.chunk_shuffled(framed(spark, sf_dir), SEED, rank=3, world=WORLD).select("id", "frame_id", "frame_pos", "rec_pos", "out_pos")
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT id, frame_pos // 8 AS turn, rec_pos, frame_pos FROM rp")
+def chunk_round_robin(spark, sf_dir):
+    return shuffle.chunk_round_robin(framed(spark, sf_dir), SEED, active=8).select("id", "turn", "rec_pos", "frame_pos")
+
+
+def buffer_sql(source: str, group: str | None) -> str:
+    part = f"PARTITION BY {group}" if group else ""
+    ids = [*([group] if group else []), "pos"]
+    cols = f"{group}, " if group else ""
+    return f"""s AS (SELECT *, CASE WHEN pos < {BUFFER} THEN pos ELSE {sql_mod(SEED, 'buf', 0, BUFFER, *ids)} END AS slot, count(*) OVER ({part}) AS n FROM {source}),
+l AS (SELECT *, lead(pos) OVER (PARTITION BY {cols}slot ORDER BY pos) AS nxt FROM s)
+SELECT {cols}id, nxt - {BUFFER} AS out_pos FROM l WHERE nxt IS NOT NULL UNION ALL
+SELECT {cols}id, n - count(*) OVER ({part}) + row_number() OVER ({part} ORDER BY {sql_hex(SEED, 'drain', 0, *ids)}, pos) - 1 AS out_pos FROM l WHERE nxt IS NULL"""
+
+
+@query(f"WITH {EVENT}, {buffer_sql('ev', None)}")
+def buffer_shuffle(spark, sf_dir):
+    events = positioned(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
+    return shuffle.buffer_shuffle(events, BUFFER, SEED).select("id", "out_pos")
+
+
+BY_LANG = "bl AS (SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents)"
+
+
+def by_language(spark, sf_dir) -> DataFrame:
+    """Documents as one input per language, with positions in each."""
+    df = positioned(documents(spark, sf_dir, "lang").select("id", "lang"), "lang", "id")
+    first = df.groupBy("lang").agg(F.min("pos").alias("first"))
+    return df.join(F.broadcast(first), "lang").withColumn("pos", F.col("pos") - F.col("first")).drop("first")
+
+
+@query(f"WITH {BY_LANG}, {buffer_sql('bl', 'lang')}")
+def buffer_multi_input(spark, sf_dir):
+    return shuffle.buffer_shuffle(by_language(spark, sf_dir), BUFFER, SEED, group="lang").select("lang", "id", "out_pos")
+
+
+def reservoir_sql(source: str, group: str | None) -> str:
+    part = f"PARTITION BY {group}" if group else ""
+    ids = [*([group] if group else []), "pos"]
+    cols = f"{group}, " if group else ""
+    return f"""s AS (SELECT *, CASE WHEN pos < {RESERVOIR} THEN pos ELSE {sql_mod(SEED, 'res', 0, 'pos + 1', *ids)} END AS slot FROM {source}),
+k AS (SELECT {cols}slot, max(pos) AS pos, max_by(id, pos) AS id FROM s WHERE slot < {RESERVOIR} GROUP BY {cols}slot)
+SELECT {cols}id, row_number() OVER ({part} ORDER BY {sql_hex(SEED, 'resorder', 0, *ids)}, pos) - 1 AS out_pos FROM k"""
+
+
+@query(f"WITH {DOC}, {reservoir_sql('doc', None)}")
+def reservoir_sample(spark, sf_dir):
+    return shuffle.reservoir(positioned(documents(spark, sf_dir).select("id")), RESERVOIR, SEED).select("id", "out_pos")
+
+
+@query(f"WITH {DOC}, mine AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS pos FROM doc WHERE pos % {WORLD} = 1), {reservoir_sql('mine', None)}")
+def reservoir_rank(spark, sf_dir):
+    mine = records.of_rank(positioned(documents(spark, sf_dir).select("id")), 1, WORLD)
+    mine = mine.withColumn("pos", F.floor(F.col("pos") / WORLD).cast("long"))  # places among the rank's own rows
+    return shuffle.reservoir(mine, RESERVOIR, SEED).select("id", "out_pos")
+
+
+@query(f"WITH {BY_LANG}, {reservoir_sql('bl', 'lang')}")
+def reservoir_multi_input(spark, sf_dir):
+    return shuffle.reservoir(by_language(spark, sf_dir), RESERVOIR, SEED, group="lang").select("lang", "id", "out_pos")
+
+
+HISTOGRAM = f"""{frames_sql('lang, doc_id')},
+hx AS (SELECT frame_id, hex(encode(record || chr(10))) AS h, nbytes FROM framed),
+hist AS (SELECT frame_id, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS byte, count(*) AS n FROM hx, range(0, nbytes) AS r(i) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {HISTOGRAM} SELECT frame_id, byte, n FROM hist")
+def analyze_histogram(spark, sf_dir):
+    return analyze.byte_histogram(framed(spark, sf_dir, "lang", "id"))
+
+
+DIVERGENCE = f"""{HISTOGRAM},
+q AS (SELECT byte, sum(n) / (SELECT CAST(sum(n) AS DOUBLE) FROM hist) AS q FROM hist GROUP BY byte),
+grid AS (SELECT frame_id, q.byte, q, coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY frame_id) AS DOUBLE) AS p
+         FROM (SELECT DISTINCT frame_id FROM hist) CROSS JOIN q LEFT JOIN hist USING (frame_id, byte)),
+d AS (SELECT frame_id, sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END) AS kl,
+      0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(q * ln(q / ((p + q) / 2))) AS js,
+      -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS entropy FROM grid GROUP BY frame_id)"""
+
+
+@query(f"WITH RECURSIVE {DIVERGENCE} SELECT frame_id, round(kl, 6) AS kl, round(js, 6) AS js, round(entropy, 6) AS entropy FROM d")
+def analyze_divergence(spark, sf_dir):
+    out = analyze.divergence(analyze.byte_histogram(framed(spark, sf_dir, "lang", "id")))
+    return out.select("frame_id", *(F.round(c, 6).alias(c) for c in ("kl", "js", "entropy")))
+
+
+def _label(x: str, t: float) -> str:
+    return f"CASE WHEN {x} < 0.5 * {t} THEN 'uniform' WHEN {x} < {t} THEN 'mild drift' ELSE 'SKEWED' END"
+
+
+@query(f"""WITH RECURSIVE {frames_sql('lang, doc_id').replace('framed AS', 'all_frames AS')},
+pick AS (SELECT frame_id FROM (SELECT DISTINCT frame_id FROM all_frames) ORDER BY {sql_hex(0, 'analyze', 0, 'frame_id')}, frame_id LIMIT 32),
+framed AS (SELECT * FROM all_frames WHERE frame_id IN (SELECT frame_id FROM pick)),
+{DIVERGENCE.split('FROM run ASOF JOIN st ON run.pos >= st.pos),')[1]},
+v AS (SELECT count(*) AS frames, max(kl) AS kl_max, avg(kl) AS kl_mean, max(js) AS js_max, avg(js) AS js_mean, avg(entropy) AS entropy_mean FROM d),
+c AS (SELECT stddev_pop(m) / avg(m) AS length_cv FROM (SELECT avg(nbytes) AS m FROM framed GROUP BY frame_id))
+SELECT frames, round(kl_max, 6) AS kl_max, round(kl_mean, 6) AS kl_mean, round(js_max, 6) AS js_max, round(js_mean, 6) AS js_mean, round(entropy_mean, 6) AS entropy_mean,
+round(length_cv, 6) AS length_cv, {_label('kl_max', 0.1)} AS kl_label, {_label('js_max', 0.1)} AS js_label, {_label('length_cv', 0.5)} AS cv_label,
+CASE WHEN kl_max > 0.1 OR js_max > 0.1 OR length_cv > 0.5 THEN 'UNSAFE' ELSE 'SAFE' END AS verdict FROM v, c""")
+def analyze_verdict(spark, sf_dir):
+    out = analyze.report(framed(spark, sf_dir, "lang", "id"))
+    return out.select("frames", *(F.round(c, 6).alias(c) for c in ("kl_max", "kl_mean", "js_max", "js_mean", "entropy_mean", "length_cv")), "kl_label", "js_label", "cv_label", "verdict")
+
+
+BROKEN = F.when(F.col("event_id") % 10 == 3, F.concat("props", F.lit(" x"))).when(F.col("event_id") % 10 == 7, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+BROKEN_SQL = "bad AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 3 THEN props || ' x' WHEN event_id % 10 = 7 THEN substr(props, 2) ELSE props END AS record FROM events)"
+
+
+@query(f"WITH {BROKEN_SQL} SELECT id FROM bad WHERE NOT json_valid(record)")
+def verify_json(spark, sf_dir):
+    from ..functions.records import json_valid
+
+    events = records.record_view(table(spark, sf_dir, "events"), "event_id", BROKEN)
+    return events.filter(~json_valid("record")).select("id")
+
+
+@query(f"""WITH {BROKEN_SQL} SELECT count(*) AS records, CAST(sum(strlen(record) + 1) AS BIGINT) AS bytes, CAST(sum(CASE WHEN strlen(record) + 1 > 64 THEN 1 ELSE 0 END) AS BIGINT) AS oversized,
+CAST(sum(CASE WHEN json_valid(record) THEN 0 ELSE 1 END) AS BIGINT) AS invalid_json, false AS ok FROM bad""")
+def verify_report(spark, sf_dir):
+    return verify.verify(records.record_view(table(spark, sf_dir, "events"), "event_id", BROKEN), 64)
+
+
+@query(f"WITH {BROKEN_SQL}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, record FROM bad) SELECT id, pos FROM p WHERE NOT json_valid(record) ORDER BY pos LIMIT 8")
+def verify_first_problems(spark, sf_dir):
+    return verify.problems(positioned(records.record_view(table(spark, sf_dir, "events"), "event_id", BROKEN))).select("id", "pos")
+
+
+@query(f"SELECT count(*) AS n_rows, count(*) AS covered, CAST(0 AS BIGINT) AS overlap FROM documents")
+def rank_cover_check(spark, sf_dir):
+    return verify.rank_cover(positioned(documents(spark, sf_dir).select("id")), WORLD)
+
+
+@query("""SELECT n_nationkey AS id, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS record FROM nation""")
+def to_jsonl_row(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return nation.select(F.col("n_nationkey").alias("id"), to_json_record(nation).alias("record"))
+
+
+@query("""SELECT CAST(0 AS INTEGER) AS file_id, CAST(r_regionkey AS BIGINT) AS id, CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS pos FROM region UNION ALL
+SELECT 1, n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 + (SELECT count(*) FROM region) FROM nation""")
+def multi_input_concat(spark, sf_dir):
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    return positioned(records.concat(region, nation), "file_id", "id").select("file_id", "id", "pos")
+
+
+@query(f"""SELECT 'customer' AS input, c_custkey AS id FROM customer WHERE {sql_unit(SEED, 'mix:customer', 0, 'c_custkey')} < 0.2 UNION ALL
+SELECT 'part', p_partkey FROM part WHERE {sql_unit(SEED, 'mix:part', 0, 'p_partkey')} < 0.5""")
+def weighted_mix(spark, sf_dir):
+    frames_of = {"customer": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "part": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))}
+    return records.weighted_mix(frames_of, {"customer": 0.2, "part": 0.5}, SEED).select("input", "id")
