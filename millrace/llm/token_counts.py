@@ -22,21 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merging import Remembered, merge
-from .tokens import SEPARATORS
+from .tokens import SEPARATORS, byte_characters, settled
 
-#: Up to here lower-casing and composition are the same in every Unicode version.
-SETTLED = 0x24F
 WORD_END = "</w>"
 
 
-@functools.cache
-def byte_characters() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 @functools.cache
 def prove_whole_tokens(path: str) -> tuple[str, ...]:
     """Strings of the vocabulary that, alone, encode as exactly their own token."""
@@ -89,7 +79,7 @@ class TokenCounter(Remembered):
         self.pre_tokens = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
     def work(self, chunk: str) -> int:
-        if any(s in chunk for s in self.special) or not (chunk.isascii() or max(map(ord, chunk)) <= SETTLED):
+        if any(s in chunk for s in self.special) or not settled(chunk):
             return len(self.library.encode(chunk, add_special_tokens=False).ids)
         if chunk.isascii():
             plain = chunk.lower()

@@ -44,6 +44,7 @@ def write_token_files(df: DataFrame, out: str, path: str, end_id: int | None, id
     (
         encoded.select(F.col("id").alias(id_col), "tie", "n_tokens", "ids")
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)

@@ -22,6 +22,25 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Marks that end a pre-token of letters and are one themselves.
 MARKS = frozenset(".,!?;:")
 
+#: Up to here lower-casing (but for one letter) and composition change no letter in a way that depends on the Unicode version.
+SETTLED = "\u024f"
+UNSETTLED = "\u0130"
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_NAMES = byte_characters()
+
+
+def settled(chunk: str) -> bool:
+    return chunk.isascii() or (max(chunk) <= SETTLED and UNSETTLED not in chunk)
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -35,16 +54,30 @@ class ChunkEncoder(Remembered):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+
+    def modelled(self, names: str) -> bytes:
+        """Ids of one pre-token that the normalizer would leave as it is, by the library's model alone."""
+        as_bytes = self.id_bytes
+        return b"".join([as_bytes[t.id] for t in self.model.tokenize(names)])
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def work(self, chunk: str) -> bytes:
-        head = chunk[:-1]
-        if chunk[-1] in MARKS and head.isascii() and head.isalpha():
-            return self[head] + self[chunk[-1]]
-        if chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            return self[chunk.lower()]
+        if chunk.isalpha() and chunk.isascii() and chunk.islower():
+            return self.modelled(chunk)
+        mark = chunk[-1]
+        if mark in MARKS:
+            head = chunk[:-1]
+            if head.isalpha() and settled(head):
+                return self[head] + self[mark]
+        elif chunk.isalpha() and settled(chunk):
+            lower = chunk.lower()
+            if lower != chunk:
+                return self[lower]
+            return self.modelled(chunk.encode().decode("latin-1").translate(BYTE_NAMES))
         return self.direct(chunk)
 
     def encode(self, text: str | None) -> bytes:
