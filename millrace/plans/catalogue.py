@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prf import sql_hex, sql_mod, sql_unit
+from ..functions.records import json_valid
 from ..operators import analyze, frames, records, shuffle, verify
 from ..sources.jsonl import to_json_record
 
@@ -327,27 +328,30 @@ def analyze_verdict(spark, sf_dir):
     return out.select("frames", *(F.round(c, 6).alias(c) for c in ("kl_max", "kl_mean", "js_max", "js_mean", "entropy_mean", "length_cv")), "kl_label", "js_label", "cv_label", "verdict")
 
 
-BROKEN = F.when(F.col("event_id") % 10 == 3, F.concat("props", F.lit(" x"))).when(F.col("event_id") % 10 == 7, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+def broken_events(spark, sf_dir) -> DataFrame:
+    """Event properties, two in ten of them damaged."""
+    i = F.col("event_id") % 10
+    text = F.when(i == 3, F.concat("props", F.lit(" x"))).when(i == 7, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    return records.record_view(table(spark, sf_dir, "events"), "event_id", text)
+
+
 BROKEN_SQL = "bad AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 3 THEN props || ' x' WHEN event_id % 10 = 7 THEN substr(props, 2) ELSE props END AS record FROM events)"
 
 
 @query(f"WITH {BROKEN_SQL} SELECT id FROM bad WHERE NOT json_valid(record)")
 def verify_json(spark, sf_dir):
-    from ..functions.records import json_valid
-
-    events = records.record_view(table(spark, sf_dir, "events"), "event_id", BROKEN)
-    return events.filter(~json_valid("record")).select("id")
+    return broken_events(spark, sf_dir).filter(~json_valid("record")).select("id")
 
 
 @query(f"""WITH {BROKEN_SQL} SELECT count(*) AS records, CAST(sum(strlen(record) + 1) AS BIGINT) AS bytes, CAST(sum(CASE WHEN strlen(record) + 1 > 64 THEN 1 ELSE 0 END) AS BIGINT) AS oversized,
 CAST(sum(CASE WHEN json_valid(record) THEN 0 ELSE 1 END) AS BIGINT) AS invalid_json, false AS ok FROM bad""")
 def verify_report(spark, sf_dir):
-    return verify.verify(records.record_view(table(spark, sf_dir, "events"), "event_id", BROKEN), 64)
+    return verify.verify(broken_events(spark, sf_dir), 64)
 
 
 @query(f"WITH {BROKEN_SQL}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, record FROM bad) SELECT id, pos FROM p WHERE NOT json_valid(record) ORDER BY pos LIMIT 8")
 def verify_first_problems(spark, sf_dir):
-    return verify.problems(positioned(records.record_view(table(spark, sf_dir, "events"), "event_id", BROKEN))).select("id", "pos")
+    return verify.problems(positioned(broken_events(spark, sf_dir))).select("id", "pos")
 
 
 @query(f"SELECT count(*) AS n_rows, count(*) AS covered, CAST(0 AS BIGINT) AS overlap FROM documents")
