@@ -108,7 +108,7 @@ class Distance(Remembered):
         import zstandard
 
         super().__init__()
-        settings = zstandard.ZstdCompressionParameters.from_level(6, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        settings = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.toxic, self.ordinary = (
             zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings).compress for content in (toxic, ordinary)
         )
@@ -143,7 +143,7 @@ class Model:
             return
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = self._columns(x)
-        self.weights = logistic(z, y.astype(float), ridge=1e-4)
+        self.weights = logistic(z, y.astype(float), ridge=1e-3)
         p = self.score(x)
         order = np.argsort(p)
         right = np.cumsum(y[order] == 0) + (y.sum() - np.cumsum(y[order] == 1))  # if all above this one are called toxic
