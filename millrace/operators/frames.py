@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut
+from .shared import cut, running_before
 
 DEFAULT_FRAME = 2 << 20
 
@@ -45,22 +45,23 @@ def assign_frames(df: DataFrame, frame_size: int = DEFAULT_FRAME, position: str
 def frame_table(df: DataFrame, *files: str) -> DataFrame:
     """Per frame: records, bytes, and the byte offset where it starts."""
     sizes = df.groupBy(*files, "frame_id").agg(F.count("*").alias("records"), F.sum("nbytes").cast("long").alias("bytes"))
-    before = Window.partitionBy(*(files or [F.lit(0)])).orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)  # one row a frame
-    return sizes.withColumn("start", (F.sum("bytes").over(before) - F.col("bytes")).cast("long"))
+    return running_before(sizes, "frame_id", "bytes", files, "start")
 
 
 def frame_info(df: DataFrame) -> DataFrame:
     """One row: frames, records, bytes, least and largest frame, and the upper median of frame sizes."""
     sizes = df.groupBy("frame_id").agg(F.count("*").alias("records"), F.sum("nbytes").cast("long").alias("bytes"))
-    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("bytes", "frame_id")) - 1  # one row a frame
-    totals = sizes.withColumn("nth", nth).withColumn("of", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return totals.agg(
-        F.count("*").alias("frames"),
+    by_size = running_before(sizes.groupBy("bytes").agg(F.count("*").alias("n"), F.sum("records").alias("records")), "bytes", "n").withColumn("one", F.lit(1))
+    number = by_size.groupBy("one").agg(F.sum("n").alias("frames"))
+    middle = F.floor(F.col("frames") / 2)
+    at_middle = (F.col("before") <= middle) & (middle < F.col("before") + F.col("n"))
+    return by_size.join(number, "one").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("frames"),
         F.sum("records").cast("long").alias("records"),
-        F.sum("bytes").cast("long").alias("bytes"),
+        F.sum(F.col("bytes") * F.col("n")).cast("long").alias("bytes"),
         F.min("bytes").alias("min_frame"),
         F.max("bytes").alias("max_frame"),
-        F.max(F.when(F.col("nth") == F.floor(F.col("of") / 2), F.col("bytes"))).alias("median_frame"),
+        F.max(F.when(at_middle, F.col("bytes"))).alias("median_frame"),
     )
 
 
@@ -71,15 +72,6 @@ def record_index(df: DataFrame, position: str = "pos") -> DataFrame:
 
 
 def byte_offsets(df: DataFrame, position: str = "pos") -> DataFrame:
-    """idx, start and end byte of every record in one file of records in order of ``position``.
-
-    Two levels: running sums within runs of 2^16 positions, and the runs' totals.
-    """
-    run = F.shiftright(F.col(position), 16)
-    rows = df.select("id", F.col(position).alias("idx"), "nbytes").withColumn("__run", F.shiftright("idx", 16))
-    totals = df.groupBy(run.alias("__run")).agg(F.sum("nbytes").alias("t"))
-    before = totals.select("__run", (F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("__run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("before"))
-    within = F.sum("nbytes").over(Window.partitionBy("__run").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("within", within).join(before, "__run")
-    end = F.col("before") + F.col("within")
-    return placed.select("id", "idx", (end - F.col("nbytes")).cast("long").alias("start"), end.cast("long").alias("end"))
+    """idx, start and end byte of every record in one file of records in order of ``position``."""
+    placed = running_before(df.select("id", F.col(position).alias("idx"), "nbytes"), "idx", "nbytes", name="start")
+    return placed.select("id", "idx", "start", (F.col("start") + F.col("nbytes")).cast("long").alias("end"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.prf import prf_unit
 from ..functions.records import byte_entropy
 from .errors import UsageError
-from .shared import cut
+from .shared import cut, running_before
 
 DEFAULT_MAX_LINE = 16 << 20
 LN2 = 0.6931471805599453
@@ -27,14 +27,11 @@ def with_position(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     partition's first position.
     """
     dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__row", F.monotonically_increasing_id())
-    part = F.shiftright("__row", 33)
-    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
-    firsts, total = {}, 0
-    for r in counts:
-        firsts[r["part"]] = total
-        total += r["n"]
-    first = F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv])[part] if firsts else F.lit(0)
-    return dealt.withColumn(name, (first + F.col("__row").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__row")
+    dealt = dealt.withColumn("__part", F.shiftright("__row", 33))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    firsts = running_before(counts, "__part", "__n", name="__first").drop("__n")
+    place = F.col("__first") + F.col("__row").bitwiseAND((1 << 33) - 1)
+    return dealt.join(firsts, "__part").withColumn(name, place.cast("long")).drop("__row", "__part", "__first")
 
 
 def record_view(df: DataFrame, id_col: str, record: Column | str, *keep: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Cutting lineage in the folder that the whole cluster shares."""
+"""Cutting lineage in the folder that the whole cluster shares; running sums in two levels."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +15,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint(eager=True)
+
+
+def running_before(df: DataFrame, position: str, value: str, groups: tuple[str, ...] = (), name: str = "before", run_bits: int = 16) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows of a group at smaller positions.
+
+    Two levels: within runs of 2^run_bits positions, and over the runs' totals,
+    so that no task sees more than a run, or one row a run.
+    """
+    rows = df.withColumn("__run", F.shiftright(F.col(position).cast("long"), run_bits))
+    totals = rows.groupBy(*groups, "__run").agg(F.sum(value).alias("__total"))
+    over_runs = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__run").rowsBetween(Window.unboundedPreceding, 0)
+    firsts = totals.withColumn("__run_first", F.sum("__total").over(over_runs) - F.col("__total")).drop("__total")
+    within = Window.partitionBy(*groups, "__run").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("__within", F.sum(value).over(within) - F.col(value))
+    return summed.join(firsts, [*groups, "__run"]).withColumn(name, (F.col("__run_first") + F.col("__within")).cast("long")).drop("__run", "__run_first", "__within")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.prf import prf_hex, prf_mod
+from .shared import running_before
 
 DEFAULT_BUFFER = 100_000
 DEFAULT_RESERVOIR = 10_000
@@ -74,8 +75,7 @@ def chunk_shuffled(df: DataFrame, seed: int = 0, epoch: int = 0, rank: int | Non
 
     order = of_rank(frame_positions(df, seed, epoch), rank, world, "frame_pos")
     sizes = df.groupBy("frame_id").agg(F.count("*").alias("n")).join(order, "frame_id")
-    # a running count over frames, one row each
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("frame_pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    before = running_before(sizes, "frame_pos", "n").drop("n")
     rec = F.row_number().over(Window.partitionBy("frame_id").orderBy(prf_hex(seed, "frame", epoch, "frame_id", id_col), id_col)) - 1
     return df.join(before, "frame_id").withColumn("rec_pos", rec.cast("long")).withColumn("out_pos", (F.col("before") + F.col("rec_pos")).cast("long")).drop("before")
 
