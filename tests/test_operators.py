@@ -162,7 +162,7 @@ def test_verdicts(spark):
     draw = random.Random(2)
     even = ["".join(draw.choices("abcdefghij", k=draw.randint(20, 199))) for _ in range(600)]
     assert analyze.report(frames.assign_frames(corpus(spark, even), 4096)).first()["verdict"] == "SAFE"
-    by_length = ["x" * 12] * 400 + ["x" * 300] * 400
+    by_length = ["x" * 12] * 4000 + ["x" * 300] * 170
     report = analyze.report(frames.assign_frames(corpus(spark, by_length), 2048))
     assert report.first()["verdict"] == "UNSAFE" and report.first()["length_cv"] > 0.5
     by_letter = ["".join(draw.choices("abcdefghijklm", k=80)) for _ in range(400)] + ["".join(draw.choices("nopqrstuvwxyz", k=80)) for _ in range(400)]
