@@ -32,6 +32,8 @@ TABLES = 4
 BUCKET_ROWS = 16_384
 PIECE_ROWS = 8_192
 SHARD_ROWS = 32_768
+#: Buckets are dealt to so many tasks at least; each hands on its best rows of a query.
+LEAST_SHARDS = 12
 SAMPLED_QUERIES = 96
 TARGET_RECALL = 0.95
 
@@ -132,7 +134,6 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
 
 def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score (double) of queries whose id is divisible by ``every``, among all other rows."""
-    spark = df.sparkSession
     rows = cut(valid_vectors(df, id_col, vector_col, as_doubles, zero=False))
     distinct = cut(distinct_vectors(rows, k))
     queries = rows.filter(F.col("id") % every == 0).withColumn("qkey", F.md5("v"))
@@ -140,7 +141,7 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
     total = distinct.count()
     parts = 1 if total <= BUCKET_ROWS * 128 else 2
     probes = calibrated_probes(distinct, asked.orderBy("qkey").limit(SAMPLED_QUERIES).collect(), k, parts, target)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * TABLES // SHARD_ROWS))
+    shards = max(LEAST_SHARDS, -(-total * TABLES // SHARD_ROWS))
 
     def buckets(batches):
         for batch in batches:
