@@ -17,7 +17,7 @@ from .streaming.dataset import MODES, Dataset
 
 def corpus(spark: SparkSession, paths: list[str], max_line: int, on_error: str):
     """Records of all inputs in order, with id and pos."""
-    inputs = records.concat(*(jsonl.read_records(spark, p) for p in paths))
+    inputs = records.concat(*(jsonl.read_records(spark, f"{jsonl.spool(spark, sys.stdin.buffer)}/*/part-*" if p == "-" else p) for p in paths))
     rows = records.with_position(inputs, "file_id", "file", "row").withColumn("id", F.col("pos"))
     sized = rows.withColumn("nbytes", (F.octet_length("record") + 1).cast("long"))
     return records.limit_length(sized, max_line, on_error)

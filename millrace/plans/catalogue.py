@@ -251,7 +251,7 @@ def by_language(spark, sf_dir) -> DataFrame:
     """Documents as one input per language, with positions in each."""
     df = positioned(documents(spark, sf_dir, "lang").select("id", "lang"), "lang", "id")
     first = df.groupBy("lang").agg(F.min("pos").alias("first"))
-    return df.join(F.broadcast(first), "lang").withColumn("pos", F.col("pos") - F.col("first")).drop("first")
+    return df.join(first, "lang").withColumn("pos", F.col("pos") - F.col("first")).drop("first")
 
 
 @query(f"WITH {BY_LANG}, {buffer_sql('bl', 'lang')}")

@@ -109,6 +109,25 @@ def read_records(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     return out
 
 
+def spool(spark: SparkSession, lines, lines_a_file: int = 100_000) -> str:
+    """A folder of text files with the lines of a byte stream, such as standard input, in order.
+
+    A stream has one reader; it is written out some lines at a time, by Spark, and read again as any other input.
+    """
+    import itertools
+    import uuid
+
+    from ..operators.shared import shared_dir
+
+    out = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    lines = iter(lines)
+    for k in itertools.count():
+        some = [(line.rstrip(b"\n").decode("utf-8", "replace"),) for line in itertools.islice(lines, lines_a_file)]
+        if not some and k:
+            return out
+        spark.createDataFrame(some, "value string").coalesce(1).write.option("lineSep", "\n").text(f"{out}/{k:08d}")
+
+
 def _plain(c: Column, kind: T.DataType, strict: bool) -> Column | None:
     """A column as JSON wants it; None where the value has no form in strict mode."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):

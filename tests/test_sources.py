@@ -179,3 +179,11 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert main(["verify", path, "--deep"]) == 0
     assert main(["analyze", path, "--frame-size", "64"]) == 0
     assert main(["stream", str(tmp_path / "none")]) == 66
+
+
+def test_standard_input_is_spooled(spark):
+    lines = [f"line {i}\n".encode() for i in range(25)] + [b"last"]
+    for some in (lines, []):
+        out = jsonl.spool(spark, some, 10)
+        got = [r["record"] for r in jsonl.read_records(spark, f"{out}/*/part-*").orderBy("file", "row").collect()] if some else []
+        assert got == [x.decode().rstrip("\n") for x in some]
