@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut
-from .vectors import Best, distinct_vectors, expand, ranked, unpack, valid_vectors
+from .vectors import Best, distinct_vectors, expand, ranked, valid_vectors
 
 TABLES = 4
 #: Rows that a bucket should have on average; tables of more rows take two axes for a bucket.
@@ -38,8 +38,13 @@ SAMPLED_QUERIES = 96
 TARGET_RECALL = 0.95
 
 
-def as_doubles(x: np.ndarray) -> np.ndarray:
-    return x.astype("<f8")
+def stored(dtype: str):
+    """Components in the width that they came in; all sums are of doubles."""
+    return lambda x: x.astype(dtype)
+
+
+def doubles(raw: list[bytes], dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=dtype).reshape(len(raw), -1).astype(np.float64)
 
 
 @cache
@@ -86,7 +91,7 @@ def own_buckets(vectors: np.ndarray, table: int, parts: int) -> np.ndarray:
     return code
 
 
-def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, target: float) -> int:
+def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, target: float, dtype: str) -> int:
     """The fewest probed buckets a table that find ``target`` of the sampled queries' true neighbours."""
     by_dim: dict[int, list[bytes]] = {}
     for r in sample:
@@ -96,7 +101,7 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
     def run(batches):
         prepared = {}
         for dim, raw in shared.value.items():
-            asking = np.frombuffer(b"".join(raw), dtype="<f8").reshape(-1, dim)
+            asking = doubles(raw, dtype)
             ranks = []
             for t in range(TABLES):
                 scores = bucket_scores(asking, t, parts)
@@ -112,7 +117,7 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
                 rows = np.flatnonzero(dims == dim)
                 if not len(rows):
                     continue
-                vectors = unpack(batch.column("v").take(pa.array(rows)), "<f8")
+                vectors = doubles(batch.column("v").take(pa.array(rows)).to_pylist(), dtype)
                 near = asking @ vectors.T
                 first = np.min([rank[t][:, own_buckets(vectors, t, parts)] for t in range(TABLES)], axis=0)
                 same = [(vectors == q).all(axis=1) for q in asking]
@@ -134,13 +139,14 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
 
 def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score (double) of queries whose id is divisible by ``every``, among all other rows."""
-    rows = cut(valid_vectors(df, id_col, vector_col, as_doubles, zero=False))
+    dtype = "<f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+    rows = cut(valid_vectors(df, id_col, vector_col, stored(dtype), zero=False))
     distinct = cut(distinct_vectors(rows, k))
     queries = rows.filter(F.col("id") % every == 0).withColumn("qkey", F.md5("v"))
     asked = cut(queries.groupBy("dim", "v", "qkey").agg(F.count("*").alias("n")).drop("n"))
     total = distinct.count()
     parts = 1 if total <= BUCKET_ROWS * 128 else 2
-    probes = calibrated_probes(distinct, asked.orderBy("qkey").limit(SAMPLED_QUERIES).collect(), k, parts, target)
+    probes = calibrated_probes(distinct, asked.orderBy("qkey").limit(SAMPLED_QUERIES).collect(), k, parts, target, dtype)
     shards = max(LEAST_SHARDS, -(-total * TABLES // SHARD_ROWS))
 
     def buckets(batches):
@@ -148,7 +154,7 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
-                vectors = unpack(own.column("v"), "<f8")
+                vectors = doubles(own.column("v").to_pylist(), dtype)
                 for t in range(TABLES):
                     code = pa.array(own_buckets(vectors, t, parts))
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(code), t, np.int32)), code], names=[*own.schema.names, "t", "code"])
@@ -160,7 +166,7 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
                 own = batch.filter(pa.array(dims == dim))
                 for at in range(0, own.num_rows, 256):
                     some = own.slice(at, 256)
-                    vectors = unpack(some.column("v"), "<f8")
+                    vectors = doubles(some.column("v").to_pylist(), dtype)
                     for t in range(TABLES):
                         codes = np.argsort(-bucket_scores(vectors, t, parts), axis=1, kind="stable")[:, :probes]
                         row = pa.array(np.repeat(np.arange(len(vectors)), codes.shape[1]))
@@ -196,10 +202,10 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
                 if b not in asking_rows:
                     continue
                 members = np.array(members)
-                matrix = np.frombuffer(b"".join([vectors[i] for i in members]), dtype="<f8").reshape(len(members), -1)
+                matrix = doubles([vectors[i] for i in members], dtype)
                 for at in range(0, len(asking_rows[b]), 512):
                     some = asking_rows[b][at : at + 512]
-                    scores = np.frombuffer(b"".join([asking[i] for i in some]), dtype="<f8").reshape(len(some), -1) @ matrix.T
+                    scores = doubles([asking[i] for i in some], dtype) @ matrix.T
                     for own, i in zip(scores, some):
                         mine = best.setdefault(keys[i], Best(k + 1))
                         worst = mine.worst()

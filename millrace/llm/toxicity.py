@@ -130,6 +130,17 @@ class Distance(Remembered):
         return out
 
 
+_distances: dict[tuple[bytes, bytes], Distance] = {}
+
+
+def distance_of(toxic: bytes, ordinary: bytes) -> Distance:
+    """The process's distance of a pair of dictionaries; what it remembers lasts over tasks."""
+    if (toxic, ordinary) not in _distances:
+        _distances.clear()
+        _distances[toxic, ordinary] = Distance(toxic, ordinary)
+    return _distances[toxic, ordinary]
+
+
 class Model:
     """Two dictionaries and a logistic curve over the features of a document."""
 
@@ -162,7 +173,7 @@ def _feature_rows(df: DataFrame, model: Model, id_col: str, text_col: str) -> Da
     shared = df.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary))
 
     def run(batches):
-        distance = Distance(*shared.value)
+        distance = distance_of(*shared.value)
         for batch in in_slices(batches):
             rows = np.concatenate([distance.features(t) for t in batch.column("text").to_pylist()])
             offsets = pa.array(np.arange(0, len(rows) + 1, N_FEATURES, dtype=np.int32))
@@ -190,7 +201,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches):
         model = shared.value
-        distance = Distance(model.toxic, model.ordinary)
+        distance = distance_of(model.toxic, model.ordinary)
         for batch in in_slices(batches):
             s = model.score(np.array([distance.features(t) for t in batch.column("__text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], *names[1:]])
