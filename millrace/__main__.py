@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.records import parse_size
@@ -15,12 +17,40 @@ from .sources import jsonl, seekable
 from .streaming.dataset import MODES, Dataset
 
 
-def corpus(spark: SparkSession, paths: list[str], max_line: int, on_error: str):
+def inputs(spark: SparkSession, paths: list[str], stdin=None):
+    """Records of all inputs, told apart by file_id, file and row; nbytes counts the line end."""
+    read = records.concat(*(jsonl.read_records(spark, f"{jsonl.spool(spark, stdin or sys.stdin.buffer)}/*/part-*" if p == "-" else p) for p in paths))
+    return read.withColumn("nbytes", (F.octet_length("record") + 1).cast("long"))
+
+
+def corpus(spark: SparkSession, paths: list[str]):
     """Records of all inputs in order, with id and pos."""
-    inputs = records.concat(*(jsonl.read_records(spark, f"{jsonl.spool(spark, sys.stdin.buffer)}/*/part-*" if p == "-" else p) for p in paths))
-    rows = records.with_position(inputs, "file_id", "file", "row").withColumn("id", F.col("pos"))
-    sized = rows.withColumn("nbytes", (F.octet_length("record") + 1).cast("long"))
-    return records.limit_length(sized, max_line, on_error)
+    return records.with_position(inputs(spark, paths), "file_id", "file", "row").withColumn("id", F.col("pos"))
+
+
+def checked(spark: SparkSession, paths: list[str], max_line: int, deep: bool):
+    """One row: what ``verify`` finds. Files with a seek table are checked frame by frame, others line by line."""
+    framed, plain, last = [], [], [b""]
+    for p in paths:
+        with_table, without = ([], [p]) if p == "-" else seekable.by_seek_table(p)
+        framed += with_table
+        plain += without
+
+    def watched():
+        for last[0] in sys.stdin.buffer:
+            yield last[0]
+
+    sound, bad_frames = [], 0
+    for file in framed:
+        bad = seekable.verify_frames(spark, file).count()
+        bad_frames += bad
+        if not bad:
+            sound.append(seekable.read_seekable(spark, file).select("record").withColumn("nbytes", (F.octet_length("record") + 1).cast("long")))
+    parts = [inputs(spark, plain, watched()).select("record", "nbytes")] if plain else []
+    parts += sound
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "record string, nbytes long")
+    partial = sum(jsonl.trailing_partials(spark, p).count() for p in plain if p != "-") + bool(last[0] and not last[0].endswith(b"\n"))
+    return verify.with_files(verify.verify(rows, max_line, deep), partial, len(framed), bad_frames)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,11 +59,12 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("stream", "convert", "analyze", "index", "verify"):
         c = commands.add_parser(name)
         c.add_argument("paths", nargs="+")
-        c.add_argument("--max-line", type=parse_size, default=records.DEFAULT_MAX_LINE)
-        c.add_argument("--on-error", choices=("skip", "passthrough", "fail"), default="skip")
+        if name in ("stream", "verify"):
+            c.add_argument("--max-line", type=parse_size, default=records.DEFAULT_MAX_LINE)
         c.add_argument("--frame-size", type=parse_size, default=frames.DEFAULT_FRAME)
         c.add_argument("--seed", type=int, default=0)
         if name == "stream":
+            c.add_argument("--on-error", choices=("skip", "passthrough", "fail"), default="skip")
             c.add_argument("--shuffle", choices=MODES, default="chunk-shuffled")
             c.add_argument("--epochs", type=int, default=1)
             for n in ("sample", "rank", "world-size", "size"):
@@ -56,12 +87,20 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "info":
             print(seekable.info(spark, a.path).toJSON().first())
             return 0
-        rows = corpus(spark, a.paths, a.max_line, a.on_error)
+        if a.command == "verify":
+            found = checked(spark, a.paths, a.max_line, a.deep).first().asDict()
+            print(json.dumps(found))
+            return 0 if found["ok"] else CorpusError.code
+        rows = corpus(spark, a.paths)
         if a.command == "stream":
+            dropped = records.run_stats(rows, a.max_line, a.on_error).first()["oversized_skipped"]
+            rows = records.limit_length(rows, a.max_line, a.on_error)
             if a.shuffle == "chunk-shuffled":
                 rows = frames.assign_frames(rows, a.frame_size)
             for line in Dataset(rows, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, size=a.size):
                 sys.stdout.buffer.write(line)
+            if dropped:
+                print(f"millrace: dropped {dropped} records exceeding --max-line ({a.max_line} bytes); raise it or pass --on-error passthrough to keep them", file=sys.stderr)
         elif a.command == "convert":
             if a.sample_rate is not None:
                 rows = records.bernoulli(rows, a.sample_rate, a.seed)
@@ -74,10 +113,6 @@ def main(argv: list[str] | None = None) -> int:
             print(analyze.report(frames.assign_frames(rows, a.frame_size), strict=a.strict).toJSON().first())
         elif a.command == "index":
             frames.byte_offsets(rows).write.parquet(a.output)
-        elif a.command == "verify":
-            out = verify.verify(rows, a.max_line, a.deep)
-            print(out.toJSON().first())
-            return 0 if out.first()["ok"] else CorpusError.code
         return 0
     except CorpusError as e:
         print(f"millrace: {e}", file=sys.stderr)

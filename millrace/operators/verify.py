@@ -19,6 +19,13 @@ def verify(df: DataFrame, max_line: int = DEFAULT_MAX_LINE, deep: bool = True) -
     return counted.withColumn("ok", (F.col("oversized") == 0) & (F.col("invalid_json") == 0))
 
 
+def with_files(checked: DataFrame, trailing_partial: int, seekable_files: int = 0, bad_frames: int = 0) -> DataFrame:
+    """``checked`` with what only files tell: how many end without a line feed, which isn't counted, and frames that don't decode."""
+    out = checked.withColumn("bytes", F.col("bytes") - trailing_partial).withColumn("trailing_partial", F.lit(trailing_partial))
+    out = out.withColumn("seekable_files", F.lit(seekable_files)).withColumn("bad_frames", F.lit(bad_frames))
+    return out.withColumn("ok", F.col("ok") & (F.col("trailing_partial") == 0) & (F.col("bad_frames") == 0))
+
+
 def problems(df: DataFrame, n: int = KEPT_PROBLEMS) -> DataFrame:
     """The first records that aren't JSON, and why."""
     return df.withColumn("problem", json_problem("record")).filter("problem is not null").orderBy("pos").limit(n).select("id", "pos", "problem")

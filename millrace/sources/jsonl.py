@@ -109,6 +109,38 @@ def read_records(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     return out
 
 
+def _ends_in_line(path: str, kind: str) -> bool:
+    """Whether a file is empty or its content ends in a line feed; it is streamed, a part at a time."""
+    import bz2
+    import gzip
+
+    import zstandard
+    from pyarrow import fs
+
+    store, name = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+    if kind == "plain":
+        with store.open_input_file(name) as file:
+            file.seek(max(0, file.size() - 1))
+            return file.read(1) in (b"", b"\n")
+    unpack = {"gzip": lambda f: gzip.GzipFile(fileobj=f), "bzip2": bz2.BZ2File, "xz": lzma.LZMAFile, "zstd": lambda f: zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True)}[kind]
+    last = b""
+    with store.open_input_file(name) as file, unpack(file) as reader:
+        while some := reader.read(1 << 20):
+            last = some[-1:]
+    return last in (b"", b"\n")
+
+
+def trailing_partials(spark: SparkSession, path: str) -> DataFrame:
+    """path of every input file whose last line has no line feed."""
+    heads = _heads(spark, path)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not _ends_in_line(*x) for x in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_()))
+
+    return spark.createDataFrame(heads, "path string, kind string").repartition("path").mapInArrow(run, "path string, kind string").select("path")
+
+
 def spool(spark: SparkSession, lines, lines_a_file: int = 100_000) -> str:
     """A folder of text files with the lines of a byte stream, such as standard input, in order.
 

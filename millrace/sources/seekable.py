@@ -79,6 +79,19 @@ def files_of(path: str) -> list[str]:
     return [path]
 
 
+def by_seek_table(path: str) -> tuple[list[str], list[str]]:
+    """The files of an input that end in a sound seek table, and the inputs that are left."""
+    files = sorted(os.path.join(path, f) for f in os.listdir(path) if f[0] not in "._") if os.path.isdir(path) else [path]
+    found = []
+    for file in files:
+        try:
+            read_seek_table(file)
+            found.append(file)
+        except (UsageError, InputMissing, OSError):
+            continue
+    return (found, [f for f in files if f not in found]) if found else ([], [path])
+
+
 def decompress(path: str, frame: Frame) -> bytes:
     import zstandard
 

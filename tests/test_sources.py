@@ -181,6 +181,53 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert main(["stream", str(tmp_path / "none")]) == 66
 
 
+def test_long_lines_are_dropped_by_stream_alone(spark, tmp_path, capfdbinary):
+    long_one = json.dumps("x" * (20 << 20))
+    lines = ["1", long_one, "22", "333"]
+    path, out = str(tmp_path / "in.jsonl"), str(tmp_path / "out")
+    (tmp_path / "in.jsonl").write_text("".join(f"{x}\n" for x in lines))
+    assert main(["stream", path, "--shuffle", "none"]) == 0
+    said = capfdbinary.readouterr()
+    assert said.out.split() == [b"1", b"22", b"333"] and b"dropped 1 records" in said.err
+    assert main(["convert", path, "-o", out]) == 0
+    assert sorted(r["n"] for r in seekable.read_seekable(spark, out).select(F.length("record").alias("n")).collect()) == sorted(map(len, lines))
+    assert main(["index", path, "-o", str(tmp_path / "idx")]) == 0
+    first = len(long_one) + 3
+    assert [r["start"] for r in spark.read.parquet(str(tmp_path / "idx")).orderBy("idx").collect()] == [0, 2, first, first + 3]
+    capfdbinary.readouterr()
+    assert main(["verify", path, "--deep"]) != 0
+    found = json.loads(capfdbinary.readouterr().out)
+    assert (found["records"], found["oversized"], found["ok"], found["bytes"]) == (4, 1, False, sum(map(len, lines)) + 4)
+    assert main(["analyze", path, "--frame-size", "8"]) == 0
+    assert json.loads(capfdbinary.readouterr().out)["frames"] == 2
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_verify_finds_a_last_line_without_its_end(spark, tmp_path, capfdbinary, pack):
+    for raw, partial in ((b"1\n2\n", 0), (b"1\n2", 1)):
+        suffix = {gzip.compress: ".gz", bz2.compress: ".bz2"}.get(pack, "")
+        (tmp_path / f"a {partial}{suffix}").write_bytes(pack(raw))
+        assert (main(["verify", str(tmp_path / f"a {partial}{suffix}")]) != 0) == bool(partial)
+        found = json.loads(capfdbinary.readouterr().out)
+        assert (found["trailing_partial"], found["bytes"], found["ok"]) == (partial, len(raw), not partial)
+
+
+def test_verify_checks_the_frames_of_seekable_files(spark, tmp_path, capfdbinary):
+    out = tmp_path / "seek"
+    seekable.write_seekable(frames.assign_frames(corpus(spark), 256), str(out))
+    assert main(["verify", str(out)]) == 0
+    found = json.loads(capfdbinary.readouterr().out)
+    assert found["records"] == 300 and found["seekable_files"] == len(list(out.glob("*.zst"))) and found["bad_frames"] == 0
+    assert main(["verify", str(out), "--deep"]) != 0
+    assert json.loads(capfdbinary.readouterr().out)["invalid_json"] == 300
+    file = sorted(out.glob("*.zst"))[0]
+    raw = bytearray(file.read_bytes())
+    raw[20] ^= 0xFF
+    file.write_bytes(raw)
+    assert main(["verify", str(out)]) != 0
+    assert json.loads(capfdbinary.readouterr().out)["bad_frames"] >= 1
+
+
 def test_standard_input_is_spooled(spark):
     lines = [f"line {i}\n".encode() for i in range(25)] + [b"last"]
     for some in (lines, []):
