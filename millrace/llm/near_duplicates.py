@@ -17,8 +17,9 @@
 Words are runs of letters and digits in lower case. A text of fewer than five
 words has one shingle, all its words; a text without words has none and is
 similar only to others without. Rows with a null id take no part and come back
-with a null class and no links. Ids are expected to be unique; rows that share
-one count as one document. Columns of other names are ignored.
+with a null class and no links. Ids are expected to be unique; where rows share
+one, each set of shingles among them is a document of its own. Columns of other
+names are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, in_slices
@@ -280,14 +282,15 @@ def _verify(threshold: float):
     return work
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (the least id among all documents that links connect) and n_links (documents at least so similar)."""
+def classified(df: DataFrame, threshold: float, target: float, id_col: str, text_col: str) -> DataFrame:
+    """Per row with an id: id, print, class_id, n_links and kept (whether its id and print are the first of its class)."""
     sketches = cut(sketch_table(df, id_col, text_col))
-    classes = cut(sketches.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")))
+    classes = cut(sketches.groupBy("print").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")))
+    classes = classes.withColumn("node", F.monotonically_increasing_id())  # of a checkpoint, so the same whenever it is read; an id may have several prints
     depth = prefix_depth(classes, threshold, target)
     clusters = components(candidate_ties(classes, depth))
     members = clusters.withColumn("n", F.count("*").over(Window.partitionBy("component"))).withColumnRenamed("component", "cluster")
-    members = cut(members.join(classes.select("node", "print", "copies"), "node"))
+    members = cut(members.join(classes.select("node", "print", "copies", "first_id"), "node"))
     several_blocks = members.filter(F.col("n") > CLUSTER_ROWS).limit(1).count() > 0
 
     def gather(batches):
@@ -301,22 +304,44 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float =
             taken = batch.select(["node", "cluster", "n", "copies"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sets, pa.binary())], names=[*taken.schema.names, "grams"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("node is not null")
-    sets = texts.join(members, "node").select("node", "cluster", "n", "copies", "print", "text").mapInArrow(gather, "node long, cluster long, n long, copies long, grams binary")
+    texts = df.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).alias("text")).filter("first_id is not null")
+    sets = texts.join(members, "first_id").select("node", "cluster", "n", "copies", "print", "text").mapInArrow(gather, "node long, cluster long, n long, copies long, grams binary")
     dealt = in_grid(sets, "cluster", "n", CLUSTER_ROWS).repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "node")
     verified = cut(dealt.mapInArrow(grouped(["cluster", "low", "high"], _verify(threshold)), "node long, root long, links long"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if several_blocks:
         joined = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
         links = links.join(joined, "node", "left").select("node", "links", F.coalesce("component", "node").alias("root"))
-    of_class = classes.join(links, "node", "left").select("print", F.coalesce("root", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = sketches.select("id", "print").join(of_class, "print").select(F.col("id").alias(id_col), "class_id", "n_links")
+    named = classes.select("node", "print", "first_id", "copies")
+    firsts = links.join(named, "node").groupBy("root").agg(F.min(F.struct("first_id", "print")).alias("first"))
+    of_class = named.join(links.join(firsts, "root"), "node", "left").withColumn("first", F.coalesce("first", F.struct("first_id", "print")))
+    of_class = of_class.select("print", F.col("first.first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("first.print") == F.col("print")).alias("kept"))
+    return sketches.select("id", "print").join(of_class, "print").withColumn("kept", F.col("kept") & (F.col("id") == F.col("class_id")))
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, class_id (the least id among all documents that links connect) and n_links (documents at least so similar)."""
+    known = classified(df, threshold, target, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
     without = df.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return known.unionByName(without)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``df`` without the near copies of a kept one: the least id of each class, and every row without an id."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti")
+def keep_one(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` without the near copies of a kept one: one row of the least id of each class, and every row without an id."""
+    found = cut(classified(df, threshold, target, id_col, text_col).select("id", "print", "kept"))
+    of_id = found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("any_kept"))
+    whole = of_id.filter((F.col("n") > 1) | ~F.col("any_kept")).select(F.col("id").alias("__id"))
+    once = df.join(whole, df[id_col].cast("long") == F.col("__id"), "left_anti")
+    # rows that share their id are told apart by their prints, and repeats of one are one
+    shared = of_id.filter((F.col("n") > 1) & F.col("any_kept")).select(F.col("id").alias("__id"))
+    rows = df.withColumn("__id", F.col(id_col).cast("long")).join(shared, "__id").select("__id", F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col).alias("__text"))
+
+    def run(batches):
+        for batch in in_slices(batches):
+            prints = [hashlib.md5(shingles(t).tobytes()).digest() for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, "__print"])
+
+    rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__print", T.BinaryType())]))
+    wanted = found.filter("kept").join(shared, F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
+    again = rows.join(wanted, ["__id", "__print"], "left_semi").groupBy("__id", "__print").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row"))
+    return once.unionByName(again.select("__row.*"))

@@ -78,6 +78,23 @@ def test_odd_documents(odd, none):
     assert kept.filter("doc_id is null").count() == odd.filter("doc_id is null").count()
 
 
+def test_keep_one_decides_by_row(spark):
+    draw = random.Random(4)
+    a, b, c = (draw.choices([f"w{i}" for i in range(500)], k=60) for _ in range(3))
+    near = [*c[:-1], "other"]
+    a, b, c, near = (" ".join(x) for x in (a, b, c, near))
+    for rows, want in (
+        ([(3, b), (5, b), (5, a)], [(3, b), (5, a)]),
+        ([(5, a), (5, a), (5, a), (6, a)], [(5, a)]),
+        ([(5, a), (5, b), (2, a + " more")], [(2, a + " more"), (5, b)]),
+        ([(7, a), (7, b), (8, c), (8, near), (9, a)], [(7, a), (7, b), 8]),
+        ([(None, a), (None, a), (4, a)], [(None, a), (None, a), (4, a)]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = [(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(df).collect()]
+        assert sorted((x if x[0] != 8 else 8 for x in got), key=str) == sorted(want, key=str)
+
+
 def test_forest_depth(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     classes = near_duplicates.sketch_table(df, "doc_id", "text")
