@@ -67,14 +67,17 @@ def few_document_patterns(present: np.ndarray, capacity: int) -> list[tuple[int,
             found[tuple(sorted(pattern, reverse=True))] = None
 
     steps = np.unique(present[np.linspace(0, len(present) - 1, min(len(present), 64)).astype(int)])
-    for length in present[::-1].tolist():
-        if len(found) > MAX_PATTERNS:
-            break
+    longest_first = present[::-1].tolist()
+    for length in longest_first:
         offer([length])
         hi = int(np.searchsorted(present, capacity - length, side="right"))
         for b in present[max(0, hi - 3) : hi].tolist():
             offer([length, b])
-        for b in steps.tolist():
+    for k in range(len(steps)):  # a round offers every length one further step, so the limit falls on all alike
+        if len(found) > MAX_PATTERNS:
+            break
+        for i, length in enumerate(longest_first):
+            b = int(steps[(k + i) % len(steps)])
             if length + b < capacity and (c := best_fit(capacity - length - b)):
                 offer([length, b, c])
                 if c < capacity - length - b and (d := best_fit(capacity - length - b - c)):

@@ -150,3 +150,9 @@ def test_plans_use_each_piece_once(kind):
     assert n <= (200 if kind == "equal" else least * 1.01 + 1)
     place = packing.Placement(packed, 4096)
     assert place.n_sequences == n
+
+
+def test_patterns_reach_all_lengths_when_all_are_present():
+    patterns = packing.few_document_patterns(np.arange(1, 4096), 4096)
+    assert len(patterns) <= packing.MAX_PATTERNS + 2 * 4096
+    assert min(max(p) for p in patterns) < 1_500 and len({x for p in patterns for x in p}) > 4_000
