@@ -228,6 +228,20 @@ class ByteEncoder(Remembered):
         words = self.words
         return b"".join([words[i] for i in ids])
 
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte of the text where each token begins, and the text's length."""
+        places = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(self.lengths[ids], out=places[1:])
+        return places
+
+    def digests(self, raw: bytes) -> tuple[int, str, str]:
+        """Number of tokens, and SHA-256 of ids and of the decoded bytes, which are checked against the offsets."""
+        ids = np.frombuffer(raw, dtype="<u4")
+        decoded = self.decode(ids.tolist())
+        if len(decoded) != self.offsets(ids)[-1]:
+            raise ValueError("ids and offsets of a document disagree")
+        return len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
 
 _encoders: dict[str, ByteEncoder] = {}
 
@@ -294,17 +308,13 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 (of ids as little-endian 32-bit integers) and decoded_sha256, in one pass that keeps neither."""
+    """Per row: id, n_tokens, ids_sha256 (of ids as little-endian 32-bit integers) and decoded_sha256, in one pass that keeps neither ids nor offsets once a document is checked."""
 
     def run(batches):
         encoder = byte_encoder(path)
         for batch in in_slices(batches):
-            counts, of_ids, of_bytes = [], [], []
-            for raw in encoder.encode_all(batch.column("text").to_pylist()):
-                ids = np.frombuffer(raw, dtype="<u4")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(raw).hexdigest())
-                of_bytes.append(hashlib.sha256(encoder.decode(ids.tolist())).hexdigest())
+            found = [encoder.digests(raw) for raw in encoder.encode_all(batch.column("text").to_pylist())]
+            counts, of_ids, of_bytes = ([f[k] for f in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -89,6 +89,19 @@ def test_byte_round_trip_of_odd_documents(odd, none):
     assert byte_bpe.round_trip(none, BYTES).collect() == [] and byte_bpe.decode(byte_bpe.encode(none, BYTES), BYTES).collect() == []
 
 
+def test_digests_are_checked_against_offsets():
+    encoder = byte_bpe.ByteEncoder(BYTES)
+    text = "naïve café, 3 o'clock"
+    raw = encoder.encode_all([text])[0]
+    ids = np.frombuffer(raw, "<u4")
+    offsets = encoder.offsets(ids).tolist()
+    assert [encoder.words[i] for i in ids] == [text.encode()[a:b] for a, b in zip(offsets, offsets[1:])] and offsets[-1] == len(text.encode())
+    assert encoder.digests(raw) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    encoder.lengths = encoder.lengths + 1
+    with pytest.raises(ValueError, match="disagree"):
+        encoder.digests(raw)
+
+
 def test_token_files(spark, odd, none, tmp_path):
     out = str(tmp_path / "ids")
     token_files.write_token_files(odd, out, WORDS, 2, row_group_bytes=64 << 10, page_rows=4)
