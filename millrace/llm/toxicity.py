@@ -40,6 +40,8 @@ FOLDS, HELD_OUT = 5, 0
 #: A word is characteristic of toxic text from this likelihood-ratio statistic on (1 degree of freedom).
 LEAST_EVIDENCE = 20.0
 LEAST_TEXTS = 5
+#: Near copies share so many least hashes of their words, and so much of the words themselves.
+SHARED_HASHES, NEAR_COPY = 3, 0.8
 TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 4 << 10
 BEFORE, AFTER = b"\n~~ window ~~\n", b"\n~~ end ~~\n"
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
@@ -48,15 +50,21 @@ WORD = re.compile(r"[^\W\d_]+")
 SPLIT = r"[^\p{L}]+"
 
 
+def apart(texts: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, label y, sorted ``words``) without those whose words are nearly those of a kept row of the same label."""
+    keys = [f"k{seed}" for seed in range(SHARED_HASHES)]
+    sets = texts.groupBy("y", "words").agg(F.min(id_col).alias(id_col))
+    least = [F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(seed)))).alias(k) for seed, k in enumerate(keys)]
+    sets = cut(sets.select("*", *least))
+    firsts = sets.groupBy("y", *keys).agg(F.min(F.struct(id_col, "words")).alias("first"))
+    paired = sets.join(firsts, ["y", *keys])
+    alike = F.size(F.array_intersect("words", "first.words")) / F.size(F.array_union("words", "first.words"))
+    return paired.filter((F.col("words") == F.col("first.words")) | (alike < NEAR_COPY)).select(id_col, "y", "words")
+
+
 def characteristic_words(texts: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
     """Words over-represented in toxic texts, and the most common words of ordinary ones. ``texts`` has a label y."""
-    words = texts.select(id_col, "y", F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPLIT)).alias("words"))
-    keys = [F.array_min(F.transform("words", lambda w, s=seed: F.xxhash64(w, F.lit(s)))).alias(f"k{seed}") for seed in range(3)]
-    texts = cut(words.select("*", *keys))
-    apart = texts.select(id_col, "y", *(f"k{s}" for s in range(3)))
-    for s in range(3):  # near copies share the least hash of their words
-        apart = apart.groupBy(f"k{s}").agg(F.min_by(F.struct(*apart.columns), id_col).alias("r")).select("r.*")
-    texts = texts.join(F.broadcast(apart.select(id_col)), id_col)
+    texts = cut(apart(texts.select(id_col, "y", F.array_sort(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPLIT))).alias("words")), id_col))
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:

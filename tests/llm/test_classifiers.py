@@ -53,6 +53,18 @@ def test_labels_of_the_held_out_fold_are_never_read(spark):
     assert np.allclose(a.weights, b.weights) and a.cut == b.cut
 
 
+def test_only_near_copies_of_one_label_are_left_out(spark):
+    words = [f"w{i}" for i in range(40)]
+    sets = [("same", 1, words), ("again", 1, words), ("near", 1, [*words, "more"]), ("ordinary", 0, words)]
+    sets += [(f"u{i}", i % 2, ["the", *(f"x{i}_{k}" for k in range(3))]) for i in range(60)]  # a common word, otherwise unrelated
+    rows = spark.createDataFrame([(i, n, y, sorted(w)) for i, (n, y, w) in enumerate(sets)], "doc_id long, name string, y int, words array<string>")
+    kept = {r["doc_id"] for r in toxicity.apart(rows.drop("name"), "doc_id").collect()}
+    assert kept - {2} == {0, 3, *range(4, 64)}
+    pairs = [[f"{i}_{k}" for k in range(200)] for i in range(20)]  # near copies share several hashes by chance: most such pairs do
+    rows = [(2 * i + j, 1, sorted([*p, *([f"{i}_more"] * j)])) for i, p in enumerate(pairs) for j in (0, 1)]
+    assert 20 <= toxicity.apart(spark.createDataFrame(rows, "doc_id long, y int, words array<string>"), "doc_id").count() <= 24
+
+
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline
 
