@@ -43,7 +43,7 @@ WORDS = 5
 TREES, DEEPEST = 24, 8
 THRESHOLD = 0.8
 TARGET_RECALL = 0.995
-#: Sketches whose estimate is so far below the threshold, four standard errors, are not tied.
+#: Sketches whose estimate is so far below the threshold, four standard errors at 0.8, are not tied.
 TOLERANCE = 0.15
 SKETCH_HASHES = 128
 SAMPLED = 48
@@ -89,6 +89,12 @@ def agreeing(sketch: np.ndarray, sketches: np.ndarray) -> np.ndarray:
     return ((sketches == sketch).mean(axis=1) - 1 / 16) / (1 - 1 / 16)
 
 
+def least_alike(threshold: float) -> float:
+    """Below this estimate, four standard errors or more under the threshold, sketches are not tied."""
+    agree = threshold + (1 - threshold) / 16
+    return threshold - max(TOLERANCE, 4 * math.sqrt(agree * (1 - agree) / SKETCH_HASHES) / (1 - 1 / 16))
+
+
 def sketch_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, print (fingerprint of the set of shingles), size, signature."""
 
@@ -186,8 +192,9 @@ def in_grid(rows: DataFrame, by: str, count: str, most: int) -> DataFrame:
     return rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", count)
 
 
-def _ties(whole: pa.Table):
+def _ties(whole: pa.Table, threshold: float):
     """A spanning set of ties of each bucket: documents that leaders among them may be similar to."""
+    least = least_alike(threshold)
     nodes = whole.column("node").to_numpy()
     sketches = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), dtype=np.uint8).reshape(whole.num_rows, -1)
     left, right = [], []
@@ -198,7 +205,7 @@ def _ties(whole: pa.Table):
             later = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1  # those already tied needn't be compared
             if not len(later):
                 continue
-            alike = later[agreeing(own[i], own[later]) >= THRESHOLD - TOLERANCE]
+            alike = later[agreeing(own[i], own[later]) >= least]
             for j in alike.tolist():
                 if component[j] != component[i]:
                     left.append(nodes[a + i])
@@ -207,7 +214,7 @@ def _ties(whole: pa.Table):
     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def candidate_ties(classes: DataFrame, depth: int) -> DataFrame:
+def candidate_ties(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
     """Ties (a, b) between classes that share a prefix of ``depth`` values in some tree and have similar sketches."""
 
     def label(batches):
@@ -226,7 +233,7 @@ def candidate_ties(classes: DataFrame, depth: int) -> DataFrame:
     buckets = labelled.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     dealt = in_grid(buckets, "key", "n", BUCKET_ROWS).join(labelled.select("node", "sketch"), "node")
     dealt = dealt.select("key", "low", "high", "node", "sketch").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return dealt.mapInArrow(grouped(["key", "low", "high"], _ties), "a long, b long").distinct()
+    return dealt.mapInArrow(grouped(["key", "low", "high"], lambda whole: _ties(whole, threshold)), "a long, b long").distinct()
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -288,7 +295,7 @@ def classified(df: DataFrame, threshold: float, target: float, id_col: str, text
     classes = cut(sketches.groupBy("print").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")))
     classes = classes.withColumn("node", F.monotonically_increasing_id())  # of a checkpoint, so the same whenever it is read; an id may have several prints
     depth = prefix_depth(classes, threshold, target)
-    clusters = components(candidate_ties(classes, depth))
+    clusters = components(candidate_ties(classes, depth, threshold))
     members = clusters.withColumn("n", F.count("*").over(Window.partitionBy("component"))).withColumnRenamed("component", "cluster")
     members = cut(members.join(classes.select("node", "print", "copies", "first_id"), "node"))
     several_blocks = members.filter(F.col("n") > CLUSTER_ROWS).limit(1).count() > 0

@@ -95,6 +95,18 @@ def test_keep_one_decides_by_row(spark):
         assert sorted((x if x[0] != 8 else 8 for x in got), key=str) == sorted(want, key=str)
 
 
+def test_a_lower_threshold_finds_its_pairs(spark):
+    draw = random.Random(6)
+    rows = []
+    for i in range(30):
+        base = [f"w{i}_{draw.randrange(10_000)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[: 70 + i % 8], *(f"x{i}_{k}" for k in range(30 - i % 8))]))]
+    want = brute(rows, 0.5)
+    assert sum(n for _, n in want.values()) == 60 and not any(n for _, n in brute(rows, 0.65).values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(df, threshold=0.5).collect()} == want
+
+
 def test_forest_depth(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     classes = near_duplicates.sketch_table(df, "doc_id", "text")
