@@ -1,16 +1,22 @@
 """Packing documents into sequences of a fixed capacity by length patterns.
 
 Only the histogram of piece lengths, at most ``capacity`` numbers however many
-documents there are, decides the packing. Patterns of a few lengths that nearly
-fill a sequence are enumerated; non-negative least squares fits how often each
-pattern should repeat to use the histogram up; the counts are rounded down to
-what is there, and the pieces left over are packed best fit, again length by
-length. The plan then says, for the r-th piece of a length, which sequence and
-offset it gets; numbering the pieces of a length is two-level, so that a length
-shared by a third of all pieces isn't numbered in one task.
-
-Null texts are empty ones and still have the end id. Rows with equal or null
-ids are separate documents and kept; an empty table gives no rows.
+documents there are, decides the packing, in rounds. A round enumerates patterns
+of a few different lengths, each with a number of pieces, that fill a sequence
+to within SLACK (or leave too little for any length there is); non-negative
+least squares fits how often each pattern should repeat to use the histogram up;
+the counts are rounded to whole ones that the histogram has, and the lengths
+left over are the next round's histogram. When few pieces are left, or a round
+places few, those are packed best fit. The plan then says, for the r-th piece of
+a length, which sequence and offset it gets; numbering the pieces of a length is
+two-level, so that a length shared by a third of all pieces isn't numbered in
+one task.
+
+Null texts are empty ones and still have the end id; very long texts are encoded
+whole, one at a time, and cut into pieces. Rows with equal or null ids are
+separate documents and kept; pieces of one length are ranked by id and piece,
+and which of two equal rows comes first doesn't matter. An empty table gives no
+rows. Columns of other names are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,20 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, in_slices
 from .tokens import crc32_of, encode_column
 
-MAX_PATTERNS = 24_000
+#: Patterns that a round enumerates: four times as many as there are lengths.
+PATTERNS_A_LENGTH = 4
 FIT_ROUNDS = 300
 #: A pattern may leave so much of the capacity empty.
-SLACK = 1 / 256
+SLACK = 1 / 1024
+#: Different lengths that a pattern draws before it is closed, and pairs that are tried to close it.
+DRAWS, PAIRS_TRIED = 12, 24
+#: Best fit packs what is left once it is so small a share, or a round places no more than a tenth of its pieces.
+RESIDUAL, LEAST_PROGRESS = 0.02, 0.1
+MOST_ROUNDS = 16
 
 
 def piece_table(df: DataFrame, path: str, capacity: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32. Only documents longer than ``capacity`` are cut."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, bounds = encode_column(batch.column("text"), path, end_id)
             lengths = np.diff(bounds)
             counts = -(-lengths // capacity)
@@ -52,88 +64,141 @@ def piece_table(df: DataFrame, path: str, capacity: int, end_id: int | None, id_
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def few_document_patterns(present: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of one to four of the ``present`` lengths (ascending) that leave at most SLACK of the capacity."""
-    least = capacity - max(1, int(capacity * SLACK))
+class Patterns:
+    """Entries (pattern, length, pieces), ascending, of ``n`` patterns."""
 
-    def best_fit(gap: int) -> int | None:
-        i = int(np.searchsorted(present, gap, side="right"))
-        return int(present[i - 1]) if i else None
+    def __init__(self, pattern: np.ndarray, length: np.ndarray, pieces: np.ndarray):
+        names, self.pattern = np.unique(pattern, return_inverse=True)
+        self.length, self.pieces, self.n = length, pieces, len(names)
+        self.bounds = np.searchsorted(self.pattern, np.arange(self.n + 1))
 
-    found: dict[tuple[int, ...], None] = {}
 
-    def offer(pattern: list[int]) -> None:
-        if least <= sum(pattern) <= capacity:
-            found[tuple(sorted(pattern, reverse=True))] = None
+def enumerate_patterns(histogram: np.ndarray, capacity: int, wanted: int, seed: int) -> Patterns:
+    """``wanted`` patterns over the lengths of the histogram, drawn side by side.
 
-    steps = np.unique(present[np.linspace(0, len(present) - 1, min(len(present), 64)).astype(int)])
-    longest_first = present[::-1].tolist()
-    for length in longest_first:
-        offer([length])
-        hi = int(np.searchsorted(present, capacity - length, side="right"))
-        for b in present[max(0, hi - 3) : hi].tolist():
-            offer([length, b])
-    for k in range(len(steps)):  # a round offers every length one further step, so the limit falls on all alike
-        if len(found) > MAX_PATTERNS:
+    Every length begins as many patterns as any other. A pattern goes on with
+    lengths drawn by their share of the pieces until its gap is below a level of
+    its own, uniform over the capacity, and is then closed by one or two lengths
+    that fill the gap exactly, where some are found, so that long and short
+    lengths alike end patterns.
+    """
+    draw = np.random.default_rng(seed)
+    there = histogram > 0
+    mass = np.cumsum(histogram.astype(np.float64))
+    lengths = np.flatnonzero(there)
+    largest_within = np.maximum.accumulate(np.where(there, np.arange(len(histogram)), 0))
+    slack = int(capacity * SLACK)
+    gap = np.full(wanted, capacity, dtype=np.int64)
+    close_from = np.ceil(capacity * draw.random(wanted)).astype(np.int64)
+    entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(who: np.ndarray, length: np.ndarray, pieces: np.ndarray | None = None) -> None:
+        pieces = np.ones(len(who), dtype=np.int64) if pieces is None else pieces
+        entries.append((who, length, pieces))
+        gap[who] -= length * pieces
+
+    def drawn(room: np.ndarray, shape) -> np.ndarray:
+        """Lengths of at most ``room``, by their share of the pieces of such lengths."""
+        return np.minimum(np.searchsorted(mass, draw.random(shape) * mass[room], side="right"), room)
+
+    everyone = np.arange(wanted)
+    put(everyone, lengths[everyone * len(lengths) // wanted if wanted < len(lengths) else everyone % len(lengths)])
+    step = 1
+    while True:
+        open_ones = everyone[(gap > slack) & (largest_within[gap] > 0)]
+        if not len(open_ones) or step > min(4 * DRAWS, histogram.sum()):
             break
-        for i, length in enumerate(longest_first):
-            b = int(steps[(k + i) % len(steps)])
-            if length + b < capacity and (c := best_fit(capacity - length - b)):
-                offer([length, b, c])
-                if c < capacity - length - b and (d := best_fit(capacity - length - b - c)):
-                    offer([length, b, c, d])
-    return list(found)
-
-
-def fit_counts(patterns: list[tuple[int, ...]], histogram: np.ndarray) -> np.ndarray:
+        closing = (gap[open_ones] <= close_from[open_ones]) | (step >= DRAWS)
+        exact = closing & there[gap[open_ones]]
+        who = open_ones[exact]
+        put(who, gap[who])
+        who = open_ones[closing & ~exact]
+        room = gap[who]
+        first = drawn(room[:, None], (len(who), PAIRS_TRIED))
+        second = room[:, None] - first
+        fills = there[first] & there[second] & ((first != second) | (histogram[first] > 1)) & (second > 0)
+        k, row = fills.argmax(axis=1), np.arange(len(who))
+        found = fills[row, k]
+        put(who[found], first[row, k][found])
+        put(who[found], second[row, k][found])
+        who = np.concatenate([open_ones[~closing], who[~found]])
+        room = gap[who]
+        length = drawn(room, len(who)) if step < 2 * DRAWS else largest_within[room]
+        put(who, length, np.clip(room // (length * max(1, DRAWS - step)), 1, np.minimum(histogram[length], room // length)))
+        step += 1
+    pattern, length, pieces = (np.concatenate(x) for x in zip(*entries))
+    one, inverse = np.unique(pattern * (capacity + 1) + length, return_inverse=True)
+    pieces = np.bincount(inverse, pieces, len(one)).astype(np.int64)
+    pattern, length = one // (capacity + 1), one % (capacity + 1)
+    mark = np.bincount(pattern, draw.random(capacity + 1)[length] * pieces, wanted)  # equal for equal patterns
+    once = np.zeros(wanted, dtype=bool)
+    once[np.unique(mark, return_index=True)[1]] = True
+    possible = (once & (np.bincount(pattern, pieces > histogram[length], wanted) == 0))[pattern]
+    return Patterns(pattern[possible], length[possible], pieces[possible])
+
+
+def fit_counts(patterns: Patterns, histogram: np.ndarray) -> np.ndarray:
     """Non-negative repeat counts whose use of lengths is nearest to the histogram in least squares.
 
     Multiplicative updates keep the counts non-negative; lengths are weighted by
-    the inverse root of their number, so that rare ones count too.
+    the inverse of their number, so that rare ones count too.
     """
-    which = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    lengths = np.array([x for p in patterns for x in p])
+    which, length, pieces = patterns.pattern, patterns.length, patterns.pieces
     weight = 1 / np.maximum(histogram, 1.0)
-    up = np.bincount(which, (histogram * weight)[lengths], len(patterns))
-    counts = np.full(len(patterns), histogram[lengths].sum() / max(1, len(lengths)) / max(1, len(patterns)) + 1e-3)
+    up = np.bincount(which, (histogram * weight)[length] * pieces, patterns.n)
+    counts = np.full(patterns.n, (histogram * np.arange(len(histogram))).sum() / max(1, len(histogram) - 1) / max(1, patterns.n))
     for _ in range(FIT_ROUNDS):
-        used = np.bincount(lengths, counts[which], len(histogram))
-        down = np.bincount(which, (used * weight)[lengths], len(patterns))
-        counts *= up / np.maximum(down, 1e-12)
+        used = np.bincount(length, counts[which] * pieces, len(histogram))
+        counts *= up / np.maximum(np.bincount(which, (used * weight)[length] * pieces, patterns.n), 1e-12)
     return counts
 
 
-def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) so that every piece of the histogram is used once."""
+#: Lengths of a sequence with their numbers of pieces, and how many such sequences.
+Packed = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def by_patterns(histogram: np.ndarray, capacity: int) -> tuple[Packed, np.ndarray]:
+    """What fitted patterns pack, and the histogram that is left."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        if times > 0:
-            out.append((pattern, times))
-            for x in pattern:
-                left[x] -= times
-
-    def available(pattern: tuple[int, ...]) -> int:
-        return min(left[x] // pattern.count(x) for x in set(pattern))
-
-    take((capacity,), int(left[capacity]))
-    present = np.flatnonzero(left)
-    if len(present):
-        patterns = few_document_patterns(present, capacity)
-        if patterns:
-            counts = fit_counts(patterns, left.astype(float))
-            for k in np.argsort(-counts, kind="stable").tolist():
-                if counts[k] < 1:
-                    break
-                take(patterns[k], min(int(counts[k]), int(available(patterns[k]))))
-    while left.any():  # what is left: best fit, the longest first
-        pattern: list[int] = []
+    total = int(left.sum())
+    out: Packed = []
+    if left[capacity]:
+        out.append((((capacity, 1),), int(left[capacity])))
+        left[capacity] = 0
+    for seed in range(MOST_ROUNDS):
+        before = int(left.sum())
+        if before <= RESIDUAL * total:
+            break
+        patterns = enumerate_patterns(left, capacity, PATTERNS_A_LENGTH * capacity, seed)
+        counts = fit_counts(patterns, left.astype(np.float64))
+        most = counts.sum()
+        for k in np.argsort(-counts, kind="stable").tolist():
+            if most <= 0:
+                break
+            own = slice(patterns.bounds[k], patterns.bounds[k + 1])
+            length, pieces = patterns.length[own], patterns.pieces[own]
+            times = min(max(1, int(counts[k])), int((left[length] // pieces).min()))
+            if times:
+                left[length] -= pieces * times
+                out.append((tuple(zip(length.tolist(), pieces.tolist())), times))
+                most -= times
+        if before - int(left.sum()) <= LEAST_PROGRESS * before:
+            break
+    return out, left
+
+
+def best_fit(histogram: np.ndarray, capacity: int) -> Packed:
+    """Every piece of the histogram, the longest first, each gap by the longest that fits or two that fill it."""
+    left = histogram.copy()
+    out: Packed = []
+    while left.any():
+        pattern: dict[int, int] = {}
         gap = capacity
         while gap:
             fits = np.flatnonzero(left[: gap + 1])
-            fits = fits[[left[x] > pattern.count(x) for x in fits.tolist()]] if pattern else fits
+            if pattern:
+                fits = fits[[left[x] > pattern.get(x, 0) for x in fits.tolist()]]
             if not len(fits):
                 break
             pick = int(fits[-1])
@@ -141,45 +206,46 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
                 pairs = gap - fits
                 both = fits[(pairs > 0) & np.isin(pairs, fits) & (pairs != fits)]
                 pick = int(both[-1]) if len(both) else pick
-            pattern.append(pick)
+            pattern[pick] = pattern.get(pick, 0) + 1
             gap -= pick
-        take(tuple(pattern), max(1, int(available(tuple(pattern)))))
+        times = min(int(left[x]) // n for x, n in pattern.items())
+        out.append((tuple(pattern.items()), times))
+        for x, n in pattern.items():
+            left[x] -= n * times
     return out
 
 
+def plan(histogram: np.ndarray, capacity: int) -> Packed:
+    """A packing that uses every piece of the histogram once."""
+    fitted, left = by_patterns(histogram, capacity)
+    return fitted + best_fit(left, capacity)
+
+
 class Placement:
-    """For the r-th piece of a length: its sequence and offset."""
+    """For the r-th piece of a length: its sequence and offset. As large as the plan."""
 
-    def __init__(self, packed: list[tuple[tuple[int, ...], int]], capacity: int):
-        runs: dict[int, list[tuple[int, int, list[int]]]] = {}
+    def __init__(self, packed: Packed, capacity: int):
         used = np.zeros(capacity + 1, dtype=np.int64)
+        rows = []
         sequence = 0
         for pattern, times in packed:
-            offsets: dict[int, list[int]] = {}
             at = 0
-            for x in pattern:
-                offsets.setdefault(x, []).append(at)
-                at += x
-            for x, places in offsets.items():
-                runs.setdefault(x, []).append((int(used[x]), sequence, places))
-                used[x] += times * len(places)
+            for length, pieces in pattern:
+                rows.append((length, used[length], sequence, pieces, at))
+                used[length] += times * pieces
+                at += length * pieces
             sequence += times
         self.n_sequences = sequence
-        self.runs = {x: (np.array([r[0] for r in own]), [r[1] for r in own], [r[2] for r in own]) for x, own in runs.items()}
+        table = np.array(rows, dtype=np.int64).reshape(-1, 5)
+        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        self.step = int(used.max()) + 1
+        self.keys = table[:, 0] * self.step + table[:, 1]
+        self.base, self.first, self.pieces, self.offset = table[:, 1:].T.copy()
 
     def __call__(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sequence = np.empty(len(lengths), dtype=np.int64)
-        offset = np.empty(len(lengths), dtype=np.int64)
-        for x in np.unique(lengths).tolist():
-            rows = np.flatnonzero(lengths == x)
-            bases, firsts, places = self.runs[x]
-            at = np.searchsorted(bases, ranks[rows], side="right") - 1
-            for i in np.unique(at).tolist():
-                own = rows[at == i]
-                within = ranks[own] - bases[i]
-                sequence[own] = firsts[i] + within // len(places[i])
-                offset[own] = np.array(places[i])[within % len(places[i])]
-        return sequence, offset
+        at = np.searchsorted(self.keys, lengths * self.step + ranks, side="right") - 1
+        within = ranks - self.base[at]
+        return self.first[at] + within // self.pieces[at], self.offset[at] + within % self.pieces[at] * lengths
 
 
 def pack(df: DataFrame, path: str, capacity: int = 4096, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

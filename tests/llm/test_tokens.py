@@ -145,17 +145,28 @@ def test_packing(odd, none, capacity):
     assert packing.pack(none, WORDS, capacity, 1).collect() == []
 
 
-@pytest.mark.parametrize("kind", ["many", "few", "large", "equal"])
-def test_plans_use_each_piece_once(kind):
+def lengths_of(kind):
     draw = np.random.default_rng(6)
-    lengths = {"many": draw.lognormal(5.5, 1, 20_000), "few": draw.lognormal(5.5, 1, 30), "large": draw.integers(2100, 4097, 500), "equal": np.full(999, 700)}[kind]
-    histogram = np.bincount(np.clip(lengths, 1, 4096).astype(int), minlength=4097)
+    return {
+        "many": draw.lognormal(5.5, 1, 20_000),
+        "millions": draw.lognormal(5.5, 1, 2_000_000),
+        "few": draw.lognormal(5.5, 1, 30),
+        "large": draw.integers(2100, 4097, 500),
+        "short": draw.integers(1, 40, 100_000),
+        "equal": np.full(999, 700),
+        "one": np.full(1, 5),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["many", "millions", "few", "large", "short", "equal", "one"])
+def test_plans_use_each_piece_once(kind):
+    histogram = np.bincount(np.clip(lengths_of(kind), 1, 4096).astype(int), minlength=4097)
     packed = packing.plan(histogram, 4096)
     used = np.zeros(4097, dtype=np.int64)
     for pattern, times in packed:
-        assert sum(pattern) <= 4096
-        for x in pattern:
-            used[x] += times
+        assert sum(x * n for x, n in pattern) <= 4096
+        for x, n in pattern:
+            used[x] += times * n
     assert (used == histogram).all()
     n = sum(t for _, t in packed)
     total = int((histogram * np.arange(4097)).sum())
@@ -163,9 +174,21 @@ def test_plans_use_each_piece_once(kind):
     assert n <= (200 if kind == "equal" else least * 1.01 + 1)
     place = packing.Placement(packed, 4096)
     assert place.n_sequences == n
-
-
-def test_patterns_reach_all_lengths_when_all_are_present():
-    patterns = packing.few_document_patterns(np.arange(1, 4096), 4096)
-    assert len(patterns) <= packing.MAX_PATTERNS + 2 * 4096
-    assert min(max(p) for p in patterns) < 1_500 and len({x for p in patterns for x in p}) > 4_000
+    if kind != "millions":
+        lengths = np.repeat(np.arange(4097), histogram)
+        ranks = np.concatenate([np.arange(m) for m in histogram])
+        sequence, offset = place(lengths, ranks)
+        order = np.lexsort((offset, sequence))
+        first = np.append(True, np.diff(sequence[order]) > 0)
+        assert (np.where(first, 0, np.roll(offset[order] + lengths[order], 1)) == offset[order]).all()
+
+
+@pytest.mark.parametrize("kind", ["many", "millions", "short"])
+def test_fitted_patterns_place_nearly_all(kind):
+    histogram = np.bincount(np.clip(lengths_of(kind), 1, 4096).astype(int), minlength=4097)
+    _, left = packing.by_patterns(histogram, 4096)
+    assert left[:4096].sum() <= 0.05 * histogram[1:4096].sum()
+    patterns = packing.enumerate_patterns(histogram, 4096, 16_384, 0)
+    counts = packing.fit_counts(patterns, histogram.astype(float))
+    used = np.bincount(patterns.length, counts[patterns.pattern] * patterns.pieces, 4097)
+    assert np.abs(used - histogram)[1:4096].sum() <= 0.2 * histogram[1:4096].sum()
