@@ -9,9 +9,13 @@ functions, all blocks of a text are scanned side by side, then the blocks'
 totals. The slices between token starts feed pair merging, whose results each
 process remembers in a bounded cache.
 
-Null texts are empty ones: no ids. Repeated rows, null ids and rows with equal
-ids are encoded one by one and kept. Very long texts are scanned in segments
-that end where a token surely ends. Columns besides those named are dropped.
+Each id keeps the byte of the text where its token begins; decoding writes every
+token's bytes at that place.
+
+Null texts are empty ones: no ids and the one offset 0. Repeated rows, null ids
+and rows with equal ids are encoded one by one and kept. Very long texts are
+scanned in segments that end where a token surely ends. An empty table gives no
+rows. Columns besides those named are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -192,6 +196,8 @@ class ByteEncoder(Remembered):
         for word, token in self.ranks.items():
             self.words[token] = word
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.words), dtype=np.uint8)
 
     def work(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
@@ -224,23 +230,26 @@ class ByteEncoder(Remembered):
             at += n
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        words = self.words
-        return b"".join([words[i] for i in ids])
-
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The byte of the text where each token begins, and the text's length."""
         places = np.zeros(len(ids) + 1, dtype=np.int64)
         np.cumsum(self.lengths[ids], out=places[1:])
         return places
 
-    def digests(self, raw: bytes) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of ids and of the decoded bytes, which are checked against the offsets."""
-        ids = np.frombuffer(raw, dtype="<u4")
-        decoded = self.decode(ids.tolist())
-        if len(decoded) != self.offsets(ids)[-1]:
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The text's bytes: those of each token, written from its offset on up to the next one's."""
+        sizes = np.diff(offsets)
+        if (sizes != self.lengths[ids]).any() or offsets[0] != 0:
             raise ValueError("ids and offsets of a document disagree")
-        return len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        first = self.places[ids] - offsets[:-1]  # from a place in the text to one in the vocabulary
+        return self.flat[np.repeat(first, sizes) + np.arange(offsets[-1])].tobytes()
+
+    def digests(self, raw: bytes) -> tuple[int, str, str, str]:
+        """Number of tokens, and SHA-256 of ids, of the bytes decoded from ids and offsets, and of the offsets."""
+        ids = np.frombuffer(raw, dtype="<u4")
+        offsets = self.offsets(ids)
+        decoded = self.decode(ids, offsets)
+        return len(ids), *(hashlib.sha256(x).hexdigest() for x in (raw, decoded, offsets.astype("<u8").tobytes()))
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -281,7 +290,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``encode`` with their bytes; each is checked against the offsets that were kept."""
+    """Rows of ``encode`` with their bytes, written by the offsets that were kept."""
 
     def run(batches):
         encoder = byte_encoder(path)
@@ -289,12 +298,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             lists, kept = batch.column("ids"), batch.column("offsets")
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             places, place_bounds = kept.values.to_numpy(zero_copy_only=False), kept.offsets.to_numpy()
-            decoded = []
-            for k in range(len(lists)):
-                raw = encoder.decode(flat[bounds[k] : bounds[k + 1]].tolist())
-                if len(raw) != places[place_bounds[k + 1] - 1]:
-                    raise ValueError("ids and offsets of a document disagree")
-                decoded.append(raw)
+            decoded = [encoder.decode(flat[a:b], places[c:d]) for a, b, c, d in zip(bounds, bounds[1:], place_bounds, place_bounds[1:])]
             raw_ids = [flat[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:])]
             counts = pa.array(np.diff(bounds).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), counts, pa.array(raw_ids, pa.binary()), pa.array(decoded, pa.binary())], names=["id", "n_tokens", "ids_bytes", "decoded"])
@@ -308,15 +312,16 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 (of ids as little-endian 32-bit integers) and decoded_sha256, in one pass that keeps neither ids nor offsets once a document is checked."""
+    """Per row: id, n_tokens, ids_sha256 (of ids as little-endian 32-bit integers), decoded_sha256 and offsets_sha256
+    (of offsets as little-endian 64-bit integers). A document is encoded, and decoded from its ids and offsets, in one task."""
 
     def run(batches):
         encoder = byte_encoder(path)
         for batch in in_slices(batches):
             found = [encoder.digests(raw) for raw in encoder.encode_all(batch.column("text").to_pylist())]
-            counts, of_ids, of_bytes = ([f[k] for f in found] for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts, *digests = ([f[k] for f in found] for k in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), *(pa.array(d, pa.string()) for d in digests)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string").withColumnRenamed("id", id_col)
