@@ -6,9 +6,10 @@ fits one dictionary page), the metadata columns delta-encoded; row groups and
 pages are small enough that the page indexes let a reader skip to some
 documents, and the metadata can be read without touching the ids.
 
-Null texts are empty ones. Null ids come first; rows with one id are ordered by
-their text's hash, and repeated rows are kept. Columns of other names are not
-written. An empty table gives an empty dataset.
+Null texts are empty ones; very long texts are encoded whole, one at a time.
+Null ids come first; rows with one id are ordered by their text's hash, and
+repeated rows are kept. Columns of other names are not written, whatever they
+are called. An empty table gives an empty dataset.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_slices
 from .tokens import crc32_of, encode_column, id_lists
 
 ROW_GROUP_BYTES = 16 << 20
@@ -30,7 +32,7 @@ def write_token_files(df: DataFrame, out: str, path: str, end_id: int | None, id
     """Columns ``id_col``, n_tokens and ids of every row of ``df``, in ascending order of the id over the files."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, offsets = encode_column(batch.column("text"), path, end_id)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(np.diff(offsets)), id_lists(ids, offsets)], names=["id", "tie", "n_tokens", "ids"])
 
@@ -70,8 +72,9 @@ def read_token_files(spark: SparkSession, out: str, id_col: str = "doc_id", firs
 def token_index(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:
     """Per document of a dataset: id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Running sums are taken within each file, which is one bounded range of ids,
-    and the files' totals, one row a file, give what lies before each file.
+    Running sums are taken within each file, which is one bounded range of ids.
+    What lies before a file comes from the files' totals in the order of their
+    least (id, tie): a window over one row a file, however many documents.
     """
 
     def run(batches):
@@ -85,8 +88,8 @@ def token_index(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
     kind = spark.read.parquet(out).schema[id_col].dataType.simpleString()
     rows = spark.read.parquet(out).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(id_col).alias("id"), "ids")
     documents = rows.mapInArrow(run, f"file string, at long, id {kind}, n_tokens long, ids_crc32 long")
-    totals = spark.read.parquet(out).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
+    totals = spark.read.parquet(out).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(F.struct(F.col(id_col).alias("id"), "tie")).alias("least"))
+    before = totals.select("file", (F.sum("total").over(Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
     running = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return (
         documents.withColumn("within", running - F.col("n_tokens"))
