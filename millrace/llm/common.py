@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    """The cluster's ``spark.checkpoint.dir``. Only a local session may go without: it gets a folder of its own."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         where = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(where)
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -35,6 +37,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of so many short rows are broadcast: a few megabytes.
+BROADCAST_ROWS = 1 << 15
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, one row a ``key``, without bringing a frequent key's rows together.
+
+    ``count`` names a column of ``keyed``: how many of ``rows`` have the key. At
+    most BROADCAST_ROWS keys have more than that share of all rows; those are
+    broadcast, so only keys with fewer rows each are joined by a shuffle.
+    ``keyed`` is read three times: it should come from a checkpoint.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    many = max(1024, total // BROADCAST_ROWS)
+    frequent = keyed.filter(F.col(count) > many)
+    often = rows.join(F.broadcast(frequent), key)
+    seldom = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(keyed.filter(F.col(count) <= many), key)
+    return often.unionByName(seldom)
+
+
 def crc32_remainder(column: str, modulus: int):
     """``crc32(text of column) mod modulus``, null as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -11,6 +11,8 @@ from . import ann, byte_bpe, exact_topk, near_duplicates, packing, quality, shar
 from .common import shared_path, table
 
 SHARD_BYTES = 64 << 20
+#: A limit at which tables of a few megabytes split too, and above any document there.
+SMALL_SHARD_BYTES = 256 << 10
 CAPACITY = 4096
 END_ID_FILES = 2
 END_ID_PACKING = 1
@@ -20,6 +22,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def sharding_of_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SMALL_SHARD_BYTES)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path)
@@ -62,23 +68,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_sharding, op2_byte_bpe, op3_compression_toxicity, op4_pairwise_quality, op5_cross_polytope, op6_pivot_top_k, op7_token_files, op8_pattern_packing, op9_lsh_forest_join, op10_token_counts)
+    f.__name__: f for f in (op1_extendible_sharding, op2_byte_bpe, op3_compression_toxicity, op4_pairwise_quality, op5_cross_polytope, op6_pivot_top_k, op7_token_files, op8_pattern_packing, op9_lsh_forest_join, op10_token_counts, sharding_of_small_shards)
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op1_extendible_sharding": f"""
+def shards_sql(limit: int) -> str:
+    """Shards of ``limit`` bytes. No key alone is larger at the driver's sizes, so there are no pages."""
+    return f"""
 WITH rows AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 above AS (SELECT d, h >> (60 - d) AS node, sum(n_bytes) AS total, min(h) <> max(h) AS splits
           FROM rows, range(0, 61) AS t(d) GROUP BY 1, 2),
-leaf AS (SELECT h, coalesce(max(d) FILTER (total > {SHARD_BYTES} AND splits) + 1, 0) AS depth
+leaf AS (SELECT h, coalesce(max(d) FILTER (total > {limit} AND splits) + 1, 0) AS depth
          FROM rows JOIN above ON rows.h >> (60 - d) = node GROUP BY h)
 SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS bucket, CAST(0 AS BIGINT) AS page,
-       CAST(total AS BIGINT) AS shard_bytes, total > {SHARD_BYTES} AS oversized
+       CAST(total AS BIGINT) AS shard_bytes, total > {limit} AS oversized
 FROM rows JOIN leaf USING (h) JOIN above ON depth = d AND h >> (60 - depth) = node
-""",
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_extendible_sharding": shards_sql(SHARD_BYTES),
+    "sharding_of_small_shards": shards_sql(SMALL_SHARD_BYTES),
     "op6_pivot_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
