@@ -41,15 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1 << 15
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, one row a ``key``, without bringing a frequent key's rows together.
 
     ``count`` names a column of ``keyed``: how many of ``rows`` have the key. At
     most BROADCAST_ROWS keys have more than that share of all rows; those are
     broadcast, so only keys with fewer rows each are joined by a shuffle.
-    ``keyed`` is read three times: it should come from a checkpoint.
+    ``total`` is the sum of the counts, if known. ``keyed`` is read several
+    times: it should come from a checkpoint.
     """
-    total = keyed.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = keyed.agg(F.sum(count)).first()[0] or 0
     many = max(1024, total // BROADCAST_ROWS)
     frequent = keyed.filter(F.col(count) > many)
     often = rows.join(F.broadcast(frequent), key)
@@ -57,6 +59,27 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> Data
     return often.unionByName(seldom)
 
 
+#: Bits of a filter; 16 MB.
+MOST_BITS = 1 << 27
+WORD_BITS = 1 << 15
+
+
+def maybe_among(rows: DataFrame, column: str, ids: DataFrame, n: int) -> DataFrame:
+    """Rows whose ``column`` is among the ``n`` of ``ids``, and a few others: those whose hash meets one of them in a bitmap.
+
+    The bitmap has 16 bits an id, up to MOST_BITS, in rows of 4 KB, and is
+    broadcast; beyond that it lets more rows through, but never fewer.
+    """
+    bits = min(MOST_BITS, max(WORD_BITS, 1 << (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marked = ids.select(place(column).alias("p")).select(F.expr(f"p div {WORD_BITS}").alias("__word"), (F.col("p") % WORD_BITS).alias("bit"))
+    maps = marked.groupBy("__word").agg(F.bitmap_construct_agg("bit").alias("__map"))
+    word, bit = F.floor(place(rows[column]) / WORD_BITS), place(rows[column]) % WORD_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    return rows.join(F.broadcast(maps), (word == F.col("__word")) & hit, "left_semi")
+
+
 def crc32_remainder(column: str, modulus: int):
     """``crc32(text of column) mod modulus``, null as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

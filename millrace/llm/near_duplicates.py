@@ -2,24 +2,33 @@
 
 1. Every text is sketched in one pass: the fingerprint of its set of shingles
    and a MinHash signature. Texts with equal sets are one class, searched once.
-2. The signatures form a forest: each of TREES prefix tries holds DEEPEST hash
-   values a document. Matching starts with whole labels; the prefix that must
-   match is shortened until the recall at the threshold reaches the target,
-   first by the collision probability, then as measured on a bounded sample of
-   documents whose similar partners are found by comparing signatures with all.
-3. Documents under one prefix are compared by their sketches; those that may be
-   similar are tied into clusters (connected components of a spanning set of
-   ties). Prefixes and clusters that many documents share are cut into a grid
-   of blocks of a bounded number of rows, so no task gets them whole.
-4. Within clusters every pair is verified on the exact sets of shingles; only
-   each document's number of links and its component leave a block.
+2. The signatures form a forest of TREES prefix tries. A document's label in a
+   tree is DEEPEST hash values; the labels of a tree, sorted over the cluster,
+   are its trie, in which the documents under a prefix lie in a row. Runs under
+   the shortest prefix that can be needed are kept where they have two rows.
+3. Matching starts with whole labels. Documents under one prefix are compared by
+   their sketches, and similar ones tied. From the similarity of those it is
+   tied to, a document estimates what share of its partners such prefixes find;
+   where that is below the target, or nothing is tied to it yet, its prefixes
+   are shortened by a value and only its new neighbours are compared. At the
+   shortest prefix every document's chance of meeting a partner at the threshold
+   reaches the target by the collision probability and as measured on a bounded
+   sample, whose similar partners are found by comparing signatures with all.
+4. Ties make clusters (connected components). Within a cluster every pair is
+   verified on the exact sets of shingles; only each document's number of links
+   and its component leave a block. Prefixes and clusters that many documents
+   share are cut into a grid of blocks of a bounded number of rows, so no task
+   gets them whole.
 
 Words are runs of letters and digits in lower case. A text of fewer than five
-words has one shingle, all its words; a text without words has none and is
-similar only to others without. Rows with a null id take no part and come back
-with a null class and no links. Ids are expected to be unique; where rows share
-one, each set of shingles among them is a document of its own. Columns of other
-names are ignored.
+words has one shingle, all its words; a text without words (null ones too) has
+none and is similar only to others without. Very long texts have one shingle a
+word, and only their own set is in memory besides a bounded number of others.
+Rows are documents: a repeated row is a copy that counts as a link. Where rows
+share an id, each set of shingles among them is a document of its own. A class
+is named by its least id, of whatever type ids have. Rows with a null id take no
+part and come back with a null class and no links. An empty table gives no rows.
+Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import cut, in_slices
+from .common import BROADCAST_ROWS, cut, in_slices, join_by_key, maybe_among
 from .graph import components
 
 WORDS = 5
@@ -108,8 +116,8 @@ def sketch_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 signatures.append(signature(grams).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["id", "print", "size", "signature"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, "id long, print binary, size long, signature binary")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, print binary, size long, signature binary")
 
 
 def model_recall(depth: int, similarity: float) -> float:
@@ -117,8 +125,8 @@ def model_recall(depth: int, similarity: float) -> float:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def prefix_depth(classes: DataFrame, threshold: float, target: float) -> int:
-    """The longest prefix that reaches the target recall by the model and on a sample."""
+def shortest_prefix(classes: DataFrame, threshold: float, target: float) -> int:
+    """How far prefixes may have to be shortened: the longest one that reaches the target recall by the model and on a sample."""
     depth = DEEPEST
     while depth > 1 and model_recall(depth, threshold) < target:
         depth -= 1
@@ -192,48 +200,130 @@ def in_grid(rows: DataFrame, by: str, count: str, most: int) -> DataFrame:
     return rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", count)
 
 
-def _ties(whole: pa.Table, threshold: float):
-    """A spanning set of ties of each bucket: documents that leaders among them may be similar to."""
+def _ties(depth: int, shortest: int, threshold: float):
+    """Ties (a, b, alike) under prefixes of ``depth`` values: a spanning set of those between documents that may be similar.
+
+    Rows of a block are in the order of ``rest``, the values of their label beyond the shortest prefix.
+    """
     least = least_alike(threshold)
-    nodes = whole.column("node").to_numpy()
-    sketches = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), dtype=np.uint8).reshape(whole.num_rows, -1)
-    left, right = [], []
-    for a, b in runs(whole, ["key", "low", "high"]):
-        own = sketches[a:b]
-        component = np.arange(b - a)
-        for i in range(b - a - 1):
-            later = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1  # those already tied needn't be compared
-            if not len(later):
+    width, longer = 2 * (depth - shortest), 2 * (depth + 1 - shortest)
+
+    def work(whole: pa.Table):
+        nodes, unsettled = whole.column("node").to_numpy(), whole.column("unsettled").to_numpy()
+        sketches = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), dtype=np.uint8).reshape(whole.num_rows, -1)
+        rests = whole.column("rest").to_pylist()
+        left, right, alike = [], [], []
+        blocks = [x[0] for x in runs(whole, ["key", "low", "high"])]
+        starts = np.zeros(whole.num_rows + 1, dtype=bool)
+        starts[[0, -1, *blocks]] = True
+        starts[1:-1] |= [p[:width] != q[:width] for p, q in zip(rests, rests[1:])]
+        bounds = np.flatnonzero(starts).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a < 2 or not unsettled[a:b].any() or (depth < DEEPEST and rests[a][:longer] == rests[b - 1][:longer]):
+                continue  # alone, settled, or compared under the longer prefix
+            own, todo = sketches[a:b], unsettled[a:b]
+            component = np.arange(b - a)
+            for i in range(b - a - 1):
+                later = np.flatnonzero((component[i + 1 :] != component[i]) & (todo[i + 1 :] | todo[i])) + i + 1  # those already tied needn't be compared
+                if not len(later):
+                    continue
+                similarity = agreeing(own[i], own[later])
+                for j, s in zip(later[similarity >= least].tolist(), similarity[similarity >= least].tolist()):
+                    if component[j] != component[i]:
+                        left.append(nodes[a + i])
+                        right.append(nodes[a + j])
+                        alike.append(s)
+                        component[component == component[j]] = component[i]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(alike, pa.float64())], names=["a", "b", "alike"])
+
+    return work
+
+
+LABEL_BYTES = 1 + 2 * DEEPEST
+
+
+def _trie_runs(shortest: int):
+    """For mapInArrow over sorted labels: rows of runs of at least two labels that share ``shortest`` values.
+
+    A partition's first and last run may go on in its neighbours: their rows are all kept, with n = 0.
+    """
+    width = 1 + 2 * shortest
+
+    def some(labels: np.ndarray, nodes: np.ndarray, edges: tuple[bool, bool]) -> pa.RecordBatch:
+        starts = np.append(0, np.flatnonzero((labels[1:, :width] != labels[:-1, :width]).any(axis=1)) + 1)
+        sizes = np.diff(np.append(starts, len(labels)))
+        n = np.repeat(sizes, sizes)
+        if edges[0]:
+            n[: sizes[0]] = 0
+        if edges[1]:
+            n[len(n) - sizes[-1] :] = 0
+        keep = np.flatnonzero(n != 1)
+        keys = [xxhash.xxh3_64_intdigest(x) for x in np.ascontiguousarray(labels[keep, :width])]
+        rests = [x.tobytes() for x in labels[keep, width:]]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(nodes[keep]), pa.array(n[keep]), pa.array(rests, pa.binary())], names=["key", "node", "n", "rest"])
+
+    def run(batches):
+        labels, nodes, first = np.zeros((0, LABEL_BYTES), dtype=np.uint8), np.zeros(0, dtype=np.int64), True
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            alike = later[agreeing(own[i], own[later]) >= least]
-            for j in alike.tolist():
-                if component[j] != component[i]:
-                    left.append(nodes[a + i])
-                    right.append(nodes[a + j])
-                    component[component == component[j]] = component[i]
-    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            more = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=np.uint8).reshape(-1, LABEL_BYTES)
+            labels, nodes = np.concatenate([labels, more]), np.concatenate([nodes, batch.column("node").to_numpy()])
+            other = np.flatnonzero((labels[:, :width] != labels[-1, :width]).any(axis=1))
+            if len(other):  # the last run may go on in the next batch
+                at = int(other[-1]) + 1
+                yield some(labels[:at], nodes[:at], (first, False))
+                labels, nodes, first = labels[at:], nodes[at:], False
+        if len(labels):
+            yield some(labels, nodes, (first, True))
+
+    return run
 
 
-def candidate_ties(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """Ties (a, b) between classes that share a prefix of ``depth`` values in some tree and have similar sketches."""
+def forest(classes: DataFrame, shortest: int) -> DataFrame:
+    """key, node, n, rest: the runs of the sorted tries in which two or more of ``classes`` share ``shortest`` values; n is a run's size."""
 
     def label(batches):
         for batch in in_slices(batches, 4_096):
             values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, TREES, DEEPEST)
-            key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64) * MULTIPLIER, (batch.num_rows, TREES)).copy()
-            for k in range(depth):
-                key = (key ^ values[:, :, k]) * MULTIPLIER
-                key ^= key >> np.uint64(31)
-            flat = pa.array(key.reshape(-1).view(np.int64))
-            offsets = pa.array(np.arange(0, TREES * batch.num_rows + 1, TREES, dtype=np.int32))
-            low = (values.reshape(batch.num_rows, -1)[:, :SKETCH_HASHES] & np.uint16(15)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "sketch", "keys"])
-
-    labelled = classes.filter("size > 0").select("node", "signature").mapInArrow(label, "node long, sketch binary, keys array<long>")
-    buckets = labelled.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    dealt = in_grid(buckets, "key", "n", BUCKET_ROWS).join(labelled.select("node", "sketch"), "node")
-    dealt = dealt.select("key", "low", "high", "node", "sketch").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return dealt.mapInArrow(grouped(["key", "low", "high"], lambda whole: _ties(whole, threshold)), "a long, b long").distinct()
+            labels = np.empty((batch.num_rows, TREES, LABEL_BYTES), dtype=np.uint8)
+            labels[:, :, 0] = np.arange(TREES)
+            labels[:, :, 1:] = np.ascontiguousarray(values.astype(">u2")).view(np.uint8).reshape(batch.num_rows, TREES, -1)
+            flat = pa.Array.from_buffers(pa.binary(LABEL_BYTES), labels.shape[0] * TREES, [None, pa.py_buffer(labels.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(batch.column("node").to_numpy(), TREES))], names=["label", "node"])
+
+    labels = classes.filter("size > 0").select("node", "signature").mapInArrow(label, "label binary, node long")
+    # the node is a key too, so that equal labels, however many, lie in several partitions
+    tries = labels.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    found = cut(tries.mapInArrow(_trie_runs(shortest), "key long, node long, n long, rest binary"))
+    ends = found.filter("n = 0").drop("n")
+    sizes = ends.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")  # at most two keys a partition
+    return found.filter("n > 0").unionByName(ends.join(F.broadcast(sizes), "key").select("key", "node", "n", "rest"))
+
+
+def candidate_ties(classes: DataFrame, shortest: int, threshold: float, target: float) -> DataFrame:
+    """Ties (a, b) between classes that meet in the forest and have similar sketches."""
+
+    def sketch(batches):
+        for batch in in_slices(batches, 4_096):
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
+            low = (values[:, :SKETCH_HASHES] & np.uint16(15)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in low], pa.binary())], names=["node", "sketch"])
+
+    sketches = classes.filter("size > 0").select("node", "signature").mapInArrow(sketch, "node long, sketch binary")
+    met = cut(in_grid(forest(classes, shortest), "key", "n", BUCKET_ROWS).join(sketches, "node").select("key", "low", "high", "node", "rest", "sketch"))
+    by, ties, settled = ["key", "low", "high"], None, None
+    for depth in range(DEEPEST, shortest - 1, -1):
+        rows = met.withColumn("unsettled", F.lit(True)) if settled is None else met.join(settled, "node", "left").withColumn("unsettled", F.coalesce("unsettled", F.lit(True)))
+        dealt = rows.repartition(*by).sortWithinPartitions(*by, "rest", "node")
+        found = cut(dealt.mapInArrow(grouped(by, _ties(depth, shortest, threshold)), "a long, b long, alike double"))
+        ties = found if ties is None else ties.unionByName(found)
+        if depth > shortest:
+            ends = ties.select(F.col("a").alias("node"), "alike").unionByName(ties.select(F.col("b").alias("node"), "alike"))
+            chance = 1 - F.pow(1 - F.pow(F.greatest(F.least("alike", F.lit(1.0)), F.lit(0.0)), F.lit(float(depth))), F.lit(float(TREES)))
+            share = F.count("*") / F.sum(1 / F.greatest(chance, F.lit(1e-9)))  # of all partners, if each that was found stands for 1 / chance
+            settled = ends.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= target).select("node", F.lit(False).alias("unsettled"))
+    return ties.select("a", "b").distinct()
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -294,11 +384,13 @@ def classified(df: DataFrame, threshold: float, target: float, id_col: str, text
     sketches = cut(sketch_table(df, id_col, text_col))
     classes = cut(sketches.groupBy("print").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")))
     classes = classes.withColumn("node", F.monotonically_increasing_id())  # of a checkpoint, so the same whenever it is read; an id may have several prints
-    depth = prefix_depth(classes, threshold, target)
-    clusters = components(candidate_ties(classes, depth, threshold))
-    members = clusters.withColumn("n", F.count("*").over(Window.partitionBy("component"))).withColumnRenamed("component", "cluster")
-    members = cut(members.join(classes.select("node", "print", "copies", "first_id"), "node"))
-    several_blocks = members.filter(F.col("n") > CLUSTER_ROWS).limit(1).count() > 0
+    named = classes.select("node", "print", "first_id", "copies")
+    shortest = shortest_prefix(classes, threshold, target)
+    clusters = components(candidate_ties(classes, shortest, threshold, target))
+    sizes = cut(clusters.groupBy("component").agg(F.count("*").alias("n")))
+    n_members, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    members = join_by_key(clusters, sizes, "component", "n", n_members).withColumnRenamed("component", "cluster")
+    members = cut(members.join(named, "node"))
 
     def gather(batches):
         for batch in in_slices(batches):
@@ -311,37 +403,48 @@ def classified(df: DataFrame, threshold: float, target: float, id_col: str, text
             taken = batch.select(["node", "cluster", "n", "copies"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sets, pa.binary())], names=[*taken.schema.names, "grams"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).alias("text")).filter("first_id is not null")
+    texts = df.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).filter("first_id is not null")
+    texts = maybe_among(texts, "first_id", members, n_members)  # most texts are no member's and aren't moved
     sets = texts.join(members, "first_id").select("node", "cluster", "n", "copies", "print", "text").mapInArrow(gather, "node long, cluster long, n long, copies long, grams binary")
     dealt = in_grid(sets, "cluster", "n", CLUSTER_ROWS).repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "node")
     verified = cut(dealt.mapInArrow(grouped(["cluster", "low", "high"], _verify(threshold)), "node long, root long, links long"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if several_blocks:
+    if largest > CLUSTER_ROWS:
         joined = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
         links = links.join(joined, "node", "left").select("node", "links", F.coalesce("component", "node").alias("root"))
-    named = classes.select("node", "print", "first_id", "copies")
-    firsts = links.join(named, "node").groupBy("root").agg(F.min(F.struct("first_id", "print")).alias("first"))
-    of_class = named.join(links.join(firsts, "root"), "node", "left").withColumn("first", F.coalesce("first", F.struct("first_id", "print")))
-    of_class = of_class.select("print", F.col("first.first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("first.print") == F.col("print")).alias("kept"))
-    return sketches.select("id", "print").join(of_class, "print").withColumn("kept", F.col("kept") & (F.col("id") == F.col("class_id")))
+    links = cut(links.join(named.select("node", "first_id", "print"), "node"))
+    firsts = cut(links.groupBy("root").agg(F.min(F.struct("first_id", "print")).alias("first"), F.count("*").alias("n")))
+    placed = join_by_key(links.select("node", "links", "root"), firsts, "root", "n", n_members).select("node", "links", "first")
+    of_class = named.join(placed, "node", "left").withColumn("first", F.coalesce("first", F.struct("first_id", "print")))
+    of_class = cut(of_class.select("print", "copies", F.col("first.first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("first.print") == F.col("print")).alias("kept")))
+    known = join_by_key(sketches.select("id", "print"), of_class, "print", "copies")
+    return known.select("id", "print", "class_id", "n_links", (F.col("kept") & (F.col("id") == F.col("class_id"))).alias("kept"))
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (the least id among all documents that links connect) and n_links (documents at least so similar)."""
+    """Per row: id, class_id (the least id among all documents that links connect) and n_links (other rows at least so similar)."""
+    kind = df.schema[id_col].dataType
     known = classified(df, threshold, target, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
-    without = df.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    without = df.filter(F.col(id_col).isNull()).select(F.lit(None).cast(kind).alias(id_col), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return known.unionByName(without)
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``df`` without the near copies of a kept one: one row of the least id of each class, and every row without an id."""
     found = cut(classified(df, threshold, target, id_col, text_col).select("id", "print", "kept"))
-    of_id = found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("any_kept"))
-    whole = of_id.filter((F.col("n") > 1) | ~F.col("any_kept")).select(F.col("id").alias("__id"))
-    once = df.join(whole, df[id_col].cast("long") == F.col("__id"), "left_anti")
+    of_id = cut(found.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept")))
+    n_rows = found.count()
+    several = F.col("__n") > 1
+    # ids of one kept row stay, others go; a very frequent id is dropped by broadcast, so that its rows don't meet
+    many = max(1024, n_rows // BROADCAST_ROWS)
+    gone = of_id.filter(several | ~F.col("__kept")).select("__id", "__n")
+    once = df
+    for ids in (F.broadcast(gone.filter(F.col("__n") > many)), gone.filter(F.col("__n") <= many)):
+        once = once.join(ids, once[id_col] == ids["__id"], "left_anti")
     # rows that share their id are told apart by their prints, and repeats of one are one
-    shared = of_id.filter((F.col("n") > 1) & F.col("any_kept")).select(F.col("id").alias("__id"))
-    rows = df.withColumn("__id", F.col(id_col).cast("long")).join(shared, "__id").select("__id", F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col).alias("__text"))
+    shared = cut(of_id.filter(several & F.col("__kept")))
+    rows = df.select(F.col(id_col).alias("__id"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col).alias("__text"))
+    rows = join_by_key(rows, shared, "__id", "__n").select("__id", "__row", "__text")
 
     def run(batches):
         for batch in in_slices(batches):
@@ -349,6 +452,6 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, "__print"])
 
     rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__print", T.BinaryType())]))
-    wanted = found.filter("kept").join(shared, F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
-    again = rows.join(wanted, ["__id", "__print"], "left_semi").groupBy("__id", "__print").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row"))
-    return once.unionByName(again.select("__row.*"))
+    firsts = rows.groupBy("__id", "__print").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row"))
+    wanted = found.filter("kept").select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
+    return once.unionByName(firsts.join(wanted, ["__id", "__print"], "left_semi").select("__row.*"))

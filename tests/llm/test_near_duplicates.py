@@ -110,9 +110,9 @@ def test_a_lower_threshold_finds_its_pairs(spark):
 def test_forest_depth(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     classes = near_duplicates.sketch_table(df, "doc_id", "text")
-    depth = near_duplicates.prefix_depth(classes, 0.8, 0.995)
+    depth = near_duplicates.shortest_prefix(classes, 0.8, 0.995)
     assert depth < near_duplicates.DEEPEST and near_duplicates.model_recall(depth, 0.8) >= 0.995
-    assert near_duplicates.prefix_depth(classes, 0.8, 0.5) >= depth
+    assert near_duplicates.shortest_prefix(classes, 0.8, 0.5) >= depth
     a, b = (near_duplicates.signature(near_duplicates.shingles(t)) for t in ("a b c d e f g", "A b, c d e f g!"))
     assert (a == b).all()
 
@@ -132,3 +132,85 @@ def test_exact_similarity():
         for j in range(30):
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
             assert got[i, j] == (len(a & b) / len(a | b) >= 0.5)
+
+
+@pytest.mark.parametrize("parts", ["2", "40"])
+@pytest.mark.parametrize("shortest", [2, 7])
+def test_runs_of_the_forest_are_the_groups_of_equal_prefixes(spark, parts, shortest):
+    draw = np.random.default_rng(4)
+    values = draw.integers(0, 4, (150, near_duplicates.TREES, near_duplicates.DEEPEST)).astype(np.uint16)
+    values[40:100] = values[40]  # labels that are equal in every tree
+    values[100:130, :, :7] = values[100, :, :7]
+    classes = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(values)], "node long, size long, signature binary")
+    want = {}
+    for i, v in enumerate(values):
+        for t in range(near_duplicates.TREES):
+            want.setdefault((t, *v[t, :shortest].tolist()), set()).add(i)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, x in (("spark.sql.shuffle.partitions", parts), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+            spark.conf.set(name, x)
+        rows = near_duplicates.forest(classes, shortest).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got, sizes = {}, {}
+    for r in rows:
+        got.setdefault(r["key"], []).append(r["node"])
+        assert sizes.setdefault(r["key"], r["n"]) == r["n"]
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert all(sizes[k] == len(x) for k, x in got.items())
+
+
+def test_prefixes_are_shortened_only_for_documents_that_need_it():
+    values = np.random.default_rng(3).integers(0, 16, (3, near_duplicates.SKETCH_HASHES)).astype(np.uint8)
+    values[1] = values[0]
+    rest = [b"\0\1", b"\0\2", b"\0\3"]
+    table = {"key": [5] * 3, "low": [0] * 3, "high": [0] * 3, "node": [0, 1, 2], "rest": rest, "sketch": [v.tobytes() for v in values]}
+
+    def ties(depth, unsettled):
+        import pyarrow as pa
+
+        whole = pa.table({**table, "unsettled": unsettled})
+        return [(r["a"], r["b"], r["alike"]) for b in near_duplicates._ties(depth, 7, 0.8)(whole) for r in b.to_pylist()]
+
+    assert ties(8, [True] * 3) == []  # no two share eight values
+    assert ties(7, [False, True, False]) == ties(7, [True] * 3) == [(0, 1, 1.0)]
+    assert ties(7, [False] * 3) == []
+
+
+def test_rows_are_documents_and_ids_may_be_words(spark):
+    draw = random.Random(8)
+    a, b = (" ".join(draw.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(2))
+    rows = [("x", a), ("x", a), ("y", a), ("z", b), ("x", b), (None, a)]
+    df = spark.createDataFrame(rows, "name string, text string").repartition(3)
+    got = sorted((str(r["name"]), str(r["class_id"]), r["n_links"]) for r in near_duplicates.near_duplicates(df, id_col="name").collect())
+    assert got == sorted([("x", "x", 2), ("x", "x", 2), ("y", "x", 2), ("z", "x", 1), ("x", "x", 1), ("None", "None", 0)])
+    assert sorted(map(str, near_duplicates.keep_one(df, id_col="name").collect())) == sorted(map(str, spark.createDataFrame([("x", a), ("x", b), (None, a)], "name string, text string").collect()))
+
+
+def test_very_long_texts(spark):
+    draw = random.Random(9)
+    words = [f"w{draw.randrange(50_000)}" for _ in range(400_000)]
+    near = [*words]
+    for _ in range(2_000):
+        near[draw.randrange(len(near))] = "other"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "short")], "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in near_duplicates.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
+def test_a_filter_loses_no_row(spark):
+    from millrace.llm.common import maybe_among
+
+    rows = spark.range(50_000).withColumn("x", F.col("id") * 3)
+    ids = spark.range(0, 50_000, 50)
+    kept = {r["id"] for r in maybe_among(rows, "id", ids, 1_000).collect()}
+    assert kept >= set(range(0, 50_000, 50)) and len(kept) < 12_000
+    assert maybe_among(rows, "id", ids.filter("id < 0"), 0).count() == 0
+
+
+def test_recall_on_the_drivers_table(spark):
+    from helpers import SF
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    check(df)
