@@ -221,7 +221,8 @@ def _ties(depth: int, shortest: int, threshold: float):
         for a, b in zip(bounds, bounds[1:]):
             if b - a < 2 or not unsettled[a:b].any() or (depth < DEEPEST and rests[a][:longer] == rests[b - 1][:longer]):
                 continue  # alone, settled, or compared under the longer prefix
-            own, todo = sketches[a:b], unsettled[a:b]
+            order = np.argsort(nodes[a:b], kind="stable")  # so that all trees tie a group to its least node
+            names, own, todo = nodes[a:b][order], sketches[a:b][order], unsettled[a:b][order]
             component = np.arange(b - a)
             for i in range(b - a - 1):
                 later = np.flatnonzero((component[i + 1 :] != component[i]) & (todo[i + 1 :] | todo[i])) + i + 1  # those already tied needn't be compared
@@ -230,8 +231,8 @@ def _ties(depth: int, shortest: int, threshold: float):
                 similarity = agreeing(own[i], own[later])
                 for j, s in zip(later[similarity >= least].tolist(), similarity[similarity >= least].tolist()):
                     if component[j] != component[i]:
-                        left.append(nodes[a + i])
-                        right.append(nodes[a + j])
+                        left.append(names[i])
+                        right.append(names[j])
                         alike.append(s)
                         component[component == component[j]] = component[i]
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(alike, pa.float64())], names=["a", "b", "alike"])
