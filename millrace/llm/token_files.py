@@ -26,13 +26,14 @@ from .tokens import crc32_of, encode_column, id_lists
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+ROWS_AT_ONCE = 2_048
 
 
 def write_token_files(df: DataFrame, out: str, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
     """Columns ``id_col``, n_tokens and ids of every row of ``df``, in ascending order of the id over the files."""
 
     def run(batches):
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, ROWS_AT_ONCE):
             ids, offsets = encode_column(batch.column("text"), path, end_id)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(np.diff(offsets)), id_lists(ids, offsets)], names=["id", "tie", "n_tokens", "ids"])
 
@@ -74,7 +75,7 @@ def token_index(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
 
     Running sums are taken within each file, which is one bounded range of ids.
     What lies before a file comes from the files' totals in the order of their
-    least (id, tie): a window over one row a file, however many documents.
+    ids and ties: a window over one row a file, however many documents.
     """
 
     def run(batches):
@@ -88,8 +89,10 @@ def token_index(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
     kind = spark.read.parquet(out).schema[id_col].dataType.simpleString()
     rows = spark.read.parquet(out).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(id_col).alias("id"), "ids")
     documents = rows.mapInArrow(run, f"file string, at long, id {kind}, n_tokens long, ids_crc32 long")
-    totals = spark.read.parquet(out).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(F.struct(F.col(id_col).alias("id"), "tie")).alias("least"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
+    totals = spark.read.parquet(out).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.max(F.col(id_col).isNull().cast("int")).alias("nulls"), F.min("tie").alias("tie"))
+    # of files between the same ids, one with nulls is the first, and the others hold that id alone
+    order = Window.orderBy("low", "high", F.desc("nulls"), "tie")
+    before = totals.select("file", (F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
     running = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return (
         documents.withColumn("within", running - F.col("n_tokens"))

@@ -124,6 +124,27 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.token_index(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_files_follow_their_ids_whatever_they_are_called(spark, tmp_path):
+    ids = [None] * 40 + [5] * 90 + list(range(6, 60))
+    df = spark.createDataFrame([(i, f"text {k} {'x ' * (k % 7)}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        token_files.write_token_files(df, str(tmp_path / "a"), WORDS, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "a").glob("part-*.parquet"))
+    want = [(r["doc_id"], r["n_tokens"]) for p in parts for r in pq.read_table(p, columns=["doc_id", "n_tokens"]).to_pylist()]
+    assert len(parts) > 5
+    for k, p in enumerate(reversed(parts)):
+        p.rename(p.with_name(f"renamed-{k:03d}.parquet"))
+    got = sorted(token_files.token_index(spark, str(tmp_path / "a")).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == want
+    assert [r["start"] for r in got] == np.cumsum([0, *[n for _, n in want]])[:-1].tolist()
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_packing(odd, none, capacity):
     rows = packing.pack(odd, WORDS, capacity, 1).collect()
