@@ -80,9 +80,22 @@ def maybe_among(rows: DataFrame, column: str, ids: DataFrame, n: int) -> DataFra
     return rows.join(F.broadcast(maps), (word == F.col("__word")) & hit, "left_semi")
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, behind as many underscores as keep it apart from the names that are taken."""
+    taken = [t.lower() for t in taken]
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def as_struct(columns: list[str]):
+    """Columns, whatever their names, as one."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns))
+
+
 def crc32_remainder(column: str, modulus: int):
     """``crc32(text of column) mod modulus``, null as the empty string."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+    return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def in_slices(batches, rows: int = 256):

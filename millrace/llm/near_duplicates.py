@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, in_slices, join_by_key, maybe_among
+from .common import BROADCAST_ROWS, as_struct, cut, in_slices, join_by_key, maybe_among
 from .graph import components
 
 WORDS = 5
@@ -444,7 +444,7 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET
         once = once.join(ids, once[id_col] == ids["__id"], "left_anti")
     # rows that share their id are told apart by their prints, and repeats of one are one
     shared = cut(of_id.filter(several & F.col("__kept")))
-    rows = df.select(F.col(id_col).alias("__id"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col).alias("__text"))
+    rows = df.select(F.col(id_col).alias("__id"), as_struct(df.columns).alias("__row"), F.col(text_col).alias("__text"))
     rows = join_by_key(rows, shared, "__id", "__n").select("__id", "__row", "__text")
 
     def run(batches):

@@ -9,7 +9,12 @@ that the quantile at which documents are rejected is the score 0.7.
 
 The pairs come from a bounded sample of labelled rows (TRAIN_ROWS); every
 document is scored by its whole text. Null and empty texts have features of
-their own and a score like all others; repeated rows are scored each.
+their own and a score like all others; very long texts are read whole, one at a
+time; repeated rows are scored each. Of rows that share a labelled id, the one
+with the least hash of its text is learnt from. Equal texts have equal scores.
+Without labels of both kinds all documents are good. An empty table gives no
+rows. Kept columns may have any names; the three that are added are named by the
+caller.
 """
 
 from __future__ import annotations
@@ -17,10 +22,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import crc32_remainder, in_slices
-from .fitting import labelled_sample, logistic
+from .common import in_slices
+from .fitting import labelled_sample, labelled_texts, logistic, one_an_id, scored
 
 TRAIN_ROWS = 20_000
 PAIRS = 60_000
@@ -69,18 +73,17 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def feature_rows(df: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    """``columns`` of ``df`` and features as array<double>."""
+def feature_rows(texts: DataFrame) -> DataFrame:
+    """id, y, order and features of labelled texts."""
 
     def run(batches):
-        for batch in batches:
-            rows = [features(t) for t in batch.column("text").to_pylist()]
-            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
-            offsets = pa.array(np.arange(0, N_FEATURES * len(rows) + 1, N_FEATURES, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], names=[*batch.schema.names[:-1], "features"])
+        for batch in in_slices(batches):
+            rows = np.concatenate([features(t) for t in batch.column("text").to_pylist()])
+            offsets = pa.array(np.arange(0, len(rows) + 1, N_FEATURES, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "order")), pa.ListArray.from_arrays(offsets, pa.array(rows))], names=["id", "y", "order", "features"])
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(*columns, F.col(text_col).alias("text")).mapInArrow(run, f"{kinds}, features array<double>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "y", "order", "text").mapInArrow(run, f"id {kind}, y int, order long, features array<double>")
 
 
 class Model:
@@ -112,7 +115,7 @@ class Model:
         return float((q[order][i] + q[order][min(i + 1, len(q) - 1)]) / 2)
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.spread) @ self.weights
+        return (((x - self.mean) / self.spread) * self.weights).sum(axis=1)  # row by row: the same text gives the same bits in any batch
 
     def quantile(self, strength: np.ndarray) -> np.ndarray:
         """Share of labelled documents that are weaker; beyond both ends it goes on, ever more slowly."""
@@ -129,23 +132,15 @@ class Model:
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     sample = labelled_sample(labels, "quality", FOLDS, HELD_OUT, rows, id_col)
-    texts = documents.select(id_col, text_col).join(F.broadcast(sample), id_col)  # at most ``rows`` ids
-    found = feature_rows(texts, [id_col, "y"], text_col).dropDuplicates([id_col]).orderBy(id_col).collect()  # as many
-    x = np.array([r["features"] for r in found]).reshape(-1, N_FEATURES)
-    return Model(x, np.array([r["y"] for r in found], dtype=int))
+    x, y = one_an_id(feature_rows(labelled_texts(documents, sample, id_col, text_col)))
+    return Model(x.reshape(-1, N_FEATURES), y)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """``keep`` columns (else id_col) of every row, and, named by ``names``, held_out, score and predicted (1: score >= 0.7)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    keep = keep or [id_col]
 
-    def run(batches):
-        for batch in in_slices(batches):
-            rows = [features(t) for t in batch.column("__text").to_pylist()]
-            s = shared.value.score(np.array(rows).reshape(-1, N_FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names[:-1], *names[1:]])
+    def of_texts(texts: list[str | None]) -> np.ndarray:
+        return shared.value.score(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES))
 
-    rows = documents.select(*keep, (crc32_remainder(id_col, FOLDS) == HELD_OUT).alias(names[0]), F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` boolean, `{names[1]}` double, `{names[2]}` int")
+    return scored(documents, lambda: of_texts, THRESHOLD, id_col, text_col, keep, (FOLDS, HELD_OUT), names)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_by_key
+from .common import as_struct, cut, free_name, join_by_key
 
 BITS = 60
 #: Bits that one round looks at beyond the depth that even hashing would need.
@@ -124,10 +124,8 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 def write_shards(df: DataFrame, out: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Every row of ``df`` as it is under ``out``, one folder a shard. Returns the name of the column that Spark reads from the
     folders: shard, behind as many underscores as keep it apart from the columns of ``df``."""
-    name = "shard"
-    while name.lower() in [c.lower() for c in df.columns]:
-        name = f"_{name}"
-    placed = _placed(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("kept"), *_measured(id_col, text_col)), limit)
+    name = free_name("shard", df.columns)
+    placed = _placed(df.select(as_struct(df.columns).alias("kept"), *_measured(id_col, text_col)), limit)
     shards = placed.select("kept.*", F.concat_ws("-", "depth", "bucket", "page").alias(name))
     shards.repartition(name).write.partitionBy(name).parquet(out)
     return name

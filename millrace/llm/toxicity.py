@@ -1,23 +1,34 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-One dictionary is trained on toxic text and one on ordinary text, and every
+Both dictionaries end in the same content, trained on ordinary text; the toxic
+one begins with content trained on toxic text, the ordinary one with as many
+line feeds, so that what ordinary text explains costs the same in both. Every
 window of a document is compressed with each; a window that the toxic one
-shortens more than the ordinary one, by a calibrated number of bytes, counts
-as toxic. How the windows compare over a whole document (the largest
-difference, and how many windows lie above each of some thresholds) is turned
-into a probability by a logistic fit.
+shortens by a calibrated number of bytes counts as toxic. How the windows
+compare over a whole document (the largest difference, and how many windows lie
+above each of some thresholds) is turned into a probability by a logistic fit,
+shifted so that the best threshold on the sample is 0.5.
 
 Windows are single words in lower case: insults are words, and in longer
-windows the chance of matching something ordinary drowns them. zstandard stores
-inputs of a few bytes as they are and starts no match in the last bytes of a
-block, so a window is compressed between two fixed marks that both dictionaries
-hold. A process remembers the differences of words that it has met.
+windows the chance of matching something ordinary drowns them. The toxic
+training text is words too, and beginnings of words, those that a
+likelihood-ratio test finds over-represented in toxic texts: trained on whole toxic texts, a dictionary
+holds what is frequent in any text (the README has the figures). zstandard
+stores inputs of a few bytes as they are and starts no match in the last bytes
+of a block, so a window is compressed between two fixed marks that both
+dictionaries hold. A process remembers the differences of words that it has met.
 
 What is learnt comes from a bounded sample of labelled rows: up to TRAIN_ROWS
 ids; the words of their texts are counted on the cluster, one text of each set
 of near copies, and only up to TOXIC_WORDS and ORDINARY_WORDS words are
-gathered. Every document is scored by its whole text. Null and empty texts
-have no window and get the lowest score; repeated rows are scored each.
+gathered. Every document is scored by its whole text.
+
+A text without words (null, empty, only marks) has no window and gets the score
+of a text in which no window differs; the same words have the same score. Very
+long texts are scored one at a time. Repeated rows are scored each; of rows that
+share a labelled id, the one with the least hash of its text is learnt from.
+Without labels of both kinds every score is 0.5. An empty table gives no rows.
+Kept columns may have any names; the three that are added are named by the caller.
 """
 
 from __future__ import annotations
@@ -26,50 +37,61 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_remainder, cut, in_slices
-from .fitting import labelled_sample, logistic
+from .common import cut, in_slices
+from .fitting import labelled_sample, labelled_texts, logistic, one_an_id, scored
 from .merging import Remembered
 
 TRAIN_ROWS = 16_000
 TOXIC_WORDS = 512
 ORDINARY_WORDS = 30_000
 FOLDS, HELD_OUT = 5, 0
-#: A word is characteristic of toxic text from this likelihood-ratio statistic on (1 degree of freedom).
-LEAST_EVIDENCE = 20.0
-LEAST_TEXTS = 5
+#: A word is characteristic of toxic text from this likelihood-ratio statistic on (1 degree of freedom, one in a thousand).
+LEAST_EVIDENCE = 10.83
+LEAST_TEXTS = 3
+#: Lengths of the beginnings of words that are tested beside whole words.
+BEGINNINGS = (6, 7, 8)
 #: Near copies share so many least hashes of their words, and so much of the words themselves.
 SHARED_HASHES, NEAR_COPY = 3, 0.8
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 4 << 10
+TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 96 << 10
 BEFORE, AFTER = b"\n~~ window ~~\n", b"\n~~ end ~~\n"
+MARKS = BEFORE + AFTER
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 N_FEATURES = 2 + 2 * len(THRESHOLDS)
 WORD = re.compile(r"[^\W\d_]+")
 SPLIT = r"[^\p{L}]+"
 
 
-def apart(texts: DataFrame, id_col: str) -> DataFrame:
+def apart(texts: DataFrame) -> DataFrame:
     """Rows (id, label y, sorted ``words``) without those whose words are nearly those of a kept row of the same label."""
     keys = [f"k{seed}" for seed in range(SHARED_HASHES)]
-    sets = texts.groupBy("y", "words").agg(F.min(id_col).alias(id_col))
+    sets = texts.groupBy("y", "words").agg(F.min("id").alias("id"))
     least = [F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(seed)))).alias(k) for seed, k in enumerate(keys)]
     sets = cut(sets.select("*", *least))
-    firsts = sets.groupBy("y", *keys).agg(F.min(F.struct(id_col, "words")).alias("first"))
+    firsts = sets.groupBy("y", *keys).agg(F.min(F.struct("id", "words")).alias("first"))
     paired = sets.join(firsts, ["y", *keys])
     alike = F.size(F.array_intersect("words", "first.words")) / F.size(F.array_union("words", "first.words"))
-    return paired.filter((F.col("words") == F.col("first.words")) | (alike < NEAR_COPY)).select(id_col, "y", "words")
+    return paired.filter((F.col("words") == F.col("first.words")) | (alike < NEAR_COPY)).select("id", "y", "words")
 
 
-def characteristic_words(texts: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
-    """Words over-represented in toxic texts, and the most common words of ordinary ones. ``texts`` has a label y."""
-    texts = cut(apart(texts.select(id_col, "y", F.array_sort(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPLIT))).alias("words")), id_col))
+def _beginnings(words: str, n: int) -> Column:
+    """The first ``n`` letters of longer words."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
+
+
+def characteristic_words(texts: DataFrame) -> tuple[list[str], list[str]]:
+    """Words, or beginnings of words, over-represented in toxic texts, and the most common words of ordinary ones. ``texts`` has id, text and a label y."""
+    texts = cut(apart(texts.select("id", "y", F.array_sort(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), SPLIT))).alias("words"))))
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return [], []
-    counts = texts.select("y", F.explode("words").alias("word")).filter("word <> ''").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    begun = F.array_except(F.array_distinct(F.concat(*(_beginnings("words", n) for n in BEGINNINGS))), "words")
+    marked = F.concat(F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(1).alias("whole"))), F.transform(begun, lambda w: F.struct(w.alias("word"), F.lit(0).alias("whole"))))
+    counts = texts.select("y", F.explode(marked).alias("w")).select("y", "w.*").filter("word <> ''")
+    counts = counts.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"), F.max("whole").alias("whole"))
     a, b = F.col("a"), F.col("b")
 
     def part(k, n, p):
@@ -80,17 +102,21 @@ def characteristic_words(texts: DataFrame, id_col: str, text_col: str) -> tuple[
     evidence = 2 * (part(a, n1, a / n1) + part(b, n0, b / n0) - part(a, n1, both) - part(b, n0, both))
     counts = cut(counts.withColumn("evidence", evidence))
     toxic = counts.filter((a >= LEAST_TEXTS) & (a * n0 > b * n1) & (F.col("evidence") >= LEAST_EVIDENCE)).orderBy(F.desc("evidence"), "word").limit(TOXIC_WORDS).collect()
-    ordinary = counts.filter(b > 0).orderBy(F.desc("b"), "word").limit(ORDINARY_WORDS).collect()
+    ordinary = counts.filter((b > 0) & (F.col("whole") > 0)).orderBy(F.desc("b"), "word").limit(ORDINARY_WORDS).collect()
     known = {r["word"] for r in toxic}
     return [r["word"] for r in toxic], [r["word"] for r in ordinary if r["word"] not in known]
 
 
 def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Both dictionaries; ordinary words that the first ones would take for toxic are added to the ordinary one."""
-    first, second = train_dictionary(toxic, TOXIC_DICTIONARY, 20), train_dictionary(ordinary, ORDINARY_DICTIONARY, 2)
-    distance = Distance(first, second)
-    mistaken = b"".join([f" {w} ".encode() for w in ordinary if distance[w] >= 2])[:ORDINARY_DICTIONARY]
-    return first, second[: -len(BEFORE + AFTER)] + mistaken + BEFORE + AFTER
+    """The toxic and the ordinary dictionary."""
+    own = train_dictionary(toxic, TOXIC_DICTIONARY, 20)
+    own += b"".join([x for x in map(window_of, toxic) if x not in own])  # the trainer drops some short ones
+    common = train_dictionary(ordinary, ORDINARY_DICTIONARY, 2) + MARKS
+    return own + common, b"\n" * len(own) + common
+
+
+def window_of(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "replace") + b" "
 
 
 def train_dictionary(words: list[str], size: int, repeat: int) -> bytes:
@@ -98,15 +124,11 @@ def train_dictionary(words: list[str], size: int, repeat: int) -> bytes:
     import zstandard
 
     order = np.random.default_rng(11)
-    samples = []
-    for _ in range(repeat):
-        samples += [f" {words[i]} ".encode() for i in order.permutation(len(words))]
+    samples = [window_of(words[i]) for _ in range(repeat) for i in order.permutation(len(words))]
     try:
-        content = zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself
-        content = b"".join(samples[: len(words)])[:size]
-    left_out = [] if size < sum(len(w.encode()) + 1 for w in words) else [x for x in samples[: len(words)] if x not in content]  # the trainer drops some short ones
-    return content + b"".join(left_out) + BEFORE + AFTER
+        return b"".join(map(window_of, words))
 
 
 class Distance(Remembered):
@@ -122,7 +144,7 @@ class Distance(Remembered):
         )
 
     def work(self, word: str) -> int:
-        window = BEFORE + b" " + word.encode("utf-8", "replace") + b" " + AFTER
+        window = BEFORE + window_of(word) + AFTER
         return len(self.ordinary(window)) - len(self.toxic(window))
 
     def features(self, text: str | None) -> np.ndarray:
@@ -174,46 +196,41 @@ class Model:
         return np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._columns(x) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self._columns(x) * self.weights).sum(axis=1), -30, 30)))
 
 
-def _feature_rows(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary))
+def _feature_rows(texts: DataFrame, model: Model) -> DataFrame:
+    """id, y, order and features of labelled texts."""
+    shared = texts.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary))
 
     def run(batches):
         distance = distance_of(*shared.value)
         for batch in in_slices(batches):
             rows = np.concatenate([distance.features(t) for t in batch.column("text").to_pylist()])
             offsets = pa.array(np.arange(0, len(rows) + 1, N_FEATURES, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.ListArray.from_arrays(offsets, pa.array(rows))], names=["id", "y", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "order")), pa.ListArray.from_arrays(offsets, pa.array(rows))], names=["id", "y", "order", "features"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), "y", F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, y int, features array<double>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "y", "order", "text").mapInArrow(run, f"id {kind}, y int, order long, features array<double>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    sample = labelled_sample(labels, "toxic", FOLDS, HELD_OUT, rows, id_col)
-    texts = documents.select(id_col, text_col).join(F.broadcast(sample), id_col)  # at most ``rows`` ids
-    toxic, ordinary = characteristic_words(texts, id_col, text_col)
+    texts = labelled_texts(documents, labelled_sample(labels, "toxic", FOLDS, HELD_OUT, rows, id_col), id_col, text_col)
+    toxic, ordinary = characteristic_words(texts)
     model = Model(*train_pair(toxic, ordinary))
     if toxic:
-        found = _feature_rows(texts, model, id_col, text_col).dropDuplicates(["id"]).orderBy("id").collect()  # as many
-        model.calibrate(np.array([r["features"] for r in found]).reshape(-1, N_FEATURES), np.array([r["y"] for r in found]))
+        x, y = one_an_id(_feature_rows(texts, model))
+        model.calibrate(x.reshape(-1, N_FEATURES), y)
     return model
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """``keep`` columns (else id_col) of every row, and, named by ``names``, held_out, score and predicted (1: score >= 0.5)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    keep = keep or [id_col]
 
-    def run(batches):
+    def score():
         model = shared.value
         distance = distance_of(model.toxic, model.ordinary)
-        for batch in in_slices(batches):
-            s = model.score(np.array([distance.features(t) for t in batch.column("__text").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], *names[1:]])
+        return lambda texts: model.score(np.array([distance.features(t) for t in texts]).reshape(-1, N_FEATURES))
 
-    rows = documents.select(*keep, (crc32_remainder(id_col, FOLDS) == HELD_OUT).alias(names[0]), F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` boolean, `{names[1]}` double, `{names[2]}` int")
+    return scored(documents, score, 0.5, id_col, text_col, keep, (FOLDS, HELD_OUT), names)
