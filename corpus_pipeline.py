@@ -2,7 +2,14 @@
 
 Documents of low quality go, then toxic ones, then near copies of a kept one;
 what is left is packed. Each stage takes the documents that its predecessor
-kept and, but for the last, returns them with their columns.
+kept and, but for the last, returns them with their columns, whatever these are
+called besides doc_id and text.
+
+Null and empty texts are scored like others and are near copies of each other;
+very long texts are read whole. Rows are decided on one by one: rows with a null
+id pass all filters on ids, repeated rows are near copies, and of rows that
+share an id each different text stands for itself. Of equally near copies the
+one with the least id stays. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -12,27 +19,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import near_duplicates, packing, quality, toxicity
-from millrace.llm.common import shared_path, table
+from millrace.llm.common import free_name, shared_path, table
 
 CAPACITY = 4096
 END_ID = 1
-DECISION = ("__held_out", "__score", "__predicted")
+
+
+def decided(module, label: int, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that a classifier, learnt from those of ``docs`` with a label, gives ``label``."""
+    model = module.fit(docs, table(spark, sf_dir, "labels"))
+    names = tuple(free_name(n, docs.columns) for n in ("held_out", "score", "predicted"))
+    scored = module.score(docs, model, keep=docs.columns, names=names)
+    return scored.filter(F.col(names[2]) == label).drop(*names)
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=docs.columns, names=DECISION)
-    return scored.filter(F.col(DECISION[2]) == 1).select(docs.columns)
+    return decided(quality, 1, spark, docs, sf_dir)
 
 
 def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=docs.columns, names=DECISION)
-    return scored.filter(F.col(DECISION[2]) == 0).select(docs.columns)
+    return decided(toxicity, 0, spark, docs, sf_dir)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates.keep_one(docs).select(docs.columns)
+    return near_duplicates.keep_one(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
