@@ -1,4 +1,4 @@
-"""``python -m millrace COMMAND``: stream, convert, info, analyze, index, verify."""
+"""``python -m millrace COMMAND``: stream, convert, info, analyze, index, verify, serve."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.records import parse_size
-from .operators import analyze, frames, records, verify
-from .operators.errors import CorpusError
+from .functions.records import humanize, parse_size
+from .operators import analyze, frames, index, records, verify
+from .operators.errors import BadData, CorpusError, OutputFailed, RecordTooLong
 from .sources import jsonl, seekable
 from .streaming.dataset import MODES, Dataset
 
@@ -53,6 +53,30 @@ def checked(spark: SparkSession, paths: list[str], max_line: int, deep: bool):
     return verify.with_files(verify.verify(rows, max_line, deep), partial, len(framed), bad_frames)
 
 
+def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, check: bool) -> dict:
+    """Writes ``rows`` as seekable files; what was written, and with ``check`` how many frames of it are bad."""
+    try:
+        seekable.write_seekable(frames.assign_frames(rows, frame_size), out)
+    except Exception as e:
+        if any(x in str(e) for x in ("Permission denied", "Read-only", "Not a directory", "No space left")):
+            raise OutputFailed(f"cannot write {out}") from e
+        raise
+    about = seekable.info(spark, out).first().asDict()
+    about["records"] = rows.count()
+    if check:
+        about["bad_frames"] = seekable.verify_frames(spark, out).count()
+    return about
+
+
+def serving(spark: SparkSession, a):
+    """The NDJSON server of the command line's datasets."""
+    from .streaming.serve import server
+
+    tokens = [line.strip() for line in open(a.tokens, encoding="utf-8") if line.strip()] if a.tokens else None
+    catalogue = index.Catalogue(spark, [tuple(x.split("=", 1)) if "=" in x else (x.rstrip("/").rsplit("/", 1)[-1], x) for x in a.datasets])
+    return server(catalogue, lambda path: frames.assign_frames(corpus(spark, [path]), a.frame_size), tokens, a.host, a.port)
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="millrace", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -72,6 +96,7 @@ def main(argv: list[str] | None = None) -> int:
         if name in ("convert", "index"):
             c.add_argument("-o", "--output", required=True)
         if name == "convert":
+            c.add_argument("--verify", action="store_true")
             c.add_argument("--limit", type=int)
             c.add_argument("--sample-rate", type=float)
             c.add_argument("--min-entropy", type=float)
@@ -81,6 +106,12 @@ def main(argv: list[str] | None = None) -> int:
         if name == "verify":
             c.add_argument("--deep", action="store_true")
     commands.add_parser("info").add_argument("path")
+    c = commands.add_parser("serve")
+    c.add_argument("datasets", nargs="+", metavar="NAME=PATH")
+    c.add_argument("--host", default="127.0.0.1")
+    c.add_argument("--port", type=int, default=9000)
+    c.add_argument("--tokens", help="a file of bearer tokens, one a line")
+    c.add_argument("--frame-size", type=parse_size, default=frames.DEFAULT_FRAME)
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("millrace").getOrCreate()
     try:
@@ -90,17 +121,24 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "verify":
             found = checked(spark, a.paths, a.max_line, a.deep).first().asDict()
             print(json.dumps(found))
-            return 0 if found["ok"] else CorpusError.code
+            return 0 if found["ok"] else BadData.code
+        if a.command == "serve":
+            running = serving(spark, a)
+            print(f"millrace: listening on {a.host}:{running.server_address[1]}", file=sys.stderr, flush=True)
+            running.serve_forever()
+            return 0
         rows = corpus(spark, a.paths)
         if a.command == "stream":
             dropped = records.run_stats(rows, a.max_line, a.on_error).first()["oversized_skipped"]
+            if a.on_error == "fail" and (n := records.too_long(rows, a.max_line)):
+                raise RecordTooLong(f"{n} records exceed --max-line ({humanize(a.max_line)})")
             rows = records.limit_length(rows, a.max_line, a.on_error)
             if a.shuffle == "chunk-shuffled":
                 rows = frames.assign_frames(rows, a.frame_size)
             for line in Dataset(rows, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, size=a.size):
                 sys.stdout.buffer.write(line)
             if dropped:
-                print(f"millrace: dropped {dropped} records exceeding --max-line ({a.max_line} bytes); raise it or pass --on-error passthrough to keep them", file=sys.stderr)
+                print(f"millrace: dropped {dropped} records exceeding --max-line ({humanize(a.max_line)}); raise it or pass --on-error passthrough to keep them", file=sys.stderr)
         elif a.command == "convert":
             if a.sample_rate is not None:
                 rows = records.bernoulli(rows, a.sample_rate, a.seed)
@@ -108,9 +146,13 @@ def main(argv: list[str] | None = None) -> int:
                 rows = records.entropy_gate(rows, a.min_entropy, a.max_entropy)
             if a.limit is not None:
                 rows = records.head(rows, a.limit)
-            seekable.write_seekable(frames.assign_frames(rows, a.frame_size), a.output)
+            about = converted(spark, rows, a.output, a.frame_size, a.verify)
+            print(json.dumps(about), file=sys.stderr)
+            if about.get("bad_frames"):
+                raise BadData(f"{about['bad_frames']} frames of {a.output} are bad")
         elif a.command == "analyze":
-            print(analyze.report(frames.assign_frames(rows, a.frame_size), strict=a.strict).toJSON().first())
+            narrow = frames.assign_frames(rows.select("id", "pos", "nbytes"), a.frame_size)
+            print(analyze.report(narrow, strict=a.strict, records=rows).toJSON().first())
         elif a.command == "index":
             frames.byte_offsets(rows).write.parquet(a.output)
         return 0

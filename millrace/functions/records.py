@@ -67,7 +67,7 @@ def json_error(text: str | None) -> str | None:
         if depth > MOST_JSON_DEPTH:
             return "nested too deep"
     try:
-        json.loads(text, parse_constant=_no_constant)
+        json.loads(text, parse_constant=_no_constant, parse_int=str, parse_float=str)
     except json.JSONDecodeError as e:
         return f"{e.msg} at {e.pos}"
     except (ValueError, RecursionError) as e:

@@ -68,9 +68,14 @@ def qualify(value: Column, limit: float) -> Column:
     return F.when(value < 0.5 * limit, "uniform").when(value < limit, "mild drift").otherwise("SKEWED")
 
 
-def report(df: DataFrame, frames: int = SAMPLE_FRAMES, strict: bool = False) -> DataFrame:
-    """One row with the maxima, means, labels and the verdict. ``strict`` raises on an unsafe one."""
+def report(df: DataFrame, frames: int = SAMPLE_FRAMES, strict: bool = False, records: DataFrame | None = None) -> DataFrame:
+    """One row with the maxima, means, labels and the verdict. ``strict`` raises on an unsafe one.
+
+    With ``records`` (id and record), ``df`` needs no records itself: those of the sampled frames are looked up by id.
+    """
     some = sample_frames(df, frames)
+    if records is not None:
+        some = some.join(records.select("id", "record"), "id")
     drift = divergence(byte_histogram(some)).agg(
         F.count("*").alias("frames"),
         *(F.coalesce(f(c), F.lit(0.0)).alias(n) for f, c, n in ((F.max, "kl", "kl_max"), (F.avg, "kl", "kl_mean"), (F.max, "js", "js_max"), (F.avg, "js", "js_mean"), (F.avg, "entropy", "entropy_mean"))),

@@ -11,10 +11,16 @@ class UsageError(CorpusError):
     code = 64
 
 
-class RecordTooLong(CorpusError):
+class BadData(CorpusError):
+    """What was read isn't as it should be."""
+
     code = 65
 
 
+class RecordTooLong(BadData):
+    pass
+
+
 class InputMissing(CorpusError):
     code = 66
 

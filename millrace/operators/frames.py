@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import cut, running_before
@@ -13,33 +15,143 @@ from .shared import cut, running_before
 DEFAULT_FRAME = 2 << 20
 
 
-def assign_frames(df: DataFrame, frame_size: int = DEFAULT_FRAME, position: str = "pos", file: str | None = None) -> DataFrame:
-    """``df`` with frame_id: a frame closes with the first record at which it holds ``frame_size`` bytes or more.
+def _closing(ends: np.ndarray, base: np.ndarray | int, frame_size: int) -> np.ndarray:
+    """Index of the record that closes a frame begun after ``base`` bytes; len(ends) if none does. ``ends``: running bytes."""
+    return np.searchsorted(ends, base + frame_size)
+
+
+class _Exits:
+    """How a run of records leaves the frame that it finds open.
+
+    ``low[k]`` is the least number of bytes held at its beginning with which
+    record k is the first to close a frame; then ``held[k]`` bytes are held at
+    its end, after ``closed[k]`` frames. With fewer bytes none closes.
+    """
 
-    The rule is a sequential pass, so it runs over the narrow columns of each
-    file as a stream (nothing is gathered), and files run side by side.
+    def __init__(self, sizes: np.ndarray, frame_size: int):
+        ends = np.cumsum(sizes)
+        self.total = int(ends[-1])
+        last = min(len(ends) - 1, int(_closing(ends, 0, frame_size)))  # the first to close from an empty frame
+        self.low = np.maximum(0, frame_size - ends[: last + 1])
+        start = np.arange(1, last + 2)  # where the next frame begins
+        held, closed = np.zeros(last + 1, dtype=np.int64), np.ones(last + 1, dtype=np.int64)
+        going = np.arange(last + 1)
+        while len(going):
+            base = ends[start[going] - 1]
+            at = _closing(ends, base, frame_size)
+            over = at >= len(ends)
+            held[going[over]] = self.total - base[over]
+            going, at = going[~over], at[~over]
+            closed[going] += 1
+            start[going] = at + 1
+        self.held, self.closed = held, closed
+
+
+def _frames_before(narrow: DataFrame, frame_size: int) -> dict[int, tuple[int, int]]:
+    """For each partition of ``narrow`` (__part, __file, nbytes): the frame open at its beginning and the bytes in it.
+
+    What a partition does to the open frame depends only on the bytes in it, and
+    at most as many records can be the first to close it as fit in a frame. So
+    each partition, on its own, gives one row with its exits; a pass over these
+    rows, one a partition, then finds every partition's entry.
     """
-    keys = df.select(*([F.col(file).alias("__file")] if file else [F.lit(0).alias("__file")]), F.col(position).alias("__pos"), "nbytes")
 
-    def run(batches):
-        current, frame, held = None, 0, 0
+    def exits(batches):
+        files, sizes, part = [], [], None
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(0)[0].as_py()
+                files.append(pc.run_end_encode(batch.column(1)))
+                sizes.append(batch.column(2).to_numpy(zero_copy_only=False))
+        if part is None:
+            return
+        names, lengths = [], []
+        for column in files:
+            ends = column.run_ends.to_numpy()
+            for name, n in zip(column.values.to_pylist(), np.diff(ends, prepend=0).tolist()):
+                if names and names[-1] == name:
+                    lengths[-1] += n
+                else:
+                    names.append(name)
+                    lengths.append(n)
+        sizes = np.concatenate(sizes).astype(np.int64)
+        first = _Exits(sizes[: lengths[0]], frame_size)
+        frames, held = 0, 0
+        if len(names) > 1:
+            after = _Exits(sizes[len(sizes) - lengths[-1] :], frame_size)
+            k = len(after.low) - 1
+            frames, held = (int(after.closed[k]), int(after.held[k])) if after.low[k] == 0 else (0, after.total)
+        row = {"part": [part], "first": [str(names[0])], "last": [str(names[-1])], "total": [first.total], "low": [first.low], "held": [first.held], "closed": [first.closed], "frames_after": [frames], "held_after": [held]}
+        yield pa.RecordBatch.from_pydict(row, schema=shape)
+
+    lists = pa.list_(pa.int64())
+    shape = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("total", pa.int64()), ("low", lists), ("held", lists), ("closed", lists), ("frames_after", pa.int64()), ("held_after", pa.int64())])
+    maps = narrow.mapInArrow(exits, "part int, first string, last string, total long, low array<long>, held array<long>, closed array<long>, frames_after long, held_after long")
+
+    def follow(batches):
+        file, frame, held = None, 0, 0
+        for batch in batches:
+            entries = []
+            for r in batch.to_pylist():
+                if r["first"] != file:
+                    frame, held = 0, 0
+                entries.append((r["part"], frame, held))
+                k = int(np.searchsorted(-np.array(r["low"]), -held))  # the first record that closes
+                if r["last"] != r["first"]:
+                    frame, held = r["frames_after"], r["held_after"]
+                elif k < len(r["low"]):
+                    frame, held = frame + r["closed"][k], r["held"][k]
+                else:
+                    held += r["total"]
+                file = r["last"]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in entries], pa.int64()) for i in range(3)], names=["part", "frame", "held"])
+
+    found = maps.repartition(1).sortWithinPartitions("part").mapInArrow(follow, "part long, frame long, held long").collect()  # three numbers a partition
+    return {r["part"]: (r["frame"], r["held"]) for r in found}
+
+
+def assign_frames(df: DataFrame, frame_size: int = DEFAULT_FRAME, position: str = "pos", file: str | None = None, in_order: bool = False) -> DataFrame:
+    """``df`` with frame_id: a frame closes with the first record at which it holds ``frame_size`` bytes or more.
+
+    Records are dealt by range of their position, in each file if ``file`` is
+    given, and every partition numbers its own frames once it knows which one is
+    open at its beginning. ``in_order``: ``df`` comes from ``with_position`` and
+    lies so already.
+    """
+    by = [*([file] if file else []), position]
+    dealt = df if in_order else cut(df.repartitionByRange(*by).sortWithinPartitions(*by))
+    dealt = dealt.withColumn("__part", F.spark_partition_id())
+    columns = [f.name for f in dealt.schema.fields]
+    narrow = dealt.select("__part", (F.col(file).cast("string") if file else F.lit("")).alias("__file"), "nbytes")
+    entry = df.sparkSession.sparkContext.broadcast(_frames_before(narrow, frame_size))
+
+    def number(batches):
+        current, frame, held, begun = None, 0, 0, False
         for batch in batches:
-            files, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out = np.empty(len(sizes), dtype=np.int32)
-            for i, (f, n) in enumerate(zip(files, sizes)):
-                if f != current:
-                    current, frame, held = f, 0, 0
-                out[i] = frame
-                held += n
-                if held >= frame_size:
-                    frame, held = frame + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["__file", "__pos", "frame_id"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields[:2])
-    framed = keys.repartition("__file").sortWithinPartitions("__file", "__pos").mapInArrow(run, f"{kinds}, frame_id int")
-    framed = cut(framed)
-    on = (df[file] == framed["__file"]) & (df[position] == framed["__pos"]) if file else df[position] == framed["__pos"]
-    return df.join(framed, on).drop("__file", "__pos")
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(columns.index("nbytes")).to_numpy(zero_copy_only=False).astype(np.int64)
+            runs = [(current if begun else None, len(sizes))]
+            if file:
+                coded = pc.run_end_encode(pc.cast(batch.column(columns.index(file)), pa.string()))
+                runs = list(zip(coded.values.to_pylist(), np.diff(coded.run_ends.to_numpy(), prepend=0).tolist()))
+            if not begun:
+                frame, held = entry.value[batch.column(len(columns) - 1)[0].as_py()]
+                current, begun = runs[0][0], True
+            out, at = np.empty(len(sizes), dtype=np.int32), 0
+            for name, n in runs:
+                if name != current:
+                    current, frame, held = name, 0, 0
+                ends, base, first = np.cumsum(sizes[at : at + n]), -held, 0
+                while (k := int(_closing(ends, base, frame_size))) < n:
+                    out[at + first : at + k + 1] = frame
+                    frame, base, first = frame + 1, int(ends[k]), k + 1
+                out[at + first : at + n] = frame
+                held, at = int(ends[-1]) - base, at + n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*columns[:-1], "frame_id"])
+
+    kinds = T.StructType([*dealt.schema.fields[:-1], T.StructField("frame_id", T.IntegerType())])
+    return dealt.mapInArrow(number, kinds)
 
 
 def frame_table(df: DataFrame, *files: str) -> DataFrame:
@@ -48,21 +160,28 @@ def frame_table(df: DataFrame, *files: str) -> DataFrame:
     return running_before(sizes, "frame_id", "bytes", files, "start")
 
 
+def size_summary(sizes: DataFrame, size: str, *sums: str) -> DataFrame:
+    """One row over frames: frames, the sums of ``size`` and ``sums``, min_frame, max_frame and median_frame, the upper median.
+
+    Frames are grouped by size before they are put in order.
+    """
+    by_size = running_before(sizes.groupBy(size).agg(F.count("*").alias("__n"), *(F.sum(c).alias(c) for c in sums)), size, "__n").withColumn("__one", F.lit(1))
+    number = by_size.groupBy("__one").agg(F.sum("__n").alias("__frames"))
+    middle = F.floor(F.col("__frames") / 2)
+    at_middle = (F.col("before") <= middle) & (middle < F.col("before") + F.col("__n"))
+    return by_size.join(F.broadcast(number), "__one").agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("frames"),
+        *(F.sum(c).cast("long").alias(c) for c in sums),
+        F.sum(F.col(size) * F.col("__n")).cast("long").alias(size),
+        F.min(size).alias("min_frame"),
+        F.max(size).alias("max_frame"),
+        F.max(F.when(at_middle, F.col(size))).alias("median_frame"),
+    )
+
+
 def frame_info(df: DataFrame) -> DataFrame:
     """One row: frames, records, bytes, least and largest frame, and the upper median of frame sizes."""
-    sizes = df.groupBy("frame_id").agg(F.count("*").alias("records"), F.sum("nbytes").cast("long").alias("bytes"))
-    by_size = running_before(sizes.groupBy("bytes").agg(F.count("*").alias("n"), F.sum("records").alias("records")), "bytes", "n").withColumn("one", F.lit(1))
-    number = by_size.groupBy("one").agg(F.sum("n").alias("frames"))
-    middle = F.floor(F.col("frames") / 2)
-    at_middle = (F.col("before") <= middle) & (middle < F.col("before") + F.col("n"))
-    return by_size.join(number, "one").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("frames"),
-        F.sum("records").cast("long").alias("records"),
-        F.sum(F.col("bytes") * F.col("n")).cast("long").alias("bytes"),
-        F.min("bytes").alias("min_frame"),
-        F.max("bytes").alias("max_frame"),
-        F.max(F.when(at_middle, F.col("bytes"))).alias("median_frame"),
-    )
+    return size_summary(df.groupBy("frame_id").agg(F.count("*").alias("records"), F.sum("nbytes").cast("long").alias("bytes")), "bytes", "records")
 
 
 def record_index(df: DataFrame, position: str = "pos") -> DataFrame:

@@ -27,14 +27,19 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
 def cached_index(spark: SparkSession, path: str, where: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The index saved under ``where`` for this state of the input, else a newly built one, saved for next time."""
+    return looked_up_index(spark, path, where, build)[0]
+
+
+def looked_up_index(spark: SparkSession, path: str, where: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """``cached_index``, and whether it was found rather than built."""
     saved = f"{where}/{fingerprint(spark, path)}"
     try:
-        return spark.read.parquet(saved)
+        return spark.read.parquet(saved), True
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
     build().write.mode("overwrite").parquet(saved)
-    return spark.read.parquet(saved)
+    return spark.read.parquet(saved), False
 
 
 class Catalogue:

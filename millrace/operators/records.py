@@ -24,14 +24,14 @@ def with_position(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """``df`` with 0-based positions in ascending ``order``, without gathering the rows in one task.
 
     The rows are dealt by range and sorted; one count a partition gives each
-    partition's first position.
+    partition's first position. They stay dealt and sorted so.
     """
     dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__row", F.monotonically_increasing_id())
     dealt = dealt.withColumn("__part", F.shiftright("__row", 33))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
     firsts = running_before(counts, "__part", "__n", name="__first").drop("__n")
     place = F.col("__first") + F.col("__row").bitwiseAND((1 << 33) - 1)
-    return dealt.join(firsts, "__part").withColumn(name, place.cast("long")).drop("__row", "__part", "__first")
+    return dealt.join(F.broadcast(firsts), "__part").withColumn(name, place.cast("long")).drop("__row", "__part", "__first")
 
 
 def record_view(df: DataFrame, id_col: str, record: Column | str, *keep: str) -> DataFrame:
@@ -53,12 +53,17 @@ def limit_length(df: DataFrame, max_line: int = DEFAULT_MAX_LINE, on_error: str
         return df.filter(~too_long)
     if on_error == "passthrough":
         return df
-    if on_error == "fail":
+    if on_error == "fail":  # a plan can only fail as a whole: see too_long for an error to catch
         message = F.concat(F.lit("record of "), F.col("nbytes").cast("string"), F.lit(f" bytes exceeds {max_line}"))
         return df.filter(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     raise UsageError(f"unknown policy {on_error!r}")
 
 
+def too_long(df: DataFrame, max_line: int = DEFAULT_MAX_LINE) -> int:
+    """How many records are longer than ``max_line``."""
+    return df.filter(F.col("nbytes") > max_line).count()
+
+
 def of_rank(df: DataFrame, rank: int | None, world: int | None, position: str = "pos") -> DataFrame:
     """Every ``world``-th row from ``rank`` on; all rows unless both are set and make sense."""
     if rank is None or world is None or world <= 1 or not 0 <= rank < world:

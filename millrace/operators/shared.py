@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .errors import UsageError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local session may go without: it gets a folder of its own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise UsageError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            where = tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(where)
     return context.getCheckpointDir().rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

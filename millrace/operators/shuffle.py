@@ -15,8 +15,8 @@ from .shared import running_before
 
 DEFAULT_BUFFER = 100_000
 DEFAULT_RESERVOIR = 10_000
-#: Leading hexadecimal digits of the hash that deal rows to tasks: 4,096 ranges of equal chance.
-DEAL_DIGITS = 3
+#: Leading hexadecimal digits of the hash that deal rows to tasks: 65,536 ranges of equal chance, 1.5 million rows each at 10^11.
+DEAL_DIGITS = 4
 
 
 def place_by_hash(df: DataFrame, key: Column, *ties: str, groups: tuple[str, ...] = (), name: str = "out_pos") -> DataFrame:
@@ -29,7 +29,7 @@ def place_by_hash(df: DataFrame, key: Column, *ties: str, groups: tuple[str, ...
     keyed = df.withColumn("__h", key).withColumn("__deal", F.substring("__h", 1, DEAL_DIGITS))
     sizes = keyed.groupBy(*groups, "__deal").agg(F.count("*").alias("__n"))
     to_here = Window.partitionBy(*groups).orderBy("__deal").rowsBetween(Window.unboundedPreceding, 0) if groups else Window.partitionBy(F.lit(0)).orderBy("__deal").rowsBetween(Window.unboundedPreceding, 0)
-    first = sizes.withColumn("__first", F.sum("__n").over(to_here) - F.col("__n")).drop("__n")  # at most 4,096 rows a group
+    first = sizes.withColumn("__first", F.sum("__n").over(to_here) - F.col("__n")).drop("__n")  # at most 65,536 rows a group
     within = F.row_number().over(Window.partitionBy(*groups, "__deal").orderBy("__h", *ties)) - 1
     placed = keyed.withColumn("__within", within).join(first, [*groups, "__deal"])
     return placed.withColumn(name, (F.col("__first") + F.col("__within")).cast("long")).drop("__h", "__deal", "__within", "__first")
@@ -101,14 +101,19 @@ def buffer_shuffle(df: DataFrame, size: int = DEFAULT_BUFFER, seed: int = 0, epo
     slot = F.when(F.col(position) < size, F.col(position)).otherwise(prf_mod(seed, "buf", epoch, size, *ids))
     slots = df.withColumn("__group", F.col(group) if group else F.lit(0)).withColumn("__slot", slot)
     nxt = slots.withColumn("__next", F.lead(position).over(Window.partitionBy("__group", "__slot").orderBy(position)))
-    leaving = nxt.filter("__next is not null").withColumn("out_pos", (F.col("__next") - size).cast("long"))
-    staying = nxt.filter("__next is null").withColumn("__h", prf_hex(seed, "drain", epoch, *ids))  # at most ``size`` rows a group
-    counts = slots.groupBy("__group").agg(F.count("*").alias("__n"))
+    # the rows that stay, at most ``size`` a group, are placed apart; the others carry no count
+    staying = nxt.filter("__next is null").select("__group", "__slot", position, prf_hex(seed, "drain", epoch, *ids).alias("__h"))
     of_group = Window.partitionBy("__group")
-    staying = staying.withColumn("__k", F.row_number().over(of_group.orderBy("__h", position)) - 1).withColumn("__drain", F.count("*").over(of_group))
-    staying = staying.join(counts, "__group").withColumn("out_pos", (F.col("__n") - F.col("__drain") + F.col("__k")).cast("long"))
-    columns = [*df.columns, "out_pos"]
-    return leaving.select(columns).unionByName(staying.select(columns))
+    staying = staying.withColumn("__k", F.row_number().over(of_group.orderBy("__h", position)) - F.count("*").over(of_group) - 1)
+    counts = slots.groupBy("__group").agg(F.count("*").alias("__n"))
+    staying = staying.join(F.broadcast(counts) if group is None else counts, "__group").select("__group", "__slot", (F.col("__n") + F.col("__k")).alias("__end"))
+    placed = nxt.join(staying, ["__group", "__slot"]).withColumn("out_pos", F.coalesce(F.col("__next") - size, "__end").cast("long"))
+    return placed.select(*df.columns, "out_pos")
+
+
+def epoch_counts(df: DataFrame) -> DataFrame:
+    """epoch and how many rows it has."""
+    return df.groupBy("epoch").agg(F.count("*").alias("records"))
 
 
 def reservoir(df: DataFrame, size: int = DEFAULT_RESERVOIR, seed: int = 0, epoch: int = 0, position: str = "pos", group: str | None = None) -> DataFrame:

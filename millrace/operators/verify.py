@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import json_problem, json_valid
-from .records import DEFAULT_MAX_LINE, of_rank
+from .records import DEFAULT_MAX_LINE
 
 KEPT_PROBLEMS = 8
 
@@ -32,11 +32,8 @@ def problems(df: DataFrame, n: int = KEPT_PROBLEMS) -> DataFrame:
 
 
 def rank_cover(df: DataFrame, world: int, position: str = "pos") -> DataFrame:
-    """One row: rows, rows that some rank takes, and ids that two ranks take."""
-    parts = of_rank(df.select("id", position), 0, world, position).withColumn("r", F.lit(0))
-    for r in range(1, world):
-        parts = parts.unionByName(of_rank(df.select("id", position), r, world, position).withColumn("r", F.lit(r)))
-    taken = parts.groupBy("id").agg(F.count("*").alias("times"))
-    all_rows = df.agg(F.count("*").alias("n_rows")).withColumn("one", F.lit(1))
-    sums = taken.agg(F.sum("times").cast("long").alias("covered"), F.sum((F.col("times") > 1).cast("long")).cast("long").alias("overlap")).withColumn("one", F.lit(1))
-    return all_rows.join(sums, "one").drop("one")
+    """One row: rows, rows that some rank takes, and ids that two ranks take. One pass: each row is tried with every rank's rule."""
+    taken = df.select("id", sum((F.pmod(F.col(position), F.lit(world)) == r).cast("int") for r in range(world)).alias("times"))
+    of_id = taken.groupBy("id").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return of_id.agg(total(F.col("n"), "n_rows"), total(F.col("times"), "covered"), total((F.col("times") > 1).cast("long"), "overlap"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.prf import sql_hex, sql_mod, sql_unit
 from ..functions.records import json_valid
 from ..operators import analyze, frames, records, shuffle, verify
-from ..sources.jsonl import to_json_record
+from ..operators.shared import shared_path
+from ..sources import seekable
+from ..sources.jsonl import read_records, to_json_record, write_records
+from ..sources.shards import read_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,19 +167,20 @@ def index_perm_resume(spark, sf_dir):
     return shuffle.resume(shuffle.index_perm(documents(spark, sf_dir), SEED), 500).select("id", "out_pos")
 
 
-def frames_sql(order: str) -> str:
-    """Frames of documents taken in an order, as rows of framed."""
-    return f"""doc AS (SELECT doc_id AS id, coalesce(text, '') AS record, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS nbytes, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM documents),
+def frames_sql(order: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """Frames of a table's records taken in an order, as rows of framed."""
+    return f"""doc AS (SELECT {key} AS id, coalesce({text}, '') AS record, CAST(strlen(coalesce({text}, '')) + 1 AS BIGINT) AS nbytes, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM {table}),
 run AS (SELECT *, CAST(sum(nbytes) OVER (ORDER BY pos) AS BIGINT) AS cum FROM doc),
 nxt AS (SELECT a.pos, (SELECT min(b.pos) + 1 FROM run b WHERE b.cum >= a.cum - a.nbytes + {FRAME}) AS nxt FROM run a),
 st AS (SELECT CAST(0 AS BIGINT) AS frame_id, CAST(0 AS BIGINT) AS pos UNION ALL
-       SELECT frame_id + 1, nxt FROM st JOIN nxt USING (pos) WHERE nxt IS NOT NULL AND nxt < (SELECT count(*) FROM documents)),
+       SELECT frame_id + 1, nxt FROM st JOIN nxt USING (pos) WHERE nxt IS NOT NULL AND nxt < (SELECT count(*) FROM {table})),
 framed AS (SELECT run.*, CAST(st.frame_id AS INTEGER) AS frame_id FROM run ASOF JOIN st ON run.pos >= st.pos)"""
 
 
-def framed(spark, sf_dir, *order: str) -> DataFrame:
-    df = positioned(documents(spark, sf_dir, "lang"), *order)
-    return frames.assign_frames(df, FRAME)
+def framed(spark, sf_dir, *order: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, pos, nbytes, frame_id and ``keep`` of documents."""
+    df = positioned(documents(spark, sf_dir, "lang").select(*{"id": 0, "nbytes": 0} | dict.fromkeys((*order, *keep))), *order)
+    return frames.assign_frames(df, FRAME, in_order=True)
 
 
 @query(f"WITH RECURSIVE {frames_sql('doc_id')} SELECT id, pos, frame_id FROM framed")
@@ -244,6 +248,23 @@ def buffer_shuffle(spark, sf_dir):
     return shuffle.buffer_shuffle(events, BUFFER, SEED).select("id", "out_pos")
 
 
+def epochs_of_events(spark, sf_dir) -> DataFrame:
+    return shuffle.with_epochs(positioned(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))), 2)
+
+
+EVENT_EPOCHS = f"{EVENT}, ee AS (SELECT CAST(epoch AS INTEGER) AS epoch, ev.* FROM ev, range(0, 2) AS e(epoch))"
+
+
+@query(f"WITH {EVENT_EPOCHS}, {buffer_sql('ee', 'epoch')}")
+def buffer_epochs(spark, sf_dir):
+    return shuffle.buffer_shuffle(epochs_of_events(spark, sf_dir), BUFFER, SEED, group="epoch").select("epoch", "id", "out_pos")
+
+
+@query("SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS records FROM events, range(0, 2) AS e(epoch) GROUP BY 1")
+def epoch_counts(spark, sf_dir):
+    return shuffle.epoch_counts(shuffle.buffer_shuffle(epochs_of_events(spark, sf_dir), BUFFER, SEED, group="epoch"))
+
+
 BY_LANG = "bl AS (SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents)"
 
 
@@ -285,6 +306,11 @@ def reservoir_multi_input(spark, sf_dir):
     return shuffle.reservoir(by_language(spark, sf_dir), RESERVOIR, SEED, group="lang").select("lang", "id", "out_pos")
 
 
+@query(f"WITH {EVENT_EPOCHS}, {reservoir_sql('ee', 'epoch')}")
+def reservoir_epochs(spark, sf_dir):
+    return shuffle.reservoir(epochs_of_events(spark, sf_dir), RESERVOIR, SEED, group="epoch").select("epoch", "id", "out_pos")
+
+
 HISTOGRAM = f"""{frames_sql('lang, doc_id')},
 hx AS (SELECT frame_id, hex(encode(record || chr(10))) AS h, nbytes FROM framed),
 hist AS (SELECT frame_id, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS byte, count(*) AS n FROM hx, range(0, nbytes) AS r(i) GROUP BY ALL)"""
@@ -292,7 +318,7 @@ hist AS (SELECT frame_id, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) A
 
 @query(f"WITH RECURSIVE {HISTOGRAM} SELECT frame_id, byte, n FROM hist")
 def analyze_histogram(spark, sf_dir):
-    return analyze.byte_histogram(framed(spark, sf_dir, "lang", "id"))
+    return analyze.byte_histogram(framed(spark, sf_dir, "lang", "id", keep=("record",)))
 
 
 DIVERGENCE = f"""{HISTOGRAM},
@@ -306,7 +332,7 @@ d AS (SELECT frame_id, sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END) AS kl,
 
 @query(f"WITH RECURSIVE {DIVERGENCE} SELECT frame_id, round(kl, 6) AS kl, round(js, 6) AS js, round(entropy, 6) AS entropy FROM d")
 def analyze_divergence(spark, sf_dir):
-    out = analyze.divergence(analyze.byte_histogram(framed(spark, sf_dir, "lang", "id")))
+    out = analyze.divergence(analyze.byte_histogram(framed(spark, sf_dir, "lang", "id", keep=("record",))))
     return out.select("frame_id", *(F.round(c, 6).alias(c) for c in ("kl", "js", "entropy")))
 
 
@@ -324,7 +350,7 @@ SELECT frames, round(kl_max, 6) AS kl_max, round(kl_mean, 6) AS kl_mean, round(j
 round(length_cv, 6) AS length_cv, {_label('kl_max', 0.1)} AS kl_label, {_label('js_max', 0.1)} AS js_label, {_label('length_cv', 0.5)} AS cv_label,
 CASE WHEN kl_max > 0.1 OR js_max > 0.1 OR length_cv > 0.5 THEN 'UNSAFE' ELSE 'SAFE' END AS verdict FROM v, c""")
 def analyze_verdict(spark, sf_dir):
-    out = analyze.report(framed(spark, sf_dir, "lang", "id"))
+    out = analyze.report(framed(spark, sf_dir, "lang", "id"), records=documents(spark, sf_dir))
     return out.select("frames", *(F.round(c, 6).alias(c) for c in ("kl_max", "kl_mean", "js_max", "js_mean", "entropy_mean", "length_cv")), "kl_label", "js_label", "cv_label", "verdict")
 
 
@@ -378,3 +404,51 @@ SELECT 'part', p_partkey FROM part WHERE {sql_unit(SEED, 'mix:part', 0, 'p_partk
 def weighted_mix(spark, sf_dir):
     frames_of = {"customer": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "part": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))}
     return records.weighted_mix(frames_of, {"customer": 0.2, "part": 0.5}, SEED).select("input", "id")
+
+
+def event_records(spark, sf_dir) -> DataFrame:
+    """Properties of events, one line each, in frames."""
+    return frames.assign_frames(positioned(records.record_view(table(spark, sf_dir, "events"), "event_id", "props")), FRAME, in_order=True)
+
+
+def written_events(spark, sf_dir) -> str:
+    out = shared_path(spark, "seekable")
+    seekable.write_seekable(event_records(spark, sf_dir), out)
+    return out
+
+
+EVENT_FRAMES = frames_sql("event_id", "events", "event_id", "props")
+
+
+@query(f"WITH RECURSIVE {EVENT_FRAMES} SELECT md5(record) AS record_md5, CAST(sum(nbytes) OVER (PARTITION BY frame_id ORDER BY pos) - nbytes AS BIGINT) AS offset_in_frame, count(*) OVER (PARTITION BY frame_id) AS records FROM framed")
+def seekable_round_trip(spark, sf_dir):
+    """Written as seekable files and read back: every record, its place in its frame, and its frame's records. Frames are numbered by file there."""
+    back = seekable.read_seekable(spark, written_events(spark, sf_dir))
+    of_frame = back.groupBy("file_id", "frame_id").agg(F.count("*").alias("records"))
+    return back.join(of_frame, ["file_id", "frame_id"]).select(F.md5("record").alias("record_md5"), "offset_in_frame", "records")
+
+
+@query(f"""WITH RECURSIVE {EVENT_FRAMES}, f AS (SELECT CAST(sum(nbytes) AS BIGINT) AS bytes FROM framed GROUP BY frame_id)
+SELECT count(*) AS frames, CAST(sum(bytes) AS BIGINT) AS decompressed, min(bytes) AS min_frame, max(bytes) AS max_frame, list_sort(list(bytes))[count(*) // 2 + 1] AS median_frame, CAST(0 AS BIGINT) AS bad_frames FROM f""")
+def seekable_info(spark, sf_dir):
+    out = written_events(spark, sf_dir)
+    bad = seekable.verify_frames(spark, out).agg(F.count("*").alias("bad_frames"))
+    return seekable.info(spark, out).select("frames", "decompressed", "min_frame", "max_frame", "median_frame").crossJoin(F.broadcast(bad))  # one row each
+
+
+def lines_sql(table: str, key: str, text: str) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY {key}) - 1 AS BIGINT) AS pos, {text} AS record FROM {table}"
+
+
+@query(lines_sql("events", "event_id", "props"))
+def jsonl_round_trip(spark, sf_dir):
+    """Lines written in order, compressed by gzip, and read again by content."""
+    out = shared_path(spark, "lines")
+    write_records(positioned(records.record_view(table(spark, sf_dir, "events"), "event_id", "props")), out, order="pos", compression="gzip")
+    back = read_records(spark, f"{out}/part-*")
+    return records.with_position(back, "file", "row").select("pos", "record")
+
+
+@query("SELECT 'nation.parquet' AS file, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS row, n_name FROM nation")
+def shard_projection(spark, sf_dir):
+    return read_shards(spark, f"{sf_dir}/nation.parquet", ["n_name"])

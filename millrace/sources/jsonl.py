@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import lzma
+import io
 import os
 
 import pyarrow as pa
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.errors import InputMissing, ModeUnavailable, PermissionRefused, UsageError
+from ..operators.errors import ModeUnavailable
+from .files import STREAMED, first_bytes, listed, store, unpacked
 
 #: The bytes that compressed formats begin with.
 MAGIC = {
@@ -29,43 +30,57 @@ def detect(head: bytes) -> str:
 
 
 def _heads(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Path and format of every input file; a few bytes of each are read, by Spark, so any store will do."""
-    try:
-        files = spark.read.format("binaryFile").load(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise InputMissing(path) from e
-        if "Permission denied" in str(e):
-            raise PermissionRefused(path) from e
-        raise
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([detect(bytes(h or b"")) for h in batch.column(1).to_pylist()])], names=["path", "kind"])
-
-    found = files.select("path", F.substring("content", 1, 16).alias("head")).mapInArrow(run, "path string, kind string")
-    return [(r["path"], r["kind"]) for r in found.orderBy("path").collect()]  # one row a file
-
-
-def _unpack(kind: str, raw: bytes) -> bytes:
-    if kind == "gzip":
-        import gzip
-
-        return gzip.decompress(raw)
-    if kind == "bzip2":
-        import bz2
-
-        return bz2.decompress(raw)
-    if kind == "xz":
-        return lzma.decompress(raw)
-    if kind == "zstd":
-        import io
-
-        import zstandard
-
-        with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True) as reader:
-            return reader.read()
-    raise UsageError(kind)
+    """Path and format of every input file, in the order of paths; 16 bytes of each are read."""
+    files = [(r["path"], r["length"]) for r in listed(spark, path).orderBy("path").collect()]  # one row a file
+    return [(file, detect(head)) for (file, _), head in zip(files, first_bytes(spark, files))]
+
+
+LINES_A_BATCH, BYTES_A_BATCH = 4_096, 4 << 20
+LINES = "file string, row long, record string"
+
+
+def _line_batches(file: str, reader):
+    """Batches of (file, row, record) from a binary stream, some lines at a time."""
+    lines, size, at = [], 0, 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "row", "record"])
+
+    for line in reader:
+        lines.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
+        size += len(line)
+        if len(lines) >= LINES_A_BATCH or size >= BYTES_A_BATCH:
+            yield batch()
+            at += len(lines)
+            lines, size = [], 0
+    if lines:
+        yield batch()
+
+
+def _streamed(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """Lines of files that Spark's text reader can't unpack: a file a task, decompressed and split as it is read."""
+    fit = [f for f in files if STREAMED.match(f[0])]
+    other = [f for f in files if not STREAMED.match(f[0])]
+
+    def from_store(batches):
+        for b in batches:
+            for file, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                where, name = store(file)
+                with where.open_input_file(name) as raw, unpacked(kind, raw) as reader:
+                    yield from _line_batches(file, reader)
+
+    def from_content(batches):
+        for b in batches:
+            for file, kind, raw in zip(*(c.to_pylist() for c in b.columns)):
+                with unpacked(kind, io.BytesIO(raw)) as reader:
+                    yield from _line_batches(file, reader)
+
+    out = spark.createDataFrame(fit, "path string, kind string").repartition(max(1, len(fit)), "path").mapInArrow(from_store, LINES)
+    if other:  # stores that only Spark reads hand on whole files, of at most 2 GiB
+        kinds = spark.createDataFrame(other, "path string, kind string")
+        content = spark.read.format("binaryFile").load([f for f, _ in other]).select("path", "content")
+        out = out.unionByName(content.join(F.broadcast(kinds), "path").select("path", "kind", "content").mapInArrow(from_content, LINES))
+    return out
 
 
 def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -73,7 +88,7 @@ def read_records(spark: SparkSession, path: str, kind: str | None = None) -> Dat
 
     Plain files, and compressed ones whose names Spark knows, are read as text,
     split where Spark can. xz files and those with other names than their
-    content go through memory, one file a task. lz4 is refused.
+    content are streamed, one file a task. lz4 is refused.
     """
     by_text, by_content = [], []
     for file, found in _heads(spark, path):
@@ -88,45 +103,22 @@ def read_records(spark: SparkSession, path: str, kind: str | None = None) -> Dat
         lines = spark.read.option("lineSep", "\n").text([f for f, _ in by_text])
         out = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("record"))
     if by_content:
-        kinds = dict(by_content)
-        forms = sorted(set(kinds.values()))
-        for form in forms:
-            files = spark.read.format("binaryFile").load([f for f, k in by_content if k == form])
-
-            def run(batches, form=form):
-                for batch in batches:
-                    for file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        lines = (_unpack(form, raw) if form != "plain" else raw).split(b"\n")
-                        lines = lines[:-1] if lines and not lines[-1] else lines
-                        for at in range(0, len(lines), 4_096):
-                            some = [x.decode("utf-8", "replace") for x in lines[at : at + 4_096]]
-                            yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some)], names=["file", "row", "record"])
-
-            more = files.select("path", "content").mapInArrow(run, "file string, row long, record string")
-            out = more if out is None else out.unionByName(more)
-    if out is None:
-        raise InputMissing(path)
-    return out
+        more = _streamed(spark, by_content)
+        out = more if out is None else out.unionByName(more)
+    return spark.createDataFrame([], LINES) if out is None else out  # Spark lists no empty files
 
 
 def _ends_in_line(path: str, kind: str) -> bool:
     """Whether a file is empty or its content ends in a line feed; it is streamed, a part at a time."""
-    import bz2
-    import gzip
-
-    import zstandard
-    from pyarrow import fs
-
-    store, name = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
-    if kind == "plain":
-        with store.open_input_file(name) as file:
+    where, name = store(path)
+    last = b""
+    with where.open_input_file(name) as file:
+        if kind == "plain":
             file.seek(max(0, file.size() - 1))
             return file.read(1) in (b"", b"\n")
-    unpack = {"gzip": lambda f: gzip.GzipFile(fileobj=f), "bzip2": bz2.BZ2File, "xz": lzma.LZMAFile, "zstd": lambda f: zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True)}[kind]
-    last = b""
-    with store.open_input_file(name) as file, unpack(file) as reader:
-        while some := reader.read(1 << 20):
-            last = some[-1:]
+        with unpacked(kind, file) as reader:
+            while some := reader.read(1 << 20):
+                last = some[-1:]
     return last in (b"", b"\n")
 
 

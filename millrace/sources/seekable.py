@@ -4,12 +4,12 @@ A file is a run of frames, each a whole zstandard frame of whole lines, and a
 seek table in a skippable frame at the end. Reading plans one task per run of
 frames from the table alone; a rank's frames are chosen before anything is
 decompressed. Writing gives one such file a partition under a folder that the
-cluster shares; rows come sorted with their frame_id.
+cluster shares; rows come sorted with their frame_id. Files are read and written
+through pyarrow's file systems, so paths may be local or those of a store.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from dataclasses import dataclass
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.errors import InputMissing, UsageError
+from ..operators.frames import size_summary
+from .files import STREAMED, store
 
 #: Fixed values of the public seekable format.
 TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -43,11 +45,13 @@ def seek_table(frames: list[tuple[int, int, int]]) -> bytes:
 
 
 def read_seek_table(path: str) -> list[Frame]:
+    where, name = store(path)
     try:
-        size = os.path.getsize(path)
+        opened = where.open_input_file(name)
     except FileNotFoundError as e:
         raise InputMissing(path) from e
-    with open(path, "rb") as file:
+    with opened as file:
+        size = file.size()
         if size < FOOTER + 8:
             raise UsageError(f"{path} is no seekable file")
         file.seek(size - FOOTER)
@@ -73,15 +77,25 @@ def read_seek_table(path: str) -> list[Frame]:
     return out
 
 
+def files_under(path: str) -> list[str]:
+    """The input itself, or the files of a folder by name."""
+    from pyarrow import fs
+
+    where, name = store(path)
+    if where.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    found = where.get_file_info(fs.FileSelector(name))
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
+
+
 def files_of(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".zst"))
-    return [path]
+    files = files_under(path)
+    return files if files == [path] else [f for f in files if f.endswith(".zst")]
 
 
 def by_seek_table(path: str) -> tuple[list[str], list[str]]:
     """The files of an input that end in a sound seek table, and the inputs that are left."""
-    files = sorted(os.path.join(path, f) for f in os.listdir(path) if f[0] not in "._") if os.path.isdir(path) else [path]
+    files = files_under(path)
     found = []
     for file in files:
         try:
@@ -95,9 +109,9 @@ def by_seek_table(path: str) -> tuple[list[str], list[str]]:
 def decompress(path: str, frame: Frame) -> bytes:
     import zstandard
 
-    with open(path, "rb") as file:
-        file.seek(frame.offset)
-        return zstandard.ZstdDecompressor().decompress(file.read(frame.compressed), max_output_size=max(1, frame.decompressed))
+    where, name = store(path)
+    with where.open_input_file(name) as file:
+        return zstandard.ZstdDecompressor().decompress(file.read_at(frame.compressed, frame.offset), max_output_size=max(1, frame.decompressed))
 
 
 class _Frames(InputPartition):
@@ -135,23 +149,26 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Files are written beside their final names; the driver renames those of the attempts that counted and removes the others."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.level = int(options.get("level", "3"))
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, rows):
         import xxhash
         import zstandard
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=self.level)
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{part:05d}-{uuid.uuid4().hex[:8]}.zst")
+        where, folder = store(self.path)
+        where.create_dir(folder, recursive=True)
+        name = f"{folder.rstrip('/')}/part-{TaskContext.get().partitionId():05d}-{self.job}-{uuid.uuid4().hex[:8]}.zst"
         table: list[tuple[int, int, int]] = []
         held: list[bytes] = []
         current = None
-        with open(f"{name}.tmp", "wb") as file:
+        with where.open_output_stream(f"{name}.tmp") as file:
 
             def close():
                 raw = b"".join(held)
@@ -171,20 +188,25 @@ class _Writer(DataSourceWriter):
                 close()
             if table:
                 file.write(seek_table(table))
-        if not table:
-            os.remove(f"{name}.tmp")
-            return _Written(None, 0)
-        return _Written(name, len(table))
+        return _Written(name if table else None, len(table))
+
+    def _finish(self, kept: set[str]) -> None:
+        from pyarrow import fs
+
+        where, folder = store(self.path)
+        for f in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if f"-{self.job}-" in f.base_name and f.base_name.endswith(".tmp"):
+                final = f.path.removesuffix(".tmp")
+                if final in kept:
+                    where.move(f.path, final)
+                else:
+                    where.delete_file(f.path)
 
     def commit(self, messages):
-        for m in messages:
-            if m and m.file:
-                os.replace(f"{m.file}.tmp", m.file)
+        self._finish({m.file for m in messages if m and m.file})
 
     def abort(self, messages):
-        for m in messages:
-            if m and m.file and os.path.exists(f"{m.file}.tmp"):
-                os.remove(f"{m.file}.tmp")
+        self._finish(set())
 
 
 class SeekableZstd(DataSource):
@@ -221,27 +243,35 @@ def read_seekable(spark: SparkSession, path: str, frames: list[int] | None = Non
 
 
 def frame_entries(spark: SparkSession, path: str) -> DataFrame:
-    """What the seek tables say, without reading frames."""
-    rows = [(os.path.basename(p), f.frame_id, f.offset, f.compressed, f.decompressed, f.checksum) for p in files_of(path) for f in read_seek_table(p)]
-    return spark.createDataFrame(rows, "file string, frame_id int, offset long, compressed long, decompressed long, checksum long")
+    """What the seek tables say, without reading frames. Tables are read in tasks, a file each."""
+    import pyarrow as pa
+
+    files = files_of(path)
+    for f in files:
+        if not STREAMED.match(f):
+            raise UsageError(f"{f}: seekable files are read from a mounted folder or an object store")
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                frames = read_seek_table(file)
+                columns = [[f.frame_id for f in frames], [f.offset for f in frames], [f.compressed for f in frames], [f.decompressed for f in frames], [f.checksum for f in frames]]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(frames), pa.string()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["path", "frame_id", "offset", "compressed", "decompressed", "checksum"])
+
+    read_seek_table(files[0]) if len(files) == 1 else None  # says what is wrong with a single file before any task
+    listing = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 10_000)), "path")
+    return listing.mapInArrow(run, "path string, frame_id int, offset long, compressed long, decompressed long, checksum long").withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
-    """One row: frames, payload bytes, their ratio, and sizes of frames."""
-    return frame_entries(spark, path).agg(
-        F.count("*").alias("frames"),
-        F.sum("compressed").alias("compressed"),
-        F.sum("decompressed").alias("decompressed"),
-        (F.sum("decompressed") / F.sum("compressed")).alias("ratio"),
-        F.min("decompressed").alias("min_frame"),
-        F.max("decompressed").alias("max_frame"),
-        F.expr("sort_array(collect_list(decompressed))[count(*) div 2]").alias("median_frame"),
-    )
+    """One row: frames, payload bytes, their ratio, size of the files, and sizes of frames."""
+    about = size_summary(frame_entries(spark, path), "decompressed", "compressed")
+    sizes = [where.get_file_info(name).size for where, name in map(store, files_of(path))]
+    return about.withColumn("ratio", F.col("decompressed") / F.col("compressed")).withColumn("file_bytes", F.lit(sum(sizes)).cast("long"))
 
 
 def verify_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames that don't decompress to the size and checksum of their entry: file, frame_id and problem."""
-    files = {os.path.basename(p): p for p in files_of(path)}
 
     def run(batches):
         import pyarrow as pa
@@ -252,7 +282,7 @@ def verify_frames(spark: SparkSession, path: str) -> DataFrame:
             for r in batch.to_pylist():
                 frame = Frame(r["frame_id"], r["offset"], r["compressed"], r["decompressed"], r["checksum"])
                 try:
-                    raw = decompress(files[r["file"]], frame)
+                    raw = decompress(r["path"], frame)
                 except Exception as e:
                     bad.append((r["file"], frame.frame_id, f"unreadable: {e}"))
                     continue
@@ -262,4 +292,4 @@ def verify_frames(spark: SparkSession, path: str) -> DataFrame:
                     bad.append((r["file"], frame.frame_id, "checksum"))
             yield pa.RecordBatch.from_pydict({"file": pa.array([b[0] for b in bad], pa.string()), "frame_id": pa.array([b[1] for b in bad], pa.int32()), "problem": pa.array([b[2] for b in bad], pa.string())})
 
-    return frame_entries(spark, path).repartition("file", "frame_id").mapInArrow(run, "file string, frame_id int, problem string")
+    return frame_entries(spark, path).repartition("path", "frame_id").mapInArrow(run, "file string, frame_id int, problem string")

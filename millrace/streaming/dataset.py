@@ -21,6 +21,7 @@ class Dataset:
     epoch; 0 gives none. ``epochs=0`` never ends. ``seen`` records of the first
     epoch are passed over. Ranks get every ``world_size``-th record; so do the
     workers of ``worker_info``, a function that gives (worker, workers).
+    ``counts`` has the number of records handed out in each epoch so far.
     """
 
     def __init__(self, df: DataFrame, shuffle: str = "chunk-shuffled", seed: int = 0, epochs: int = 1, sample: int | None = None, sample_scope: str = "total", rank: int | None = None, world_size: int | None = None, seen: int = 0, size: int | None = None, worker_info: Callable[[], tuple[int, int] | None] | None = None):
@@ -28,6 +29,7 @@ class Dataset:
             raise UsageError(f"unknown mode {shuffle!r}; there are {MODES}")
         self.df, self.mode, self.seed, self.epochs, self.sample, self.scope = df, shuffle, seed, epochs, sample, sample_scope
         self.rank, self.world, self.seen, self.size, self.worker_info = rank, world_size, seen, size, worker_info
+        self.counts: dict[int, int] = {}
 
     def _ranks(self) -> tuple[int | None, int | None]:
         rank, world = self.rank, self.world
@@ -69,7 +71,9 @@ class Dataset:
                 if left <= 0:
                     return
                 rows = rows.limit(left)
+            self.counts[number] = 0
             for row in rows.toLocalIterator(prefetchPartitions=True):
+                self.counts[number] += 1
                 if left is not None:
                     left -= 1
                 yield (row["record"] or "").encode("utf-8") + b"\n"

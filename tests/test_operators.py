@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -119,6 +120,55 @@ def test_frames_close_at_the_size(spark):
     assert frames.frame_info(got).first()["median_frame"] == sizes_sorted[len(sizes_sorted) // 2]
 
 
+def sequential_frames(sizes, files, frame_size):
+    out, current, frame, held = [], None, 0, 0
+    for f, n in zip(files, sizes):
+        if f != current:
+            current, frame, held = f, 0, 0
+        out.append(frame)
+        held += n
+        if held >= frame_size:
+            frame, held = frame + 1, 0
+    return out
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=60), st.integers(1, 120), st.integers(0, 119))
+def test_exits_of_a_run_of_records(sizes, frame_size, entry):
+    entry %= frame_size
+    frame, held = 0, entry
+    for n in sizes:
+        held += n
+        if held >= frame_size:
+            frame, held = frame + 1, 0
+    exits = frames._Exits(np.array(sizes), frame_size)
+    k = int(np.searchsorted(-exits.low, -entry))
+    got = (int(exits.closed[k]), int(exits.held[k])) if k < len(exits.low) else (0, entry + exits.total)
+    assert got == (frame, held)
+
+
+@pytest.mark.parametrize("frame_size", [1, 64, 300, 5_000, 10**9])
+def test_frames_over_many_partitions_are_the_sequential_ones(spark, frame_size):
+    draw = random.Random(frame_size)
+    files = [f"f{i // 70}" if i < 400 else "last" for i in range(900)]
+    sizes = [draw.choice([1, 5, 30, 200]) for _ in files]
+    df = spark.createDataFrame([(f, i, n, float(i)) for i, (f, n) in enumerate(zip(files, sizes))], "file string, pos long, nbytes long, x double").repartition(5)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for file in (None, "file"):
+            got = {r["pos"]: (r["frame_id"], r["x"]) for r in frames.assign_frames(df, frame_size, file=file).collect()}
+            want = sequential_frames(sizes, files if file else [0] * len(files), frame_size)
+            assert got == {i: (w, float(i)) for i, w in enumerate(want)}
+        placed = records.with_position(df.drop("pos"), "file", "x")
+        order = [r["pos"] for r in placed.orderBy("file", "x").collect()]
+        assert order == list(range(900))
+        by_file = [n for _, n in sorted(zip(files, sizes), key=lambda z: z[0])] if files != sorted(files) else sizes
+        got = [r["frame_id"] for r in frames.assign_frames(placed, frame_size, in_order=True).orderBy("pos").collect()]
+        assert got == sequential_frames(by_file, [0] * 900, frame_size)
+        assert frames.assign_frames(df.filter("pos < 0"), frame_size).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_byte_offsets(spark):
     got = frames.byte_offsets(corpus(spark, ["alpha", "bravo", "charlie", "delta"])).orderBy("idx").collect()
     assert [(r["start"], r["end"]) for r in got] == [(0, 6), (6, 12), (12, 20), (20, 26)]
@@ -172,7 +222,7 @@ def test_verdicts(spark):
         analyze.report(framed, strict=True)
 
 
-@pytest.mark.parametrize("text", ["1", '"a"', "null", "[1,2]", '{"a":{"b":[]}}', '{"a":1,"a":2}', '"\\ud800"', "[" * 128 + "]" * 128, '"' + "[" * 500 + '"'])
+@pytest.mark.parametrize("text", ["1", '"a"', "null", "[1,2]", '{"a":{"b":[]}}', '{"a":1,"a":2}', '"\\ud800"', "[" * 128 + "]" * 128, '"' + "[" * 500 + '"', "9" * 5_000, "-1." + "3" * 9_000 + "e5"])
 def test_valid_json(text):
     assert json_error(text) is None
 

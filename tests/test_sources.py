@@ -1,3 +1,4 @@
+import argparse
 import bz2
 import gzip
 import json
@@ -8,7 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from millrace.__main__ import main
+from millrace.__main__ import main, serving
 from millrace.operators import frames, index, records, shuffle
 from millrace.operators.errors import InputMissing, ModeUnavailable, UsageError
 from millrace.sources import jsonl, seekable, shards
@@ -27,6 +28,22 @@ def test_codecs_are_found_by_content(spark, tmp_path, name):
     assert [r["record"] for r in rows] == ["one\r", "t\0wo", "☃snowman"]
 
 
+def test_only_the_first_bytes_of_a_file_are_looked_at(spark, tmp_path):
+    long_one = b"x" * 300_000 + b"\n" + b"y\n" * 10_000
+    for name, raw in (("plain.txt", long_one), ("a.xz", lzma.compress(long_one)), ("gz_elsewhere", gzip.compress(long_one)), ("plain.gz", long_one), ("empty", b"")):
+        (tmp_path / name).write_bytes(raw)
+    was = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    try:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10")
+        assert [k for _, k in jsonl._heads(spark, str(tmp_path))] == ["xz", "gzip", "plain", "plain"]  # empty files aren't listed
+        for name in ("plain.txt", "a.xz", "gz_elsewhere", "plain.gz"):
+            rows = jsonl.read_records(spark, str(tmp_path / name)).orderBy("row").collect()
+            assert b"".join(r["record"].encode() + b"\n" for r in rows) == long_one
+        assert jsonl.read_records(spark, str(tmp_path / "empty")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", was)
+
+
 def test_refused_inputs(spark, tmp_path):
     (tmp_path / "x.lz4").write_bytes(b"\x04\x22\x4d\x18rest")
     with pytest.raises(ModeUnavailable):
@@ -108,6 +125,7 @@ def test_index_is_used_again_until_the_input_changes(spark, tmp_path):
     (tmp_path / "in.txt").write_text("a\nb\nc\n")
     index.cached_index(spark, str(tmp_path / "in.txt"), str(tmp_path / "idx"), build)
     assert len(built) == 2
+    assert index.looked_up_index(spark, str(tmp_path / "in.txt"), str(tmp_path / "idx"), build)[1] and not index.looked_up_index(spark, str(tmp_path / "in.txt"), str(tmp_path / "other"), build)[1]
     listed = index.Catalogue(spark, [("one", str(tmp_path / "in.txt"))])
     assert listed.as_table().count() == 1 and listed.path("one")
     with pytest.raises(UsageError):
@@ -125,7 +143,8 @@ def test_dataset(spark, mode):
     assert list(Dataset(df, mode, seed=3, sample=0)) == []
     assert list(Dataset(df, mode, seed=3, seen=50)) == list(Dataset(df, mode, seed=3))[50:]
     assert len(list(Dataset(df, mode, epochs=2, sample=70))) == 70
-    assert len(list(Dataset(df, mode, epochs=2, sample=7, sample_scope="epoch"))) == 14
+    twice = Dataset(df, mode, epochs=2, sample=7, sample_scope="epoch")
+    assert len(list(twice)) == 14 and twice.counts == {0: 7, 1: 7}
     assert sorted(x for w in range(2) for x in Dataset(df, mode, worker_info=lambda w=w: (w, 2))) == want
 
 
@@ -174,13 +193,51 @@ def test_command_line(spark, tmp_path, capfdbinary):
     path = str(tmp_path / "in.jsonl")
     assert main(["stream", path, "--shuffle", "index-perm", "--sample", "5"]) == 0
     assert len(capfdbinary.readouterr().out.splitlines()) == 5
-    assert main(["convert", path, "-o", str(tmp_path / "out"), "--frame-size", "128"]) == 0
+    assert main(["convert", path, "-o", str(tmp_path / "out"), "--frame-size", "128", "--verify"]) == 0
+    said = next(json.loads(x) for x in reversed(capfdbinary.readouterr().err.splitlines()) if x.startswith(b"{"))
+    raw = (tmp_path / "in.jsonl").read_bytes()
+    assert (said["records"], said["decompressed"], said["bad_frames"]) == (50, len(raw), 0) and said["frames"] > 1 and said["file_bytes"] > said["compressed"]
     assert main(["info", str(tmp_path / "out")]) == 0
     assert main(["verify", path, "--deep"]) == 0
     assert main(["analyze", path, "--frame-size", "64"]) == 0
     assert main(["stream", str(tmp_path / "none")]) == 66
 
 
+def test_exit_codes(spark, tmp_path, capfdbinary):
+    (tmp_path / "in.jsonl").write_text('{"i":1}\n{"long":"' + "x" * 100 + '"}\nno json\n')
+    path = str(tmp_path / "in.jsonl")
+    assert main(["stream", path, "--shuffle", "none", "--max-line", "50", "--on-error", "fail"]) == 65
+    said = capfdbinary.readouterr()
+    assert said.out == b"" and b"1 records exceed --max-line (50 B)" in said.err
+    assert main(["stream", path, "--shuffle", "none", "--on-error", "fail"]) == 0
+    assert main(["verify", path, "--deep"]) == 65
+    (tmp_path / "file").write_text("x")
+    assert main(["convert", path, "-o", str(tmp_path / "file" / "below")]) == 73
+    assert main(["info", path]) == 64
+
+
+def test_the_server_of_the_command_line(spark, tmp_path):
+    import threading
+    import urllib.request
+
+    (tmp_path / "in.jsonl").write_text("".join(f'{{"i":{i}}}\n' for i in range(20)))
+    a = argparse.Namespace(datasets=[f"one={tmp_path / 'in.jsonl'}"], host="127.0.0.1", port=0, tokens=None, frame_size=64)
+    running = serving(spark, a)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    try:
+        with urllib.request.urlopen(f"http://127.0.0.1:{running.server_address[1]}/v1/streams/one?shuffle=chunk-shuffled", timeout=120) as r:
+            assert sorted(json.loads(x)["i"] for x in r.read().splitlines()) == list(range(20))
+    finally:
+        running.shutdown()
+
+
+def test_failed_attempts_leave_nothing(spark, tmp_path):
+    framed = frames.assign_frames(corpus(spark), 256).withColumn("record", F.when(F.col("pos") == 299, F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("record")))
+    with pytest.raises(Exception, match="broken"):
+        seekable.write_seekable(framed, str(tmp_path / "seek"))
+    assert not [f for f in (tmp_path / "seek").glob("*")] if (tmp_path / "seek").exists() else True
+
+
 def test_long_lines_are_dropped_by_stream_alone(spark, tmp_path, capfdbinary):
     long_one = json.dumps("x" * (20 << 20))
     lines = ["1", long_one, "22", "333"]
