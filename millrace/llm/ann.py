@@ -4,12 +4,14 @@ A pseudo-rotation (random signs and a fast Hadamard transform, three times)
 turns a unit vector; its bucket in a table is the signed axis that it is
 nearest to, or a tuple of such axes of several rotations for large tables. A
 query also probes the buckets of the axes that are next nearest. Candidates of
-all tables are reranked by exact inner products.
+all tables are reranked by exact inner products, summed in an order that doesn't
+depend on what else is in their block.
 
 How many buckets a query probes is measured, not guessed: for a bounded sample
 of queries, one pass over all vectors finds the true neighbours and the rank of
 their buckets in the query's probing order, and the fewest probes that reach
-the target recall are taken. Buckets above a bounded number of rows are
+the target recall are taken; where MOST_PROBES don't, buckets of fewer axes are,
+in the end of one, all of which can be probed. Buckets above a bounded number of rows are
 searched in pieces, so none is capped. See ``vectors`` for nulls and copies.
 """
 
@@ -36,6 +38,11 @@ SHARD_ROWS = 32_768
 LEAST_SHARDS = 12
 SAMPLED_QUERIES = 96
 TARGET_RECALL = 0.95
+#: By so much, relatively, sums of another order may differ; nearly equal scores are summed again.
+ROUNDING = 1e-12
+#: Probing orders of several axes are followed so far, in so many numbers at a time.
+MOST_PROBES = 4_096
+ROOM = 1 << 22
 
 
 def stored(dtype: str):
@@ -74,13 +81,30 @@ def axis_scores(vectors: np.ndarray, table: int, part: int) -> np.ndarray:
     return np.concatenate([x, -x], axis=1)
 
 
-def bucket_scores(vectors: np.ndarray, table: int, parts: int) -> np.ndarray:
-    """How near each bucket of a table is to each vector; a vector's own bucket scores highest."""
-    scores = axis_scores(vectors, table, 0)
-    for part in range(1, parts):
-        more = axis_scores(vectors, table, part)
-        scores = (scores[:, :, None] + more[:, None, :]).reshape(len(vectors), -1)
-    return scores
+def probing_order(vectors: np.ndarray, table: int, parts: int, most: int) -> np.ndarray:
+    """Codes of the ``most`` buckets of a table that are nearest to each vector, the nearest first: a vector's own bucket.
+
+    A tuple of axes among the nearest begins with one of the nearest shorter
+    tuples, so tuples grow by a part at a time from those.
+    """
+    codes = sums = None
+    for part in range(parts):
+        scores = axis_scores(vectors, table, part)
+        axes = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+        best = np.take_along_axis(scores, axes, axis=1)
+        if codes is None:
+            codes, sums = axes, best
+            continue
+        width, rows = scores.shape[1], max(1, ROOM // (codes.shape[1] * axes.shape[1]))
+        grown = []
+        for at in range(0, len(vectors), rows):
+            own = slice(at, at + rows)
+            both = (sums[own, :, None] + best[own, None, :]).reshape(len(sums[own]), -1)
+            names = (codes[own, :, None] * width + axes[own, None, :]).reshape(both.shape)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :most]
+            grown.append((np.take_along_axis(names, order, axis=1), np.take_along_axis(both, order, axis=1)))
+        codes, sums = (np.concatenate(x) for x in zip(*grown))
+    return codes
 
 
 def own_buckets(vectors: np.ndarray, table: int, parts: int) -> np.ndarray:
@@ -91,8 +115,8 @@ def own_buckets(vectors: np.ndarray, table: int, parts: int) -> np.ndarray:
     return code
 
 
-def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, target: float, dtype: str) -> int:
-    """The fewest probed buckets a table that find ``target`` of the sampled queries' true neighbours."""
+def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, target: float, dtype: str) -> int | None:
+    """The fewest probed buckets a table that find ``target`` of the sampled queries' true neighbours; None if that takes too many."""
     by_dim: dict[int, list[bytes]] = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(bytes(r["v"]))
@@ -102,39 +126,50 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
         prepared = {}
         for dim, raw in shared.value.items():
             asking = doubles(raw, dtype)
-            ranks = []
-            for t in range(TABLES):
-                scores = bucket_scores(asking, t, parts)
-                order = np.argsort(-scores, axis=1, kind="stable")
-                rank = np.empty_like(order)
-                np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
-                ranks.append(rank)
-            prepared[dim] = asking, ranks
+            codes = [probing_order(asking, t, parts, MOST_PROBES) for t in range(TABLES)]
+            prepared[dim] = asking, [(np.argsort(c, axis=1), np.sort(c, axis=1)) for c in codes]
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             queries, scores, ranks = [], [], []
-            for dim, (asking, rank) in prepared.items():
+            for dim, (asking, orders) in prepared.items():
                 rows = np.flatnonzero(dims == dim)
                 if not len(rows):
                     continue
                 vectors = doubles(batch.column("v").take(pa.array(rows)).to_pylist(), dtype)
                 near = asking @ vectors.T
-                first = np.min([rank[t][:, own_buckets(vectors, t, parts)] for t in range(TABLES)], axis=0)
-                same = [(vectors == q).all(axis=1) for q in asking]
                 for q in range(len(asking)):
-                    near[q, same[q]] = -np.inf
+                    near[q, (vectors == asking[q]).all(axis=1)] = -np.inf
                     top = np.argsort(-near[q], kind="stable")[:k]
                     top = top[np.isfinite(near[q, top])]
+                    if not len(top):
+                        continue
+                    first = np.full(len(top), MOST_PROBES, dtype=np.int64)
+                    for t, (order, sorted_codes) in enumerate(orders):
+                        own = own_buckets(vectors[top], t, parts)
+                        at = np.minimum(np.searchsorted(sorted_codes[q], own), sorted_codes.shape[1] - 1)
+                        first = np.minimum(first, np.where(sorted_codes[q, at] == own, order[q, at], MOST_PROBES))
                     queries += [f"{dim}:{q}"] * len(top)
                     scores.append(near[q, top])
-                    ranks.append(first[q, top])
+                    ranks.append(first)
             join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
             yield pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), join(scores, pa.float64()), join(ranks, pa.int64())], names=["q", "score", "first"])
 
     seen = distinct.select("dim", "v").mapInArrow(run, "q string, score double, first long")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
     needed = np.sort([r["first"] for r in seen.withColumn("nth", nth).filter(F.col("nth") <= k).select("first").collect()])  # SAMPLED_QUERIES * k rows
-    return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) + 1 if len(needed) else 1
+    if not len(needed):
+        return 1
+    probes = int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) + 1
+    return probes if probes <= MOST_PROBES else None
+
+
+def bucket_axes(rows: int, dim: int) -> int:
+    """How many axes name a bucket, so that it has about BUCKET_ROWS rows or fewer."""
+    width = 2 << max(1, (dim - 1).bit_length())
+    parts = 1
+    while width**parts * BUCKET_ROWS < rows:
+        parts += 1
+    return parts
 
 
 def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET_RECALL) -> DataFrame:
@@ -144,9 +179,10 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
     distinct = cut(distinct_vectors(rows, k))
     queries = rows.filter(F.col("id") % every == 0).withColumn("qkey", F.md5("v"))
     asked = cut(queries.groupBy("dim", "v", "qkey").agg(F.count("*").alias("n")).drop("n"))
-    total = distinct.count()
-    parts = 1 if total <= BUCKET_ROWS * 128 else 2
-    probes = calibrated_probes(distinct, asked.orderBy("qkey").limit(SAMPLED_QUERIES).collect(), k, parts, target, dtype)
+    total, least_dim = distinct.agg(F.count("*"), F.coalesce(F.min("dim"), F.lit(1))).first()
+    parts, sample = bucket_axes(total, least_dim), asked.orderBy("qkey").limit(SAMPLED_QUERIES).collect()
+    while (probes := calibrated_probes(distinct, sample, k, parts, target, dtype)) is None:
+        parts -= 1
     shards = max(LEAST_SHARDS, -(-total * TABLES // SHARD_ROWS))
 
     def buckets(batches):
@@ -168,7 +204,7 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
                     some = own.slice(at, 256)
                     vectors = doubles(some.column("v").to_pylist(), dtype)
                     for t in range(TABLES):
-                        codes = np.argsort(-bucket_scores(vectors, t, parts), axis=1, kind="stable")[:, :probes]
+                        codes = probing_order(vectors, t, parts, probes)
                         row = pa.array(np.repeat(np.arange(len(vectors)), codes.shape[1]))
                         yield pa.RecordBatch.from_arrays([*(c.take(row) for c in some.columns), pa.array(np.full(len(row), t, np.int32)), pa.array(codes.reshape(-1))], names=[*some.schema.names, "t", "code"])
 
@@ -205,16 +241,18 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
                 matrix = doubles([vectors[i] for i in members], dtype)
                 for at in range(0, len(asking_rows[b]), 512):
                     some = asking_rows[b][at : at + 512]
-                    scores = doubles([asking[i] for i in some], dtype) @ matrix.T
+                    asked_vectors = dict(zip(some, doubles([asking[i] for i in some], dtype)))
+                    scores = np.array(list(asked_vectors.values())) @ matrix.T
                     for own, i in zip(scores, some):
                         mine = best.setdefault(keys[i], Best(k + 1))
                         worst = mine.worst()
                         if len(own) > k + 1:
                             least = np.partition(own, len(own) - k - 1)[len(own) - k - 1]
                             worst = least if worst is None else max(least, worst)
-                        hits = np.flatnonzero(own >= worst) if worst is not None else np.arange(len(own))
+                        hits = np.flatnonzero(own >= worst - ROUNDING * (1 + abs(worst))) if worst is not None else np.arange(len(own))
                         if len(hits):
-                            mine.add(*expand(members[hits], own[hits], offsets, values))
+                            exact = (matrix[hits] * asked_vectors[i]).sum(axis=1)  # row by row: the same in every block
+                            mine.add(*expand(members[hits], exact, offsets, values))
         keys_out = [key for key, b in best.items() for _ in range(len(b.ids))]
         join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
         return pa.table({"qkey": pa.array(keys_out, pa.string()), "id": join([b.ids for b in best.values()], pa.int64()), "score": join([b.scores for b in best.values()], pa.float64())})

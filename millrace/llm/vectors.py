@@ -4,7 +4,9 @@ Rows whose id is null, and vectors that are null, empty or hold null or
 non-finite components, take no part; only vectors of one dimension are compared.
 Equal vectors are searched once, with the smallest of their ids: no more than
 k + 1 of them can be among a query's k nearest, as ties go to smaller ids.
-Rows that repeat both id and vector count once.
+Rows that repeat both id and vector count once; where an id has several vectors,
+each is searched, and the id counts with its best score. An empty table gives no
+rows. Columns of other names are ignored, whatever they are called.
 """
 
 from __future__ import annotations

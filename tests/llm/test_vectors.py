@@ -76,9 +76,78 @@ def test_nearest_found(vectors):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 48))
     assert np.allclose((ann.rotate(x, 0, 0) ** 2).sum(1), (x**2).sum(1))
-    assert (ann.bucket_scores(x, 1, 2).argmax(1) == ann.own_buckets(x, 1, 2)).all()
+    for parts in (1, 2, 3):
+        assert (ann.probing_order(x, 1, parts, 7)[:, 0] == ann.own_buckets(x, 1, parts)).all()
 
 
+def test_probing_orders_are_those_of_all_tuples(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(9, 5))
+    monkeypatch.setattr(ann, "ROOM", 100)
+    for parts, most in ((1, 16), (2, 40), (3, 25)):
+        sums = np.zeros((9, 1))
+        for part in range(parts):
+            sums = (sums[:, :, None] + ann.axis_scores(x, 2, part)[:, None, :]).reshape(9, -1)
+        got = ann.probing_order(x, 2, parts, most)
+        want = -np.sort(-sums, axis=1)[:, :most]
+        assert np.allclose(np.take_along_axis(sums, got, axis=1), want) and all(len(set(r)) == len(r) for r in got.tolist())
+    assert ann.bucket_axes(1_000, 64) == 1 and ann.bucket_axes(10**7, 64) == 2 and ann.bucket_axes(10**11, 64) == 4
+
+
+def test_large_tables_take_several_axes_a_bucket(vectors, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 4)
+    table = valid(vectors, False)
+    want = brute(table, 20, 20)
+    for most in (4_096, 8):  # with eight probes a single axis has to do
+        monkeypatch.setattr(ann, "MOST_PROBES", most)
+        monkeypatch.setattr(ann, "PIECE_ROWS", 16)
+        if most == 8:
+            monkeypatch.setattr(ann, "calibrated_probes", lambda *a, f=ann.calibrated_probes: f(*a) if a[3] > 1 else 32)
+        found = {}
+        for r in ann.nearest(vectors, 20, 20).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert np.mean([len(found[q] & {i for i, _ in hits}) / 20 for q, hits in want.items()]) >= 0.85
+
+
+def test_scores_dont_depend_on_blocks(vectors, monkeypatch):
+    rows = lambda: {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(vectors, 20, 20).collect()}
+    one = rows()
+    monkeypatch.setattr(ann, "PIECE_ROWS", 7)
+    two = rows()
+    assert len(set(one) & set(two)) > 0.9 * len(one) and all(one[x] == two[x] for x in set(one) & set(two))
+
+
+def test_pivots_are_far_apart_and_blocks_are_left_out(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 8)) * 3
+    v = np.float32(centres[draw.integers(0, 12, 3_000)] + draw.normal(size=(3_000, 8)) * 0.05)
+    pivots = exact_topk.far_apart(exact_topk.quantised(v.astype(float)), 12)
+    near = exact_topk.pivot_distances(pivots, exact_topk.quantised(centres))
+    assert len({int(x) for x in near.argmin(axis=1)}) == 12
+    monkeypatch.setattr(exact_topk, "VECTORS_A_BLOCK", 100)
+    monkeypatch.setattr(exact_topk, "SAMPLE", 300)
+    monkeypatch.setattr(exact_topk, "QUERIES_A_BLOCK", 16)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    sent = []
+    plain = exact_topk.ranked
+    monkeypatch.setattr(exact_topk, "ranked", lambda found, *a: sent.append(found.count()) or plain(found, *a))
+    got = {}
+    for r in exact_topk.top_k(df, 5, 50).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = brute({i: np.floor(x.astype(float) * 256) for i, x in enumerate(v)}, 5, 50)
+    assert got == {q: [(i, int(s)) for i, s in hits] for q, hits in want.items()}
+    assert sent[0] < 60 * 30 * 6 / 3  # of 60 queries to some 30 blocks
+
+
+def test_ties_go_to_smaller_ids(spark):
+    draw = np.random.default_rng(7)
+    rows = [(i, [1.0, 0.0, 0.0, float(draw.integers(0, 2))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    want = brute(valid(df, False), 20, 20)
+    got = {}
+    for r in ann.nearest(df, 20, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, float(s)) for i, s in hits] for q, hits in want.items()}
+
 def test_empty_and_tiny_tables(spark, vectors):
     none = vectors.filter("false")
     assert exact_topk.top_k(none, 5, 50).collect() == [] and ann.nearest(none, 20, 20).collect() == []
