@@ -5,9 +5,16 @@ once, and those that come back as the one token they name are kept: a pre-token
 equal to such a string counts as one without merging. Only the other pre-tokens
 are merged, and each process remembers the counts of those it has met.
 
-Null and empty texts have 0 bytes and 0 tokens. Rows are kept as they come,
-repeated ones and null ids too; columns that the input has besides are dropped
-unless named in ``keep``.
+Chunks of letters up to U+024F are lowered and cut here; those with others, and
+texts with the four ASCII separators, by the library's own normalizer and
+pre-tokenizer, whose Unicode tables are the ones that count. Their pre-tokens
+are then counted in the same two ways. Only chunks that hold the string of a
+special token are encoded by the library.
+
+Null and empty texts have 0 bytes and 0 tokens. Very long texts are counted
+whole, one at a time. Rows are kept as they come, repeated ones and null ids
+too. An empty table gives no rows. Columns that the input has besides are
+dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -61,6 +68,15 @@ class MergedCounts(Remembered):
         return len(merge(parts, self.ranks, " "))
 
 
+class MergedNames(MergedCounts):
+    """The same of pre-tokens in the printable characters that stand for their bytes."""
+
+    def work(self, piece: str) -> int:
+        parts = list(piece)
+        parts[-1] += WORD_END
+        return len(merge(parts, self.ranks, " "))
+
+
 class TokenCounter(Remembered):
     """From a white-space-separated chunk to its number of tokens."""
 
@@ -75,12 +91,17 @@ class TokenCounter(Remembered):
         self.library.no_padding()
         self.whole = frozenset(whole)
         self.merged = MergedCounts(spec["model"]["merges"])
+        self.named = MergedNames(spec["model"]["merges"])
+        characters = byte_characters()
+        self.whole_names = frozenset("".join([characters[b] for b in w.encode()]) for w in whole)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pre_tokens = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
     def work(self, chunk: str) -> int:
-        if any(s in chunk for s in self.special) or not settled(chunk):
+        if any(s in chunk for s in self.special):
             return len(self.library.encode(chunk, add_special_tokens=False).ids)
+        if not settled(chunk):
+            return self.cut_by_library(chunk)
         if chunk.isascii():
             plain = chunk.lower()
             if plain in self.whole:
@@ -91,11 +112,15 @@ class TokenCounter(Remembered):
             plain = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
         return sum([1 if p in self.whole else self.merged[p] for p in self.pre_tokens.findall(plain)])
 
+    def cut_by_library(self, text: str) -> int:
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return sum([1 if name in self.whole_names else self.named[name] for name, _ in pieces])
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if SEPARATORS.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+            return self.work(text) if any(s in text for s in self.special) else self.cut_by_library(text)
         return sum(map(self.__getitem__, text.split()))
 
 

@@ -38,6 +38,17 @@ def test_word_ids_and_counts_are_the_librarys(text):
     assert counter.count(text) == len(want)
 
 
+def test_texts_in_any_script_are_counted_without_the_librarys_encoder():
+    counter = token_counts.TokenCounter(WORDS, token_counts.prove_whole_tokens(WORDS))
+    draw = random.Random(12)
+    scripts = [range(0x400, 0x500), range(0x370, 0x3FF), range(0x5D0, 0x5EB), range(0x4E00, 0x4F00), range(0x1F600, 0x1F640), range(0x2010, 0x2030), range(0x300, 0x340), range(0x1C, 0x20), range(0x41, 0x7B)]
+    made = ["".join(chr(draw.choice(draw.choice(scripts))) for _ in range(draw.randrange(1, 60))) for _ in range(3_000)]
+    made += [f"{t} word. {t}" for t in ("Привет", "κόσμε ΣΑΣ", "中文 字", "“quoted” it’s", "ﬁne ½", "😀😀")]
+    want = [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in made]
+    counter.library = type("Cutter", (), {"normalizer": counter.library.normalizer, "pre_tokenizer": counter.library.pre_tokenizer})()
+    assert [counter.count(t) for t in made] == want
+
+
 @settings(max_examples=400, deadline=None)
 @given(texts)
 def test_byte_ids_are_tiktokens_and_decode(text):
