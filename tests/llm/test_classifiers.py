@@ -1,5 +1,6 @@
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from millrace.llm import quality, toxicity
-from millrace.llm.common import table
+from millrace.llm.common import shared_dir, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,7 +89,9 @@ def test_pipeline(spark, odd, none, tmp_path):
         assert stage(spark, odd, SF).columns == odd.columns
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.collect()} == ids
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("pipeline_*"))
     assert {r["doc_id"] for r in __spark_entry__.queries()["pipeline"](spark, SF).collect()} == ids
+    assert len(set(Path(shared_dir(spark).removeprefix("file:")).glob("pipeline_*")) - before) == 1  # what the last stage reads
     assert corpus_pipeline.STAGES[-1][1](spark, none, SF).collect() == []
 
 
