@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import near_duplicates, packing, quality, toxicity
-from millrace.llm.common import free_name, shared_path, table
+from millrace.llm.common import discard, free_name, shared_path, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -61,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences. A stage's table is removed once the next one is written; the last stage reads the one that is left."""
     docs = table(spark, sf_dir, "documents")
+    written = None
     for name, stage in STAGES[:-1]:
         out = shared_path(spark, f"pipeline_{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if written:
+            discard(spark, written)
+        written = out
     return STAGES[-1][1](spark, docs, sf_dir)
