@@ -111,12 +111,17 @@ def weighted_mix(frames: dict[str, DataFrame], weights: dict[str, float], seed:
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_stats(df: DataFrame, max_line: int, on_error: str = "skip") -> DataFrame:
-    """One row: records and bytes in and out, and long records skipped and passed."""
+def run_stats(df: DataFrame, max_line: int, on_error: str = "skip", trailing_partial: int | None = None) -> DataFrame:
+    """One row: records and bytes in and out, and long records skipped and passed.
+
+    ``trailing_partial``: how many inputs end without a line feed, if known. Their
+    missing line ends don't count as bytes in, and had_trailing_partial is added;
+    every record that goes out has its line end.
+    """
     long_one = F.col("nbytes") > max_line
     out = ~long_one if on_error == "skip" else F.lit(True)
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
-    return df.agg(
+    stats = df.agg(
         F.count("*").cast("long").alias("records_in"),
         total(out.cast("long"), "records_out"),
         total(F.col("nbytes"), "bytes_in"),
@@ -124,3 +129,6 @@ def run_stats(df: DataFrame, max_line: int, on_error: str = "skip") -> DataFrame
         total((long_one & F.lit(on_error == "skip")).cast("long"), "oversized_skipped"),
         total((long_one & F.lit(on_error == "passthrough")).cast("long"), "oversized_passthrough"),
     )
+    if trailing_partial is None:
+        return stats
+    return stats.withColumn("bytes_in", F.col("bytes_in") - trailing_partial).withColumn("had_trailing_partial", F.lit(trailing_partial > 0))

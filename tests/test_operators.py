@@ -184,6 +184,8 @@ def test_long_records(spark):
         records.limit_length(df, 10, "hm")
     stats = records.run_stats(df, 10).first()
     assert (stats["records_out"], stats["oversized_skipped"], stats["bytes_out"]) == (2, 1, 7)
+    partial = records.run_stats(df, 10, trailing_partial=1).first()
+    assert partial["had_trailing_partial"] and partial["bytes_in"] == stats["bytes_in"] - 1 and partial["bytes_out"] == 7
 
 
 def test_sampling_order(spark):
