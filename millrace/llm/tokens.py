@@ -65,9 +65,23 @@ class ChunkEncoder(Remembered):
     def direct(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.islower() and chunk not in self.old and len(chunk) <= self.longest:
+            if chunk.isascii():  # most of what is new: words as they are, remembered without further calls
+                names = chunk
+            elif max(chunk) <= SETTLED:
+                names = chunk.encode().decode("latin-1").translate(BYTE_NAMES)
+            else:
+                return super().__missing__(chunk)
+            as_bytes = self.id_bytes
+            value = b"".join([as_bytes[t.id] for t in self.model.tokenize(names)])
+            if len(self) >= self.room:
+                self.turn()
+            self[chunk] = value
+            return value
+        return super().__missing__(chunk)
+
     def work(self, chunk: str) -> bytes:
-        if chunk.isalpha() and chunk.isascii() and chunk.islower():
-            return self.modelled(chunk)
         mark = chunk[-1]
         if mark in MARKS:
             head = chunk[:-1]
