@@ -80,11 +80,7 @@ class Remembered(dict):
             value = self.work(key)
         if len(key) <= self.longest:
             if len(self) >= self.room:
-                self.turn()
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
-
-    def turn(self) -> None:
-        """What is remembered becomes the old generation."""
-        self.old = dict(self)
-        self.clear()
