@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,4 +17,4 @@ def oracle(sql: str, sf: str = SF):
 
 def rows_of(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(tuple(None if x != x else (round(x, 6) if isinstance(x, float) else x) for x in r) for r in frame[columns].itertuples(index=False))
+    return columns, sorted(tuple(None if pd.isna(x) else (round(x, 6) if isinstance(x, float) else x) for x in r) for r in frame[columns].itertuples(index=False))
