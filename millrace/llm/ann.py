@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut
-from .vectors import Best, distinct_vectors, expand, ranked, valid_vectors
+from .vectors import Best, OfIds, distinct_vectors, expand, ranked, valid_vectors
 
 TABLES = 4
 #: Rows that a bucket should have on average; tables of more rows take two axes for a bucket.
@@ -130,16 +130,21 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
             prepared[dim] = asking, [(np.argsort(c, axis=1), np.sort(c, axis=1)) for c in codes]
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            queries, scores, ranks = [], [], []
+            first_ids = batch.column("id").to_numpy(zero_copy_only=False)
+            queries, names, scores, ranks = [], [], [], []
             for dim, (asking, orders) in prepared.items():
                 rows = np.flatnonzero(dims == dim)
                 if not len(rows):
                     continue
                 vectors = doubles(batch.column("v").take(pa.array(rows)).to_pylist(), dtype)
-                near = asking @ vectors.T
+                near, own_ids = asking @ vectors.T, first_ids[rows]
+                repeated = len(np.unique(own_ids)) < len(own_ids)
                 for q in range(len(asking)):
                     near[q, (vectors == asking[q]).all(axis=1)] = -np.inf
-                    top = np.argsort(-near[q], kind="stable")[:k]
+                    top = np.argsort(-near[q], kind="stable")
+                    if repeated:  # an id counts with its best vector
+                        top = top[np.sort(np.unique(own_ids[top], return_index=True)[1])]
+                    top = top[:k]
                     top = top[np.isfinite(near[q, top])]
                     if not len(top):
                         continue
@@ -149,12 +154,14 @@ def calibrated_probes(distinct: DataFrame, sample: list, k: int, parts: int, tar
                         at = np.minimum(np.searchsorted(sorted_codes[q], own), sorted_codes.shape[1] - 1)
                         first = np.minimum(first, np.where(sorted_codes[q, at] == own, order[q, at], MOST_PROBES))
                     queries += [f"{dim}:{q}"] * len(top)
+                    names.append(own_ids[top])
                     scores.append(near[q, top])
                     ranks.append(first)
             join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), join(scores, pa.float64()), join(ranks, pa.int64())], names=["q", "score", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), join(names, pa.int64()), join(scores, pa.float64()), join(ranks, pa.int64())], names=["q", "id", "score", "first"])
 
-    seen = distinct.select("dim", "v").mapInArrow(run, "q string, score double, first long")
+    seen = distinct.select("dim", "v", F.col("ids")[0].alias("id")).mapInArrow(run, "q string, id long, score double, first long")
+    seen = seen.groupBy("q", "id").agg(F.max_by("first", "score").alias("first"), F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
     needed = np.sort([r["first"] for r in seen.withColumn("nth", nth).filter(F.col("nth") <= k).select("first").collect()])  # SAMPLED_QUERIES * k rows
     if not len(needed):
@@ -239,6 +246,7 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
                     continue
                 members = np.array(members)
                 matrix = doubles([vectors[i] for i in members], dtype)
+                of_ids = OfIds(values[offsets[members]])
                 for at in range(0, len(asking_rows[b]), 512):
                     some = asking_rows[b][at : at + 512]
                     asked_vectors = dict(zip(some, doubles([asking[i] for i in some], dtype)))
@@ -246,8 +254,8 @@ def nearest(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_co
                     for own, i in zip(scores, some):
                         mine = best.setdefault(keys[i], Best(k + 1))
                         worst = mine.worst()
-                        if len(own) > k + 1:
-                            least = np.partition(own, len(own) - k - 1)[len(own) - k - 1]
+                        least = of_ids.nth(own, k)
+                        if least is not None:
                             worst = least if worst is None else max(least, worst)
                         hits = np.flatnonzero(own >= worst - ROUNDING * (1 + abs(worst))) if worst is not None else np.arange(len(own))
                         if len(hits):

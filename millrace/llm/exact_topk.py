@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import Best, distinct_vectors, expand, ranked, unpack, valid_vectors
+from .vectors import Best, OfIds, distinct_vectors, expand, ranked, unpack, valid_vectors
 
 PIVOTS = 32
 SAMPLE = 2_048
@@ -102,12 +102,14 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
     distinct = cut(distinct_vectors(rows, k))
     queries = rows.filter(F.col("id") % every == 0).withColumn("qkey", F.md5("v"))
     asked = queries.groupBy("dim", "v", "qkey").agg(F.count("*").alias("n")).drop("n")
-    samples: dict[int, list[bytes]] = {}
-    for r in distinct.select("dim", "v").orderBy(F.md5("v")).limit(SAMPLE).collect():
-        samples.setdefault(r["dim"], []).append(bytes(r["v"]))
-    sampled = {d: np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, d).astype(np.float64) for d, raw in samples.items()}
+    samples: dict[int, tuple[list[bytes], list[int]]] = {}
+    for r in distinct.select("dim", "v", F.col("ids")[0].alias("id")).orderBy(F.md5("v")).limit(SAMPLE).collect():
+        raw, ids = samples.setdefault(r["dim"], ([], []))
+        raw.append(bytes(r["v"]))
+        ids.append(r["id"])
+    sampled = {d: (np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, d).astype(np.float64), OfIds(np.array(ids))) for d, (raw, ids) in samples.items()}
     # dimensions that the sample lacks have one cell, no pivots, and bounds from lengths alone
-    shared = context.broadcast({d: (far_apart(x, PIVOTS), x) for d, x in sampled.items()})
+    shared = context.broadcast({d: (far_apart(x, PIVOTS), x, ids) for d, (x, ids) in sampled.items()})
 
     def measure(batches):
         for batch in batches:
@@ -155,8 +157,8 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
             for i, (dim, raw, near) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("dim", "v", "to_pivots")))):
                 x, d = np.frombuffer(raw, dtype="<i8").astype(np.float64), np.frombuffer(near, dtype="<f8")
                 own = shared.value.get(dim)
-                scores = np.sort(products(own[1], x))[::-1] if own else []
-                least = float(scores[k]) if len(scores) > k else -np.inf  # k others besides the query itself
+                reached = own[2].nth(products(own[1], x), k) if own else None  # by k other ids and perhaps the query's own
+                least = -np.inf if reached is None else float(reached)
                 block, low, high, square = blocks.value[dim]
                 apart = np.maximum(np.maximum(d - high, low - d), 0).max(axis=1, initial=0)
                 for b in np.flatnonzero(upper_bound(square + float(x @ x), apart) >= least).tolist():
@@ -167,8 +169,8 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
 
     query_blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
     asked = asked.mapInArrow(measure, "dim int, v binary, qkey string, to_pivots binary, cell int").mapInArrow(send, "dim int, v binary, qkey string, to_pivots binary, block string, least double")
-    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(query_blocks)).cast("int"))
-    vectors = vectors.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = cut(asked.withColumn("query_block", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(query_blocks)).cast("int")))
+    vectors = vectors.join(asked.select("dim", "block", "query_block").distinct(), ["dim", "block"])  # only blocks that a query goes to, and only to its block
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, scores = [], [], []

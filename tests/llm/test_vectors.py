@@ -105,7 +105,7 @@ def test_large_tables_take_several_axes_a_bucket(vectors, monkeypatch):
         found = {}
         for r in ann.nearest(vectors, 20, 20).collect():
             found.setdefault(r["query_id"], set()).add(r["vec_id"])
-        assert np.mean([len(found[q] & {i for i, _ in hits}) / 20 for q, hits in want.items()]) >= 0.85
+        assert np.mean([len(found[q] & {i for i, _ in hits}) / 20 for q, hits in want.items()]) >= 0.9
 
 
 def test_scores_dont_depend_on_blocks(vectors, monkeypatch):
@@ -138,6 +138,26 @@ def test_pivots_are_far_apart_and_blocks_are_left_out(spark, monkeypatch):
     assert sent[0] < 60 * 30 * 6 / 3  # of 60 queries to some 30 blocks
 
 
+def test_ids_with_many_vectors_leave_room_for_others(spark):
+    draw = np.random.default_rng(12)
+    query = np.float32(draw.normal(size=8))
+    rows = [(0, query), (0, query * 2), (20, query), (50, -query)]
+    rows += [(7, query * 3 + np.float32(draw.normal(size=8) * 0.01)) for _ in range(12)]
+    rows += [(100 + i, np.float32(draw.normal(size=8))) for i in range(29)]
+    rows += rows[:9]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<float>").repartition(3)
+    for k, every, search, form in ((5, 50, exact_topk.top_k, lambda x: np.floor(x * 256)), (20, 20, ann.nearest, lambda x: x)):
+        own: dict = {}
+        for i, x in rows:
+            own.setdefault(i, []).append(form(x.astype(float)))
+        got = {}
+        for r in search(df, k, every).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for q in (i for i in own if i % every == 0):
+            best = sorted((-max(a @ b for a in own[q] for b in own[i]), i) for i in own if i != q)[:k]
+            assert [i for i, _ in got[q]] == [i for _, i in best] and np.allclose([s for _, s in got[q]], [-s for s, _ in best])
+
+
 def test_ties_go_to_smaller_ids(spark):
     draw = np.random.default_rng(7)
     rows = [(i, [1.0, 0.0, 0.0, float(draw.integers(0, 2))]) for i in range(300)]
