@@ -6,14 +6,15 @@
    tree is DEEPEST hash values; the labels of a tree, sorted over the cluster,
    are its trie, in which the documents under a prefix lie in a row. Runs under
    the shortest prefix that can be needed are kept where they have two rows.
-3. Matching starts with whole labels. Documents under one prefix are compared by
-   their sketches, and similar ones tied. From the similarity of those it is
-   tied to, a document estimates what share of its partners such prefixes find;
-   where that is below the target, or nothing is tied to it yet, its prefixes
-   are shortened by a value and only its new neighbours are compared. At the
-   shortest prefix every document's chance of meeting a partner at the threshold
-   reaches the target by the collision probability and as measured on a bounded
-   sample, whose similar partners are found by comparing signatures with all.
+3. The shortest prefix is the longest at which the chance of a pair at the
+   threshold to meet reaches the target, by the collision probability and as
+   measured on a bounded sample, whose similar partners are found by comparing
+   signatures with all. Near copies that a document has say nothing about its
+   partners at the threshold, so every document's prefixes may go down to there.
+   Under each such prefix matching starts with whole labels and shortens them a
+   value at a time: rows that share the longer prefix are compared by their
+   sketches first and tied if they may be similar, and a shorter one only
+   compares rows that the longer ones neither brought together nor tied.
 4. Ties make clusters (connected components). Within a cluster every pair is
    verified on the exact sets of shingles; only each document's number of links
    and its component leave a block. Prefixes and clusters that many documents
@@ -58,6 +59,8 @@ SAMPLED = 48
 BUCKET_ROWS = 4_096
 CLUSTER_ROWS = 1_024
 COLUMNS_AT_ONCE = 4_096
+#: Rows that a task remembers, so that it hands on a repeated one once.
+SEEN = 100_000
 
 WORD = re.compile(r"[^\W_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -200,42 +203,43 @@ def in_grid(rows: DataFrame, by: str, count: str, most: int) -> DataFrame:
     return rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", count)
 
 
-def _ties(depth: int, shortest: int, threshold: float):
-    """Ties (a, b, alike) under prefixes of ``depth`` values: a spanning set of those between documents that may be similar.
+def _ties(shortest: int, threshold: float):
+    """Ties (a, b) under the prefixes of ``shortest`` values: a spanning set of those between documents that may be similar.
 
     Rows of a block are in the order of ``rest``, the values of their label beyond the shortest prefix.
     """
     least = least_alike(threshold)
-    width, longer = 2 * (depth - shortest), 2 * (depth + 1 - shortest)
+    beyond = DEEPEST - shortest
 
     def work(whole: pa.Table):
-        nodes, unsettled = whole.column("node").to_numpy(), whole.column("unsettled").to_numpy()
+        nodes = whole.column("node").to_numpy()
         sketches = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), dtype=np.uint8).reshape(whole.num_rows, -1)
-        rests = whole.column("rest").to_pylist()
-        left, right, alike = [], [], []
-        blocks = [x[0] for x in runs(whole, ["key", "low", "high"])]
-        starts = np.zeros(whole.num_rows + 1, dtype=bool)
-        starts[[0, -1, *blocks]] = True
-        starts[1:-1] |= [p[:width] != q[:width] for p, q in zip(rests, rests[1:])]
-        bounds = np.flatnonzero(starts).tolist()
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a < 2 or not unsettled[a:b].any() or (depth < DEEPEST and rests[a][:longer] == rests[b - 1][:longer]):
-                continue  # alone, settled, or compared under the longer prefix
-            order = np.argsort(nodes[a:b], kind="stable")  # so that all trees tie a group to its least node
-            names, own, todo = nodes[a:b][order], sketches[a:b][order], unsettled[a:b][order]
+        rests = np.frombuffer(b"".join(whole.column("rest").to_pylist()), dtype=np.uint8).reshape(whole.num_rows, 2 * beyond)
+        left, right = [], []
+        for a, b in runs(whole, ["key", "low", "high"]):
             component = np.arange(b - a)
-            for i in range(b - a - 1):
-                later = np.flatnonzero((component[i + 1 :] != component[i]) & (todo[i + 1 :] | todo[i])) + i + 1  # those already tied needn't be compared
-                if not len(later):
-                    continue
-                similarity = agreeing(own[i], own[later])
-                for j, s in zip(later[similarity >= least].tolist(), similarity[similarity >= least].tolist()):
-                    if component[j] != component[i]:
-                        left.append(names[i])
-                        right.append(names[j])
-                        alike.append(s)
-                        component[component == component[j]] = component[i]
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(alike, pa.float64())], names=["a", "b", "alike"])
+            changes = rests[a + 1 : b] != rests[a : b - 1]
+            longer = np.arange(b - a)  # runs under the prefix that is a value longer: at first rows by themselves
+            for kept in range(beyond, -1, -1):
+                run = np.concatenate([[0], np.cumsum(changes[:, : 2 * kept].any(axis=1))])
+                bounds = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1)).tolist()
+                for c, d in zip(bounds, bounds[1:]):
+                    if longer[c] == longer[d - 1] or (component[c:d] == component[c]).all():
+                        continue  # alone, compared under the longer prefix, or tied
+                    order = c + np.argsort(nodes[a + c : a + d], kind="stable")  # so that all trees tie a group to its least node
+                    own, before, of = sketches[a + order], longer[order], component[order]
+                    for i in range(d - c - 1):
+                        later = np.flatnonzero((of[i + 1 :] != of[i]) & (before[i + 1 :] != before[i])) + i + 1
+                        if not len(later):
+                            continue
+                        for j in later[agreeing(own[i], own[later]) >= least].tolist():
+                            if of[j] != of[i]:
+                                left.append(nodes[a + order[i]])
+                                right.append(nodes[a + order[j]])
+                                component[component == of[j]] = of[i]
+                                of = component[order]
+                longer = run
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return work
 
@@ -302,7 +306,7 @@ def forest(classes: DataFrame, shortest: int) -> DataFrame:
     return found.filter("n > 0").unionByName(ends.join(F.broadcast(sizes), "key").select("key", "node", "n", "rest"))
 
 
-def candidate_ties(classes: DataFrame, shortest: int, threshold: float, target: float) -> DataFrame:
+def candidate_ties(classes: DataFrame, shortest: int, threshold: float) -> DataFrame:
     """Ties (a, b) between classes that meet in the forest and have similar sketches."""
 
     def sketch(batches):
@@ -312,19 +316,10 @@ def candidate_ties(classes: DataFrame, shortest: int, threshold: float, target:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in low], pa.binary())], names=["node", "sketch"])
 
     sketches = classes.filter("size > 0").select("node", "signature").mapInArrow(sketch, "node long, sketch binary")
-    met = cut(in_grid(forest(classes, shortest), "key", "n", BUCKET_ROWS).join(sketches, "node").select("key", "low", "high", "node", "rest", "sketch"))
-    by, ties, settled = ["key", "low", "high"], None, None
-    for depth in range(DEEPEST, shortest - 1, -1):
-        rows = met.withColumn("unsettled", F.lit(True)) if settled is None else met.join(settled, "node", "left").withColumn("unsettled", F.coalesce("unsettled", F.lit(True)))
-        dealt = rows.repartition(*by).sortWithinPartitions(*by, "rest", "node")
-        found = cut(dealt.mapInArrow(grouped(by, _ties(depth, shortest, threshold)), "a long, b long, alike double"))
-        ties = found if ties is None else ties.unionByName(found)
-        if depth > shortest:
-            ends = ties.select(F.col("a").alias("node"), "alike").unionByName(ties.select(F.col("b").alias("node"), "alike"))
-            chance = 1 - F.pow(1 - F.pow(F.greatest(F.least("alike", F.lit(1.0)), F.lit(0.0)), F.lit(float(depth))), F.lit(float(TREES)))
-            share = F.count("*") / F.sum(1 / F.greatest(chance, F.lit(1e-9)))  # of all partners, if each that was found stands for 1 / chance
-            settled = ends.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= target).select("node", F.lit(False).alias("unsettled"))
-    return ties.select("a", "b").distinct()
+    met = in_grid(forest(classes, shortest), "key", "n", BUCKET_ROWS).join(sketches, "node").select("key", "low", "high", "node", "rest", "sketch")
+    by = ["key", "low", "high"]
+    dealt = met.repartition(*by).sortWithinPartitions(*by, "rest", "node")
+    return dealt.mapInArrow(grouped(by, _ties(shortest, threshold)), "a long, b long").distinct()
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -387,26 +382,33 @@ def classified(df: DataFrame, threshold: float, target: float, id_col: str, text
     classes = classes.withColumn("node", F.monotonically_increasing_id())  # of a checkpoint, so the same whenever it is read; an id may have several prints
     named = classes.select("node", "print", "first_id", "copies")
     shortest = shortest_prefix(classes, threshold, target)
-    clusters = components(candidate_ties(classes, shortest, threshold, target))
+    clusters = components(candidate_ties(classes, shortest, threshold))
     sizes = cut(clusters.groupBy("component").agg(F.count("*").alias("n")))
     n_members, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     members = join_by_key(clusters, sizes, "component", "n", n_members).withColumnRenamed("component", "cluster")
     members = cut(members.join(named, "node"))
 
-    def gather(batches):
+    def shingled(batches):
+        met: set[tuple] = set()
         for batch in in_slices(batches):
-            keep, sets = [], []
-            for i, (text, expected) in enumerate(zip(batch.column("text").to_pylist(), batch.column("print").to_pylist())):
+            keep, prints, sets = [], [], []
+            for i, (name, text) in enumerate(zip(batch.column("first_id").to_pylist(), batch.column("text").to_pylist())):
                 grams = shingles(text).tobytes()
-                if hashlib.md5(grams).digest() == expected:
-                    keep.append(i)
-                    sets.append(grams)
-            taken = batch.select(["node", "cluster", "n", "copies"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sets, pa.binary())], names=[*taken.schema.names, "grams"])
+                own = hashlib.md5(grams).digest()
+                if (name, own) in met:
+                    continue  # a repeated row
+                met.add((name, own))
+                keep.append(i)
+                prints.append(own)
+                sets.append(grams)
+            if len(met) > SEEN:
+                met.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("first_id").take(pa.array(keep, pa.int64())), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], names=["first_id", "print", "grams"])
 
     texts = df.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).filter("first_id is not null")
     texts = maybe_among(texts, "first_id", members, n_members)  # most texts are no member's and aren't moved
-    sets = texts.join(members, "first_id").select("node", "cluster", "n", "copies", "print", "text").mapInArrow(gather, "node long, cluster long, n long, copies long, grams binary")
+    texts = texts.mapInArrow(shingled, f"first_id {df.schema[id_col].dataType.simpleString()}, print binary, grams binary")
+    sets = texts.join(members, ["first_id", "print"]).select("node", "cluster", "n", "copies", "grams")
     dealt = in_grid(sets, "cluster", "n", CLUSTER_ROWS).repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "node")
     verified = cut(dealt.mapInArrow(grouped(["cluster", "low", "high"], _verify(threshold)), "node long, root long, links long"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))

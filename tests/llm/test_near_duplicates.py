@@ -162,21 +162,54 @@ def test_runs_of_the_forest_are_the_groups_of_equal_prefixes(spark, parts, short
     assert all(sizes[k] == len(x) for k, x in got.items())
 
 
-def test_prefixes_are_shortened_only_for_documents_that_need_it():
-    values = np.random.default_rng(3).integers(0, 16, (3, near_duplicates.SKETCH_HASHES)).astype(np.uint8)
-    values[1] = values[0]
-    rest = [b"\0\1", b"\0\2", b"\0\3"]
-    table = {"key": [5] * 3, "low": [0] * 3, "high": [0] * 3, "node": [0, 1, 2], "rest": rest, "sketch": [v.tobytes() for v in values]}
-
-    def ties(depth, unsettled):
-        import pyarrow as pa
-
-        whole = pa.table({**table, "unsettled": unsettled})
-        return [(r["a"], r["b"], r["alike"]) for b in near_duplicates._ties(depth, 7, 0.8)(whole) for r in b.to_pylist()]
-
-    assert ties(8, [True] * 3) == []  # no two share eight values
-    assert ties(7, [False, True, False]) == ties(7, [True] * 3) == [(0, 1, 1.0)]
-    assert ties(7, [False] * 3) == []
+def test_prefixes_are_shortened_only_where_that_brings_rows_together(monkeypatch):
+    import pyarrow as pa
+
+    values = np.random.default_rng(3).integers(0, 16, (4, near_duplicates.SKETCH_HASHES)).astype(np.uint8)
+    values[1] = values[3] = values[0]
+    rest = [b"\0\1\0\0", b"\0\1\0\0", b"\0\1\0\2", b"\0\3\0\3"]
+    compared = []
+    plain = near_duplicates.agreeing
+    monkeypatch.setattr(near_duplicates, "agreeing", lambda one, others: compared.append(len(others)) or plain(one, others))
+
+    def ties(some):
+        table = {"key": [5] * 4, "low": [0] * 4, "high": [0] * 4, "node": [0, 1, 2, 3], "rest": rest, "sketch": [v.tobytes() for v in values]}
+        whole = pa.table(table).take(some)
+        return [(r["a"], r["b"]) for b in near_duplicates._ties(6, 0.8)(whole) for r in b.to_pylist()]
+
+    assert ties([0, 1]) == [(0, 1)] and compared == [1]
+    compared.clear()
+    assert ties([0, 1, 2, 3]) == [(0, 1), (0, 3)]
+    assert sum(compared) == 1 + 2 + 2  # 0 and 1; 2 with both; 3 with 0 and 2, but not with 1, which is tied to 0 by then
+
+
+@pytest.mark.parametrize("threshold, changed, groups", [(0.5, 7, 60), (0.65, 4, 60), (0.8, 1, 150)])
+def test_near_copies_dont_hide_partners_at_the_threshold(spark, threshold, changed, groups):
+    draw = random.Random(11)
+    rows = []
+    for _ in range(groups):
+        a = [f"w{draw.randrange(100_000)}" for _ in range(100)]
+        b = list(a)
+        for k in range(changed):
+            b[6 + 13 * k] = "other"
+        for text in (a, [*a, "more"], b, [*b, "more"]):
+            rows.append((len(rows), " ".join(text)))
+    want = brute(rows[:4], threshold)
+    assert want == {i: (0, 3) for i in range(4)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(df, threshold=threshold).collect()}
+    assert sum(n for _, n in got.values()) >= 0.995 * 3 * len(rows)
+    assert len({c for c, _ in got.values()}) <= groups * 1.01
+
+
+def test_one_id_for_all_rows(spark):
+    rows = [(7, t) for t in texts(40)] + [(7, "the same words in every row of these")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(n for _, n in brute(list(enumerate(t for _, t in rows))).values())
+    got = near_duplicates.near_duplicates(df).collect()
+    assert sorted(r["n_links"] for r in got) == want and {r["class_id"] for r in got} == {7}
+    kept = near_duplicates.keep_one(df)
+    assert kept.filter("text like 'the same words%'").count() == 1 and kept.count() == len({c for c, _ in brute(list(enumerate(t for _, t in rows))).values()})
 
 
 def test_rows_are_documents_and_ids_may_be_words(spark):
