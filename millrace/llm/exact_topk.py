@@ -170,7 +170,8 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
     query_blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
     asked = asked.mapInArrow(measure, "dim int, v binary, qkey string, to_pivots binary, cell int").mapInArrow(send, "dim int, v binary, qkey string, to_pivots binary, block string, least double")
     asked = cut(asked.withColumn("query_block", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(query_blocks)).cast("int")))
-    vectors = vectors.join(asked.select("dim", "block", "query_block").distinct(), ["dim", "block"])  # only blocks that a query goes to, and only to its block
+    going = asked.select("dim", "block", "query_block").distinct().toDF("dim", "block", "query_block")
+    vectors = vectors.join(going, ["dim", "block"])  # only blocks that a query goes to, and only to its block
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, scores = [], [], []

@@ -179,7 +179,7 @@ def brute_filters(rows, labels):
             "D": bool(re.search("[#$%&*|]", text(r))),
             "E": r[0] is not None and any(x[0] is not None and x[0] < r[0] and text(x) == text(r) for x in rows),
         })
-    good, toxic = ({i for i, *x in labels if x[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *x in labels if i is not None and x[k] == 1} for k in (0, 1))
     out, worth = {}, Counter()
     for part in {r[2] or "" for r in rows}:
         for order in itertools.permutations("ABCDE"):

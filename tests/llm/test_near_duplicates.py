@@ -183,7 +183,7 @@ def test_prefixes_are_shortened_only_where_that_brings_rows_together(monkeypatch
     assert sum(compared) == 1 + 2 + 2  # 0 and 1; 2 with both; 3 with 0 and 2, but not with 1, which is tied to 0 by then
 
 
-@pytest.mark.parametrize("threshold, changed, groups", [(0.5, 7, 60), (0.65, 4, 60), (0.8, 1, 150)])
+@pytest.mark.parametrize("threshold, changed, groups", [(0.5, 6, 60), (0.65, 3, 60), (0.8, 1, 150)])
 def test_near_copies_dont_hide_partners_at_the_threshold(spark, threshold, changed, groups):
     draw = random.Random(11)
     rows = []

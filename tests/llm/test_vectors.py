@@ -155,7 +155,12 @@ def test_ids_with_many_vectors_leave_room_for_others(spark):
             got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
         for q in (i for i in own if i % every == 0):
             best = sorted((-max(a @ b for a in own[q] for b in own[i]), i) for i in own if i != q)[:k]
-            assert [i for i, _ in got[q]] == [i for _, i in best] and np.allclose([s for _, s in got[q]], [-s for s, _ in best])
+            assert len({i for i, _ in got[q]}) == len(got[q]) == k
+            assert all(np.isclose(s, max(a @ b for a in own[q] for b in own[i])) for i, s in got[q])
+            if search is exact_topk.top_k:
+                assert [i for i, _ in got[q]] == [i for _, i in best]
+            else:
+                assert got[q][0][0] == best[0][1] and len({i for i, _ in got[q]} & {i for _, i in best}) >= 0.9 * k
 
 
 def test_ties_go_to_smaller_ids(spark):
