@@ -5,76 +5,118 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.records import humanize, parse_size
-from .operators import analyze, frames, index, records, verify
+from .operators import analyze, frames, index, records
 from .operators.errors import BadData, CorpusError, OutputFailed, RecordTooLong
-from .sources import jsonl, seekable
-from .streaming.dataset import MODES, Dataset
+from .sources import jsonl, seekable, shards, units
+from .streaming.dataset import MODES, Dataset, UnitDataset
 
 
-def inputs(spark: SparkSession, paths: list[str], stdin=None):
-    """Records of all inputs, told apart by file_id, file and row; nbytes counts the line end."""
-    read = records.concat(*(jsonl.read_records(spark, f"{jsonl.spool(spark, stdin or sys.stdin.buffer)}/*/part-*" if p == "-" else p) for p in paths))
-    return read.withColumn("nbytes", (F.octet_length("record") + 1).cast("long"))
+def is_parquet(path: str) -> bool:
+    return path.startswith("hf://") or path.endswith(".parquet")
 
 
-def corpus(spark: SparkSession, paths: list[str]):
-    """Records of all inputs in order, with id and pos."""
-    return records.with_position(inputs(spark, paths), "file_id", "file", "row").withColumn("id", F.col("pos"))
+def in_files(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether all inputs are files of lines that tasks can read."""
+    return not any(is_parquet(p) for p in paths) and all(units.streamable(spark, p) for p in paths)
 
 
-def checked(spark: SparkSession, paths: list[str], max_line: int, deep: bool):
-    """One row: what ``verify`` finds. Files with a seek table are checked frame by frame, others line by line."""
-    framed, plain, last = [], [], [b""]
-    for p in paths:
-        with_table, without = ([], [p]) if p == "-" else seekable.by_seek_table(p)
-        framed += with_table
-        plain += without
+def spooled(spark: SparkSession, paths: list[str], stdin=None) -> list[str]:
+    """``paths`` with standard input written to the shared folder."""
+    return [jsonl.spool(spark, stdin or sys.stdin.buffer) if p == "-" else p for p in paths]
 
-    def watched():
-        for last[0] in sys.stdin.buffer:
-            yield last[0]
 
-    sound, bad_frames = [], 0
-    for file in framed:
-        bad = seekable.verify_frames(spark, file).count()
-        bad_frames += bad
-        if not bad:
-            sound.append(seekable.read_seekable(spark, file).select("record").withColumn("nbytes", (F.octet_length("record") + 1).cast("long")))
-    parts = [inputs(spark, plain, watched()).select("record", "nbytes")] if plain else []
-    parts += sound
-    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "record string, nbytes long")
-    partial = sum(jsonl.trailing_partials(spark, p).count() for p in plain if p != "-") + bool(last[0] and not last[0].endswith(b"\n"))
-    return verify.with_files(verify.verify(rows, max_line, deep), partial, len(framed), bad_frames)
+def from_shards(spark: SparkSession, path: str, columns: list[str] | None, cache: str) -> DataFrame:
+    """Rows of Parquet shards as JSON records: file, row and record."""
+    rows = shards.read_shards(spark, shards.local_copy(path, cache) if path.startswith("hf://") else path, columns)
+    kept = rows.drop("file", "row") if columns is None else rows.select(*columns)
+    return rows.select("file", "row", jsonl.to_json_record(kept).cast("binary").alias("record"))
 
 
-def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, check: bool) -> dict:
-    """Writes ``rows`` as seekable files; what was written, and with ``check`` how many frames of it are bad."""
+def corpus(spark: SparkSession, paths: list[str], kind: str | None = None, columns: list[str] | None = None, cache: str = ".", units_kept: DataFrame | None = None) -> DataFrame:
+    """Records of all inputs, with id, pos, nbytes (with the line end) and record (bytes).
+
+    Records of files are placed by their units, so no text is moved, and lie in order over the partitions. Rows of
+    Parquet files, and files of stores that only Spark reads, are put in order by sorting.
+    """
+    if units_kept is not None:
+        return units.records_of(units_kept)
+    if in_files(spark, paths):
+        return units.records_of(units.units_of(spark, paths, kind=kind))
+    read = records.concat(*(from_shards(spark, p, columns, cache) if is_parquet(p) else jsonl.read_records(spark, p, kind) for p in paths))
+    read = read.withColumn("nbytes", (F.octet_length("record") + 1).cast("long"))
+    return records.with_position(read, "file_id", "file", "row").withColumn("id", F.col("pos"))
+
+
+def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, check: bool, in_order: bool = False, level: int = 3, checksum: bool = True, most: int | None = None) -> dict:
+    """Writes ``rows`` as seekable files; what was written, and with ``check`` how many frames of it are bad.
+
+    Records are counted as they are written. ``most``: bytes that ``rows`` have at most, if known.
+    """
+    counts = Observation()
+    spread = None if most is None else (max(1, -(-most // units.TASK_BYTES)), most // frame_size + 1)
     try:
-        seekable.write_seekable(frames.assign_frames(rows, frame_size), out)
+        framed = frames.assign_frames(rows, frame_size, in_order=in_order)
+        seekable.write_seekable(framed, out, level, checksum, counts, spread)
     except Exception as e:
         if any(x in str(e) for x in ("Permission denied", "Read-only", "Not a directory", "No space left")):
             raise OutputFailed(f"cannot write {out}") from e
         raise
     about = seekable.info(spark, out).first().asDict()
-    about["records"] = rows.count()
+    about["records"] = counts.get["records"]
     if check:
         about["bad_frames"] = seekable.verify_frames(spark, out).count()
     return about
 
 
+def saved_units(spark: SparkSession, paths: list[str], where: str) -> tuple[DataFrame, bool]:
+    """The units of ``paths`` kept under ``where``, and whether they were found there as the files are now."""
+    return index.looked_up_index(spark, paths, where, lambda: units.units_of(spark, paths))
+
+
+def streamed(spark: SparkSession, a, out) -> None:
+    """Writes the shuffled records of ``stream``'s arguments, and says how many were dropped."""
+    paths = spooled(spark, a.paths)
+    dropped = spark.sparkContext.accumulator(0)
+    found = None
+    if in_files(spark, paths):
+        if a.index:
+            found, hit = saved_units(spark, paths, a.index)
+            print(f"millrace: index {'found' if hit else 'built'} under {a.index}", file=sys.stderr)
+        else:
+            found = units.units_of(spark, paths, a.frame_size)
+        if a.shuffle not in ("none", "index-perm", "chunk-shuffled") or (a.shuffle == "chunk-shuffled" and found.filter(F.col("kind").isin(*units.WHOLE)).first()):
+            found = None
+    rows = corpus(spark, paths, units_kept=found)
+    if a.on_error == "fail" and (n := records.too_long(rows, a.max_line)):
+        raise RecordTooLong(f"{n} records exceed --max-line ({humanize(a.max_line)})")
+    if found is not None:
+        lines = UnitDataset(found, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, max_line=a.max_line if a.on_error == "skip" else None, dropped=dropped)
+    else:
+        observed = Observation()
+        rows = rows.observe(observed, F.count_if(F.col("nbytes") > a.max_line).alias("long"))
+        rows = records.cut(records.limit_length(rows, a.max_line, a.on_error))
+        dropped.add(observed.get["long"] if a.on_error == "skip" else 0)
+        if a.shuffle == "chunk-shuffled":
+            rows = frames.assign_frames(rows, a.frame_size)
+        lines = Dataset(rows, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, size=a.size)
+    for line in lines:
+        out.write(line)
+    if dropped.value:
+        print(f"millrace: dropped {dropped.value} records exceeding --max-line ({humanize(a.max_line)}); raise it or pass --on-error passthrough to keep them", file=sys.stderr)
+
+
 def serving(spark: SparkSession, a):
     """The NDJSON server of the command line's datasets."""
     from .streaming.serve import server
 
     tokens = [line.strip() for line in open(a.tokens, encoding="utf-8") if line.strip()] if a.tokens else None
     catalogue = index.Catalogue(spark, [tuple(x.split("=", 1)) if "=" in x else (x.rstrip("/").rsplit("/", 1)[-1], x) for x in a.datasets])
-    return server(catalogue, lambda path: frames.assign_frames(corpus(spark, [path]), a.frame_size), tokens, a.host, a.port)
+    return server(catalogue, lambda path: frames.assign_frames(corpus(spark, [path]), a.frame_size, in_order=True), tokens, a.host, a.port)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -93,6 +135,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--epochs", type=int, default=1)
             for n in ("sample", "rank", "world-size", "size"):
                 c.add_argument(f"--{n}", type=int)
+            c.add_argument("--index", help="a folder in which the places of the input's records are kept, and used while the input is unchanged")
         if name in ("convert", "index"):
             c.add_argument("-o", "--output", required=True)
         if name == "convert":
@@ -101,8 +144,14 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--sample-rate", type=float)
             c.add_argument("--min-entropy", type=float)
             c.add_argument("--max-entropy", type=float)
+            c.add_argument("--level", type=int, default=3)
+            c.add_argument("--no-checksum", action="store_true")
+            c.add_argument("--input-format", choices=("plain", "gzip", "zstd", "bzip2", "xz"))
+            c.add_argument("--parquet-project", metavar="COLUMN,...")
+            c.add_argument("--cache", default=".", help="where the shards of hf:// addresses lie")
         if name == "analyze":
             c.add_argument("--strict", action="store_true")
+            c.add_argument("--sample-chunks", type=int, default=analyze.SAMPLE_FRAMES)
         if name == "verify":
             c.add_argument("--deep", action="store_true")
     commands.add_parser("info").add_argument("path")
@@ -119,42 +168,51 @@ def main(argv: list[str] | None = None) -> int:
             print(seekable.info(spark, a.path).toJSON().first())
             return 0
         if a.command == "verify":
-            found = checked(spark, a.paths, a.max_line, a.deep).first().asDict()
+            looked = units.checked(units.plan(spark, spooled(spark, a.paths)), a.max_line, a.deep)
+            found = units.report(looked).first().asDict()
             print(json.dumps(found))
+            for r in units.first_problems(looked, 3).collect() if found["invalid_json"] else []:
+                print(f"millrace: {r['file']}, part {r['part']}, record {r['rec']}: {r['kind'].replace('_', ' ')} at byte {r['at']}", file=sys.stderr)
             return 0 if found["ok"] else BadData.code
         if a.command == "serve":
             running = serving(spark, a)
             print(f"millrace: listening on {a.host}:{running.server_address[1]}", file=sys.stderr, flush=True)
             running.serve_forever()
             return 0
-        rows = corpus(spark, a.paths)
         if a.command == "stream":
-            dropped = records.run_stats(rows, a.max_line, a.on_error).first()["oversized_skipped"]
-            if a.on_error == "fail" and (n := records.too_long(rows, a.max_line)):
-                raise RecordTooLong(f"{n} records exceed --max-line ({humanize(a.max_line)})")
-            rows = records.limit_length(rows, a.max_line, a.on_error)
-            if a.shuffle == "chunk-shuffled":
-                rows = frames.assign_frames(rows, a.frame_size)
-            for line in Dataset(rows, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, size=a.size):
-                sys.stdout.buffer.write(line)
-            if dropped:
-                print(f"millrace: dropped {dropped} records exceeding --max-line ({humanize(a.max_line)}); raise it or pass --on-error passthrough to keep them", file=sys.stderr)
-        elif a.command == "convert":
+            streamed(spark, a, sys.stdout.buffer)
+            return 0
+        paths = spooled(spark, a.paths)
+        if a.command == "convert":
+            placed = units.units_of(spark, paths, kind=a.input_format) if in_files(spark, paths) else None
+            most = placed.agg(F.coalesce(F.sum(F.col("bytes") + 1), F.lit(0))).first()[0] if placed is not None else None
+            rows = corpus(spark, paths, a.input_format, a.parquet_project.split(",") if a.parquet_project else None, a.cache, placed)
             if a.sample_rate is not None:
                 rows = records.bernoulli(rows, a.sample_rate, a.seed)
             if a.min_entropy is not None or a.max_entropy is not None:
                 rows = records.entropy_gate(rows, a.min_entropy, a.max_entropy)
             if a.limit is not None:
                 rows = records.head(rows, a.limit)
-            about = converted(spark, rows, a.output, a.frame_size, a.verify)
+            about = converted(spark, rows, a.output, a.frame_size, a.verify, a.limit is None, a.level, not a.no_checksum, most)
             print(json.dumps(about), file=sys.stderr)
             if about.get("bad_frames"):
                 raise BadData(f"{about['bad_frames']} frames of {a.output} are bad")
         elif a.command == "analyze":
-            narrow = frames.assign_frames(rows.select("id", "pos", "nbytes"), a.frame_size)
-            print(analyze.report(narrow, strict=a.strict, records=rows).toJSON().first())
+            planned = units.plan(spark, paths) if in_files(spark, paths) else None
+            if planned is not None and not planned.isEmpty() and planned.filter("kind <> 'seekable'").isEmpty():
+                some = units.records_of(units.some_of(planned, a.sample_chunks)).withColumnRenamed("unit", "frame_id")  # of the files' own frames
+                found = analyze.report(some, a.sample_chunks, a.strict)
+            else:
+                rows = corpus(spark, paths)
+                narrow = frames.assign_frames(rows.select("id", "pos", "nbytes"), a.frame_size, in_order=True)
+                found = analyze.report(narrow, a.sample_chunks, a.strict, rows)
+            print(found.toJSON().first())
         elif a.command == "index":
-            frames.byte_offsets(rows).write.parquet(a.output)
+            kept, hit = saved_units(spark, paths, f"{a.output}/_units")
+            print(f"millrace: index {'found' if hit else 'built'}", file=sys.stderr)
+            if not hit:
+                places = units.records_of(kept).select("id", F.col("pos").alias("idx"), "start", (F.col("start") + F.col("nbytes")).alias("end"))
+                places.write.mode("append").parquet(a.output)
         return 0
     except CorpusError as e:
         print(f"millrace: {e}", file=sys.stderr)

@@ -32,12 +32,12 @@ def byte_histogram(df: DataFrame, record: str = "record") -> DataFrame:
             frames, inverse = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
             counts = np.zeros((len(frames), 256), dtype=np.int64)
             for k, text in zip(inverse.tolist(), batch.column(1).to_pylist()):
-                counts[k] += np.bincount(np.frombuffer(((text or "") + "\n").encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
+                counts[k] += np.bincount(np.frombuffer((text or b"") + b"\n", dtype=np.uint8), minlength=256)
             row, byte = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(frames[row]), pa.array(byte.astype(np.int32)), pa.array(counts[row, byte])], names=["frame_id", "byte", "n"])
 
     kind = df.schema["frame_id"].dataType.simpleString()
-    partial = df.select("frame_id", record).mapInArrow(run, f"frame_id {kind}, byte int, n long")
+    partial = df.select("frame_id", F.col(record).cast("binary")).mapInArrow(run, f"frame_id {kind}, byte int, n long")
     return partial.groupBy("frame_id", "byte").agg(F.sum("n").alias("n"))
 
 

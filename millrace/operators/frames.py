@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,13 +50,106 @@ class _Exits:
         self.held, self.closed = held, closed
 
 
+@dataclass
+class _Run:
+    """What a run of records, of one file or several, does to the frame that is open at its beginning.
+
+    ``low``, ``held`` and ``closed`` are the exits of a run of one file (see _Exits), with those that end alike joined.
+    A run of several files leaves ``frames`` and ``left`` bytes of its last one, whatever it finds.
+    """
+
+    first: str
+    last: str
+    single: bool
+    total: int
+    low: np.ndarray
+    held: np.ndarray
+    closed: np.ndarray
+    frames: int
+    left: int
+
+    def leave(self, frame: int, held: int) -> tuple[int, int]:
+        """Frame and bytes open at the end of a run, if it begins in the file that ``frame`` counts in."""
+        if not self.single:
+            return self.frames, self.left
+        k = int(np.searchsorted(-self.low, -held))
+        return (frame + int(self.closed[k]), int(self.held[k])) if k < len(self.low) else (frame, held + self.total)
+
+    def follow(self, file: str | None, frame: int, held: int) -> tuple[str, int, int]:
+        """The state behind a run that begins in the state (file, frame, held)."""
+        return self.last, *self.leave(*((frame, held) if file == self.first else (0, 0)))
+
+
+NOTHING = np.zeros(0, dtype=np.int64)
+
+
+def _joined(low: np.ndarray, held: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exits without those that end as the next one does, which begins with fewer bytes."""
+    keep = np.append((held[1:] != held[:-1]) | (closed[1:] != closed[:-1]), True)[: len(low)]
+    return low[keep], held[keep], closed[keep]
+
+
+def _then(a: _Run, b: _Run) -> _Run:
+    """Two runs as one."""
+    if a.single and b.single and a.last == b.first:
+        k = np.searchsorted(-b.low, -a.held)  # where the exits of a come into b
+        inside = k < len(b.low)
+        at = np.minimum(k, max(0, len(b.low) - 1))
+        held = np.where(inside, b.held[at], a.held + b.total) if len(b.low) else a.held + b.total
+        closed = a.closed + (np.where(inside, b.closed[at], 0) if len(b.low) else 0)
+        # with fewer bytes nothing closes in a, and b is entered with all of its bytes besides
+        floor = int(a.low[-1]) if len(a.low) else None
+        more = np.maximum(0, b.low - a.total)
+        use = np.flatnonzero(more < floor) if floor is not None else np.arange(len(more))
+        zero = np.flatnonzero(more[use] == 0)
+        use = use[: zero[0] + 1] if len(zero) else use
+        exits = (np.concatenate(x) for x in ((a.low, more[use]), (held, b.held[use]), (closed, b.closed[use])))
+        return _Run(a.first, b.last, True, a.total + b.total, *_joined(*exits), 0, 0)
+    state = b.follow(a.last, a.frames, a.left) if not a.single else b.follow(None, 0, 0) if a.last != b.first else None
+    if state is None:  # b is of several files
+        state = b.last, b.frames, b.left
+    return _Run(a.first, b.last, False, 0, NOTHING, NOTHING, NOTHING, state[1], state[2])
+
+
+_LISTS = pa.list_(pa.int64())
+_RUN = pa.schema([("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("single", pa.bool_()), ("total", pa.int64()), ("low", _LISTS), ("held", _LISTS), ("closed", _LISTS), ("frames", pa.int64()), ("left", pa.int64())])
+_RUN_TEXT = "part long, first string, last string, single boolean, total long, low array<long>, held array<long>, closed array<long>, frames long, left long"
+#: Runs that are composed in one task: at most so many times the exits of one.
+RUNS_AT_ONCE = 64
+
+
+def _as_batch(part: int, run: _Run) -> pa.RecordBatch:
+    columns = [pa.array([part if n == "part" else getattr(run, n)], _RUN.field(n).type) for n in _RUN.names]
+    return pa.RecordBatch.from_arrays(columns, schema=_RUN)
+
+
+def _as_runs(table: pa.Table) -> list[tuple[int, _Run]]:
+    """Runs of a table in the order of their parts."""
+    table = table.sort_by("part").combine_chunks()
+    lists = {n: table.column(n) for n in ("low", "held", "closed")}
+    numbers = lambda n, i: np.asarray(lists[n][i].values.to_numpy(), dtype=np.int64)
+    return [(r["part"], _Run(r["first"], r["last"], r["single"], r["total"], *(numbers(n, i) for n in lists), r["frames"], r["left"])) for i, r in enumerate(table.select(["part", "first", "last", "single", "total", "frames", "left"]).to_pylist())]
+
+
+def _run_of(sizes: np.ndarray, names: list[str], lengths: list[int], frame_size: int) -> _Run:
+    """The run of records of ``sizes``, ``lengths`` of them of each file in turn."""
+    if len(names) == 1:
+        e = _Exits(sizes, frame_size)
+        return _Run(names[0], names[0], True, e.total, *_joined(e.low, e.held, e.closed), 0, 0)
+    e = _Exits(sizes[len(sizes) - lengths[-1] :], frame_size)
+    k = len(e.low) - 1
+    frames, left = (int(e.closed[k]), int(e.held[k])) if e.low[k] == 0 else (0, e.total)
+    return _Run(names[0], names[-1], False, 0, NOTHING, NOTHING, NOTHING, frames, left)
+
+
 def _frames_before(narrow: DataFrame, frame_size: int) -> dict[int, tuple[int, int]]:
     """For each partition of ``narrow`` (__part, __file, nbytes): the frame open at its beginning and the bytes in it.
 
     What a partition does to the open frame depends only on the bytes in it, and
     at most as many records can be the first to close it as fit in a frame. So
-    each partition, on its own, gives one row with its exits; a pass over these
-    rows, one a partition, then finds every partition's entry.
+    each partition, on its own, gives one row with its exits. Rows are composed
+    RUNS_AT_ONCE at a time, level by level, until few are left; then the state at
+    the beginning of each goes down again, level by level, to the partitions.
     """
 
     def exits(batches):
@@ -74,40 +170,33 @@ def _frames_before(narrow: DataFrame, frame_size: int) -> dict[int, tuple[int, i
                 else:
                     names.append(name)
                     lengths.append(n)
-        sizes = np.concatenate(sizes).astype(np.int64)
-        first = _Exits(sizes[: lengths[0]], frame_size)
-        frames, held = 0, 0
-        if len(names) > 1:
-            after = _Exits(sizes[len(sizes) - lengths[-1] :], frame_size)
-            k = len(after.low) - 1
-            frames, held = (int(after.closed[k]), int(after.held[k])) if after.low[k] == 0 else (0, after.total)
-        row = {"part": [part], "first": [str(names[0])], "last": [str(names[-1])], "total": [first.total], "low": [first.low], "held": [first.held], "closed": [first.closed], "frames_after": [frames], "held_after": [held]}
-        yield pa.RecordBatch.from_pydict(row, schema=shape)
-
-    lists = pa.list_(pa.int64())
-    shape = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("total", pa.int64()), ("low", lists), ("held", lists), ("closed", lists), ("frames_after", pa.int64()), ("held_after", pa.int64())])
-    maps = narrow.mapInArrow(exits, "part int, first string, last string, total long, low array<long>, held array<long>, closed array<long>, frames_after long, held_after long")
-
-    def follow(batches):
-        file, frame, held = None, 0, 0
-        for batch in batches:
-            entries = []
-            for r in batch.to_pylist():
-                if r["first"] != file:
-                    frame, held = 0, 0
-                entries.append((r["part"], frame, held))
-                k = int(np.searchsorted(-np.array(r["low"]), -held))  # the first record that closes
-                if r["last"] != r["first"]:
-                    frame, held = r["frames_after"], r["held_after"]
-                elif k < len(r["low"]):
-                    frame, held = frame + r["closed"][k], r["held"][k]
-                else:
-                    held += r["total"]
-                file = r["last"]
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in entries], pa.int64()) for i in range(3)], names=["part", "frame", "held"])
-
-    found = maps.repartition(1).sortWithinPartitions("part").mapInArrow(follow, "part long, frame long, held long").collect()  # three numbers a partition
-    return {r["part"]: (r["frame"], r["held"]) for r in found}
+        yield _as_batch(part, _run_of(np.concatenate(sizes).astype(np.int64), names, lengths, frame_size))
+
+    levels = [cut(narrow.mapInArrow(exits, _RUN_TEXT))]
+    group = F.expr(f"part div {RUNS_AT_ONCE}")
+
+    def compose(table: pa.Table) -> pa.Table:
+        runs = _as_runs(table)
+        return pa.Table.from_batches([_as_batch(runs[0][0] // RUNS_AT_ONCE, reduce(_then, (r for _, r in runs)))])
+
+    while (levels[-1].agg(F.max("part")).first()[0] or 0) >= RUNS_AT_ONCE:
+        levels.append(cut(levels[-1].withColumn("group", group).groupBy("group").applyInArrow(lambda t: compose(t.drop_columns(["group"])), _RUN_TEXT)))
+    states = narrow.sparkSession.createDataFrame([(0, None, 0, 0)], "group long, file string, frame long, held long")
+    kinds = "group long, file string, frame long, held long"
+
+    def descend(runs: pa.Table, state: pa.Table) -> pa.Table:
+        """The state before each run of a group, from that before the group."""
+        now = tuple(state.select(["file", "frame", "held"]).to_pylist()[0].values()) if state.num_rows else (None, 0, 0)
+        out = []
+        for part, run in _as_runs(runs.drop_columns(["group"])) if runs.num_rows else []:
+            out.append((part, *now) if now[0] == run.first else (part, None, 0, 0))
+            now = run.follow(*now)
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["group", "file", "frame", "held"])
+
+    for level in reversed(levels):
+        states = cut(level.withColumn("group", group).groupBy("group").cogroup(states.groupBy("group")).applyInArrow(descend, kinds))
+    found = states.select("group", "frame", "held").collect()  # three numbers a partition, that is a task
+    return {r["group"]: (r["frame"], r["held"]) for r in found}
 
 
 def assign_frames(df: DataFrame, frame_size: int = DEFAULT_FRAME, position: str = "pos", file: str | None = None, in_order: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -13,8 +14,10 @@ from .errors import InputMissing, UsageError
 DATASET_ID = re.compile(r"[A-Za-z0-9._-]+")
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """A hash of names, sizes and times of an input's files; only metadata is read."""
+def fingerprint(spark: SparkSession, path: str | list[str]) -> str:
+    """A hash of names, sizes and times of an input's files; only metadata is read. Of several inputs, one of theirs in turn."""
+    if not isinstance(path, str):
+        return hashlib.sha256("|".join(fingerprint(spark, p) for p in path).encode()).hexdigest()
     try:
         files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.unix_micros("modificationTime").alias("at"))
     except Exception as e:
@@ -25,12 +28,12 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return rows.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("h"))), 256)).first()[0]  # one hash a file
 
 
-def cached_index(spark: SparkSession, path: str, where: str, build: Callable[[], DataFrame]) -> DataFrame:
+def cached_index(spark: SparkSession, path: str | list[str], where: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The index saved under ``where`` for this state of the input, else a newly built one, saved for next time."""
     return looked_up_index(spark, path, where, build)[0]
 
 
-def looked_up_index(spark: SparkSession, path: str, where: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+def looked_up_index(spark: SparkSession, path: str | list[str], where: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """``cached_index``, and whether it was found rather than built."""
     saved = f"{where}/{fingerprint(spark, path)}"
     try:

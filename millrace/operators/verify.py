@@ -19,16 +19,24 @@ def verify(df: DataFrame, max_line: int = DEFAULT_MAX_LINE, deep: bool = True) -
     return counted.withColumn("ok", (F.col("oversized") == 0) & (F.col("invalid_json") == 0))
 
 
-def with_files(checked: DataFrame, trailing_partial: int, seekable_files: int = 0, bad_frames: int = 0) -> DataFrame:
-    """``checked`` with what only files tell: how many end without a line feed, which isn't counted, and frames that don't decode."""
-    out = checked.withColumn("bytes", F.col("bytes") - trailing_partial).withColumn("trailing_partial", F.lit(trailing_partial))
-    out = out.withColumn("seekable_files", F.lit(seekable_files)).withColumn("bad_frames", F.lit(bad_frames))
-    return out.withColumn("ok", F.col("ok") & (F.col("trailing_partial") == 0) & (F.col("bad_frames") == 0))
-
-
 def problems(df: DataFrame, n: int = KEPT_PROBLEMS) -> DataFrame:
-    """The first records that aren't JSON, and why."""
-    return df.withColumn("problem", json_problem("record")).filter("problem is not null").orderBy("pos").limit(n).select("id", "pos", "problem")
+    """The first records that aren't JSON: id, pos, kind of problem and the byte at which it is."""
+    found = df.withColumn("__p", json_problem("record")).filter("__p.kind IS NOT NULL").orderBy("pos").limit(n)
+    return found.select("id", "pos", "__p.kind", "__p.at")
+
+
+def ranks_cover(ids: DataFrame, ranks: list[DataFrame]) -> DataFrame:
+    """One row: rows of ``ids``, how many of them some rank's output has, how many two have, and rows of ranks that aren't among them.
+
+    ``ranks``: what each rank gets from a mode, with the column id.
+    """
+    tagged = ids.select("id", F.lit(-1).alias("rank"))
+    for r, out in enumerate(ranks):
+        tagged = tagged.unionByName(out.select("id", F.lit(r).alias("rank")))
+    count = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(name)
+    wanted, taken, by = F.col("wanted"), F.col("taken"), F.col("ranks")
+    of_id = tagged.groupBy("id").agg(F.count_if(F.col("rank") < 0).alias("wanted"), F.count_if(F.col("rank") >= 0).alias("taken"), (F.max("rank") - F.min(F.when(F.col("rank") >= 0, F.col("rank")))).alias("ranks"))
+    return of_id.agg(count(wanted, "n_rows"), count(F.least(wanted, taken), "covered"), count(F.coalesce(by > 0, F.lit(False)), "overlap"), count(F.greatest(taken - wanted, F.lit(0)), "foreign"))
 
 
 def rank_cover(df: DataFrame, world: int, position: str = "pos") -> DataFrame:

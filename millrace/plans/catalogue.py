@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prf import sql_hex, sql_mod, sql_unit
-from ..functions.records import json_valid
+from ..functions.records import json_problem, json_valid
 from ..operators import analyze, frames, records, shuffle, verify
-from ..operators.shared import shared_path
-from ..sources import seekable
+from ..operators.shared import cut, shared_path
+from ..sources import seekable, units
 from ..sources.jsonl import read_records, to_json_record, write_records
 from ..sources.shards import read_shards
 
@@ -380,6 +380,31 @@ def verify_first_problems(spark, sf_dir):
     return verify.problems(positioned(broken_events(spark, sf_dir))).select("id", "pos")
 
 
+CUT_BY_ID = "CASE WHEN event_id % 10 = 3 THEN props || ' x' WHEN event_id % 10 = 7 THEN substr(props, 2) WHEN event_id % 10 = 1 THEN substr(props, 1, length(props) - 1) ELSE props END"
+
+
+@query(f"""WITH bad AS (SELECT event_id AS id, {CUT_BY_ID} AS record, props FROM events WHERE event_id % 10 IN (1, 3, 7))
+SELECT id, CASE WHEN id % 10 = 1 THEN 'unexpected_eof' ELSE 'trailing' END AS kind,
+CAST(CASE WHEN id % 10 = 1 THEN strlen(record) WHEN id % 10 = 3 THEN strlen(props) + 1 ELSE strlen(regexp_extract(record, '^"[^"]*" *')) END AS BIGINT) AS at FROM bad""")
+def json_problem_kinds(spark, sf_dir):
+    """What is wrong with damaged properties, and at which byte."""
+    df = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(CUT_BY_ID).alias("record"))
+    return df.withColumn("p", json_problem("record")).filter("p.kind IS NOT NULL").select("id", "p.kind", "p.at")
+
+
+@query("SELECT mode, count(*) AS n_rows, count(*) AS covered, CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS \"foreign\" FROM documents, (VALUES ('chunk-shuffled'), ('index-perm'), ('none')) AS m(mode) GROUP BY mode")
+def rank_modes_cover(spark, sf_dir):
+    """What the ranks of each mode get, against the documents."""
+    docs = cut(framed(spark, sf_dir).select("id", "pos", "frame_id"))
+    modes = {
+        "none": lambda r: records.of_rank(docs, r, WORLD),
+        "index-perm": lambda r: records.of_rank(shuffle.index_perm(docs, SEED), r, WORLD, "out_pos"),
+        "chunk-shuffled": lambda r: shuffle.chunk_shuffled(docs, SEED, rank=r, world=WORLD),
+    }
+    found = [verify.ranks_cover(docs, [mode(r) for r in range(WORLD)]).withColumn("mode", F.lit(name)) for name, mode in modes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(f"SELECT count(*) AS n_rows, count(*) AS covered, CAST(0 AS BIGINT) AS overlap FROM documents")
 def rank_cover_check(spark, sf_dir):
     return verify.rank_cover(positioned(documents(spark, sf_dir).select("id")), WORLD)
@@ -453,3 +478,54 @@ def jsonl_round_trip(spark, sf_dir):
 @query("SELECT 'nation.parquet' AS file, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS row, n_name FROM nation")
 def shard_projection(spark, sf_dir):
     return read_shards(spark, f"{sf_dir}/nation.parquet", ["n_name"])
+
+
+def event_lines(spark, sf_dir) -> str:
+    """Properties of events in files of lines."""
+    out = shared_path(spark, "lines")
+    write_records(positioned(records.record_view(table(spark, sf_dir, "events"), "event_id", "props")), out, order="pos")
+    return f"{out}/part-*"
+
+
+LINES = "lines AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, props AS record FROM events)"
+
+
+@query(f"WITH {LINES} SELECT pos, md5(record) AS record_md5, CAST(sum(strlen(record) + 1) OVER (ORDER BY pos) - strlen(record) - 1 AS BIGINT) AS start FROM lines")
+def file_records(spark, sf_dir):
+    """Lines of files, read by byte ranges: positions and places by counting ranges, without moving a text."""
+    read = units.records_of(units.units_of(spark, [event_lines(spark, sf_dir)], FRAME))
+    return read.select("pos", F.md5("record").alias("record_md5"), "start")
+
+
+@query(f"WITH {LINES}, perm AS (SELECT *, row_number() OVER (ORDER BY {sql_hex(SEED, 'perm', 0, 'pos')}, pos) - 1 AS out_pos FROM lines) SELECT pos, out_pos, md5(record) AS record_md5 FROM perm WHERE out_pos < 64")
+def index_fetch_sample(spark, sf_dir):
+    """The first records of a permutation, fetched from the byte ranges that hold them."""
+    found = units.sample_of(units.units_of(spark, [event_lines(spark, sf_dir)], FRAME), 64, SEED)
+    return found.select("pos", "out_pos", F.md5("record").alias("record_md5"))
+
+
+@query(f"""WITH RECURSIVE {EVENT_FRAMES},
+ids AS (SELECT DISTINCT frame_id FROM framed),
+fp AS (SELECT frame_id, row_number() OVER (ORDER BY {sql_hex(SEED, 'perm', 0, 'frame_id')}, frame_id) - 1 AS frame_pos FROM ids),
+rec AS (SELECT md5(record) AS record_md5, framed.frame_id, frame_pos, row_number() OVER (PARTITION BY framed.frame_id ORDER BY pos) - 1 AS rec FROM framed JOIN fp USING (frame_id) WHERE frame_pos % {WORLD} = 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {sql_hex(SEED, 'frame', 0, 'frame_id', 'rec')}, rec) - 1 AS rec_pos FROM rec)
+SELECT CAST(frame_id AS BIGINT) AS frame_id, frame_pos, rec, rec_pos, row_number() OVER (ORDER BY frame_pos, rec_pos) - 1 AS out_pos, record_md5 FROM placed""")
+def chunk_shuffled_files_rank(spark, sf_dir):
+    """One rank's frames of seekable files, and no others, read and shuffled frame by frame."""
+    planned = records.with_position(units.plan(spark, [written_events(spark, sf_dir)]), "file_id", "file", "part", name="unit")
+    found = units.chunk_shuffled(planned, SEED, rank=3, world=WORLD)
+    return found.select("frame_id", "frame_pos", "rec", "rec_pos", "out_pos", F.md5("record").alias("record_md5"))
+
+
+@query("""WITH raw AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, encode(props) || CASE WHEN event_id % 3 = 0 THEN '\\xFF\\x0D\\x00\\xC3'::BLOB ELSE ''::BLOB END AS record FROM events)
+SELECT via, pos, md5(record) AS record_md5, CAST(octet_length(record) + 1 AS BIGINT) AS nbytes FROM raw, (VALUES ('lines'), ('seekable')) AS v(via)""")
+def byte_records(spark, sf_dir):
+    """Records that aren't UTF-8, with carriage returns and zeros, through files of lines and seekable ones."""
+    odd = F.concat(F.col("props").cast("binary"), F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit("FF0D00C3"))).otherwise(F.unhex(F.lit(""))))
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), odd.alias("record"))
+    placed = positioned(raw.withColumn("nbytes", (F.octet_length("record") + 1).cast("long")))
+    as_lines, as_frames = shared_path(spark, "lines"), shared_path(spark, "seekable")
+    write_records(placed, as_lines, order="pos")
+    seekable.write_seekable(frames.assign_frames(placed, FRAME, in_order=True), as_frames)
+    read = [units.records_of(units.units_of(spark, [path], FRAME)).withColumn("via", F.lit(via)) for via, path in (("lines", f"{as_lines}/part-*"), ("seekable", as_frames))]
+    return read[0].unionByName(read[1]).select("via", "pos", F.md5("record").alias("record_md5"), "nbytes")

@@ -9,10 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.errors import InputMissing, PermissionRefused
 
+#: The bytes that formats begin with.
+MAGIC = {
+    b"\x1f\x8b": "gzip",
+    b"\x28\xb5\x2f\xfd": "zstd",
+    b"BZh": "bzip2",
+    b"\xfd7zXZ\x00": "xz",
+    b"\x04\x22\x4d\x18": "lz4",
+    b"PAR1": "parquet",
+}
+
 #: Stores that a task can stream from.
 STREAMED = re.compile(r"(file:|hdfs:|s3:|s3a:|gs:|/)")
 
 
+def detect(head: bytes) -> str:
+    """The format that a file's first bytes tell; its name says nothing."""
+    return next((kind for magic, kind in MAGIC.items() if head.startswith(magic)), "plain")
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """path and length of every file of an input; no content is read."""
     try:

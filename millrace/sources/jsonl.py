@@ -1,4 +1,4 @@
-"""JSONL in and out: codecs found by content, records as they are, rows as JSON objects."""
+"""JSONL in and out: codecs found by content, records as the bytes they are, rows as JSON objects."""
 
 from __future__ import annotations
 
@@ -10,23 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.errors import ModeUnavailable
-from .files import STREAMED, first_bytes, listed, store, unpacked
-
-#: The bytes that compressed formats begin with.
-MAGIC = {
-    b"\x1f\x8b": "gzip",
-    b"\x28\xb5\x2f\xfd": "zstd",
-    b"BZh": "bzip2",
-    b"\xfd7zXZ\x00": "xz",
-    b"\x04\x22\x4d\x18": "lz4",
-}
-SUFFIX = {"gzip": (".gz",), "zstd": (".zst",), "bzip2": (".bz2",)}
-
+from ..operators.errors import ModeUnavailable, UsageError
+from ..operators.shared import shared_path
+from .files import STREAMED, detect, first_bytes, listed, store, unpacked
 
-def detect(head: bytes) -> str:
-    """The format that a file's first bytes tell; its name says nothing."""
-    return next((kind for magic, kind in MAGIC.items() if head.startswith(magic)), "plain")
+SUFFIX = {"gzip": (".gz",), "zstd": (".zst",), "bzip2": (".bz2",)}
 
 
 def _heads(spark: SparkSession, path: str) -> list[tuple[str, str]]:
@@ -36,7 +24,7 @@ def _heads(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 
 LINES_A_BATCH, BYTES_A_BATCH = 4_096, 4 << 20
-LINES = "file string, row long, record string"
+LINES = "file string, row long, record binary"
 
 
 def _line_batches(file: str, reader):
@@ -44,10 +32,10 @@ def _line_batches(file: str, reader):
     lines, size, at = [], 0, 0
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([file] * len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "row", "record"])
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.binary())], names=["file", "row", "record"])
 
     for line in reader:
-        lines.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
+        lines.append(line.removesuffix(b"\n"))
         size += len(line)
         if len(lines) >= LINES_A_BATCH or size >= BYTES_A_BATCH:
             yield batch()
@@ -84,7 +72,7 @@ def _streamed(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """file, row (order within the file) and record of every line.
+    """file, row (order within the file) and record (bytes) of every line.
 
     Plain files, and compressed ones whose names Spark knows, are read as text,
     split where Spark can. xz files and those with other names than their
@@ -95,61 +83,33 @@ def read_records(spark: SparkSession, path: str, kind: str | None = None) -> Dat
         found = kind or found
         if found == "lz4":
             raise ModeUnavailable("lz4 input is not supported")
+        if found == "parquet":
+            raise UsageError(f"{file} is a Parquet file: its rows are records, its bytes aren't")
         suffix = os.path.splitext(file)[1]
         known = any(suffix in s for s in SUFFIX.values())
         (by_text if (found == "plain" and not known) or suffix in SUFFIX.get(found, ()) else by_content).append((file, found))
     out = None
     if by_text:
         lines = spark.read.option("lineSep", "\n").text([f for f, _ in by_text])
-        out = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("record"))
+        out = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("record"))
     if by_content:
         more = _streamed(spark, by_content)
         out = more if out is None else out.unionByName(more)
     return spark.createDataFrame([], LINES) if out is None else out  # Spark lists no empty files
 
 
-def _ends_in_line(path: str, kind: str) -> bool:
-    """Whether a file is empty or its content ends in a line feed; it is streamed, a part at a time."""
-    where, name = store(path)
-    last = b""
-    with where.open_input_file(name) as file:
-        if kind == "plain":
-            file.seek(max(0, file.size() - 1))
-            return file.read(1) in (b"", b"\n")
-        with unpacked(kind, file) as reader:
-            while some := reader.read(1 << 20):
-                last = some[-1:]
-    return last in (b"", b"\n")
-
-
-def trailing_partials(spark: SparkSession, path: str) -> DataFrame:
-    """path of every input file whose last line has no line feed."""
-    heads = _heads(spark, path)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([not _ends_in_line(*x) for x in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_()))
+def spool(spark: SparkSession, lines) -> str:
+    """A file in the shared folder with the lines of a byte stream, such as standard input, as they are.
 
-    return spark.createDataFrame(heads, "path string, kind string").repartition("path").mapInArrow(run, "path string, kind string").select("path")
-
-
-def spool(spark: SparkSession, lines, lines_a_file: int = 100_000) -> str:
-    """A folder of text files with the lines of a byte stream, such as standard input, in order.
-
-    A stream has one reader; it is written out some lines at a time, by Spark, and read again as any other input.
+    A stream has one reader; what it wrote is then read by ranges as any other file.
     """
-    import itertools
-    import uuid
-
-    from ..operators.shared import shared_dir
-
-    out = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
-    lines = iter(lines)
-    for k in itertools.count():
-        some = [(line.rstrip(b"\n").decode("utf-8", "replace"),) for line in itertools.islice(lines, lines_a_file)]
-        if not some and k:
-            return out
-        spark.createDataFrame(some, "value string").coalesce(1).write.option("lineSep", "\n").text(f"{out}/{k:08d}")
+    out = shared_path(spark, "spool")
+    where, name = store(out)
+    where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with where.open_output_stream(name) as file:
+        for line in lines:
+            file.write(line)
+    return out
 
 
 def _plain(c: Column, kind: T.DataType, strict: bool) -> Column | None:
@@ -180,6 +140,6 @@ def to_json_record(df: DataFrame, strict: bool = False) -> Column:
 
 def write_records(df: DataFrame, out: str, order: str = "out_pos", record: str = "record", compression: str | None = None) -> None:
     """Lines in ``order`` over the part files, each ending in a line feed."""
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order).select(F.col(record).alias("value"))
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order).select(F.col(record).cast("string").alias("value"))  # text is written byte for byte
     writer = dealt.write.option("lineSep", "\n")
     (writer.option("compression", compression) if compression else writer).text(out)

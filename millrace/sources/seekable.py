@@ -1,9 +1,10 @@
 """Seekable zstandard files as a Spark data source, format ``seekable_zstd``.
 
 A file is a run of frames, each a whole zstandard frame of whole lines, and a
-seek table in a skippable frame at the end. Reading plans one task per run of
-frames from the table alone; a rank's frames are chosen before anything is
-decompressed. Writing gives one such file a partition under a folder that the
+seek table in a skippable frame at the end. ``read_seekable`` reads tables and
+frames in tasks; the data source plans one task per run of frames from the
+tables, of the frames that a filter on file_id and frame_id leaves. Records are
+bytes. Writing gives one such file a partition under a folder that the
 cluster shares; rows come sorted with their frame_id. Files are read and written
 through pyarrow's file systems, so paths may be local or those of a store.
 """
@@ -14,9 +15,21 @@ import struct
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from ..operators.errors import InputMissing, UsageError
 from ..operators.frames import size_summary
@@ -38,10 +51,10 @@ class Frame:
     checksum: int | None
 
 
-def seek_table(frames: list[tuple[int, int, int]]) -> bytes:
+def seek_table(frames: list[tuple[int, int, int]], checksum: bool = True) -> bytes:
     """The bytes after the last frame, from (compressed size, decompressed size, checksum) of each."""
-    body = b"".join(struct.pack("<III", *f) for f in frames)
-    return struct.pack("<II", TABLE_MAGIC, len(body) + FOOTER) + body + struct.pack("<IBI", len(frames), CHECKSUM_FLAG, FOOTER_MAGIC)
+    body = b"".join(struct.pack("<III", *f) if checksum else struct.pack("<II", *f[:2]) for f in frames)
+    return struct.pack("<II", TABLE_MAGIC, len(body) + FOOTER) + body + struct.pack("<IBI", len(frames), CHECKSUM_FLAG if checksum else 0, FOOTER_MAGIC)
 
 
 def read_seek_table(path: str) -> list[Frame]:
@@ -77,33 +90,15 @@ def read_seek_table(path: str) -> list[Frame]:
     return out
 
 
-def files_under(path: str) -> list[str]:
-    """The input itself, or the files of a folder by name."""
+def files_of(path: str) -> list[str]:
+    """The input itself, or the seekable files of a folder by name."""
     from pyarrow import fs
 
     where, name = store(path)
     if where.get_file_info(name).type != fs.FileType.Directory:
         return [path]
     found = where.get_file_info(fs.FileSelector(name))
-    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
-
-
-def files_of(path: str) -> list[str]:
-    files = files_under(path)
-    return files if files == [path] else [f for f in files if f.endswith(".zst")]
-
-
-def by_seek_table(path: str) -> tuple[list[str], list[str]]:
-    """The files of an input that end in a sound seek table, and the inputs that are left."""
-    files = files_under(path)
-    found = []
-    for file in files:
-        try:
-            read_seek_table(file)
-            found.append(file)
-        except (UsageError, InputMissing, OSError):
-            continue
-    return (found, [f for f in files if f not in found]) if found else ([], [path])
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and f.base_name.endswith(".zst"))
 
 
 def decompress(path: str, frame: Frame) -> bytes:
@@ -119,26 +114,44 @@ class _Frames(InputPartition):
         super().__init__((path, file_id, frames))
 
 
+def lines_of(raw: bytes) -> list[bytes]:
+    """Records of some bytes; the last may lack its line feed."""
+    lines = raw.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    return lines
+
+
+#: Comparisons that are decided from the seek tables.
+DECIDED = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.wanted = options.get("frames")
+        self.wanted: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f) in DECIDED and f.attribute in (("file_id",), ("frame_id",)):
+                self.wanted.append((f.attribute[0], type(f), f.value))
+            else:
+                yield f
 
     def partitions(self):
-        wanted = {int(x) for x in self.wanted.split(",")} if self.wanted else None
+        fits = lambda **at: all(DECIDED[kind](at[name], value) for name, kind, value in self.wanted if name in at)
         out = []
         for file_id, path in enumerate(files_of(self.path)):
-            frames = [f for f in read_seek_table(path) if wanted is None or f.frame_id in wanted]
+            frames = [f for f in read_seek_table(path) if fits(frame_id=f.frame_id)] if fits(file_id=file_id) else []
             out += [_Frames(path, file_id, frames[i : i + FRAMES_A_TASK]) for i in range(0, len(frames), FRAMES_A_TASK)]
-        return out
+        return out or [_Frames("", 0, [])]
 
     def read(self, partition):
         path, file_id, frames = partition.value
         for frame in frames:
-            raw = decompress(path, frame)
             at = 0
-            for line in raw.split(b"\n")[: raw.count(b"\n") + (not raw.endswith(b"\n") and bool(raw))]:
-                yield file_id, frame.frame_id, at, line.decode("utf-8", "replace")
+            for line in lines_of(decompress(path, frame)):
+                yield file_id, frame.frame_id, at, line
                 at += len(line) + 1
 
 
@@ -154,6 +167,7 @@ class _Writer(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"]
         self.level = int(options.get("level", "3"))
+        self.checksum = options.get("checksum", "true") == "true"
         self.job = uuid.uuid4().hex[:12]
 
     def write(self, rows):
@@ -183,11 +197,11 @@ class _Writer(DataSourceWriter):
                 if current is not None and row["frame_id"] != current:
                     close()
                 current = row["frame_id"]
-                held.append((row["record"] or "").encode("utf-8") + b"\n")
+                held.append(bytes(row["record"] or b"") + b"\n")
             if held:
                 close()
             if table:
-                file.write(seek_table(table))
+                file.write(seek_table(table, self.checksum))
         return _Written(name if table else None, len(table))
 
     def _finish(self, kept: set[str]) -> None:
@@ -215,7 +229,7 @@ class SeekableZstd(DataSource):
         return "seekable_zstd"
 
     def schema(self):
-        return "file_id int, frame_id int, offset_in_frame long, record string"
+        return "file_id int, frame_id int, offset_in_frame long, record binary"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -228,18 +242,38 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SeekableZstd)
 
 
-def write_seekable(df: DataFrame, out: str, level: int = 3) -> None:
-    """``df`` with frame_id, pos and record as seekable files under ``out``; frames stay whole."""
+def write_seekable(df: DataFrame, out: str, level: int = 3, checksum: bool = True, counts: Observation | None = None, spread: tuple[int, int] | None = None) -> None:
+    """``df`` with frame_id, pos and record as seekable files under ``out``; frames stay whole. ``counts`` gets the number of records written.
+
+    ``spread``: how many files to write, and a number of frames that there are at most; then ``df`` isn't read to sample its frames.
+    """
     register(df.sparkSession)
-    dealt = df.repartitionByRange("frame_id").sortWithinPartitions("frame_id", "pos").select("frame_id", "record")
-    shaped = dealt.select(F.lit(0).alias("file_id"), F.col("frame_id").cast("int"), F.lit(0).cast("long").alias("offset_in_frame"), "record")
-    shaped.write.format("seekable_zstd").option("path", out).option("level", str(level)).mode("append").save()
+    dealt = df.repartitionById(spread[0], F.expr(f"CAST(CAST(frame_id AS BIGINT) * {spread[0]} div {spread[1]} AS INT)")) if spread else df.repartitionByRange("frame_id")
+    dealt = dealt.sortWithinPartitions("frame_id", "pos").select("frame_id", "record")
+    shaped = dealt.select(F.lit(0).alias("file_id"), F.col("frame_id").cast("int"), F.lit(0).cast("long").alias("offset_in_frame"), F.col("record").cast("binary").alias("record"))
+    if counts is not None:
+        shaped = shaped.observe(counts, F.count(F.lit(1)).alias("records"))
+    shaped.write.format("seekable_zstd").option("path", out).option("level", str(level)).option("checksum", str(checksum).lower()).mode("append").save()
 
 
 def read_seekable(spark: SparkSession, path: str, frames: list[int] | None = None) -> DataFrame:
-    register(spark)
-    reader = spark.read.format("seekable_zstd").option("path", path)
-    return (reader.option("frames", ",".join(map(str, frames))) if frames is not None else reader).load()
+    """file_id, frame_id, offset_in_frame and record, in bytes; tables and frames are read in tasks, and only the ``frames`` asked for."""
+    import numpy as np
+    import pyarrow as pa
+
+    entries = frame_entries(spark, path)
+    if frames is not None:
+        entries = entries.filter(F.col("frame_id").isin(frames))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                lines = lines_of(decompress(r["path"], Frame(r["frame_id"], r["offset"], r["compressed"], r["decompressed"], r["checksum"])))
+                sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1
+                whole = [pa.array(np.full(len(lines), r[c], dtype=np.int32)) for c in ("file_id", "frame_id")]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(np.cumsum(sizes) - sizes), pa.array(lines, pa.binary())], names=["file_id", "frame_id", "offset_in_frame", "record"])
+
+    return entries.repartition("path", "frame_id").mapInArrow(run, "file_id int, frame_id int, offset_in_frame long, record binary")
 
 
 def frame_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -253,14 +287,14 @@ def frame_entries(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for file in batch.column(0).to_pylist():
+            for file_id, file in zip(*(c.to_pylist() for c in batch.columns)):
                 frames = read_seek_table(file)
                 columns = [[f.frame_id for f in frames], [f.offset for f in frames], [f.compressed for f in frames], [f.decompressed for f in frames], [f.checksum for f in frames]]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(frames), pa.string()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["path", "frame_id", "offset", "compressed", "decompressed", "checksum"])
+                yield pa.RecordBatch.from_arrays([pa.array([file_id] * len(frames), pa.int32()), pa.array([file] * len(frames), pa.string()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["file_id", "path", "frame_id", "offset", "compressed", "decompressed", "checksum"])
 
     read_seek_table(files[0]) if len(files) == 1 else None  # says what is wrong with a single file before any task
-    listing = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 10_000)), "path")
-    return listing.mapInArrow(run, "path string, frame_id int, offset long, compressed long, decompressed long, checksum long").withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+    listing = spark.createDataFrame(list(enumerate(files)), "file_id int, path string").repartition(max(1, min(len(files), 10_000)), "path")
+    return listing.mapInArrow(run, "file_id int, path string, frame_id int, offset long, compressed long, decompressed long, checksum long").withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
@@ -270,26 +304,31 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     return about.withColumn("ratio", F.col("decompressed") / F.col("compressed")).withColumn("file_bytes", F.lit(sum(sizes)).cast("long"))
 
 
+def frame_problem(raw: bytes, size: int, checksum: int | None) -> str | None:
+    """How an unpacked frame differs from its entry."""
+    import xxhash
+
+    if len(raw) != size:
+        return f"{len(raw)} bytes, not {size}"
+    return "checksum" if checksum is not None and xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != checksum else None
+
+
 def verify_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames that don't decompress to the size and checksum of their entry: file, frame_id and problem."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             bad = []
             for r in batch.to_pylist():
                 frame = Frame(r["frame_id"], r["offset"], r["compressed"], r["decompressed"], r["checksum"])
                 try:
-                    raw = decompress(r["path"], frame)
+                    problem = frame_problem(decompress(r["path"], frame), frame.decompressed, frame.checksum)
                 except Exception as e:
-                    bad.append((r["file"], frame.frame_id, f"unreadable: {e}"))
-                    continue
-                if len(raw) != frame.decompressed:
-                    bad.append((r["file"], frame.frame_id, f"{len(raw)} bytes, not {frame.decompressed}"))
-                elif frame.checksum is not None and xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != frame.checksum:
-                    bad.append((r["file"], frame.frame_id, "checksum"))
+                    problem = f"unreadable: {e}"
+                if problem:
+                    bad.append((r["file"], frame.frame_id, problem))
             yield pa.RecordBatch.from_pydict({"file": pa.array([b[0] for b in bad], pa.string()), "frame_id": pa.array([b[1] for b in bad], pa.int32()), "problem": pa.array([b[2] for b in bad], pa.string())})
 
     return frame_entries(spark, path).repartition("path", "frame_id").mapInArrow(run, "file string, frame_id int, problem string")

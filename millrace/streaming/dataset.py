@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records, shuffle
 from ..operators.errors import UsageError
+from ..sources import units
 
 MODES = ("none", "buffer", "reservoir", "chunk-shuffled", "index-perm")
 
@@ -56,7 +57,7 @@ class Dataset:
                 out = shuffle.buffer_shuffle(out, self.size or shuffle_default("buffer"), seed, number)
             else:
                 out = shuffle.reservoir(out, self.size or shuffle_default("reservoir"), seed, number)
-        return out.select("record", "out_pos")
+        return out.select(F.col("record").cast("binary").alias("record"), "out_pos")
 
     def __iter__(self) -> Iterator[bytes]:
         left = self.sample
@@ -76,7 +77,63 @@ class Dataset:
                 self.counts[number] += 1
                 if left is not None:
                     left -= 1
-                yield (row["record"] or "").encode("utf-8") + b"\n"
+                yield bytes(row["record"] or b"") + b"\n"
+
+
+class UnitDataset(Dataset):
+    """A ``Dataset`` over placed units of files (see ``sources.units``): texts are read when they are handed out.
+
+    In file order and by chunks nothing is sorted, and a rank's chunks alone are read; a permutation is one of
+    positions, and a sample of it reads the units that hold its records. ``max_line``: longer records are passed over
+    and added to ``dropped``.
+    """
+
+    def __init__(self, units: DataFrame, *args, max_line: int | None = None, dropped=None, **more):
+        super().__init__(units, *args, **more)
+        if self.mode not in ("none", "chunk-shuffled", "index-perm"):
+            raise UsageError(f"{self.mode} shuffles records, not units")
+        self.max_line, self.dropped = max_line, dropped
+        self.total, self.size_of_all = units.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("records", "bytes"))).first()
+
+    def epoch(self, number: int, first: int | None = None) -> DataFrame:
+        """record and, of a permutation, out_pos, in order over the partitions. ``first`` rows of a permutation are enough."""
+        rank, world = self._ranks()
+        if self.mode == "chunk-shuffled":
+            return units.chunk_shuffled(self.df, self.seed, number, rank, world, out_pos=False).select("record")
+        if self.mode == "none":
+            return records.of_rank(units.records_of(self.df), rank, world).select("record")
+        positions = self.df.sparkSession.range(self.total).select(F.col("id").alias("pos"))
+        if first is not None and first < self.total:
+            order = shuffle.sample(positions, first, self.seed, number, "pos")
+        else:
+            order, first = shuffle.index_perm(positions, self.seed, number, "pos"), self.total
+        found = units.at_positions(self.df, records.of_rank(order, rank, world, "out_pos")).select("record", "out_pos")
+        parts = max(1, -(-self.size_of_all * first // max(1, self.total) // units.TASK_BYTES))
+        part = F.expr(f"CAST(out_pos * {parts} div {max(1, first)} AS INT)")  # places are known, so no sample of the texts decides where they go
+        return found.repartitionById(parts, part).sortWithinPartitions("out_pos")
+
+    def __iter__(self) -> Iterator[bytes]:
+        left = self.sample
+        world = self._ranks()[1] or 1
+        for number in itertools.count() if self.epochs == 0 else range(self.epochs):
+            left = self.sample if self.scope == "epoch" else left
+            if left is not None and left <= 0:
+                return
+            skipped = self.seen if number == 0 else 0
+            whole = left is None or self.max_line is not None  # records that are passed over make room for others
+            rows = self.epoch(number, None if whole else (left + skipped) * world) if self.mode == "index-perm" else self.epoch(number)
+            self.counts[number] = 0
+            for row in itertools.islice(rows.toLocalIterator(prefetchPartitions=True), skipped, None):
+                if self.max_line is not None and len(row["record"]) + 1 > self.max_line:
+                    if self.dropped is not None:
+                        self.dropped.add(1)
+                    continue
+                self.counts[number] += 1
+                yield bytes(row["record"]) + b"\n"
+                if left is not None:
+                    left -= 1
+                    if not left:
+                        break
 
 
 def shuffle_default(mode: str) -> int:

@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions.records import entropy_of, humanize, json_error, parse_size
+from millrace.functions.records import entropy_of, humanize, json_error, json_problem_of, parse_size
 from millrace.operators import analyze, frames, records, shuffle, verify
 from millrace.operators.errors import UnsafeOrder, UsageError
 
@@ -234,6 +234,78 @@ def test_invalid_json(text):
     assert json_error(text)
 
 
+@pytest.mark.parametrize(
+    "raw, kind, at",
+    [
+        (b"", "unexpected_eof", 0), (b"{", "bad_string", 1), (b"}", "unexpected", 0), (b"[1,]", "unexpected", 3), (b'{"a" 1}', "unexpected", 5), (b'{"a":1,}', "bad_string", 7), (b"01", "trailing", 1),
+        (b"-", "bad_number", 0), (b"[1.]", "bad_number", 1), (b"1e", "bad_number", 0), (b"tru", "bad_literal", 0), (b'"\\x"', "bad_string", 2), (b'"\\u00zz"', "bad_unicode", 5), (b'"\x01"', "bad_string", 1),
+        (b'"abc', "unexpected_eof", 4), (b"[" * 129, "too_deep", 128), (b"1 2", "trailing", 2), (b"\xff", "unexpected", 0), (b'["\xff" x', "unexpected", 5),
+    ],
+)
+def test_kinds_of_json_problems(raw, kind, at):
+    assert json_problem_of(raw) == (kind, at)
+    assert json_error(raw) == f"{kind.replace('_', ' ')} at byte {at}"
+
+
+@given(st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)), st.integers(0, 200), st.binary(max_size=2))
+def test_the_walk_agrees_with_a_parser(value, at, more):
+    import json
+
+    raw = json.dumps(value).encode()
+    assert json_problem_of(raw) is None
+    broken = raw[:at] + more + raw[at + 1 :]
+    try:
+        json.loads(broken.decode("latin-1"), parse_constant=lambda x: 1 / 0, parse_int=str, parse_float=str)
+        good = True
+    except (ValueError, ZeroDivisionError):
+        good = False
+    assert (json_problem_of(broken) is None) == good
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 40)), min_size=1, max_size=60), st.integers(1, 120), st.lists(st.integers(0, 60), max_size=10), st.randoms())
+def test_runs_are_composed_in_any_order(records_, frame_size, cuts, draw):
+    files, sizes = [str(f) for f, _ in sorted(records_)], [n for _, n in records_]
+    cuts = sorted({0, len(files), *(c for c in cuts if c < len(files))})
+    runs = []
+    for a, b in zip(cuts, cuts[1:]):
+        names = sorted(set(files[a:b]))
+        runs.append(frames._run_of(np.array(sizes[a:b]), names, [files[a:b].count(x) for x in names], frame_size))
+    whole = list(runs)
+    while len(whole) > 1:
+        i = draw.randrange(len(whole) - 1)
+        whole[i : i + 2] = [frames._then(whole[i], whole[i + 1])]
+    for state in ((None, 0, 0), (files[0], 5, frame_size - 1)):
+        file, frame, held = state
+        for f, n in zip(files, sizes):
+            if f != file:
+                file, frame, held = f, 0, 0
+            held += n
+            if held >= frame_size:
+                frame, held = frame + 1, 0
+        assert whole[0].follow(*state) == (file, frame, held)
+
+
+def test_frames_over_hundreds_of_partitions(spark, monkeypatch):
+    draw = random.Random(4)
+    sizes = [draw.choice([1, 5, 30, 200]) for _ in range(3_000)]
+    files = [f"f{i // 900}" for i in range(3_000)]
+    df = spark.createDataFrame([(f, i, n) for i, (f, n) in enumerate(zip(files, sizes))], "file string, pos long, nbytes long")
+    monkeypatch.setattr(frames, "RUNS_AT_ONCE", 6)
+    dealt = df.repartitionByRange(250, "pos").sortWithinPartitions("pos")
+    monkeypatch.setattr(frames, "cut", lambda d: d.checkpoint())
+    for size in (64, 5_000):
+        got = frames.assign_frames(dealt.checkpoint(), size, file="file", in_order=True)
+        assert {r["pos"]: r["frame_id"] for r in got.collect()} == dict(enumerate(sequential_frames(sizes, files, size)))
+
+
+def test_ranks_are_held_against_the_input(spark):
+    ids = spark.range(100)
+    mine = lambda r: ids.filter(F.col("id") % 3 == r)
+    assert verify.ranks_cover(ids, [mine(r) for r in range(3)]).first().asDict() == {"n_rows": 100, "covered": 100, "overlap": 0, "foreign": 0}
+    wrong = verify.ranks_cover(ids, [mine(0), mine(0).filter("id < 9"), spark.range(200, 205)]).first().asDict()
+    assert wrong == {"n_rows": 100, "covered": 34, "overlap": 3, "foreign": 8}
+
+
 def test_entropy():
     assert entropy_of(b"") == 0 and entropy_of(b"aaaa") == 0
     assert math.isclose(entropy_of(bytes(range(256))), math.log(256))

@@ -3,6 +3,7 @@ import bz2
 import gzip
 import json
 import lzma
+import random
 import time
 
 import pytest
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 from millrace.__main__ import main, serving
 from millrace.operators import frames, index, records, shuffle
 from millrace.operators.errors import InputMissing, ModeUnavailable, UsageError
-from millrace.sources import jsonl, seekable, shards
+from millrace.sources import jsonl, seekable, shards, units
 from millrace.streaming import live
-from millrace.streaming.dataset import Dataset
+from millrace.streaming.dataset import Dataset, UnitDataset
 
-RAW = "one\r\nt\0wo\n☃snowman\n".encode()
+#: Carriage returns, zeros, characters of several bytes and bytes that are no characters.
+RAW = "one\r\nt\0wo\n☃snowman".encode() + b"\xff\xc3\n"
 
 
 @pytest.mark.parametrize("name", ["a.jsonl", "a.gz", "a.bz2", "a.zst", "a.xz", "gz_without_suffix", "xz_named.txt", "no_newline"])
@@ -25,7 +27,9 @@ def test_codecs_are_found_by_content(spark, tmp_path, name):
     pack = gzip.compress if "gz" in name else bz2.compress if "bz2" in name else zstandard.ZstdCompressor().compress if "zst" in name else lzma.compress if "xz" in name else bytes
     (tmp_path / name).write_bytes(pack(raw))
     rows = jsonl.read_records(spark, str(tmp_path / name)).orderBy("row").collect()
-    assert [r["record"] for r in rows] == ["one\r", "t\0wo", "☃snowman"]
+    assert [bytes(r["record"]) for r in rows] == raw.rstrip(b"\n").split(b"\n")
+    found = units.records_of(units.units_of(spark, [str(tmp_path / name)], 7)).collect()
+    assert [(r["pos"], r["offset"], r["start"], bytes(r["record"])) for r in found] == [(0, 0, 0, b"one\r"), (1, 5, 5, b"t\0wo"), (2, 10, 10, RAW.split(b"\n")[2])]
 
 
 def test_only_the_first_bytes_of_a_file_are_looked_at(spark, tmp_path):
@@ -38,7 +42,7 @@ def test_only_the_first_bytes_of_a_file_are_looked_at(spark, tmp_path):
         assert [k for _, k in jsonl._heads(spark, str(tmp_path))] == ["xz", "gzip", "plain", "plain"]  # empty files aren't listed
         for name in ("plain.txt", "a.xz", "gz_elsewhere", "plain.gz"):
             rows = jsonl.read_records(spark, str(tmp_path / name)).orderBy("row").collect()
-            assert b"".join(r["record"].encode() + b"\n" for r in rows) == long_one
+            assert b"".join(r["record"] + b"\n" for r in rows) == long_one
         assert jsonl.read_records(spark, str(tmp_path / "empty")).count() == 0
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", was)
@@ -48,8 +52,12 @@ def test_refused_inputs(spark, tmp_path):
     (tmp_path / "x.lz4").write_bytes(b"\x04\x22\x4d\x18rest")
     with pytest.raises(ModeUnavailable):
         jsonl.read_records(spark, str(tmp_path / "x.lz4"))
-    with pytest.raises(InputMissing):
-        jsonl.read_records(spark, str(tmp_path / "missing"))
+    (tmp_path / "x.data").write_bytes(b"PAR1rest")
+    for name, error in (("missing", InputMissing), ("x.data", UsageError), ("x.lz4", ModeUnavailable)):
+        with pytest.raises(error):
+            jsonl.read_records(spark, str(tmp_path / name))
+        with pytest.raises(error):
+            units.plan(spark, [str(tmp_path / name)])
 
 
 def test_rows_as_json(spark):
@@ -76,7 +84,7 @@ def test_seekable_round_trip(spark, tmp_path):
     out = str(tmp_path / "seek")
     seekable.write_seekable(framed, out)
     back = seekable.read_seekable(spark, out)
-    assert sorted(r["record"] for r in back.collect()) == sorted(r["record"] for r in framed.collect())
+    assert sorted(bytes(r["record"]).decode() for r in back.collect()) == sorted(r["record"] for r in framed.collect())
     whole = b"".join(zstandard.ZstdDecompressor().stream_reader(open(f, "rb"), read_across_frames=True).read() for f in sorted((tmp_path / "seek").glob("*.zst")))
     assert whole.decode().splitlines() == [f"rec {i}" for i in range(300)]
     n_frames = framed.select("frame_id").distinct().count()
@@ -286,8 +294,145 @@ def test_verify_checks_the_frames_of_seekable_files(spark, tmp_path, capfdbinary
 
 
 def test_standard_input_is_spooled(spark):
-    lines = [f"line {i}\n".encode() for i in range(25)] + [b"last"]
+    lines = [b"line \xff%d\r\n" % i for i in range(25)] + [b"last"]
     for some in (lines, []):
-        out = jsonl.spool(spark, some, 10)
-        got = [r["record"] for r in jsonl.read_records(spark, f"{out}/*/part-*").orderBy("file", "row").collect()] if some else []
-        assert got == [x.decode().rstrip("\n") for x in some]
+        out = jsonl.spool(spark, some)
+        got = [bytes(r["record"]) for r in units.records_of(units.units_of(spark, [out], 16)).collect()]
+        assert got == [x.removesuffix(b"\n") for x in some]
+
+
+def written(tmp_path, name, lines, end=b"\n"):
+    raw = b"\n".join(lines) + end if lines else b""
+    (tmp_path / name).write_bytes(raw)
+    return raw
+
+
+@pytest.mark.parametrize("range_bytes", [1, 3, 16, 64, 10_000])
+def test_ranges_find_every_record_once(spark, tmp_path, range_bytes, monkeypatch):
+    draw = random.Random(range_bytes)
+    lines = [bytes(draw.choices(range(11, 256), k=draw.choice([0, 0, 1, 5, 40]))) for _ in range(60)] + [b"x" * 300]
+    raw = written(tmp_path, "a.txt", lines, b"") + b"\n" + written(tmp_path, "b.txt", lines[:20]) + written(tmp_path, "c.txt", [b""]) + written(tmp_path, "d.txt", [])
+    monkeypatch.setattr(units, "BLOCK_BYTES", 50)
+    placed = units.units_of(spark, [str(tmp_path / x) for x in ("a.txt", "b.txt", "c.txt", "d.txt")], range_bytes)
+    rows = units.records_of(placed).collect()
+    assert [bytes(r["record"]) for r in rows] == [*lines, *lines[:20], b""] and [r["pos"] for r in rows] == list(range(82))
+    assert all(raw[r["start"] : r["start"] + r["nbytes"]] == r["record"] + b"\n" for r in rows)
+    assert placed.agg(F.sum("records")).first()[0] == 82 and placed.filter("partial").count() == 1
+
+
+def test_a_rank_reads_its_frames_alone(spark, tmp_path):
+    out = str(tmp_path / "seek")
+    seekable.write_seekable(frames.assign_frames(corpus(spark, 600), 64), out)
+    planned = records.with_position(units.plan(spark, [out]), "file_id", "file", "part", name="unit")
+    n, seen, order = planned.count(), [], []
+    for rank in range(7):
+        meter = spark.sparkContext.accumulator(0)
+        rows = units.chunk_shuffled(planned, 5, 1, rank, 7, out_pos=False, meter=meter).collect()
+        assert meter.value == len({r["frame_id"] for r in rows}) == len(range(rank, n, 7))
+        seen += [bytes(r["record"]) for r in rows]
+        placed = units.chunk_shuffled(planned, 5, 1, rank, 7).collect()
+        assert [r["out_pos"] for r in placed] == list(range(len(rows))) and [r["record"] for r in placed] == [r["record"] for r in rows]
+        order.append([r["frame_pos"] for r in rows])
+    assert sorted(seen) == sorted(b"rec %d" % i for i in range(600))
+    assert all(x == sorted(x) and {p % 7 for p in x} == {rank} for rank, x in enumerate(order))
+    with pytest.raises(ModeUnavailable):
+        (tmp_path / "a.gz").write_bytes(gzip.compress(RAW))
+        units.chunk_shuffled(units.units_of(spark, [str(tmp_path / "a.gz")]))
+
+
+def test_a_sample_opens_the_units_that_hold_it(spark, tmp_path):
+    lines = [b"rec %d" % i for i in range(20_000)]
+    written(tmp_path, "a.txt", lines)
+    placed = units.units_of(spark, [str(tmp_path / "a.txt")], 16)
+    assert placed.count() > 10_000
+    meter = spark.sparkContext.accumulator(0)
+    rows = sorted(units.sample_of(placed, 64, 3, meter=meter).collect(), key=lambda r: r["out_pos"])
+    assert 0 < meter.value <= 64 and [bytes(r["record"]) for r in rows] == [lines[r["pos"]] for r in rows]
+    whole = shuffle.index_perm(spark.range(20_000), 3).orderBy("out_pos").limit(64).collect()
+    assert [r["pos"] for r in rows] == [r["id"] for r in whole]
+
+
+def test_filters_choose_frames_before_they_are_read(spark, tmp_path):
+    out = str(tmp_path / "seek")
+    framed = frames.assign_frames(corpus(spark, 200), 128)
+    seekable.write_seekable(framed.coalesce(1), out)
+    plain = seekable.read_seekable(spark, out)
+    assert {r["frame_id"] for r in seekable.read_seekable(spark, out, [1, 3]).collect()} == {1, 3}
+    reader = seekable._Reader({"path": out})
+    kept = list(reader.pushFilters([seekable.In(("frame_id",), (1, 3, 5)), seekable.LessThan(("frame_id",), 5), seekable.EqualTo(("record",), b"x")]))
+    assert [type(f) for f in kept] == [seekable.EqualTo] and {f.frame_id for p in reader.partitions() for f in p.value[2]} <= {1, 3}
+    seekable.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = spark.read.format("seekable_zstd").option("path", out).load().filter("frame_id < 2")
+        assert sorted(bytes(r["record"]) for r in got.collect()) == sorted(bytes(r["record"]) for r in plain.filter("frame_id < 2").collect())
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize("mode", ["none", "chunk-shuffled", "index-perm"])
+def test_units_are_handed_out_as_records(spark, tmp_path, mode):
+    lines = [b"rec %d" % i for i in range(60)]
+    written(tmp_path, "a.txt", [*lines, b"x" * 100])
+    placed = units.units_of(spark, [str(tmp_path / "a.txt")], 64)
+    dropped = spark.sparkContext.accumulator(0)
+    make = lambda **more: UnitDataset(placed, mode, 3, max_line=50, dropped=dropped, **more)
+    want = sorted(x + b"\n" for x in lines)
+    every = list(make())
+    assert sorted(every) == want and dropped.value == 1 and (every == [x + b"\n" for x in lines]) == (mode == "none")
+    assert sorted(x for r in range(3) for x in make(rank=r, world_size=3)) == want
+    assert list(make(sample=0)) == [] and len(list(make(epochs=2, sample=70))) == 70
+    assert list(UnitDataset(placed, mode, 3, sample=7)) == list(UnitDataset(placed, mode, 3))[:7]
+    assert list(UnitDataset(placed, mode, 3, seen=50)) == list(UnitDataset(placed, mode, 3))[50:]
+    with pytest.raises(UsageError):
+        UnitDataset(placed, "buffer")
+
+
+def test_bytes_survive_the_command_line(spark, tmp_path, capfdbinary):
+    lines = [b'"one\r"', b'"t\0wo"', b'"\xff\xc3"', "\"☃\"".encode(), b"[1, 2", b"truth"]
+    raw = written(tmp_path, "in.jsonl", lines)
+    path, out = str(tmp_path / "in.jsonl"), tmp_path / "out"
+    assert main(["convert", path, "-o", str(out), "--frame-size", "8", "--no-checksum", "--level", "1", "--verify"]) == 0
+    files = sorted(out.glob("*.zst"))
+    assert b"".join(zstandard.ZstdDecompressor().stream_reader(open(f, "rb"), read_across_frames=True).read() for f in files) == raw
+    assert all(f.checksum is None for x in files for f in seekable.read_seek_table(str(x)))
+    capfdbinary.readouterr()
+    for source in (path, str(out)):
+        assert main(["stream", source, "--shuffle", "none"]) == 0
+        assert capfdbinary.readouterr().out == raw
+        assert main(["stream", source, "--frame-size", "16"]) == 0
+        assert sorted(capfdbinary.readouterr().out.split(b"\n")) == sorted(raw.split(b"\n"))
+        assert main(["verify", source, "--deep"]) == 65
+        said = capfdbinary.readouterr()
+        assert json.loads(said.out)["invalid_json"] == 4 and said.err.count(b" at byte ") >= 3
+        assert main(["analyze", source, "--sample-chunks", "2"]) == 0
+        assert json.loads(capfdbinary.readouterr().out)["frames"] <= 2
+
+
+def test_a_saved_index_is_used(spark, tmp_path, capfdbinary):
+    written(tmp_path, "in.jsonl", [b"%d" % i for i in range(300)])
+    path, idx = str(tmp_path / "in.jsonl"), str(tmp_path / "idx")
+    outs = []
+    for want in (b"built", b"found"):
+        assert main(["stream", path, "--shuffle", "index-perm", "--sample", "9", "--seed", "4", "--index", idx]) == 0
+        said = capfdbinary.readouterr()
+        assert b"index " + want in said.err
+        outs.append(said.out)
+    assert outs[0] == outs[1] and len(set(outs[0].split())) == 9
+    assert main(["index", path, "-o", str(tmp_path / "places")]) == 0 and main(["index", path, "-o", str(tmp_path / "places")]) == 0
+    assert b"index built" in (said := capfdbinary.readouterr().err) and b"index found" in said
+    assert spark.read.parquet(str(tmp_path / "places")).count() == 300
+
+
+def test_parquet_is_converted_row_by_row(spark, tmp_path, capfdbinary):
+    spark.range(30).selectExpr("id", "id * 2 AS twice").coalesce(1).write.parquet(str(tmp_path / "d"))
+    cache = tmp_path / "cache" / "own" / "set" / "main" / "data"
+    cache.mkdir(parents=True)
+    next((tmp_path / "d").glob("part-*.parquet")).rename(cache / "train-0.parquet")
+    out = str(tmp_path / "out")
+    assert main(["convert", "hf://own/set", "-o", out, "--cache", str(tmp_path / "cache"), "--parquet-project", "twice"]) == 0
+    got = [json.loads(bytes(r["record"])) for r in seekable.read_seekable(spark, out).orderBy("file_id", "frame_id", "offset_in_frame").collect()]
+    assert got == [{"twice": 2 * i} for i in range(30)]
+    (tmp_path / "x.data").write_bytes((cache / "train-0.parquet").read_bytes())
+    assert main(["stream", str(tmp_path / "x.data"), "--shuffle", "none"]) == 64
+    assert main(["convert", str(cache / "train-0.parquet"), "-o", str(tmp_path / "out2")]) == 0
