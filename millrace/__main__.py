@@ -73,11 +73,6 @@ def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, c
     return about
 
 
-def saved_units(spark: SparkSession, paths: list[str], where: str) -> tuple[DataFrame, bool]:
-    """The units of ``paths`` kept under ``where``, and whether they were found there as the files are now."""
-    return index.looked_up_index(spark, paths, where, lambda: units.units_of(spark, paths))
-
-
 def streamed(spark: SparkSession, a, out) -> None:
     """Writes the shuffled records of ``stream``'s arguments, and says how many were dropped."""
     paths = spooled(spark, a.paths)
@@ -85,8 +80,8 @@ def streamed(spark: SparkSession, a, out) -> None:
     found = None
     if in_files(spark, paths):
         if a.index:
-            found, hit = saved_units(spark, paths, a.index)
-            print(f"millrace: index {'found' if hit else 'built'} under {a.index}", file=sys.stderr)
+            found, hits, read = units.kept_units(spark, paths, a.index)
+            print(f"millrace: index of {hits} files found and of {read} built under {a.index}", file=sys.stderr)
         else:
             found = units.units_of(spark, paths, a.frame_size)
         if a.shuffle not in ("none", "index-perm", "chunk-shuffled") or (a.shuffle == "chunk-shuffled" and found.filter(F.col("kind").isin(*units.WHOLE)).first()):
@@ -201,17 +196,19 @@ def main(argv: list[str] | None = None) -> int:
             planned = units.plan(spark, paths) if in_files(spark, paths) else None
             if planned is not None and not planned.isEmpty() and planned.filter("kind <> 'seekable'").isEmpty():
                 some = units.records_of(units.some_of(planned, a.sample_chunks)).withColumnRenamed("unit", "frame_id")  # of the files' own frames
-                found = analyze.report(some, a.sample_chunks, a.strict)
+                found, drift = analyze.report(some, a.sample_chunks, a.strict), analyze.drift(some, a.sample_chunks)
             else:
                 rows = corpus(spark, paths)
                 narrow = frames.assign_frames(rows.select("id", "pos", "nbytes"), a.frame_size, in_order=True)
-                found = analyze.report(narrow, a.sample_chunks, a.strict, rows)
-            print(found.toJSON().first())
+                found, drift = analyze.report(narrow, a.sample_chunks, a.strict, rows), analyze.drift(narrow, a.sample_chunks, rows)
+            print(json.dumps(found.first().asDict() | drift.first().asDict()))
         elif a.command == "index":
-            kept, hit = saved_units(spark, paths, f"{a.output}/_units")
-            print(f"millrace: index {'found' if hit else 'built'}", file=sys.stderr)
-            if not hit:
+            kept, hits, read = units.kept_units(spark, paths, f"{a.output}/_units")
+            print(f"millrace: index of {hits} files found and of {read} built", file=sys.stderr)
+            if read:
                 places = units.records_of(kept).select("id", F.col("pos").alias("idx"), "start", (F.col("start") + F.col("nbytes")).alias("end"))
+                for old in seekable.files_of(a.output, ".parquet"):
+                    seekable.remove(old)
                 places.write.mode("append").parquet(a.output)
         return 0
     except CorpusError as e:

@@ -68,6 +68,45 @@ def qualify(value: Column, limit: float) -> Column:
     return F.when(value < 0.5 * limit, "uniform").when(value < limit, "mild drift").otherwise("SKEWED")
 
 
+#: Points at which record lengths are compared.
+LENGTH_POINTS = (0.1, 0.5, 0.9)
+FIRST_WORD = r"^\s*(\S+)"
+
+
+def length_drift(df: DataFrame, accuracy: int | None = 10_000) -> DataFrame:
+    """frame_id and length_drift: how far the frame's record lengths at LENGTH_POINTS lie from those of all, as a share of these.
+
+    Lengths are summed up in quantile sketches, whose ranks are wrong by 1 / accuracy at most; exactly with ``accuracy`` None.
+    """
+    points = F.array(*map(F.lit, LENGTH_POINTS))
+    sketch = (F.percentile("nbytes", points) if accuracy is None else F.percentile_approx("nbytes", points, accuracy)).cast("array<double>")
+    one = F.lit(1).alias("__one")
+    every = df.agg(sketch.alias("q")).select("q", one)
+    apart = F.array_max(F.zip_with("p", "q", lambda p, q: F.abs(p / q - 1)))
+    return df.groupBy("frame_id").agg(sketch.alias("p")).select("frame_id", "p", one).join(F.broadcast(every), "__one").select("frame_id", apart.alias("length_drift"))  # one row
+
+
+def prefix_drift(df: DataFrame, record: str = "record") -> DataFrame:
+    """frame_id and prefix_kl, in nats: from the first words of the frame's records to those of all; records without a word have the empty one."""
+    word = F.regexp_extract(F.col(record).cast("string"), FIRST_WORD, 1)
+    counts = df.select("frame_id", word.alias("word")).groupBy("frame_id", "word").agg(F.count("*").alias("n"))
+    every = counts.groupBy("word").agg(F.sum("n").alias("all"))
+    total = counts.agg(F.sum("n").alias("total")).withColumn("__one", F.lit(1))
+    of_frame = counts.groupBy("frame_id").agg(F.sum("n").alias("of_frame"))
+    p, q = F.col("n") / F.col("of_frame"), F.col("all") / F.col("total")
+    joined = counts.join(every, "word").join(of_frame, "frame_id").withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")  # one row
+    return joined.groupBy("frame_id").agg(F.sum(p * F.log(p / q)).alias("prefix_kl"))
+
+
+def drift(df: DataFrame, frames: int = SAMPLE_FRAMES, records: DataFrame | None = None, accuracy: int | None = 10_000) -> DataFrame:
+    """One row over sampled frames: length_drift_max, length_drift_mean, prefix_kl_max and prefix_kl_mean. ``records`` as in ``report``."""
+    some = sample_frames(df, frames)
+    if records is not None:
+        some = some.join(records.select("id", "record"), "id")
+    both = length_drift(some, accuracy).join(prefix_drift(some), "frame_id")
+    return both.agg(*(F.coalesce(f(c), F.lit(0.0)).alias(f"{c}_{n}") for c in ("length_drift", "prefix_kl") for f, n in ((F.max, "max"), (F.avg, "mean"))))
+
+
 def report(df: DataFrame, frames: int = SAMPLE_FRAMES, strict: bool = False, records: DataFrame | None = None) -> DataFrame:
     """One row with the maxima, means, labels and the verdict. ``strict`` raises on an unsafe one.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.prf import prf_hex, prf_mod
+from ..functions.prf import prf_hex, prf_mod, prf_unit
 from .shared import running_before
 
 DEFAULT_BUFFER = 100_000
@@ -90,6 +90,31 @@ def chunk_round_robin(df: DataFrame, seed: int = 0, epoch: int = 0, active: int
     return placed.withColumn("turn", turn.cast("long")).drop("out_pos")
 
 
+def interleaved(df: DataFrame, active: int = 8, seed: int = 0, epoch: int = 0, id_col: str = "id") -> DataFrame:
+    """Rows of ``active`` frames at a time, mixed in proportion to the frames' sizes; a frame that ends makes room for the next.
+
+    In virtual time every frame lasts as long, 1, however many rows it has: it
+    hands them out evenly, each a random part of a step late. The first frames
+    all begin at 0 and end one after the other, frame i at (i + 1) / active;
+    then frame i begins when frame i - active ends. So each place in the order of
+    frames has its beginning and end without the others being run, and ``active``
+    frames are open at any time until the last ones. The result has frame_pos,
+    rec_pos and out_pos.
+    """
+    order = frame_positions(df, seed, epoch)
+    sizes = df.groupBy("frame_id").agg(F.count("*").alias("__n")).join(order, "frame_id")
+    rec = F.row_number().over(Window.partitionBy("frame_id").orderBy(prf_hex(seed, "frame", epoch, "frame_id", id_col), id_col)) - 1
+    share = (F.col("rec_pos").cast("double") + prf_unit(seed, "stride", epoch, "frame_id", id_col)) / F.col("__n")
+    first = share * (F.col("frame_pos") + 1) / active
+    later = (F.col("frame_pos") - active + 1) / F.lit(active) + share
+    timed = df.join(sizes, "frame_id").withColumn("rec_pos", rec.cast("long")).withColumn("__time", F.when(F.col("frame_pos") < active, first).otherwise(later))
+    timed = timed.withColumn("__slot", F.floor(F.col("__time") * active).cast("long"))  # between two ends: about a frame's rows
+    before = running_before(timed.groupBy("__slot").agg(F.count("*").alias("__rows")), "__slot", "__rows").drop("__rows")
+    within = F.row_number().over(Window.partitionBy("__slot").orderBy("__time", "frame_pos", "rec_pos")) - 1
+    placed = timed.withColumn("__within", within).join(before, "__slot")
+    return placed.withColumn("out_pos", (F.col("before") + F.col("__within")).cast("long")).drop("__n", "__time", "__slot", "__within", "before")
+
+
 def buffer_shuffle(df: DataFrame, size: int = DEFAULT_BUFFER, seed: int = 0, epoch: int = 0, position: str = "pos", group: str | None = None) -> DataFrame:
     """A ring of ``size`` slots whose every new record evicts a random one, in closed form.
 

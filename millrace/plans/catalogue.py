@@ -232,6 +232,15 @@ def chunk_round_robin(spark, sf_dir):
     return shuffle.chunk_round_robin(framed(spark, sf_dir), SEED, active=8).select("id", "turn", "rec_pos", "frame_pos")
 
 
+@query(f"""WITH RECURSIVE {CHUNKS}, sized AS (SELECT *, count(*) OVER (PARTITION BY frame_id) AS n FROM rp),
+timed AS (SELECT *, (CAST(rec_pos AS DOUBLE) + {sql_unit(SEED, 'stride', 0, 'frame_id', 'id')}) / n AS share FROM sized),
+clock AS (SELECT *, CASE WHEN frame_pos < 8 THEN share * (frame_pos + 1) / 8 ELSE CAST(frame_pos - 7 AS DOUBLE) / 8 + share END AS time FROM timed)
+SELECT id, frame_pos, rec_pos, row_number() OVER (ORDER BY time, frame_pos, rec_pos) - 1 AS out_pos FROM clock""")
+def interleaved_frames(spark, sf_dir):
+    """Eight frames at a time, mixed; the next one takes the place of one that ends."""
+    return shuffle.interleaved(framed(spark, sf_dir), 8, SEED).select("id", "frame_pos", "rec_pos", "out_pos")
+
+
 def buffer_sql(source: str, group: str | None) -> str:
     part = f"PARTITION BY {group}" if group else ""
     ids = [*([group] if group else []), "pos"]
@@ -354,6 +363,20 @@ def analyze_verdict(spark, sf_dir):
     return out.select("frames", *(F.round(c, 6).alias(c) for c in ("kl_max", "kl_mean", "js_max", "js_mean", "entropy_mean", "length_cv")), "kl_label", "js_label", "cv_label", "verdict")
 
 
+@query(f"""WITH RECURSIVE {frames_sql('lang, doc_id').replace('framed AS', 'all_frames AS')},
+pick AS (SELECT frame_id FROM (SELECT DISTINCT frame_id FROM all_frames) ORDER BY {sql_hex(0, 'analyze', 0, 'frame_id')}, frame_id LIMIT 32),
+framed AS (SELECT * FROM all_frames WHERE frame_id IN (SELECT frame_id FROM pick)),
+q AS (SELECT quantile_cont(nbytes, [0.1, 0.5, 0.9]) AS q FROM framed),
+len AS (SELECT frame_id, list_max(list_transform(list_zip(p, q), lambda x: abs(x[1] / x[2] - 1))) AS d FROM (SELECT frame_id, quantile_cont(nbytes, [0.1, 0.5, 0.9]) AS p FROM framed GROUP BY frame_id), q),
+word AS (SELECT frame_id, regexp_extract(record, '^[\\t\\n\\x0B\\f\\r ]*([^\\t\\n\\x0B\\f\\r ]+)', 1) AS w, count(*) AS n FROM framed GROUP BY ALL),
+kl AS (SELECT frame_id, sum(p * ln(p / q)) AS kl FROM (SELECT frame_id, n / CAST(sum(n) OVER (PARTITION BY frame_id) AS DOUBLE) AS p, sum(n) OVER (PARTITION BY w) / CAST(sum(n) OVER () AS DOUBLE) AS q FROM word) GROUP BY frame_id)
+SELECT round(max(d), 6) AS length_drift_max, round(avg(d), 6) AS length_drift_mean, round(max(kl), 6) AS prefix_kl_max, round(avg(kl), 6) AS prefix_kl_mean FROM len JOIN kl USING (frame_id)""")
+def analyze_drift(spark, sf_dir):
+    """Lengths and first words of frames against those of all, exactly."""
+    out = analyze.drift(framed(spark, sf_dir, "lang", "id"), records=documents(spark, sf_dir), accuracy=None)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
 def broken_events(spark, sf_dir) -> DataFrame:
     """Event properties, two in ten of them damaged."""
     i = F.col("event_id") % 10
@@ -507,13 +530,13 @@ def index_fetch_sample(spark, sf_dir):
 @query(f"""WITH RECURSIVE {EVENT_FRAMES},
 ids AS (SELECT DISTINCT frame_id FROM framed),
 fp AS (SELECT frame_id, row_number() OVER (ORDER BY {sql_hex(SEED, 'perm', 0, 'frame_id')}, frame_id) - 1 AS frame_pos FROM ids),
-rec AS (SELECT md5(record) AS record_md5, framed.frame_id, frame_pos, row_number() OVER (PARTITION BY framed.frame_id ORDER BY pos) - 1 AS rec FROM framed JOIN fp USING (frame_id) WHERE frame_pos % {WORLD} = 3),
+rec AS (SELECT md5(record) AS record_md5, framed.frame_id, frame_pos, row_number() OVER (PARTITION BY framed.frame_id ORDER BY pos) - 1 AS rec FROM framed JOIN fp USING (frame_id) WHERE frame_pos % {WORLD} = 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {sql_hex(SEED, 'frame', 0, 'frame_id', 'rec')}, rec) - 1 AS rec_pos FROM rec)
 SELECT CAST(frame_id AS BIGINT) AS frame_id, frame_pos, rec, rec_pos, row_number() OVER (ORDER BY frame_pos, rec_pos) - 1 AS out_pos, record_md5 FROM placed""")
 def chunk_shuffled_files_rank(spark, sf_dir):
     """One rank's frames of seekable files, and no others, read and shuffled frame by frame."""
     planned = records.with_position(units.plan(spark, [written_events(spark, sf_dir)]), "file_id", "file", "part", name="unit")
-    found = units.chunk_shuffled(planned, SEED, rank=3, world=WORLD)
+    found = units.chunk_shuffled(planned, SEED, rank=0, world=WORLD)
     return found.select("frame_id", "frame_pos", "rec", "rec_pos", "out_pos", F.md5("record").alias("record_md5"))
 
 

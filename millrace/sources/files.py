@@ -29,9 +29,9 @@ def detect(head: bytes) -> str:
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """path and length of every file of an input; no content is read."""
+    """path, length and modificationTime of every file of an input; no content is read."""
     try:
-        return spark.read.format("binaryFile").load(path).select("path", "length")
+        return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise InputMissing(path) from e

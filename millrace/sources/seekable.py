@@ -90,15 +90,20 @@ def read_seek_table(path: str) -> list[Frame]:
     return out
 
 
-def files_of(path: str) -> list[str]:
-    """The input itself, or the seekable files of a folder by name."""
+def remove(path: str) -> None:
+    where, name = store(path)
+    where.delete_file(name)
+
+
+def files_of(path: str, suffix: str = ".zst") -> list[str]:
+    """The input itself, or the files of a folder that end so, by name."""
     from pyarrow import fs
 
     where, name = store(path)
     if where.get_file_info(name).type != fs.FileType.Directory:
         return [path]
     found = where.get_file_info(fs.FileSelector(name))
-    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and f.base_name.endswith(".zst"))
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and f.base_name.endswith(suffix))
 
 
 def decompress(path: str, frame: Frame) -> bytes:

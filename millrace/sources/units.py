@@ -1,4 +1,4 @@
-"""Inputs as tables of work: byte ranges of plain files, frames of seekable ones, other compressed files whole.
+"""Inputs as tables of work: byte ranges of plain files, frames of seekable ones, blocks of xz files, others whole.
 
 A unit is what one task reads at a stretch, a row of file, begin and finish. Units
 are planned, counted, numbered, permuted and chosen as a DataFrame of a row a
@@ -9,8 +9,10 @@ their line feed, as they are in the file.
 A record belongs to the range in which it begins: a range passes over the line
 that is open at its beginning and reads its last one to its end. What a range
 needs to know for positions is how many line feeds end before its last byte, so
-counting reads bytes and makes no records. Frames hold whole records; the last
-line of a frame is one, with a line feed or without.
+counting reads bytes and makes no records. Blocks of xz files are cut anywhere as
+well: what begins in one is known once it is known how the one before ends, and
+the line that is open at its end is read on in the next. Frames hold whole
+records; the last line of a frame is one, with a line feed or without.
 
 Files are read through pyarrow's file systems, in tasks, first bytes and seek
 tables included.
@@ -33,6 +35,7 @@ from ..operators.errors import ModeUnavailable, UsageError
 from ..operators.records import of_rank, with_position
 from ..operators.shared import cut, running_before
 from ..operators.shuffle import place_by_hash, sample
+from . import xz
 from .files import STREAMED, detect, listed, store, unpacked
 from .seekable import Frame, decompress, lines_of, frame_problem, read_seek_table
 
@@ -44,7 +47,7 @@ HEAD_BYTES = 16
 UNIT = "file_id int, file string, kind string, part long, begin long, finish long, size long, checksum long"
 NAMES = [x.split()[0] for x in UNIT.split(", ")]
 #: Compressed formats that only be read from their beginning.
-WHOLE = ("gzip", "zstd", "bzip2", "xz")
+WHOLE = ("gzip", "zstd", "bzip2", "xz", "xz-block")
 
 
 def streamable(spark: SparkSession, path: str) -> bool:
@@ -53,13 +56,21 @@ def streamable(spark: SparkSession, path: str) -> bool:
     return some is None or bool(STREAMED.match(some["path"]))
 
 
-def plan(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES, kind: str | None = None) -> DataFrame:
-    """The units of all inputs in order: see UNIT; ``part`` numbers the units of a file. ``kind`` is taken for what the files say."""
+def files_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file_id (the input's number), path, length and at (microseconds of the last change) of all files."""
     files = None
     for i, path in enumerate(paths):
-        own = listed(spark, path).select(F.lit(i).alias("file_id"), "path", "length")
+        own = listed(spark, path).select(F.lit(i).alias("file_id"), "path", "length", F.unix_micros("modificationTime").alias("at"))
         files = own if files is None else files.unionByName(own)
+    return files
+
+
+def plan(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES, kind: str | None = None) -> DataFrame:
+    """The units of all inputs in order: see UNIT; ``part`` numbers the units of a file. ``kind`` is taken for what the files say."""
+    return plan_files(files_of(spark, paths), range_bytes, kind)
+
 
+def plan_files(files: DataFrame, range_bytes: int = RANGE_BYTES, kind: str | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
@@ -75,12 +86,15 @@ def plan(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES,
                         pass
                 if frames is not None:
                     rows += [(file_id, file, "seekable", f.frame_id, f.offset, f.offset + f.compressed, f.decompressed, f.checksum) for f in frames]
+                elif found == "xz" and (blocks := _xz_blocks(file)):
+                    rows += [(file_id, file, "xz-block", k, b.offset, b.offset + b.packed, b.size, b.padding << 16 | b.flags) for k, b in enumerate(blocks)]
                 elif found == "plain":
                     rows += [(file_id, file, "plain", k, at, min(length, at + range_bytes), length, None) for k, at in enumerate(range(0, length, range_bytes))]
                 else:
                     rows.append((file_id, file, found, 0, 0, length, length, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, (pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 5))], names=NAMES)
 
+    files = files.select("file_id", "path", "length")
     n = files.count()
     out = cut(files.repartition(max(1, -(-n // FILES_A_TASK)), "path").mapInArrow(run, UNIT))
     refused = out.filter(F.col("kind").isin("lz4", "parquet")).select("file", "kind").first()
@@ -91,6 +105,17 @@ def plan(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES,
     return out
 
 
+def _xz_blocks(file: str) -> list[xz.Block]:
+    """Blocks of a file that has several; a file of one, or with a damaged end, is read from its beginning."""
+    where, name = store(file)
+    with where.open_input_file(name) as f:
+        try:
+            blocks = xz.read_blocks(f, f.size())
+        except (ValueError, IndexError, OSError):
+            return []
+    return blocks if len(blocks) > 1 and all(b.size for b in blocks) else []
+
+
 def in_tasks(units: DataFrame, order: str | None = None) -> DataFrame:
     """Units dealt so that a task reads about TASK_BYTES; in ascending ``order`` over the tasks, if given."""
     n, total = units.agg(F.count("*"), F.coalesce(F.sum(F.col("finish") - F.col("begin")), F.lit(0))).first()
@@ -141,10 +166,46 @@ def _whole_pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
         yield first, bytes(held)
 
 
+def _block_of(unit: dict) -> xz.Block:
+    return xz.Block(unit["begin"], unit["finish"] - unit["begin"], unit["checksum"] >> 16, unit["size"], unit["checksum"] & 0xFFFF)
+
+
+def _block_pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
+    """Lines that begin in a block of an xz file; ``entered`` says whether its first byte begins one."""
+    where, name = store(unit["file"])
+    with where.open_input_file(name) as f:
+        held, first, skipping = bytearray(), 0, not unit["entered"]
+        for some in xz.unpack(f, _block_of(unit)):
+            held += some
+            if skipping:
+                k = held.find(b"\n")
+                if k < 0:
+                    first, held = first + len(held), bytearray()
+                    continue
+                first, held, skipping = first + k + 1, held[k + 1 :], False
+            k = held.rfind(b"\n")
+            if k >= 0 and len(held) >= BLOCK_BYTES:
+                yield first, bytes(held[: k + 1])
+                first, held = first + k + 1, held[k + 1 :]
+        if held and not held.endswith(b"\n"):  # the last line goes on in the next blocks
+            for block in xz.read_blocks(f, f.size())[unit["part"] + 1 :]:
+                for some in xz.unpack(f, block):
+                    k = some.find(b"\n")
+                    held += some[: k + 1] if k >= 0 else some
+                    if k >= 0:
+                        break
+                if held.endswith(b"\n"):
+                    break
+    if held:
+        yield first, bytes(held)
+
+
 def pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of a unit's lines, some at a time; offsets count in the unpacked file, or in the frame."""
     if unit["kind"] == "plain":
         return _range_pieces(unit)
+    if unit["kind"] == "xz-block":
+        return _block_pieces(unit)
     if unit["kind"] != "seekable":
         return _whole_pieces(unit)
     raw = decompress(unit["file"], Frame(unit["part"], unit["begin"], unit["finish"] - unit["begin"], unit["size"], unit["checksum"]))
@@ -152,7 +213,15 @@ def pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
 
 
 def _count(unit: dict) -> tuple[int, int, bool]:
-    """Records, bytes, and whether the last line has no end."""
+    """Records, bytes, and whether the last line has no end. Of an xz block: its line feeds, bytes, and whether it ends without one."""
+    where, name = store(unit["file"])
+    if unit["kind"] == "xz-block":
+        records = size = 0
+        last = b"\n"
+        with where.open_input_file(name) as f:
+            for raw in xz.unpack(f, _block_of(unit)):
+                records, size, last = records + raw.count(b"\n"), size + len(raw), raw[-1:]
+        return records, size, last != b"\n"
     if unit["kind"] != "plain":
         records = size = 0
         last = b"\n"
@@ -161,7 +230,6 @@ def _count(unit: dict) -> tuple[int, int, bool]:
             records += raw.count(b"\n") + (not raw.endswith(b"\n"))
             last = raw[-1:]
         return records, size, last != b"\n"
-    where, name = store(unit["file"])
     records, at = int(unit["begin"] == 0), max(0, unit["begin"] - 1)
     with where.open_input_file(name) as f:
         while at < unit["finish"] - 1:
@@ -173,7 +241,7 @@ def _count(unit: dict) -> tuple[int, int, bool]:
 
 def counted(units: DataFrame, meter: Accumulator | None = None) -> DataFrame:
     """``units`` with records, bytes (unpacked) and partial, whether the last line has no end. Texts are read but not handed on."""
-    kept = [c for c in units.columns if c not in ("records", "bytes", "partial")]
+    kept = [c for c in units.columns if c not in ("records", "bytes", "partial", "entered")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*kept).schema.fields)
 
     def run(batches):
@@ -186,7 +254,19 @@ def counted(units: DataFrame, meter: Accumulator | None = None) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 3, (pa.int64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "records", "bytes", "partial"])
 
-    return cut(in_tasks(units.select(*kept)).mapInArrow(run, f"{kinds}, records long, bytes long, partial boolean"))
+    found = cut(in_tasks(units.select(*kept)).mapInArrow(run, f"{kinds}, records long, bytes long, partial boolean"))
+    return found.withColumn("entered", F.lit(True)) if found.filter("kind = 'xz-block'").isEmpty() else _entered(found)
+
+
+def _entered(units: DataFrame) -> DataFrame:
+    """Counted units of which some are xz blocks: with ``entered``, and counts of the records that begin in a block, by how the one before ends."""
+    before = units.filter("kind = 'xz-block'").select("file_id", "file", (F.col("part") + 1).alias("part"), F.col("partial").alias("__open"))
+    last = units.groupBy("file_id", "file").agg(F.max("part").alias("__last"))
+    joined = units.join(before, ["file_id", "file", "part"], "left").join(last, ["file_id", "file"])
+    block, entered = F.col("kind") == "xz-block", ~F.coalesce("__open", F.lit(False))
+    begun = F.col("records") - F.when(F.col("partial"), 0).otherwise(1) + entered.cast("long")
+    out = joined.withColumn("entered", entered).withColumn("records", F.when(block, begun).otherwise(F.col("records")))
+    return cut(out.withColumn("partial", F.col("partial") & (~block | (F.col("part") == F.col("__last")))).drop("__open", "__last"))
 
 
 def placed(units: DataFrame) -> DataFrame:
@@ -203,6 +283,45 @@ def units_of(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYT
     return placed(counted(plan(spark, paths, range_bytes, kind)))
 
 
+def kept_units(spark: SparkSession, paths: list[str], where: str, range_bytes: int = RANGE_BYTES, meter: Accumulator | None = None) -> tuple[DataFrame, int, int]:
+    """The placed units of ``paths``, and how many files' were found under ``where`` and how many had to be read.
+
+    Units are kept by file with its length and time of change; only files that are new or changed are counted, and then
+    a new table is kept beside the older ones, under a name made of the files as they are.
+    """
+    files = cut(files_of(spark, paths))
+    rows = files.select(F.sha2(F.concat_ws("|", "file_id", "path", "length", "at"), 256).alias("h"))
+    state = rows.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("h"))), 256)).first()[0]  # a hash a file
+    folder = f"{where}/{hashlib.sha256(chr(0).join([str(range_bytes), *paths]).encode()).hexdigest()[:16]}"
+    n = files.count()
+    older = _tables_under(folder)
+    if state in older:
+        return spark.read.parquet(f"{folder}/{state}").drop("__length", "__at"), n, 0
+    known = None
+    if older:
+        known = spark.read.parquet(f"{folder}/{older[-1]}")
+        same = files.select("file_id", F.col("path").alias("file"), F.col("length").alias("__length"), F.col("at").alias("__at"))
+        known = known.join(same, ["file_id", "file", "__length", "__at"], "left_semi")
+        changed = files.join(known.select("file_id", F.col("file").alias("path")).distinct(), ["file_id", "path"], "left_anti")
+    else:
+        changed = files
+    fresh = counted(plan_files(cut(changed), range_bytes), meter)
+    fresh = fresh.join(files.select("file_id", F.col("path").alias("file"), F.col("length").alias("__length"), F.col("at").alias("__at")), ["file_id", "file"])
+    every = fresh if known is None else fresh.unionByName(known.select(*fresh.columns))
+    placed(every).write.mode("overwrite").parquet(f"{folder}/{state}")
+    return spark.read.parquet(f"{folder}/{state}").drop("__length", "__at"), n - changed.count(), changed.count()
+
+
+def _tables_under(folder: str) -> list[str]:
+    """Names of the finished tables in a folder, the newest last."""
+    from pyarrow import fs
+
+    where, name = store(folder)
+    found = where.get_file_info(fs.FileSelector(name, allow_not_found=True, recursive=True))
+    done = [f for f in found if f.base_name == "_SUCCESS"]
+    return [f.path.rsplit("/", 2)[1] for f in sorted(done, key=lambda f: (f.mtime, f.path))]
+
+
 RECORD = "file_id int, file string, unit long, id long, pos long, offset long, start long, record binary, nbytes long"
 
 
@@ -356,8 +475,11 @@ def checked(units: DataFrame, max_line: int, deep: bool) -> DataFrame:
             kinds = (*[pa.int64()] * 4, pa.bool_(), pa.string(), of_json)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 7, kinds))], names=[*batch.schema.names, *names])
 
+    if not units.filter("kind = 'xz-block'").isEmpty():
+        units = counted(units).select(*NAMES, "entered")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
     shape = "records long, bytes long, oversized long, invalid_json long, partial boolean, problem string, first array<struct<rec: long, kind: string, at: long>>"
-    return cut(in_tasks(units).mapInArrow(run, f"{UNIT}, {shape}"))
+    return cut(in_tasks(units).mapInArrow(run, f"{kinds}, {shape}"))
 
 
 def report(found: DataFrame) -> DataFrame:

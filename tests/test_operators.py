@@ -306,6 +306,58 @@ def test_ranks_are_held_against_the_input(spark):
     assert wrong == {"n_rows": 100, "covered": 34, "overlap": 3, "foreign": 8}
 
 
+@pytest.mark.parametrize("active", [1, 3, 8])
+def test_interleaving_is_the_sequential_schedule(spark, active):
+    import heapq
+
+    from millrace.functions.prf import prf_unit
+
+    draw = random.Random(active)
+    frame_of = [f for f in range(23) for _ in range(draw.choice([1, 4, 30]))]
+    df = spark.createDataFrame(list(enumerate(frame_of)), "id long, frame_id long")
+    rows = shuffle.interleaved(df, active, 5).withColumn("u", prf_unit(5, "stride", 0, "frame_id", "id")).collect()
+    frames_ = {}
+    for r in rows:
+        frames_.setdefault(r["frame_pos"], []).append((r["rec_pos"], r["u"], r["id"]))
+    waiting = [sorted(frames_[p]) for p in sorted(frames_)]
+    assert sorted(frames_) == list(range(len(frames_)))
+    open_, got = [], []
+
+    def begin(p, at, lasts):
+        if p < len(waiting):
+            own = waiting[p]
+            heapq.heappush(open_, (at + (own[0][0] + own[0][1]) / len(own) * lasts, p, 0, at, lasts))
+
+    for p in range(active):
+        begin(p, 0, (p + 1) / active)
+    while open_:
+        _, p, k, at, lasts = heapq.heappop(open_)
+        assert len(open_) < active
+        own = waiting[p]
+        got.append(own[k][2])
+        if k + 1 < len(own):
+            heapq.heappush(open_, (at + (own[k + 1][0] + own[k + 1][1]) / len(own) * lasts, p, k + 1, at, lasts))
+        else:
+            begin(p + active, at + lasts, 1)
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["out_pos"])] == got and sorted(r["out_pos"] for r in rows) == list(range(len(rows)))
+
+
+def test_drift_of_lengths_and_first_words(spark):
+    draw = random.Random(7)
+    even = [f"{draw.choice('abc')} " + "x" * draw.randint(5, 60) for _ in range(2_000)]
+    by_length = sorted(even, key=len)
+    by_word = sorted(even)
+    found = {}
+    for name, texts in (("even", even), ("length", by_length), ("word", by_word)):
+        framed = frames.assign_frames(corpus(spark, texts), 4_096).cache()
+        exact, sketched = (analyze.drift(framed, 8, accuracy=a).first() for a in (None, 10_000))
+        assert math.isclose(exact["length_drift_max"], sketched["length_drift_max"], rel_tol=0.1) and exact["prefix_kl_max"] == sketched["prefix_kl_max"]
+        found[name] = exact
+    assert found["length"]["length_drift_max"] > 4 * found["even"]["length_drift_max"] and found["word"]["prefix_kl_max"] > 10 * found["even"]["prefix_kl_max"]
+    with_tabs = frames.assign_frames(corpus(spark, ["\t ", "", "one two"]), 10**6)
+    assert analyze.drift(with_tabs).first()["prefix_kl_max"] == 0
+
+
 def test_entropy():
     assert entropy_of(b"") == 0 and entropy_of(b"aaaa") == 0
     assert math.isclose(entropy_of(bytes(range(256))), math.log(256))

@@ -320,6 +320,28 @@ def test_ranges_find_every_record_once(spark, tmp_path, range_bytes, monkeypatch
     assert placed.agg(F.sum("records")).first()[0] == 82 and placed.filter("partial").count() == 1
 
 
+@pytest.mark.parametrize("blocks", [2, 9, 40])
+def test_blocks_of_xz_files_are_read_by_several_tasks(spark, tmp_path, capfdbinary, blocks):
+    draw = random.Random(blocks)
+    lines = [bytes(draw.choices(range(11, 256), k=draw.choice([0, 1, 5, 40]))) for _ in range(60)] + [b"y" * 500, b"end"]
+    raw = b"\n".join(lines)
+    cuts = sorted({0, len(raw), *draw.choices(range(1, len(raw)), k=blocks)} | ({raw.index(b"\n") + 1} if blocks > 2 else set()))
+    packed = b"".join(lzma.compress(raw[a:b], check=draw.choice([lzma.CHECK_CRC32, lzma.CHECK_CRC64, lzma.CHECK_SHA256])) + b"\0" * draw.choice([0, 4]) for a, b in zip(cuts, cuts[1:]))
+    path = str(tmp_path / "a.xz")
+    (tmp_path / "a.xz").write_bytes(packed)
+    placed = units.units_of(spark, [path])
+    assert placed.count() == len(cuts) - 1 and placed.filter("kind = 'xz-block'").count() == len(cuts) - 1
+    rows = units.records_of(placed).collect()
+    assert [bytes(r["record"]) for r in rows] == lines and [r["pos"] for r in rows] == list(range(len(lines)))
+    assert all(raw[r["start"] : r["start"] + r["nbytes"] - 1] == r["record"] for r in rows)
+    assert [bytes(r["record"]) for r in units.sample_of(placed, 9, 2).sort("out_pos").collect()] == [lines[r["id"]] for r in shuffle.sample(spark.range(len(lines)), 9, 2).sort("out_pos").collect()]
+    assert main(["verify", path]) == 65
+    found = json.loads(capfdbinary.readouterr().out)
+    assert (found["records"], found["bytes"], found["trailing_partial"]) == (len(lines), len(raw), 1)
+    (tmp_path / "b.xz").write_bytes(packed.rstrip(b"\0")[:-1])
+    assert {r["kind"] for r in units.plan(spark, [str(tmp_path / "b.xz")]).collect()} == {"xz"}
+
+
 def test_a_rank_reads_its_frames_alone(spark, tmp_path):
     out = str(tmp_path / "seek")
     seekable.write_seekable(frames.assign_frames(corpus(spark, 600), 64), out)
@@ -413,15 +435,40 @@ def test_a_saved_index_is_used(spark, tmp_path, capfdbinary):
     written(tmp_path, "in.jsonl", [b"%d" % i for i in range(300)])
     path, idx = str(tmp_path / "in.jsonl"), str(tmp_path / "idx")
     outs = []
-    for want in (b"built", b"found"):
+    for want in (b"of 0 files found and of 1 built", b"of 1 files found and of 0 built"):
         assert main(["stream", path, "--shuffle", "index-perm", "--sample", "9", "--seed", "4", "--index", idx]) == 0
         said = capfdbinary.readouterr()
         assert b"index " + want in said.err
         outs.append(said.out)
     assert outs[0] == outs[1] and len(set(outs[0].split())) == 9
-    assert main(["index", path, "-o", str(tmp_path / "places")]) == 0 and main(["index", path, "-o", str(tmp_path / "places")]) == 0
-    assert b"index built" in (said := capfdbinary.readouterr().err) and b"index found" in said
-    assert spark.read.parquet(str(tmp_path / "places")).count() == 300
+    for n in (300, 300, 310):
+        written(tmp_path, "in.jsonl", [b"%d" % i for i in range(n)])
+        assert main(["index", path, "-o", str(tmp_path / "places")]) == 0
+        assert spark.read.parquet(str(tmp_path / "places")).count() == n
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(20):
+        written(folder, f"{i:02d}.txt", [b"%d %d" % (i, k) for k in range(30)])
+
+    def look():
+        meter = spark.sparkContext.accumulator(0)
+        placed, hits, read = units.kept_units(spark, [str(folder)], str(tmp_path / "kept"), 64, meter)
+        records_ = units.records_of(placed)
+        assert [r["pos"] for r in records_.select("pos").collect()] == list(range(records_.count()))
+        return hits, read, meter.value, placed.filter("file like '%/07.txt'").count(), placed.count()
+
+    first = look()
+    assert first[:2] == (0, 20) and first[2] == first[4]
+    assert look()[:3] == (20, 0, 0)
+    written(folder, "07.txt", [b"other %d" % k for k in range(50)])
+    changed = look()
+    assert changed[:2] == (19, 1) and changed[2] == changed[3] < changed[4] / 5
+    written(folder, "20.txt", [b"new"])
+    (folder / "03.txt").unlink()
+    assert look()[:3] == (19, 1, 1)
 
 
 def test_parquet_is_converted_row_by_row(spark, tmp_path, capfdbinary):
