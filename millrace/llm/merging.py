@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from sys import getsizeof
 
 #: Longer inputs go through a heap, so that a run of a million letters stays near linear.
 HEAP_FROM = 64
@@ -62,14 +63,20 @@ def _merge_with_heap(parts: list, ranks: dict, between) -> list:
 
 
 class Remembered(dict):
-    """Values of ``work`` by string; two generations of at most ``room`` entries are kept, long keys never."""
+    """Values of ``work`` by string; two generations of at most ``room`` bytes each are kept, long keys never.
 
-    room = 300_000
+    What is met again while in the older generation goes into the newer one, without being worked out anew.
+    """
+
+    room = 80 << 20
     longest = 64
+    #: Bytes of an entry in a table, besides its key and value.
+    beside = 96
 
     def __init__(self):
         super().__init__()
         self.old: dict = {}
+        self.held = 0
 
     def work(self, key: str):
         raise NotImplementedError
@@ -79,8 +86,10 @@ class Remembered(dict):
         if value is None:
             value = self.work(key)
         if len(key) <= self.longest:
-            if len(self) >= self.room:
+            if self.held >= self.room:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
+            self.held += getsizeof(key) + getsizeof(value) + self.beside
             self[key] = value
         return value

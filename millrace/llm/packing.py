@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, in_slices
+from .common import cut, in_byte_slices, in_slices
 from .tokens import crc32_of, encode_column
 
 #: Patterns that a round enumerates: four times as many as there are lengths.
@@ -46,7 +46,7 @@ def piece_table(df: DataFrame, path: str, capacity: int, end_id: int | None, id_
     """Per piece: id, piece, start, length, ids_crc32. Only documents longer than ``capacity`` are cut."""
 
     def run(batches):
-        for batch in in_slices(batches):
+        for batch in in_byte_slices(in_slices(batches), "text"):
             ids, bounds = encode_column(batch.column("text"), path, end_id)
             lengths = np.diff(bounds)
             counts = -(-lengths // capacity)

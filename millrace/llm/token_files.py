@@ -6,7 +6,8 @@ fits one dictionary page), the metadata columns delta-encoded; row groups and
 pages are small enough that the page indexes let a reader skip to some
 documents, and the metadata can be read without touching the ids.
 
-Null texts are empty ones; very long texts are encoded whole, one at a time.
+Null texts are empty ones; very long texts are encoded whole, and a long one by
+itself: texts of at most 16 MB together are in memory encoded.
 Null ids come first; rows with one id are ordered by their text's hash, and
 repeated rows are kept. Columns of other names are not written, whatever they
 are called. An empty table gives an empty dataset.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_byte_slices
 from .tokens import crc32_of, encode_column, id_lists
 
 ROW_GROUP_BYTES = 16 << 20
@@ -31,7 +33,7 @@ def write_token_files(df: DataFrame, out: str, path: str, end_id: int | None, id
     """Columns ``id_col``, n_tokens and ids of every row of ``df``, in ascending order of the id over the files."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_byte_slices(batches, "text"):
             ids, offsets = encode_column(batch.column("text"), path, end_id)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(np.diff(offsets)), id_lists(ids, offsets)], names=["id", "tie", "n_tokens", "ids"])
 

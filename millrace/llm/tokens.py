@@ -2,8 +2,9 @@
 
 The vocabulary drops white space before it merges, so the ids of a text are the
 ids of its white-space-separated chunks in a row. Each process keeps the ids of
-chunks that it has met, as little-endian 32-bit bytes, in a bounded cache; the
-library encodes the others. Characters that Python's ``split`` takes for white
+chunks that it has met, as little-endian 32-bit bytes, in a bounded cache; of
+others the library's model merges the pre-tokens, or the library encodes them
+where they hold what normalisation may change. Characters that Python's ``split`` takes for white
 space and the library doesn't (the four ASCII separators) send the whole text
 to the library.
 """
@@ -15,12 +16,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from .merging import Remembered
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Marks that end a pre-token of letters and are one themselves.
 MARKS = frozenset(".,!?;:")
+#: The vocabulary's pre-tokens, and what its special tokens begin with.
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SPECIAL = "<|"
 
 #: Up to here lower-casing (but for one letter) and composition change no letter in a way that depends on the Unicode version.
 SETTLED = "\u024f"
@@ -68,17 +73,18 @@ class ChunkEncoder(Remembered):
     def work(self, chunk: str) -> bytes:
         if chunk.isalpha() and chunk.isascii() and chunk.islower():
             return self.modelled(chunk)
+        if not settled(chunk) or SPECIAL in chunk:
+            return self.direct(chunk)
         mark = chunk[-1]
-        if mark in MARKS:
-            head = chunk[:-1]
-            if head.isalpha() and settled(head):
-                return self[head] + self[mark]
-        elif chunk.isalpha() and settled(chunk):
-            lower = chunk.lower()
-            if lower != chunk:
-                return self[lower]
+        if mark in MARKS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[mark]
+        lower = chunk.lower()
+        if lower != chunk:
+            return self[lower]
+        pieces = PRE_TOKENS.findall(chunk)
+        if len(pieces) == 1:
             return self.modelled(chunk.encode().decode("latin-1").translate(BYTE_NAMES))
-        return self.direct(chunk)
+        return b"".join([self[p] for p in pieces])
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -38,6 +38,60 @@ def test_word_ids_and_counts_are_the_librarys(text):
     assert counter.count(text) == len(want)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=30))
+def test_chunks_of_letters_digits_and_marks_are_the_librarys(text):
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.chunk_encoder(WORDS).encode(text), "<u4").tolist() == want
+
+
+def test_what_is_remembered_is_bounded_by_bytes(monkeypatch):
+    from millrace.llm.merging import Remembered
+
+    class Squares(Remembered):
+        worked = 0
+
+        def work(self, key):
+            self.worked += 1
+            return key * 2
+
+    monkeypatch.setattr(Remembered, "room", 20_000)
+    memory = Squares()
+    names = [f"name {i}" for i in range(2_000)]
+    assert [memory[n] for n in names] == [n * 2 for n in names] and memory["x" * 100] == "x" * 200
+    assert len(memory) + len(memory.old) < 2 * 20_000 / memory.beside and "x" * 100 not in memory
+    before = memory.worked
+    assert [memory[n] for n in names[-50:]] == [n * 2 for n in names[-50:]] and memory.worked == before
+
+
+def test_texts_of_megabytes(spark, tmp_path):
+    draw = random.Random(6)
+    long_one = " ".join(draw.choice(["word", "Other,", "x1", "\n", "ünï", "don't"]) + str(draw.randrange(50)) for _ in range(600_000))
+    rows = [(1, "short one"), (2, long_one), (3, "a" * 3_000_000), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    want = {i: word_ids(t, 2) for i, t in rows}
+    token_files.write_token_files(df, str(tmp_path / "out"), WORDS, 2)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_index(spark, str(tmp_path / "out")).collect()}
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, WORDS).collect()}
+    assert counts == {i: len(x) - 1 for i, x in want.items()}
+    pieces = packing.pack(df, WORDS, 4096, 2).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in pieces} == {i: len(x) for i, x in want.items()}
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from millrace.llm.common import in_byte_slices
+
+    texts = ["a" * 10, None, "", "b" * 50, "c", "d" * 9, "é" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for most in (1, 10, 20, 1000):
+        slices = [s.column(0).to_pylist() for s in in_byte_slices([batch, batch.slice(0, 0)], "text", most)]
+        assert [t for s in slices for t in s] == texts
+        assert all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= most for s in slices)
+
+
 def test_texts_in_any_script_are_counted_without_the_librarys_encoder():
     counter = token_counts.TokenCounter(WORDS, token_counts.prove_whole_tokens(WORDS))
     draw = random.Random(12)
