@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.files import STREAMED, store
-from .common import in_byte_slices
+from .common import BROADCAST_ROWS, cut, in_byte_slices
 from .tokens import crc32_of, encode_column, id_lists
 
 ROW_GROUP_BYTES = 16 << 20
@@ -79,28 +79,26 @@ ROWS_READ = 4_096
 PLAIN_IDS = ("long", "integer", "short", "byte", "string")
 
 
-def _in_tasks(spark: SparkSession, files: list[str], id_col: str, kind: str) -> DataFrame:
-    """file, id, n_tokens, ids_crc32 and within (ids before in the file), a file a task."""
+def _in_tasks(before: DataFrame, n: int, id_col: str, kind: str) -> DataFrame:
+    """id, start, n_tokens and ids_crc32 of the documents in ``n`` files (file, before), a file a task."""
 
     def run(batches):
-        for path in (p for b in batches for p in b.column(0).to_pylist()):
-            where, name = store(path)
+        for path, start in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
+            where, name = store(unquote(path))
             with where.open_input_file(name) as file:
-                before = 0
                 for part in pq.ParquetFile(file).iter_batches(ROWS_READ, columns=[id_col, "ids"]):
                     lists = part.column("ids")
                     offsets = lists.offsets.to_numpy()
                     crc = pa.array(crc32_of(lists.values.to_numpy(zero_copy_only=False), offsets[:-1], offsets[1:]), pa.int64())
-                    n = np.diff(offsets).astype(np.int64)
-                    within = before + np.cumsum(n) - n
-                    before += int(n.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * part.num_rows), part.column(id_col), pa.array(n), crc, pa.array(within)], names=["file", "id", "n_tokens", "ids_crc32", "within"])
+                    sizes = np.diff(offsets).astype(np.int64)
+                    starts = start + np.cumsum(sizes) - sizes
+                    start += int(sizes.sum())
+                    yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(starts), pa.array(sizes), crc], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    listing = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path")  # one row a file
-    return listing.mapInArrow(run, f"file string, id {kind}, n_tokens long, ids_crc32 long, within long")
+    return before.select("file", "before").repartition(max(1, n), "file").mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
-def _by_spark(spark: SparkSession, out: str, id_col: str, kind: str) -> DataFrame:
+def _by_spark(spark: SparkSession, out: str, before: DataFrame, n: int, id_col: str, kind: str) -> DataFrame:
     """The same where only Spark reads the store."""
 
     def run(batches):
@@ -111,26 +109,28 @@ def _by_spark(spark: SparkSession, out: str, id_col: str, kind: str) -> DataFram
             crc = pa.array(crc32_of(ids, offsets[:-1], offsets[1:]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("at"), batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), crc], names=["file", "at", "id", "n_tokens", "ids_crc32"])
 
-    rows = spark.read.parquet(out).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(id_col).alias("id"), "ids")
+    rows = spark.read.parquet(out).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(id_col).alias("id"), "ids")
     documents = rows.mapInArrow(run, f"file string, at long, id {kind}, n_tokens long, ids_crc32 long")
     running = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return documents.withColumn("within", running - F.col("n_tokens"))
+    placed = documents.withColumn("within", running - F.col("n_tokens")).join(F.broadcast(before) if n <= BROADCAST_ROWS else before, "file")
+    return placed.select("id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_index(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:
     """Per document of a dataset: id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Running sums are taken within each file, which is one bounded range of ids,
-    by the task that reads it. What lies before a file comes from the files'
-    totals in the order of their ids and ties: a window over one row a file,
-    however many documents.
+    What lies before a file comes from the files' totals in the order of their
+    ids and ties: a window over one row a file, however many documents. Running
+    sums are taken on from there within each file, which is one bounded range
+    of ids, by the task that reads it: documents are neither joined nor moved.
     """
     dataset = spark.read.parquet(out)
-    kind, files = dataset.schema[id_col].dataType, [unquote(f) for f in dataset.inputFiles()]
-    alike = kind.typeName() in PLAIN_IDS and all(STREAMED.match(f) for f in files)
-    documents = _in_tasks(spark, files, id_col, kind.simpleString()) if alike else _by_spark(spark, out, id_col, kind.simpleString())
-    totals = dataset.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.max(F.col(id_col).isNull().cast("int")).alias("nulls"), F.min("tie").alias("tie"))
+    kind = dataset.schema[id_col].dataType
+    totals = dataset.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.max(F.col(id_col).isNull().cast("int")).alias("nulls"), F.min("tie").alias("tie"))
     # of files between the same ids, one with nulls is the first, and the others hold that id alone
     order = Window.orderBy("low", "high", F.desc("nulls"), "tie")
-    before = totals.select("file", (F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
-    return documents.join(before, "file").select(F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    before = cut(totals.select("file", (F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before")))
+    n, streamed = before.agg(F.count("*"), F.count_if(F.col("file").rlike(f"^{STREAMED.pattern}"))).first()
+    alike = kind.typeName() in PLAIN_IDS and n == streamed
+    found = _in_tasks(before, n, id_col, kind.simpleString()) if alike else _by_spark(spark, out, before, n, id_col, kind.simpleString())
+    return found.withColumnRenamed("id", id_col)

@@ -189,7 +189,7 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.token_index(spark, str(tmp_path / "none")).collect() == []
 
 
-def test_files_follow_their_ids_whatever_they_are_called(spark, tmp_path):
+def test_files_follow_their_ids_whatever_they_are_called(spark, tmp_path, monkeypatch):
     ids = [None] * 40 + [5] * 90 + list(range(6, 60))
     df = spark.createDataFrame([(i, f"text {k} {'x ' * (k % 7)}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
     was = spark.conf.get("spark.sql.shuffle.partitions")
@@ -204,10 +204,15 @@ def test_files_follow_their_ids_whatever_they_are_called(spark, tmp_path):
     want = [(r["doc_id"], r["n_tokens"]) for p in parts for r in pq.read_table(p, columns=["doc_id", "n_tokens"]).to_pylist()]
     assert len(parts) > 5
     for k, p in enumerate(reversed(parts)):
-        p.rename(p.with_name(f"renamed-{k:03d}.parquet"))
-    got = sorted(token_files.token_index(spark, str(tmp_path / "a")).collect(), key=lambda r: r["start"])
+        p.rename(p.with_name(f"re named%20-{k:03d}.parquet"))
+    index = token_files.token_index(spark, str(tmp_path / "a"))
+    assert "Join" not in index._jdf.queryExecution().toString()  # documents are neither joined nor broadcast
+    got = sorted(index.collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == want
     assert [r["start"] for r in got] == np.cumsum([0, *[n for _, n in want]])[:-1].tolist()
+    monkeypatch.setattr(token_files, "PLAIN_IDS", ())
+    by_spark = token_files.token_index(spark, str(tmp_path / "a"))
+    assert by_spark.columns == index.columns and sorted(by_spark.collect(), key=lambda r: r["start"]) == got
 
 
 @pytest.mark.parametrize("capacity", [16, 4096])
