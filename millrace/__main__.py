@@ -9,11 +9,13 @@ import sys
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.prf import client_seed
 from .functions.records import humanize, parse_size
 from .operators import analyze, frames, index, records
 from .operators.errors import BadData, CorpusError, OutputFailed, RecordTooLong
+from .operators.shared import cut
 from .sources import jsonl, seekable, shards, units
-from .streaming.dataset import MODES, Dataset, UnitDataset
+from .streaming.dataset import MODES, Dataset, UnitDataset, shuffles_units
 
 
 def is_parquet(path: str) -> bool:
@@ -52,16 +54,20 @@ def corpus(spark: SparkSession, paths: list[str], kind: str | None = None, colum
     return records.with_position(read, "file_id", "file", "row").withColumn("id", F.col("pos"))
 
 
-def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, check: bool, in_order: bool = False, level: int = 3, checksum: bool = True, most: int | None = None) -> dict:
+def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, check: bool, in_order: bool = False, level: int = 3, checksum: bool = True, most: int | None = None, aligned: bool = True) -> dict:
     """Writes ``rows`` as seekable files; what was written, and with ``check`` how many frames of it are bad.
 
-    Records are counted as they are written. ``most``: bytes that ``rows`` have at most, if known.
+    Records are counted as they are written. ``most``: bytes that ``rows`` have at most, if known. Frames that aren't
+    ``aligned`` are cut inside records, at exactly ``frame_size`` bytes.
     """
     counts = Observation()
     spread = None if most is None else (max(1, -(-most // units.TASK_BYTES)), most // frame_size + 1)
     try:
-        framed = frames.assign_frames(rows, frame_size, in_order=in_order)
-        seekable.write_seekable(framed, out, level, checksum, counts, spread)
+        if aligned:
+            framed = frames.assign_frames(rows, frame_size, in_order=in_order)
+            seekable.write_seekable(framed, out, level, checksum, counts, spread)
+        else:
+            seekable.write_cut(rows, out, frame_size, level, checksum, counts, in_order)
     except Exception as e:
         if any(x in str(e) for x in ("Permission denied", "Read-only", "Not a directory", "No space left")):
             raise OutputFailed(f"cannot write {out}") from e
@@ -75,6 +81,7 @@ def converted(spark: SparkSession, rows: DataFrame, out: str, frame_size: int, c
 
 def streamed(spark: SparkSession, a, out) -> None:
     """Writes the shuffled records of ``stream``'s arguments, and says how many were dropped."""
+    seed = a.seed if a.client is None else client_seed(a.seed, a.client)
     paths = spooled(spark, a.paths)
     dropped = spark.sparkContext.accumulator(0)
     found = None
@@ -84,13 +91,13 @@ def streamed(spark: SparkSession, a, out) -> None:
             print(f"millrace: index of {hits} files found and of {read} built under {a.index}", file=sys.stderr)
         else:
             found = units.units_of(spark, paths, a.frame_size)
-        if a.shuffle not in ("none", "index-perm", "chunk-shuffled") or (a.shuffle == "chunk-shuffled" and found.filter(F.col("kind").isin(*units.WHOLE)).first()):
+        if not shuffles_units(found, a.shuffle):
             found = None
     rows = corpus(spark, paths, units_kept=found)
     if a.on_error == "fail" and (n := records.too_long(rows, a.max_line)):
         raise RecordTooLong(f"{n} records exceed --max-line ({humanize(a.max_line)})")
     if found is not None:
-        lines = UnitDataset(found, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, max_line=a.max_line if a.on_error == "skip" else None, dropped=dropped)
+        lines = UnitDataset(found, a.shuffle, seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, max_line=a.max_line if a.on_error == "skip" else None, dropped=dropped)
     else:
         observed = Observation()
         rows = rows.observe(observed, F.count_if(F.col("nbytes") > a.max_line).alias("long"))
@@ -98,7 +105,7 @@ def streamed(spark: SparkSession, a, out) -> None:
         dropped.add(observed.get["long"] if a.on_error == "skip" else 0)
         if a.shuffle == "chunk-shuffled":
             rows = frames.assign_frames(rows, a.frame_size)
-        lines = Dataset(rows, a.shuffle, a.seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, size=a.size)
+        lines = Dataset(rows, a.shuffle, seed, a.epochs, a.sample, rank=a.rank, world_size=a.world_size, size=a.size)
     for line in lines:
         out.write(line)
     if dropped.value:
@@ -106,12 +113,18 @@ def streamed(spark: SparkSession, a, out) -> None:
 
 
 def serving(spark: SparkSession, a):
-    """The NDJSON server of the command line's datasets."""
+    """The NDJSON server of the command line's datasets. Files are planned and counted once, before it listens; requests read units."""
     from .streaming.serve import server
 
     tokens = [line.strip() for line in open(a.tokens, encoding="utf-8") if line.strip()] if a.tokens else None
     catalogue = index.Catalogue(spark, [tuple(x.split("=", 1)) if "=" in x else (x.rstrip("/").rsplit("/", 1)[-1], x) for x in a.datasets])
-    return server(catalogue, lambda path: frames.assign_frames(corpus(spark, [path]), a.frame_size, in_order=True), tokens, a.host, a.port)
+    found = {}
+    for path, _ in catalogue.entries.values():
+        if in_files(spark, [path]):
+            found[path] = units.kept_units(spark, [path], a.index)[0] if a.index else units.units_of(spark, [path], a.frame_size)
+        else:
+            found[path] = frames.assign_frames(corpus(spark, [path]), a.frame_size, in_order=True)
+    return server(catalogue, found.__getitem__, tokens, a.host, a.port)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -128,6 +141,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--on-error", choices=("skip", "passthrough", "fail"), default="skip")
             c.add_argument("--shuffle", choices=MODES, default="chunk-shuffled")
             c.add_argument("--epochs", type=int, default=1)
+            c.add_argument("--client", help="a name that gives a client a seed of its own, made of --seed")
             for n in ("sample", "rank", "world-size", "size"):
                 c.add_argument(f"--{n}", type=int)
             c.add_argument("--index", help="a folder in which the places of the input's records are kept, and used while the input is unchanged")
@@ -141,6 +155,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--max-entropy", type=float)
             c.add_argument("--level", type=int, default=3)
             c.add_argument("--no-checksum", action="store_true")
+            c.add_argument("--no-record-align", action="store_true", help="cut frames at their size, inside records")
             c.add_argument("--input-format", choices=("plain", "gzip", "zstd", "bzip2", "xz"))
             c.add_argument("--parquet-project", metavar="COLUMN,...")
             c.add_argument("--cache", default=".", help="where the shards of hf:// addresses lie")
@@ -155,6 +170,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--host", default="127.0.0.1")
     c.add_argument("--port", type=int, default=9000)
     c.add_argument("--tokens", help="a file of bearer tokens, one a line")
+    c.add_argument("--index", help="a folder in which the places of the inputs' records are kept")
     c.add_argument("--frame-size", type=parse_size, default=frames.DEFAULT_FRAME)
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("millrace").getOrCreate()
@@ -188,14 +204,16 @@ def main(argv: list[str] | None = None) -> int:
                 rows = records.entropy_gate(rows, a.min_entropy, a.max_entropy)
             if a.limit is not None:
                 rows = records.head(rows, a.limit)
-            about = converted(spark, rows, a.output, a.frame_size, a.verify, a.limit is None, a.level, not a.no_checksum, most)
+            about = converted(spark, rows, a.output, a.frame_size, a.verify, a.limit is None, a.level, not a.no_checksum, most, not a.no_record_align)
             print(json.dumps(about), file=sys.stderr)
             if about.get("bad_frames"):
                 raise BadData(f"{about['bad_frames']} frames of {a.output} are bad")
         elif a.command == "analyze":
             planned = units.plan(spark, paths) if in_files(spark, paths) else None
-            if planned is not None and not planned.isEmpty() and planned.filter("kind <> 'seekable'").isEmpty():
-                some = units.records_of(units.some_of(planned, a.sample_chunks)).withColumnRenamed("unit", "frame_id")  # of the files' own frames
+            framed = planned is not None and not planned.isEmpty() and planned.filter("kind <> 'seekable'").isEmpty()
+            sampled = cut(units.some_of(planned, a.sample_chunks)) if framed else None
+            if framed and not units.cut_inside(units.counted(sampled), planned):
+                some = units.records_of(sampled).withColumnRenamed("unit", "frame_id")  # of the files' own frames
                 found, drift = analyze.report(some, a.sample_chunks, a.strict), analyze.drift(some, a.sample_chunks)
             else:
                 rows = corpus(spark, paths)

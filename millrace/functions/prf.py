@@ -1,4 +1,4 @@
-"""Keyed pseudo-random functions as Column expressions, with the same text for DuckDB.
+"""Keyed pseudo-random functions as Column expressions, with the same text for DuckDB, and the seeds of clients.
 
 All randomness of the package is a hash of (seed, domain, epoch, id), so results
 depend on the data and the seed, never on how Spark lays the rows out.
@@ -6,6 +6,8 @@ depend on the data and the seed, never on how Spark lays the rows out.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def prf_mod(seed: int, domain: str, epoch, modulus, *ids) -> Column:
     return F.conv(digits, 16, 10).cast("long") % _column(modulus)
 
 
+def client_seed(seed: int, client: str) -> int:
+    """The seed of one client of many: its streams differ from the others', and whoever knows it can run them again."""
+    digits = hashlib.sha256("|".join((VERSION, str(seed), "client", "0", client)).encode()).hexdigest()[:HEX_OF_MOD]
+    return int(digits, 16)
+
+
 def sql_key(seed: int, domain: str, epoch, *ids: str) -> str:
     return "concat_ws('|', " + ", ".join([f"'{VERSION}'", f"'{seed}'", f"'{domain}'", f"CAST({epoch} AS VARCHAR)", *(f"coalesce(CAST({i} AS VARCHAR), '')" for i in ids)]) + ")"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prf import sql_hex, sql_mod, sql_unit
+from ..functions.prf import client_seed, sql_hex, sql_mod, sql_unit
 from ..functions.records import json_problem, json_valid
 from ..operators import analyze, frames, records, shuffle, verify
 from ..operators.shared import cut, shared_path
@@ -167,6 +167,20 @@ def index_perm_resume(spark, sf_dir):
     return shuffle.resume(shuffle.index_perm(documents(spark, sf_dir), SEED), 500).select("id", "out_pos")
 
 
+CLIENTS = ("one", "two", "three")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS client, doc_id AS id, row_number() OVER (ORDER BY {sql_hex(client_seed(SEED, c), 'perm', 0, 'doc_id')}, doc_id) - 1 AS out_pos FROM documents" for c in CLIENTS))
+def client_permutations(spark, sf_dir):
+    """The permutation of each of several clients under one seed of the server."""
+    docs = documents(spark, sf_dir).select("id")
+    out = None
+    for c in CLIENTS:
+        one = shuffle.index_perm(docs, client_seed(SEED, c)).select(F.lit(c).alias("client"), "id", "out_pos")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def frames_sql(order: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """Frames of a table's records taken in an order, as rows of framed."""
     return f"""doc AS (SELECT {key} AS id, coalesce({text}, '') AS record, CAST(strlen(coalesce({text}, '')) + 1 AS BIGINT) AS nbytes, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM {table}),
@@ -552,3 +566,16 @@ def byte_records(spark, sf_dir):
     seekable.write_seekable(frames.assign_frames(placed, FRAME, in_order=True), as_frames)
     read = [units.records_of(units.units_of(spark, [path], FRAME)).withColumn("via", F.lit(via)) for via, path in (("lines", f"{as_lines}/part-*"), ("seekable", as_frames))]
     return read[0].unionByName(read[1]).select("via", "pos", F.md5("record").alias("record_md5"), "nbytes")
+
+
+CUT = 10_000
+
+
+@query(f"""WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, replace(coalesce(text, ''), chr(10), ' ') AS record FROM documents)
+SELECT pos, md5(record) AS record_md5, CAST(sum(strlen(record) + 1) OVER (ORDER BY pos) - strlen(record) - 1 AS BIGINT) AS start FROM doc""")
+def cut_frames_round_trip(spark, sf_dir):
+    """Documents as records of seekable files whose frames end inside records, read frame by frame. Texts' own line feeds are blanks here."""
+    out = shared_path(spark, "cut")
+    seekable.write_cut(positioned(documents(spark, sf_dir).select("id", F.translate("record", "\n", " ").alias("record"))), out, CUT, in_order=True)
+    read = units.records_of(units.units_of(spark, [out]))
+    return read.select("pos", F.md5("record").alias("record_md5"), "start")

@@ -173,6 +173,7 @@ class _Writer(DataSourceWriter):
         self.path = options["path"]
         self.level = int(options.get("level", "3"))
         self.checksum = options.get("checksum", "true") == "true"
+        self.cut_bytes = int(options.get("cut_bytes", "0"))
         self.job = uuid.uuid4().hex[:12]
 
     def write(self, rows):
@@ -186,7 +187,7 @@ class _Writer(DataSourceWriter):
         name = f"{folder.rstrip('/')}/part-{TaskContext.get().partitionId():05d}-{self.job}-{uuid.uuid4().hex[:8]}.zst"
         table: list[tuple[int, int, int]] = []
         held: list[bytes] = []
-        current = None
+        size, current = 0, None
         with where.open_output_stream(f"{name}.tmp") as file:
 
             def close():
@@ -199,10 +200,20 @@ class _Writer(DataSourceWriter):
                 held.clear()
 
             for row in rows:
+                line = bytes(row["record"] or b"") + b"\n"
+                if self.cut_bytes:  # frames of so many bytes, wherever records end
+                    while size + len(line) >= self.cut_bytes:
+                        at = self.cut_bytes - size
+                        held.append(line[:at])
+                        close()
+                        line, size = line[at:], 0
+                    size += len(line)
+                    held += [line] if line else []
+                    continue
                 if current is not None and row["frame_id"] != current:
                     close()
                 current = row["frame_id"]
-                held.append(bytes(row["record"] or b"") + b"\n")
+                held.append(line)
             if held:
                 close()
             if table:
@@ -261,6 +272,22 @@ def write_seekable(df: DataFrame, out: str, level: int = 3, checksum: bool = Tru
     shaped.write.format("seekable_zstd").option("path", out).option("level", str(level)).option("checksum", str(checksum).lower()).mode("append").save()
 
 
+def write_cut(df: DataFrame, out: str, frame_size: int, level: int = 3, checksum: bool = True, counts: Observation | None = None, in_order: bool = False) -> None:
+    """``df`` with pos and record as seekable files whose frames have exactly ``frame_size`` bytes each, but for a file's last.
+
+    Files hold whole records; frames don't, so such files have no chunks to shuffle: they are read in order, by
+    position, or framed anew. ``in_order``: rows already lie in order over the partitions; then nothing is shuffled.
+    """
+    if frame_size < 1:
+        raise UsageError("a frame has a byte at least")
+    register(df.sparkSession)
+    dealt = df if in_order else df.repartitionByRange("pos").sortWithinPartitions("pos")
+    shaped = dealt.select(F.lit(0).alias("file_id"), F.lit(0).alias("frame_id"), F.lit(0).cast("long").alias("offset_in_frame"), F.col("record").cast("binary").alias("record"))
+    if counts is not None:
+        shaped = shaped.observe(counts, F.count(F.lit(1)).alias("records"))
+    shaped.write.format("seekable_zstd").option("path", out).option("level", str(level)).option("checksum", str(checksum).lower()).option("cut_bytes", str(frame_size)).mode("append").save()
+
+
 def read_seekable(spark: SparkSession, path: str, frames: list[int] | None = None) -> DataFrame:
     """file_id, frame_id, offset_in_frame and record, in bytes; tables and frames are read in tasks, and only the ``frames`` asked for."""
     import numpy as np

@@ -11,8 +11,10 @@ that is open at its beginning and reads its last one to its end. What a range
 needs to know for positions is how many line feeds end before its last byte, so
 counting reads bytes and makes no records. Blocks of xz files are cut anywhere as
 well: what begins in one is known once it is known how the one before ends, and
-the line that is open at its end is read on in the next. Frames hold whole
-records; the last line of a frame is one, with a line feed or without.
+the line that is open at its end is read on in the next. Frames mostly hold whole
+records; those of a file that are cut inside records are found by counting, and
+then read like blocks. The last line of a file is a record, with a line feed or
+without.
 
 Files are read through pyarrow's file systems, in tasks, first bytes and seek
 tables included.
@@ -47,7 +49,9 @@ HEAD_BYTES = 16
 UNIT = "file_id int, file string, kind string, part long, begin long, finish long, size long, checksum long"
 NAMES = [x.split()[0] for x in UNIT.split(", ")]
 #: Compressed formats that only be read from their beginning.
-WHOLE = ("gzip", "zstd", "bzip2", "xz", "xz-block")
+WHOLE = ("gzip", "zstd", "bzip2", "xz", "xz-block", "cut-frame")
+#: Units that may begin and end inside a record.
+BLOCKS = ("xz-block", "cut-frame")
 
 
 def streamable(spark: SparkSession, path: str) -> bool:
@@ -170,32 +174,43 @@ def _block_of(unit: dict) -> xz.Block:
     return xz.Block(unit["begin"], unit["finish"] - unit["begin"], unit["checksum"] >> 16, unit["size"], unit["checksum"] & 0xFFFF)
 
 
-def _block_pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
-    """Lines that begin in a block of an xz file; ``entered`` says whether its first byte begins one."""
+def _frame_of(unit: dict) -> Frame:
+    return Frame(unit["part"], unit["begin"], unit["finish"] - unit["begin"], unit["size"], unit["checksum"])
+
+
+def _unpacked(unit: dict, following: bool = False) -> Iterator[bytes]:
+    """What a block or frame unpacks to, some at a time, or what all ``following`` ones of its file do."""
+    if unit["kind"] == "cut-frame":
+        for frame in read_seek_table(unit["file"])[unit["part"] + 1 :] if following else [_frame_of(unit)]:
+            yield decompress(unit["file"], frame)
+        return
     where, name = store(unit["file"])
     with where.open_input_file(name) as f:
-        held, first, skipping = bytearray(), 0, not unit["entered"]
-        for some in xz.unpack(f, _block_of(unit)):
-            held += some
-            if skipping:
-                k = held.find(b"\n")
-                if k < 0:
-                    first, held = first + len(held), bytearray()
-                    continue
-                first, held, skipping = first + k + 1, held[k + 1 :], False
-            k = held.rfind(b"\n")
-            if k >= 0 and len(held) >= BLOCK_BYTES:
-                yield first, bytes(held[: k + 1])
-                first, held = first + k + 1, held[k + 1 :]
-        if held and not held.endswith(b"\n"):  # the last line goes on in the next blocks
-            for block in xz.read_blocks(f, f.size())[unit["part"] + 1 :]:
-                for some in xz.unpack(f, block):
-                    k = some.find(b"\n")
-                    held += some[: k + 1] if k >= 0 else some
-                    if k >= 0:
-                        break
-                if held.endswith(b"\n"):
-                    break
+        for block in xz.read_blocks(f, f.size())[unit["part"] + 1 :] if following else [_block_of(unit)]:
+            yield from xz.unpack(f, block)
+
+
+def _block_pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
+    """Lines that begin in a block or cut frame; ``entered`` says whether its first byte begins one."""
+    held, first, skipping = bytearray(), 0, not unit["entered"]
+    for some in _unpacked(unit):
+        held += some
+        if skipping:
+            k = held.find(b"\n")
+            if k < 0:
+                first, held = first + len(held), bytearray()
+                continue
+            first, held, skipping = first + k + 1, held[k + 1 :], False
+        k = held.rfind(b"\n")
+        if k >= 0 and len(held) >= BLOCK_BYTES:
+            yield first, bytes(held[: k + 1])
+            first, held = first + k + 1, held[k + 1 :]
+    if held and not held.endswith(b"\n"):  # the last line goes on in the next ones
+        for some in _unpacked(unit, following=True):
+            k = some.find(b"\n")
+            held += some[: k + 1] if k >= 0 else some
+            if k >= 0:
+                break
     if held:
         yield first, bytes(held)
 
@@ -204,23 +219,22 @@ def pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of a unit's lines, some at a time; offsets count in the unpacked file, or in the frame."""
     if unit["kind"] == "plain":
         return _range_pieces(unit)
-    if unit["kind"] == "xz-block":
+    if unit["kind"] in BLOCKS:
         return _block_pieces(unit)
     if unit["kind"] != "seekable":
         return _whole_pieces(unit)
-    raw = decompress(unit["file"], Frame(unit["part"], unit["begin"], unit["finish"] - unit["begin"], unit["size"], unit["checksum"]))
+    raw = decompress(unit["file"], _frame_of(unit))
     return iter([(0, raw)] if raw else [])
 
 
 def _count(unit: dict) -> tuple[int, int, bool]:
-    """Records, bytes, and whether the last line has no end. Of an xz block: its line feeds, bytes, and whether it ends without one."""
+    """Records, bytes, and whether the last line has no end. Of a block: its line feeds, bytes, and whether it ends without one."""
     where, name = store(unit["file"])
-    if unit["kind"] == "xz-block":
+    if unit["kind"] in BLOCKS:
         records = size = 0
         last = b"\n"
-        with where.open_input_file(name) as f:
-            for raw in xz.unpack(f, _block_of(unit)):
-                records, size, last = records + raw.count(b"\n"), size + len(raw), raw[-1:]
+        for raw in _unpacked(unit):
+            records, size, last = records + raw.count(b"\n"), size + len(raw), raw[-1:]
         return records, size, last != b"\n"
     if unit["kind"] != "plain":
         records = size = 0
@@ -255,26 +269,50 @@ def counted(units: DataFrame, meter: Accumulator | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "records", "bytes", "partial"])
 
     found = cut(in_tasks(units.select(*kept)).mapInArrow(run, f"{kinds}, records long, bytes long, partial boolean"))
-    return found.withColumn("entered", F.lit(True)) if found.filter("kind = 'xz-block'").isEmpty() else _entered(found)
+    return found.withColumn("entered", F.lit(True)) if found.filter(F.col("kind").isin(*BLOCKS)).isEmpty() else _entered(found)
 
 
 def _entered(units: DataFrame) -> DataFrame:
-    """Counted units of which some are xz blocks: with ``entered``, and counts of the records that begin in a block, by how the one before ends."""
-    before = units.filter("kind = 'xz-block'").select("file_id", "file", (F.col("part") + 1).alias("part"), F.col("partial").alias("__open"))
+    """Counted units of which some are blocks: with ``entered``, and counts of the records that begin in a block, by how the one before ends."""
+    before = units.filter(F.col("kind").isin(*BLOCKS)).select("file_id", "file", (F.col("part") + 1).alias("part"), F.col("partial").alias("__open"))
     last = units.groupBy("file_id", "file").agg(F.max("part").alias("__last"))
     joined = units.join(before, ["file_id", "file", "part"], "left").join(last, ["file_id", "file"])
-    block, entered = F.col("kind") == "xz-block", ~F.coalesce("__open", F.lit(False))
+    block, entered = F.col("kind").isin(*BLOCKS), ~F.coalesce("__open", F.lit(False))
     begun = F.col("records") - F.when(F.col("partial"), 0).otherwise(1) + entered.cast("long")
     out = joined.withColumn("entered", entered).withColumn("records", F.when(block, begun).otherwise(F.col("records")))
     return cut(out.withColumn("partial", F.col("partial") & (~block | (F.col("part") == F.col("__last")))).drop("__open", "__last"))
 
 
+def with_cut_frames(units: DataFrame) -> DataFrame:
+    """Counted units of whole files, in which the frames of files that are cut inside records are blocks and counted so.
+
+    Such a file has a frame, not its last, that ends without a line feed.
+    """
+    open_ones = units.filter("kind = 'seekable' AND partial")
+    if open_ones.isEmpty():
+        return units
+    last = units.groupBy("file_id", "file").agg(F.max("part").alias("__last"))
+    files = open_ones.join(last, ["file_id", "file"]).filter("part < __last").select("file_id", "file", F.lit(True).alias("__cut")).distinct()
+    marked = cut(units.join(files, ["file_id", "file"], "left"))
+    own, others = marked.filter("__cut").drop("__cut"), marked.filter("__cut IS NULL").drop("__cut")
+    if own.isEmpty():
+        return units
+    feeds = F.col("records") - F.col("partial").cast("long")
+    return others.unionByName(_entered(own.withColumn("kind", F.lit("cut-frame")).withColumn("records", feeds).drop("entered")).select(*units.columns))
+
+
+def cut_inside(some: DataFrame, every: DataFrame) -> bool:
+    """Whether one of ``some`` counted frames, of the planned units ``every``, ends inside a record."""
+    last = every.groupBy("file_id", "file").agg(F.max("part").alias("__last"))
+    return some.filter("kind = 'seekable' AND partial").join(last, ["file_id", "file"]).filter("part < __last").first() is not None
+
+
 def placed(units: DataFrame) -> DataFrame:
     """Counted units with ``unit``, their number in the order of the input, first_pos and first_byte.
 
     Bytes are those of all records with their line ends, one input after the other.
     """
-    numbered = with_position(units, "file_id", "file", "part", name="unit")
+    numbered = with_position(with_cut_frames(units), "file_id", "file", "part", name="unit")
     numbered = running_before(numbered, "unit", "records", name="first_pos").withColumn("__n", F.col("bytes") + F.col("partial").cast("long"))
     return cut(running_before(numbered, "unit", "__n", name="first_byte").drop("__n"))
 
@@ -355,7 +393,7 @@ def some_of(units: DataFrame, n: int) -> DataFrame:
 
 
 def chunk_shuffled(units: DataFrame, seed: int = 0, epoch: int = 0, rank: int | None = None, world: int | None = None, out_pos: bool = True, meter: Accumulator | None = None) -> DataFrame:
-    """Units permuted, records permuted within units; only the rank's units are read.
+    """Units permuted, records permuted within units; only the rank's units are read. Frames must hold whole records.
 
     frame_id (the unit), frame_pos, rec (place in the unit), rec_pos, record, nbytes, in output order over the
     partitions. Places among all of the rank's records, ``out_pos``, need its units counted, unless they are already.
@@ -365,7 +403,10 @@ def chunk_shuffled(units: DataFrame, seed: int = 0, epoch: int = 0, rank: int |
     order = place_by_hash(units.withColumn("frame_id", F.col("unit")), prf_hex(seed, "perm", epoch, "frame_id"), "frame_id", name="frame_pos")
     chosen = of_rank(order, rank, world, "frame_pos")
     if out_pos:
-        chosen = chosen if "records" in chosen.columns else counted(chosen, meter)
+        if "records" not in chosen.columns:
+            chosen = counted(chosen, meter)
+            if cut_inside(chosen, units):
+                raise ModeUnavailable("frames that are cut inside records can't be shuffled as chunks: convert the files first")
         chosen = running_before(chosen, "frame_pos", "records", name="before")
     else:
         chosen = chosen.withColumn("before", F.lit(0).cast("long"))
@@ -441,7 +482,8 @@ def checked(units: DataFrame, max_line: int, deep: bool) -> DataFrame:
     """``units`` with what is found in each, in one pass: records, bytes, oversized, invalid_json, partial, problem (of a frame) and first.
 
     ``first`` has the first records of a unit that aren't JSON: their place in it, kind and byte. A frame that doesn't
-    unpack to the size and checksum of its entry has a problem, and its records aren't looked at.
+    unpack to the size and checksum of its entry has a problem, and its records aren't looked at. Files whose frames
+    turn out to be cut inside records are looked at once more, record by record.
     """
     names = ["records", "bytes", "oversized", "invalid_json", "partial", "problem", "first"]
     of_json = pa.list_(pa.struct([("rec", pa.int64()), ("kind", pa.string()), ("at", pa.int64())]))
@@ -450,7 +492,7 @@ def checked(units: DataFrame, max_line: int, deep: bool) -> DataFrame:
         records = size = oversized = invalid = 0
         last, problem, first = b"\n", None, []
         try:
-            blocks = pieces(unit)
+            blocks = list(pieces(unit)) if unit["kind"] == "cut-frame" else pieces(unit)  # a frame, and the rest of its last record
         except Exception as e:
             return 0, 0, 0, 0, False, f"unreadable: {e}", []
         for _, raw in blocks:
@@ -475,17 +517,28 @@ def checked(units: DataFrame, max_line: int, deep: bool) -> DataFrame:
             kinds = (*[pa.int64()] * 4, pa.bool_(), pa.string(), of_json)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 7, kinds))], names=[*batch.schema.names, *names])
 
-    if not units.filter("kind = 'xz-block'").isEmpty():
-        units = counted(units).select(*NAMES, "entered")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
     shape = "records long, bytes long, oversized long, invalid_json long, partial boolean, problem string, first array<struct<rec: long, kind: string, at: long>>"
-    return cut(in_tasks(units).mapInArrow(run, f"{kinds}, {shape}"))
+
+    def looked_at(units: DataFrame) -> DataFrame:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
+        return cut(in_tasks(units).mapInArrow(run, f"{kinds}, {shape}"))
+
+    units = units.select(*NAMES, F.lit(True).alias("entered")) if units.filter("kind = 'xz-block'").isEmpty() else counted(units).select(*NAMES, "entered")
+    found = looked_at(units)
+    marked = with_cut_frames(found)
+    cut_ones = marked.filter("kind = 'cut-frame'")
+    if marked is found or cut_ones.isEmpty():
+        return found
+    at = ["file_id", "file", "part"]
+    again = looked_at(cut_ones.select(*NAMES, "entered")).withColumnRenamed("problem", "__later").join(cut_ones.select(*at, "problem", F.col("bytes").alias("__bytes"), F.col("partial").alias("__partial")), at)
+    again = again.withColumns({"problem": F.coalesce("problem", "__later"), "bytes": F.col("__bytes"), "partial": F.col("__partial")})
+    return cut(marked.filter("kind <> 'cut-frame'").unionByName(again.select(*found.columns)))
 
 
 def report(found: DataFrame) -> DataFrame:
     """One row of ``checked`` units: records, bytes, oversized, invalid_json, trailing_partial (files), seekable_files, bad_frames and ok."""
     total = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(name)
-    framed = F.col("kind") == "seekable"
+    framed = F.col("kind").isin("seekable", "cut-frame")
     row = found.agg(
         *(total(F.col(c), c) for c in ("records", "bytes", "oversized", "invalid_json")),
         total(F.col("partial") & ~framed, "trailing_partial"),

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import records, shuffle
+from ..operators import frames, records, shuffle
 from ..operators.errors import UsageError
 from ..sources import units
 
@@ -90,7 +90,7 @@ class UnitDataset(Dataset):
 
     def __init__(self, units: DataFrame, *args, max_line: int | None = None, dropped=None, **more):
         super().__init__(units, *args, **more)
-        if self.mode not in ("none", "chunk-shuffled", "index-perm"):
+        if self.mode not in UNIT_MODES:
             raise UsageError(f"{self.mode} shuffles records, not units")
         self.max_line, self.dropped = max_line, dropped
         self.total, self.size_of_all = units.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("records", "bytes"))).first()
@@ -136,5 +136,21 @@ class UnitDataset(Dataset):
                         break
 
 
+UNIT_MODES = ("none", "chunk-shuffled", "index-perm")
+
+
+def shuffles_units(found: DataFrame, mode: str) -> bool:
+    """Whether ``mode`` reads placed units as they are; files without chunks are chunk-shuffled by frames of their records."""
+    return mode in UNIT_MODES and not (mode == "chunk-shuffled" and found.filter(F.col("kind").isin(*units.WHOLE)).first())
+
+
+def of_units(found: DataFrame, mode: str, *args, frame_size: int = frames.DEFAULT_FRAME, **more) -> Dataset:
+    """The dataset of placed units that suits ``mode``."""
+    if shuffles_units(found, mode):
+        return UnitDataset(found, mode, *args, **more)
+    rows = units.records_of(found)
+    return Dataset(frames.assign_frames(rows, frame_size, in_order=True) if mode == "chunk-shuffled" else rows, mode, *args, **more)
+
+
 def shuffle_default(mode: str) -> int:
     return shuffle.DEFAULT_BUFFER if mode == "buffer" else shuffle.DEFAULT_RESERVOIR

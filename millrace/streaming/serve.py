@@ -2,10 +2,11 @@
 
     GET /v1/health
     GET /v1/datasets            GET /v1/datasets/{id}
-    GET /v1/streams/{id}?seed=&shuffle=&sample=&epochs=&rank=&world_size=
+    GET /v1/streams/{id}?seed=&shuffle=&sample=&epochs=&rank=&world_size=&client=
 
 Spark runs the plans; a response pulls partition by partition, so a slow client
-holds its own stream back. ``sample`` counts per epoch. With ``tokens`` all but
+holds its own stream back. ``sample`` counts per epoch. Each ``client`` has a seed of its own, made
+of the one asked for; X-Seed is the one that was used. With ``tokens`` all but
 health needs one of them as a bearer token. It listens on the loopback address
 unless told otherwise, and has no TLS: put it behind a proxy that has.
 """
@@ -20,9 +21,10 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame
 
+from ..functions.prf import client_seed
 from ..operators.errors import InputMissing, UsageError
 from ..operators.index import Catalogue
-from .dataset import Dataset
+from .dataset import Dataset, of_units
 
 
 def _number(query: dict, name: str, default: int | None) -> int | None:
@@ -35,7 +37,7 @@ def _number(query: dict, name: str, default: int | None) -> int | None:
 
 
 def server(catalogue: Catalogue, load: Callable[[str], DataFrame], tokens: list[str] | None = None, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """A server to run with ``serve_forever``. ``load`` gives the records of a path: id, record, pos and frame_id."""
+    """A server to run with ``serve_forever``. ``load`` gives the placed units of a path, or its records: id, record, pos and frame_id."""
 
     class Handler(BaseHTTPRequestHandler):
         protocol_version = "HTTP/1.1"
@@ -78,7 +80,10 @@ def server(catalogue: Catalogue, load: Callable[[str], DataFrame], tokens: list[
         def stream(self, name: str, query: dict) -> None:
             mode = query.get("shuffle", ["chunk-shuffled"])[-1]
             n = {k: _number(query, k, d) for k, d in (("seed", 0), ("epochs", 1), ("sample", None), ("rank", None), ("world_size", None))}
-            lines = Dataset(load(catalogue.path(name)), mode, n["seed"], n["epochs"], n["sample"], "epoch", n["rank"], n["world_size"])
+            if "client" in query:
+                n["seed"] = client_seed(n["seed"], query["client"][-1])
+            found = load(catalogue.path(name))
+            lines = (of_units if "first_pos" in found.columns else Dataset)(found, mode, n["seed"], n["epochs"], n["sample"], "epoch", n["rank"], n["world_size"])
             self.send_response(200)
             for key, value in (("Content-Type", "application/x-ndjson"), ("Transfer-Encoding", "chunked"), ("X-Seed", n["seed"]), ("X-Shuffle", mode), ("X-Fingerprint", catalogue.entries[name][1])):
                 self.send_header(key, str(value))

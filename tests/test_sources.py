@@ -1,6 +1,7 @@
 import argparse
 import bz2
 import gzip
+import itertools
 import json
 import lzma
 import random
@@ -229,12 +230,22 @@ def test_the_server_of_the_command_line(spark, tmp_path):
     import urllib.request
 
     (tmp_path / "in.jsonl").write_text("".join(f'{{"i":{i}}}\n' for i in range(20)))
-    a = argparse.Namespace(datasets=[f"one={tmp_path / 'in.jsonl'}"], host="127.0.0.1", port=0, tokens=None, frame_size=64)
+    a = argparse.Namespace(datasets=[f"one={tmp_path / 'in.jsonl'}"], host="127.0.0.1", port=0, tokens=None, frame_size=64, index=None)
     running = serving(spark, a)
     threading.Thread(target=running.serve_forever, daemon=True).start()
+
+    def get(query):
+        with urllib.request.urlopen(f"http://127.0.0.1:{running.server_address[1]}/v1/streams/one?{query}", timeout=120) as r:
+            return r.headers["X-Seed"], r.read()
+
     try:
-        with urllib.request.urlopen(f"http://127.0.0.1:{running.server_address[1]}/v1/streams/one?shuffle=chunk-shuffled", timeout=120) as r:
-            assert sorted(json.loads(x)["i"] for x in r.read().splitlines()) == list(range(20))
+        for mode in ("none", "chunk-shuffled", "index-perm", "buffer"):
+            _, body = get(f"shuffle={mode}&seed=3")
+            assert sorted(json.loads(x)["i"] for x in body.splitlines()) == list(range(20))
+            assert (body == (tmp_path / "in.jsonl").read_bytes()) == (mode == "none")
+        of_clients = {c: get(f"shuffle=index-perm&seed=3&client={c}") for c in ("a", "b")}
+        assert of_clients["a"][1] != of_clients["b"][1] and of_clients["a"] == get("shuffle=index-perm&seed=3&client=a")
+        assert of_clients["a"][1] == get(f"shuffle=index-perm&seed={of_clients['a'][0]}")[1]  # the seed that was used runs it again
     finally:
         running.shutdown()
 
@@ -483,3 +494,37 @@ def test_parquet_is_converted_row_by_row(spark, tmp_path, capfdbinary):
     (tmp_path / "x.data").write_bytes((cache / "train-0.parquet").read_bytes())
     assert main(["stream", str(tmp_path / "x.data"), "--shuffle", "none"]) == 64
     assert main(["convert", str(cache / "train-0.parquet"), "-o", str(tmp_path / "out2")]) == 0
+
+
+LINES_TO_CUT = [b'"' + b"x" * (i * 37 % 150) + b'"' if i % 9 else b"" for i in range(60)]
+
+
+@pytest.mark.parametrize("frame_size", [7, 64])
+def test_frames_may_be_cut_inside_records(spark, tmp_path, frame_size):
+    """Records shorter and longer than frames, empty ones, and frames that happen to end with a record; another file beside."""
+    raw = b"".join(x + b"\n" for x in LINES_TO_CUT)
+    (tmp_path / "in.jsonl").write_bytes(raw)
+    out, path = str(tmp_path / "cut"), str(tmp_path / "in.jsonl")
+    seekable.write_cut(spark.createDataFrame(list(enumerate(map(bytearray, LINES_TO_CUT))), "pos long, record binary"), out, frame_size)
+    for file in seekable.files_of(out):
+        sizes = [f.decompressed for f in seekable.read_seek_table(file)]
+        assert set(sizes[:-1]) <= {frame_size} and 0 < sizes[-1] <= frame_size
+    back = units.records_of(units.units_of(spark, [path, out])).orderBy("pos").collect()
+    assert [bytes(r["record"]) for r in back] == LINES_TO_CUT * 2 and [r["pos"] for r in back] == list(range(120))
+    assert [r["start"] for r in back] == list(itertools.accumulate([0] + [len(x) + 1 for x in (LINES_TO_CUT * 2)[:-1]]))
+    planned = units.plan(spark, [out])
+    told = units.report(units.checked(planned, 100, True)).first()
+    long = sum(len(x) + 1 > 100 for x in LINES_TO_CUT)
+    assert (told["records"], told["bytes"], told["oversized"], told["invalid_json"], told["bad_frames"]) == (60, len(raw), long, LINES_TO_CUT.count(b""), 0)
+    with pytest.raises(ModeUnavailable):
+        units.chunk_shuffled(records.with_position(planned, "file_id", "file", "part", name="unit")).count()
+
+
+def test_cut_frames_on_the_command_line(spark, tmp_path, capfdbinary):
+    (tmp_path / "in.jsonl").write_bytes(b"".join(x + b"\n" for x in LINES_TO_CUT))
+    out = str(tmp_path / "cut")
+    assert main(["convert", str(tmp_path / "in.jsonl"), "-o", out, "--no-record-align", "--frame-size", "64"]) == 0
+    assert json.loads(next(x for x in reversed(capfdbinary.readouterr().err.splitlines()) if x.startswith(b"{")))["records"] == 60
+    assert main(["stream", out, "--shuffle", "none"]) == 0
+    assert capfdbinary.readouterr().out.splitlines() == LINES_TO_CUT
+    assert main(["analyze", out]) == 0
