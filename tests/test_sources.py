@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.__main__ import main, serving
 from millrace.operators import frames, index, records, shuffle
 from millrace.operators.errors import InputMissing, ModeUnavailable, UsageError
+from millrace.plans import catalogue
 from millrace.sources import jsonl, seekable, shards, units
 from millrace.streaming import live
 from millrace.streaming.dataset import Dataset, UnitDataset
@@ -80,6 +81,14 @@ def corpus(spark, n=300):
     return df.withColumn("nbytes", (F.octet_length("record") + 1).cast("long"))
 
 
+def test_lines_of_text_come_back_as_text(spark, tmp_path):
+    props = [f'{{"k": {i}}}' for i in range(40)] + ["", "\r", "☃ é\0", " \t"]
+    spark.createDataFrame([(len(props) - i, p) for i, p in enumerate(props)], "event_id long, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    back = catalogue.QUERIES["jsonl_round_trip"](spark, str(tmp_path))
+    assert dict(back.dtypes) == {"pos": "bigint", "record": "string"}
+    assert [r["record"] for r in back.orderBy("pos").collect()] == props[::-1]
+
+
 def test_seekable_round_trip(spark, tmp_path):
     framed = frames.assign_frames(corpus(spark), 256)
     out = str(tmp_path / "seek")
