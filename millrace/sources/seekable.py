@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -40,6 +41,8 @@ TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
 FOOTER, CHECKSUM_FLAG, RESERVED_BITS = 9, 0x80, 0x7C
 FRAMES_A_TASK = 64
 MOST_FRAME_BYTES = (1 << 32) - 1
+#: Entries of a seek table that are read first to find the frames behind one.
+ENTRIES_AT_FIRST = 16
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,29 @@ def seek_table(frames: list[tuple[int, int, int]], checksum: bool = True) -> byt
     return struct.pack("<II", TABLE_MAGIC, len(body) + FOOTER) + body + struct.pack("<IBI", len(frames), CHECKSUM_FLAG if checksum else 0, FOOTER_MAGIC)
 
 
+def _footer(file, path: str) -> tuple[int, int, int]:
+    """Of an open seekable file: frames, bytes of an entry, place of the first entry."""
+    size = file.size()
+    if size < FOOTER + 8:
+        raise UsageError(f"{path} is no seekable file")
+    file.seek(size - FOOTER)
+    count, flags, magic = struct.unpack("<IBI", file.read(FOOTER))
+    if magic != FOOTER_MAGIC or flags & RESERVED_BITS:
+        raise UsageError(f"{path} has no seek table")
+    width = 12 if flags & CHECKSUM_FLAG else 8
+    entries = size - FOOTER - count * width
+    if entries < 8:
+        raise UsageError(f"{path}: the seek table is larger than the file")
+    return count, width, entries
+
+
+def _frames_from(body: bytes, width: int, frame_id: int, offset: int) -> Iterator[Frame]:
+    """The frames of some entries, the first of which is ``frame_id`` at ``offset``."""
+    for i, entry in enumerate(struct.iter_unpack("<III" if width == 12 else "<II", body)):
+        yield Frame(frame_id + i, offset, entry[0], entry[1], entry[2] if width == 12 else None)
+        offset += entry[0]
+
+
 def read_seek_table(path: str) -> list[Frame]:
     where, name = store(path)
     try:
@@ -64,32 +90,29 @@ def read_seek_table(path: str) -> list[Frame]:
     except FileNotFoundError as e:
         raise InputMissing(path) from e
     with opened as file:
-        size = file.size()
-        if size < FOOTER + 8:
-            raise UsageError(f"{path} is no seekable file")
-        file.seek(size - FOOTER)
-        count, flags, magic = struct.unpack("<IBI", file.read(FOOTER))
-        if magic != FOOTER_MAGIC or flags & RESERVED_BITS:
-            raise UsageError(f"{path} has no seek table")
-        width = 12 if flags & CHECKSUM_FLAG else 8
-        table = count * width + FOOTER
-        if table + 8 > size:
-            raise UsageError(f"{path}: the seek table is larger than the file")
-        file.seek(size - table - 8)
+        count, width, entries = _footer(file, path)
+        file.seek(entries - 8)
         head, length = struct.unpack("<II", file.read(8))
-        if head != TABLE_MAGIC or length != table:
+        if head != TABLE_MAGIC or length != count * width + FOOTER:
             raise UsageError(f"{path}: the seek table is damaged")
-        body = file.read(count * width)
-    out, offset = [], 0
-    for i in range(count):
-        entry = struct.unpack_from("<III" if width == 12 else "<II", body, i * width)
-        out.append(Frame(i, offset, entry[0], entry[1], entry[2] if width == 12 else None))
-        offset += entry[0]
-    if offset != size - table - 8:
+        out = list(_frames_from(file.read(count * width), width, 0, 0))
+    if (out[-1].offset + out[-1].compressed if out else 0) != entries - 8:
         raise UsageError(f"{path}: sizes of frames and file disagree")
     return out
 
 
+def frames_behind(path: str, frame: Frame) -> Iterator[Frame]:
+    """The frames that follow one of a file. Their entries are read some at a time, twice as many each time, so one who stops early reads few of a long table."""
+    where, name = store(path)
+    with where.open_input_file(name) as file:
+        count, width, entries = _footer(file, path)
+        at, offset, some = frame.frame_id + 1, frame.offset + frame.compressed, ENTRIES_AT_FIRST
+        while at < count:
+            for last in _frames_from(file.read_at(min(some, count - at) * width, entries + at * width), width, at, offset):
+                yield last
+            at, offset, some = last.frame_id + 1, last.offset + last.compressed, 2 * some
+
+
 def remove(path: str) -> None:
     where, name = store(path)
     where.delete_file(name)

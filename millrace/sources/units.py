@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from ..operators.shared import cut, running_before
 from ..operators.shuffle import place_by_hash, sample
 from . import xz
 from .files import STREAMED, detect, listed, store, unpacked
-from .seekable import Frame, decompress, lines_of, frame_problem, read_seek_table
+from .seekable import Frame, decompress, frames_behind, lines_of, frame_problem, read_seek_table
 
 RANGE_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
@@ -121,10 +122,10 @@ def _xz_blocks(file: str) -> list[xz.Block]:
 
 
 def in_tasks(units: DataFrame, order: str | None = None) -> DataFrame:
-    """Units dealt so that a task reads about TASK_BYTES; in ascending ``order`` over the tasks, if given."""
+    """Units dealt so that a task reads about TASK_BYTES; in ascending ``order`` over the tasks, if given, else file by file in each."""
     n, total = units.agg(F.count("*"), F.coalesce(F.sum(F.col("finish") - F.col("begin")), F.lit(0))).first()
     tasks = max(1, min(n, -(-total // TASK_BYTES), 1 << 20), min(n, units.sparkSession.sparkContext.defaultParallelism))
-    return units.repartitionByRange(tasks, order).sortWithinPartitions(order) if order else units.repartition(tasks, "file", "part")
+    return units.repartitionByRange(tasks, order).sortWithinPartitions(order) if order else units.repartition(tasks, "file", "part").sortWithinPartitions("file", "part")
 
 
 def _range_pieces(unit: dict) -> Iterator[tuple[int, bytes]]:
@@ -178,15 +179,30 @@ def _frame_of(unit: dict) -> Frame:
     return Frame(unit["part"], unit["begin"], unit["finish"] - unit["begin"], unit["size"], unit["checksum"])
 
 
+@lru_cache(maxsize=1)
+def _kept_blocks(file: str, size: int, at: int) -> np.ndarray:
+    """The blocks of an xz file as it is, a row each; a task that reads a file block by block goes through its indexes once."""
+    where, name = store(file)
+    with where.open_input_file(name) as f:
+        return np.array(xz.read_blocks(f, size), dtype=np.int64).reshape(-1, len(xz.Block._fields))
+
+
+def _blocks_behind(unit: dict) -> Iterator[xz.Block]:
+    where, name = store(unit["file"])
+    about = where.get_file_info(name)
+    blocks = _kept_blocks(unit["file"], about.size, about.mtime_ns)
+    return (xz.Block(*blocks[k].tolist()) for k in range(unit["part"] + 1, len(blocks)))
+
+
 def _unpacked(unit: dict, following: bool = False) -> Iterator[bytes]:
     """What a block or frame unpacks to, some at a time, or what all ``following`` ones of its file do."""
     if unit["kind"] == "cut-frame":
-        for frame in read_seek_table(unit["file"])[unit["part"] + 1 :] if following else [_frame_of(unit)]:
+        for frame in frames_behind(unit["file"], _frame_of(unit)) if following else [_frame_of(unit)]:
             yield decompress(unit["file"], frame)
         return
     where, name = store(unit["file"])
     with where.open_input_file(name) as f:
-        for block in xz.read_blocks(f, f.size())[unit["part"] + 1 :] if following else [_block_of(unit)]:
+        for block in _blocks_behind(unit) if following else [_block_of(unit)]:
             yield from xz.unpack(f, block)
 
 

@@ -537,3 +537,39 @@ def test_cut_frames_on_the_command_line(spark, tmp_path, capfdbinary):
     assert main(["stream", out, "--shuffle", "none"]) == 0
     assert capfdbinary.readouterr().out.splitlines() == LINES_TO_CUT
     assert main(["analyze", out]) == 0
+
+
+def test_reading_on_takes_few_entries_of_a_long_seek_table(tmp_path, monkeypatch):
+    lines = [b"x" * (i % 30) for i in range(2_000)]
+    lines[50] = b"y" * 3_000  # over 150 frames
+    raw = b"".join(x + b"\n" for x in lines)
+    parts = [raw[i : i + 20] for i in range(0, len(raw), 20)]
+    packed = [zstandard.compress(x) for x in parts]
+    (tmp_path / "cut.zst").write_bytes(b"".join(packed) + seekable.seek_table([(len(z), len(x), 0) for z, x in zip(packed, parts)], checksum=False))
+    path, frame = str(tmp_path / "cut.zst"), seekable.Frame
+    table = seekable.read_seek_table(path)
+    assert [*table[:1], *seekable.frames_behind(path, table[0])] == table and not list(seekable.frames_behind(path, table[-1]))
+    made = []
+    monkeypatch.setattr(seekable, "Frame", lambda *x: made.append(x) or frame(*x))
+    read = []
+    for f, before in zip(table, [b"\n", *parts]):
+        unit = {"file": path, "kind": "cut-frame", "part": f.frame_id, "begin": f.offset, "finish": f.offset + f.compressed, "size": f.decompressed, "checksum": f.checksum}
+        read += [x for _, some in units.pieces(unit | {"entered": before.endswith(b"\n")}) for x in seekable.lines_of(some)]
+    assert read == lines and len(made) < 20 * len(table)
+
+
+def test_the_indexes_of_an_xz_file_are_read_once_for_its_blocks(tmp_path, monkeypatch):
+    path, looked, read_blocks = str(tmp_path / "a.xz"), [], units.xz.read_blocks
+    monkeypatch.setattr(units.xz, "read_blocks", lambda *x: looked.append(x) or read_blocks(*x))
+    for lines in ([b"a" * (i % 30) for i in range(300)], [b"b" * (i % 40) for i in range(300)]):  # another file at the same place
+        raw = b"".join(x + b"\n" for x in lines)
+        parts = [raw[i : i + 50] for i in range(0, len(raw), 50)]
+        (tmp_path / "a.xz").write_bytes(b"".join(map(lzma.compress, parts)))
+        with open(path, "rb") as f:
+            blocks = read_blocks(f, (tmp_path / "a.xz").stat().st_size)
+        looked.clear()
+        read = []
+        for part, (b, before) in enumerate(zip(blocks, [b"\n", *parts])):
+            unit = {"file": path, "kind": "xz-block", "part": part, "begin": b.offset, "finish": b.offset + b.packed, "size": b.size, "checksum": b.padding << 16 | b.flags}
+            read += [x for _, some in units.pieces(unit | {"entered": before.endswith(b"\n")}) for x in seekable.lines_of(some)]
+        assert read == lines and len(looked) == 1
